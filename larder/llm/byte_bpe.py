@@ -4,9 +4,9 @@
    `block_chars` of text, or one longer text) keeps each of its distinct words once, with the
    positions of all its pre-tokens as one packed sequence of word numbers per run of documents.
 2. The distinct words are shuffled by a hash bucket, so that a word of all blocks meets in one
-   partition; there it is encoded once, decoded once through the token-byte table, and the ids are
-   joined back to every block that asked for it.
-3. A second shuffle brings a block's words and its sequences together and reassembles by position.
+   partition; there it is encoded once and its ids are joined back to every block that asked for it.
+3. A second shuffle brings a block's words and its sequences together; ids are joined to the token-byte
+   table to decode them, and both are reassembled by position.
 
 A frequent word is one entry per block, however often it occurs, so no key is hot. Rows shuffled
 are at most the distinct words of the blocks; no model or count of the corpus comes to the driver.
@@ -71,20 +71,17 @@ def bpe(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def packed(parts: list[bytes]) -> bytes:
-    """Byte strings as their lengths and contents, compressed."""
+def packed(words: list[bytes]) -> bytes:
+    """Words (UTF-8, so without byte 255) joined by byte 255 and compressed."""
     import zstandard
 
-    return zstandard.compress(np.array([len(parts), *map(len, parts)], np.uint32).tobytes() + b"".join(parts), 1)
+    return zstandard.compress(b"\xff".join(words), 6)
 
 
 def unpacked(blob: bytes) -> list[bytes]:
     import zstandard
 
-    blob = zstandard.decompress(blob)
-    n = int(np.frombuffer(blob, np.uint32, 1)[0])
-    ends = (4 + 4 * n + np.cumsum(np.frombuffer(blob, np.uint32, n, 4), dtype=np.int64)).tolist()
-    return [blob[i:j] for i, j in zip([4 + 4 * n, *ends], ends)]
+    return zstandard.decompress(blob).split(b"\xff")
 
 
 def squeezed(numbers: np.ndarray) -> bytes:
@@ -125,7 +122,7 @@ def split_job(pattern: str, buckets: int, block_chars: int, part_chars: int):
             place = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in words), np.int64, len(words))
             order = np.lexsort((rank, place))
             cuts = np.flatnonzero(np.diff(place[order])) + 1
-            rows = [(block, int(place[g[0]]), 0, 0, packed([words[i] for i in g]), squeezed(rank[g])) for g in np.split(order, cuts) if len(g)]
+            rows = [(block, int(place[g[0]]), 0, 0, packed([words[i] for i in g]), squeezed(np.diff(rank[g], prepend=np.uint32(0)))) for g in np.split(order, cuts) if len(g)]
             yield routed(rows)
             for n, (docs, seq) in enumerate(parts):
                 yield routed([(block, (block * 7919 + n) % buckets, 1, n, docs.tobytes(), squeezed(rank[seq] if len(seq) else np.empty(0, np.uint32)))])
@@ -161,11 +158,10 @@ def split_job(pattern: str, buckets: int, block_chars: int, part_chars: int):
 
 
 def encode_job(ranks: dict[bytes, int]):
-    """Rows sorted by bucket: a word is encoded, and decoded by the token-byte table, when its bucket first shows it."""
+    """Rows sorted by bucket: a word is encoded when its bucket first shows it, and its ids are joined to each block's entry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token_bytes = {i: t for t, i in ranks.items()}
-        known: dict[bytes, tuple[bytes, bytes]] = {}
+        known: dict[bytes, list[int]] = {}
         now = None
         for batch in batches:
             rows = []
@@ -176,24 +172,23 @@ def encode_job(ranks: dict[bytes, int]):
                     continue
                 if bucket != now:
                     known, now = {}, bucket
-                ids, back = [], []
+                ids = []
                 for word in unpacked(a):
                     if word not in known:
-                        got = bpe(word, ranks)
-                        known[word] = " ".join(map(str, got)).encode(), b"".join(token_bytes[i] for i in got)
-                    x, y = known[word]
-                    ids.append(x)
-                    back.append(y)
-                rows.append((block, bucket, 0, 0, packed([*ids, *back]), b))
+                        known[word] = bpe(word, ranks)
+                    ids.append(known[word])
+                rows.append((block, bucket, 0, 0, squeezed(np.array([*map(len, ids), *(i for x in ids for i in x)], np.uint32)), b))
             yield routed(rows)
 
     return run
 
 
-def join_job(digest: bool):
-    """Rows sorted by block, words first: looks up each position's ids and decoded bytes and closes the documents."""
+def join_job(ranks: dict[bytes, int], digest: bool):
+    """Rows sorted by block, words first: joins each word's ids to the token-byte table, looks up the words of each
+    position and closes the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token_bytes = {i: t for t, i in ranks.items()}
         now, ids, back, counts = None, [], [], None
         for batch in batches:
             out = []
@@ -201,13 +196,17 @@ def join_job(digest: bool):
                 if block != now:
                     now, ids, back, counts = block, [], [], None
                 if not kind:
-                    at, got = spread(b).tolist(), unpacked(a)
+                    at, got = np.cumsum(spread(b)).tolist(), spread(a).tolist()
                     more = max(at, default=-1) + 1 - len(ids)
                     if more > 0:
                         ids.extend([b""] * more)
                         back.extend([b""] * more)
-                    for i, x, y in zip(at, got, got[len(at) :]):
-                        ids[i], back[i] = x, y
+                    end = len(at)
+                    for i, n in zip(at, got[: len(at)]):
+                        own = got[end : end + n]
+                        end += n
+                        ids[i] = " ".join(map(str, own)).encode()
+                        back[i] = b"".join([token_bytes[x] for x in own])
                     continue
                 if counts is None:
                     counts = np.fromiter((x.count(b" ") + 1 for x in ids), np.int64, len(ids))
@@ -227,7 +226,7 @@ def join_job(digest: bool):
     return run
 
 
-def encode_decode(docs: DataFrame, rank_path: str, pattern: str, *, digest: bool = True, buckets: int = 4096, block_chars: int = 24_000_000, part_chars: int = 1_000_000) -> DataFrame:
+def encode_decode(docs: DataFrame, rank_path: str, pattern: str, *, digest: bool = True, buckets: int = 4096, block_chars: int = 32_000_000, part_chars: int = 1_000_000) -> DataFrame:
     """docs (doc_id, text; more columns are ignored) -> doc_id, n_tokens, and either ids_sha256 and decoded_sha256
     or, with digest=False, ids (decimal, joined by one space) and decoded (text).
 
@@ -237,7 +236,7 @@ def encode_decode(docs: DataFrame, rank_path: str, pattern: str, *, digest: bool
     cols = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids string, decoded string")
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(split_job(pattern, buckets, block_chars, part_chars), ROUTE)
     known = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(encode_job(ranks), ROUTE)
-    return known.repartition("block").sortWithinPartitions("block", "kind", "part").mapInArrow(join_job(digest), cols)
+    return known.repartition("block").sortWithinPartitions("block", "kind", "part").mapInArrow(join_job(ranks, digest), cols)
 
 
 def decode(ids: DataFrame, rank_path: str) -> DataFrame:
