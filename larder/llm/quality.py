@@ -2,9 +2,9 @@
 
 1. Labellers look at each whole text and vote good (1), bad (-1) or abstain (0).
 2. Votes of all documents are counted by pattern: at most 3 ** labellers rows, whatever the corpus.
-   Expectation-maximisation over the patterns estimates the share of good texts and, for each labeller,
-   how it votes on good and on bad texts; it starts from the majority, and classes are named so that
-   good texts are those that more labellers call good. This yields a posterior for each pattern.
+   Expectation-maximisation over the patterns estimates the share of good texts and how each labeller
+   votes on good and on bad ones, and so its accuracy; it starts from the sum of votes. Labellers whose
+   silence is no praise only vote bad. This yields a posterior for each pattern.
 3. About `sample_docs` documents, chosen by a hash of doc_id, are hashed into `2 ** bits` features (words,
    word shapes, repeats); a logistic scorer is fitted to their posteriors by full gradient steps, whose
    sums are taken on the executors. The sample is the documented bound of the fit; all else covers all rows.
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ LETTER = np.array([chr(c).isalpha() if c < 128 else True for c in range(256)])
 UPPER = np.isin(np.arange(256), np.arange(65, 91))
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 MARK = np.isin(np.arange(256), list(b"#$%&*|{}<>=~^@\\/_+[]"))
-LABELLERS = ("letters", "marks", "upper", "variety", "stutter", "endings", "word_length", "lines", "marked_words")
+LABELLERS = ("letters", "marks", "upper", "variety", "stutter", "endings", "word_length", "lines", "marked_words", "top_word")
 
 
 def votes(text: bytes) -> list[int]:
@@ -54,37 +55,40 @@ def votes(text: bytes) -> list[int]:
             return -1 if x >= bad else 1 if x <= good else 0
         return -1 if x <= bad else 1 if x >= good else 0
 
+    def bad(x: float, least: float) -> int:
+        return -1 if x >= least else 0
+
     return [
-        of(letters / solid, 0.75, 0.9),
-        of(marks / solid, 0.1, 0.02),
-        of(upper / max(1, letters), 0.4, 0.15),
-        of(len(set(words)) / n ** 0.85, 0.35, 0.7) if n >= 20 else 0,
-        of(same / n, 0.2, 0.05) if n >= 5 else 0,
+        bad(1 - letters / solid, 0.2),
+        bad(marks / solid, 0.08),
+        bad(upper / max(1, letters), 0.4),
+        of(len(set(words)) / n**0.85, 0.55, 0.55) if n >= 20 else 0,
+        bad(same / n, 0.2) if n >= 5 else 0,
         of(ended / len(lines), 0.2, 0.6),
         of(abs(letters / n - 5), 5.0, 3.0),
-        of(len(set(lines)) / len(lines), 0.4, 0.8) if len(lines) > 2 else 0,
-        of(marked / n, 0.4, 0.1),
+        bad(1 - len(set(lines)) / len(lines), 0.4) if len(lines) > 2 else 0,
+        bad(marked / n, 0.4),
+        bad(Counter(words).most_common(1)[0][1] / n, 0.25) if n >= 10 else 0,
     ]
 
 
 def fit_labels(counts: dict[str, int], rounds: int = 60) -> tuple[dict[str, float], np.ndarray, float]:
-    """Pattern counts -> posterior of good by pattern; vote shares [class][labeller][vote + 1]; share of good texts."""
+    """Pattern counts -> posterior of good by pattern; accuracy of each labeller where it votes; share of good texts."""
     keys = sorted(counts)
     v = np.array([[ord(c) - ord("1") for c in k] for k in keys])
     n = np.array([counts[k] for k in keys], float)
     p = 1 / (1 + np.exp(-1.5 * v.sum(axis=1)))
     for _ in range(rounds):
-        share = (p @ n + 1) / (n.sum() + 2)
-        tables = np.empty((2, v.shape[1], 3))
+        share = float((p @ n + 1) / (n.sum() + 2))
+        shares = np.empty((2, v.shape[1], 3))  # of votes, for bad and for good texts
         for c, w in enumerate((n * (1 - p), n * p)):
             for vote in range(3):
-                tables[c, :, vote] = w @ (v == vote - 1) + 0.5
-        tables /= tables.sum(axis=2, keepdims=True)
-        logs = [np.log(tables[c][np.arange(v.shape[1]), v + 1]).sum(axis=1) for c in (0, 1)]
-        p = 1 / (1 + np.exp(np.clip(np.log(1 - share) + logs[0] - np.log(share) - logs[1], -40, 40)))
-    if (tables[1, :, 2] - tables[0, :, 2]).sum() < 0:
-        p, tables, share = 1 - p, tables[::-1], 1 - share
-    return dict(zip(keys, p.tolist())), tables, float(share)
+                shares[c, :, vote] = w @ (v == vote - 1) + 0.5
+        shares /= shares.sum(axis=2, keepdims=True)
+        bad, good = (np.log(shares[c][np.arange(v.shape[1]), v + 1]).sum(axis=1) for c in (0, 1))
+        p = 1 / (1 + np.exp(np.clip(np.log(1 - share) + bad - np.log(share) - good, -40, 40)))
+    right = (n * p) @ (v > 0) + (n * (1 - p)) @ (v < 0)
+    return dict(zip(keys, p.tolist())), (right + 0.5) / (n @ (v != 0) + 1), share
 
 
 class Features(dict):
@@ -103,15 +107,16 @@ class Features(dict):
         return got
 
     def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Feature numbers and values, of length 1; shapes weigh more than words."""
+        """Feature numbers and values, of length below 1; shapes weigh more than words."""
         words = text.split()
         pairs = np.array([self[w] for w in words], np.int64).reshape(-1, 2)
         repeats = sum(a == b for a, b in zip(words, words[1:]))
         own, n_own = np.unique(pairs[:, 0], return_counts=True)
         shape, n_shape = np.unique(pairs[:, 1], return_counts=True)
-        value = np.concatenate((0.3 * np.sqrt(n_own / len(words)), np.sqrt(n_shape / len(words)), [np.sqrt(repeats / len(words)), 0.5]))
-        index = np.concatenate((own, shape, [zlib.crc32(b"repeat", 3) & self.mask, zlib.crc32(b"bias", 3) & self.mask]))
-        return index, value / np.sqrt((value * value).sum())
+        sure = len(words) / (len(words) + 10)  # short texts lean on the share of good texts
+        value = np.concatenate((0.3 * sure * np.sqrt(n_own / len(words)), sure * np.sqrt(n_shape / len(words)), [2 * sure * np.sqrt(repeats / len(words))]))
+        index = np.concatenate((own, shape, [zlib.crc32(b"repeat", 3) & self.mask]))
+        return index, value / np.sqrt((value * value).sum() + 0.25)
 
 
 def text_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,14 +125,15 @@ def text_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(docs: DataFrame, *, sample_docs: int = 6000, bits: int = 16, steps: int = 30, rate: float = 8.0) -> tuple[np.ndarray, dict]:
-    """Weights of the scorer, and the label model (accuracies by labeller, share of good texts)."""
+    """Weights of the scorer (the last is its offset, the log odds of a good text), and the label model (accuracies by labeller, share of good texts)."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     counts = {r["pattern"]: r["n"] for r in texts.select("text").mapInArrow(text_votes, "pattern string").groupBy("pattern").agg(F.count("*").alias("n")).collect()}  # 3 ** labellers rows at most
-    weights = np.zeros(1 << bits)
+    weights = np.zeros((1 << bits) + 1)
     if not counts:
         return weights, {}
-    posterior, tables, share = fit_labels(counts)
+    posterior, accuracy, share = fit_labels(counts)
+    weights[-1] = np.log(share / (1 - share))
     part = min(1.0, sample_docs / sum(counts.values()))
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,23 +153,23 @@ def train(docs: DataFrame, *, sample_docs: int = 6000, bits: int = 16, steps: in
                 ends = np.diff(col.offsets.to_numpy())
                 i, x, y = col.flatten().to_numpy(), batch.column(1).flatten().to_numpy(), batch.column(2).to_numpy()
                 row = np.repeat(np.arange(len(y)), ends)
-                miss = 1 / (1 + np.exp(-np.bincount(row, w[i] * x, len(y)))) - y
+                miss = 1 / (1 + np.exp(-w[-1] - np.bincount(row, w[i] * x, len(y)))) - y
                 sums += np.bincount(i, miss[row] * x, len(w))
                 n += len(y)
             yield pa.RecordBatch.from_arrays([pa.array([sums.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["g", "n"])
 
         return run
 
-    speed = np.zeros_like(weights)
+    speed = np.zeros_like(weights)  # the offset isn't fitted: no feature has its number
+    free = np.arange(len(weights)) < len(weights) - 1
     for _ in range(steps):
         parts = table.mapInArrow(gradient(weights + 0.9 * speed), "g binary, n long").collect()  # 8 partitions at most
         n = sum(r["n"] for r in parts)
         if not n:
             break
-        speed = 0.9 * speed - rate * (sum(np.frombuffer(r["g"]) for r in parts) / n + 1e-5 * weights)
+        speed = 0.9 * speed - rate * (sum(np.frombuffer(r["g"]) for r in parts) / n + 1e-5 * weights * free)
         weights = weights + speed
-    accuracy = {name: float((share * tables[1, j, 2] + (1 - share) * tables[0, j, 0]) / max(1e-9, 1 - share * tables[1, j, 1] - (1 - share) * tables[0, j, 1])) for j, name in enumerate(LABELLERS)}
-    return weights, {"accuracy": accuracy, "good": share}
+    return weights, {"accuracy": dict(zip(LABELLERS, accuracy.tolist())), "good": share}
 
 
 def score(docs: DataFrame, weights: np.ndarray, *, least: float = 0.5) -> DataFrame:
@@ -180,7 +186,7 @@ def score(docs: DataFrame, weights: np.ndarray, *, least: float = 0.5) -> DataFr
                     out.append(0.0)
                     continue
                 i, x = features.of(t)
-                out.append(float(1 / (1 + np.exp(-np.clip(w[i] @ x, -40, 40)))))
+                out.append(float(1 / (1 + np.exp(-np.clip(w[-1] + w[i] @ x, -40, 40)))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64()), pa.array([s >= least for s in out], pa.bool_())], names=["doc_id", "score", "kept"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, kept boolean")
