@@ -45,5 +45,11 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op3_quality_classifier": op3_quality_classifier, "op4_suffix_dedup": op4_suffix_dedup, "op6_language_id": op6_language_id, "op8_html_extraction": op8_html_extraction, "op9_byte_bpe": op9_byte_bpe}
+def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .setsketch import near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op3_quality_classifier": op3_quality_classifier, "op4_suffix_dedup": op4_suffix_dedup, "op6_language_id": op6_language_id, "op8_html_extraction": op8_html_extraction, "op9_byte_bpe": op9_byte_bpe, "op10_minhash_dedup": op10_minhash_dedup}
 ORACLE_SQL: dict[str, str] = {}
