@@ -9,15 +9,20 @@ lie under one anchor.
 2. Groups that repeat as a whole are found by an aggregate and marked by a join. Anchors with one start
    have no match and drop out.
 3. Anchors with two or more different contents, one of them unique, need their strings compared. Their
-   distinct contents are cut from the texts and dealt to shards by anchor. A shard (its size bounded by
+   distinct contents are cut from the texts and trimmed: sorted by anchor and the bytes from the anchor on,
+   and again by the bytes before it backwards, each keeps no more than it shares with a neighbour in order,
+   since bytes beyond belong to no match. Range partitions split hot anchors; a row at the edge of a
+   partition isn't trimmed on that side, which costs work and no match. Contents that are equal after
+   trimming repeat as a whole and are done, so a passage in many contexts collapses to one content.
+4. Distinct trimmed contents are dealt to shards by anchor. A shard (its size bounded by
    `shard_bytes`) builds a run-length index: the BWT of its contents as runs, each run with its head, its
    LF target and the suffix-array sample of its end, and the ranges of rank in which `window` bytes agree
    with a neighbour. Each content is then streamed through the index from its end by LF steps, all of a
    shard in lockstep, giving the matching statistics against everything else in the shard (cut off at
    `window`), and long matches are marked.
-4. An anchor with more than `most_contents` contents doesn't fit a shard. Its strings take a plain exact
+5. An anchor with more than `most_contents` contents doesn't fit a shard. Its strings take a plain exact
    way: one hash a string, an aggregate, a join back.
-5. Marks are joined to the texts, verified against the recorded hash, and the rest is counted and hashed.
+6. Marks are joined to the texts, verified against the recorded hash, and the rest is counted and hashed.
 
 Texts are UTF-8 bytes; null is empty. Rows count as documents of their own even when they repeat or share
 a doc_id; a null doc_id is an ordinary document. Strings are compared by anchor and hash, 128 bits, outside
@@ -138,20 +143,77 @@ def confirmed(text: bytes, spans: list[dict], window: int) -> tuple[Sequence, np
     return seq, fits
 
 
-def cut_out(window: int):
+PARTS = ("doc", "first", "anchor", "off", "content")
+
+
+def cut_out(window: int, k: int):
+    """Rows (doc, text, spans) -> the bytes of each span and where in them its anchor starts."""
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for doc, text, spans in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist()):
-            for s, right in zip(spans, confirmed(text, spans, window)[1]):
-                if right:
-                    rows.append((doc, s["first"], s["anchor"], s["big"], text[s["first"] : s["last"] + window]))
+            seq, right = confirmed(text, spans, window)
+            grams = seq.all_of(k).view(np.int64)
+            for s, fits in zip(spans, right):
+                if fits:
+                    a, b = s["first"], s["last"]
+                    off = b - a + int((grams[b : a + window - k + 1] == s["anchor"]).argmax())
+                    rows.append((doc, a, s["anchor"], off, text[a : b + window]))
         cols = list(zip(*rows)) if rows else [[]] * 5
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc", "first", "anchor", "big", "content"])
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=list(PARTS))
 
     return run
 
 
+def common(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    return int((np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)).argmax())
+
+
+def with_shared(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[tuple[list, int]]:
+    """Sorted rows, each with how much of column `key` it shares with a neighbour of the same anchor (column 2).
+    The first and the last row of a partition count as sharing all."""
+    before, row, shared = None, None, 0
+    for batch in batches:
+        for new in zip(*(c.to_pylist() for c in batch.columns)):
+            if row is not None:
+                both = common(row[key], new[key]) if row[2] == new[2] else 0
+                yield row, max(shared, both) if before is not None else len(row[key])
+                shared = both
+            before, row = row, new
+    if row is not None:
+        yield row, len(row[key])
+
+
+def in_batches(rows: Iterator[tuple], names: list[str], kinds: tuple, most: int = 4000) -> Iterator[pa.RecordBatch]:
+    from itertools import batched
+
+    for part in batched(rows, most):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part), kinds)], names=names)
+
+
+def trim_after(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, first, anchor, off, content, after), sorted -> after cut to what is shared, and before, backwards."""
+    rows = ((r[0], r[1], r[2], r[3], r[5][:n], r[4][: r[3]][::-1]) for r, n in with_shared(batches, 5))
+    return in_batches(rows, ["doc", "first", "anchor", "off", "after", "before"], (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))
+
+
+def trim_before(window: int):
+    """Rows (doc, first, anchor, off, after, before), sorted -> what is left, where a window fits in it."""
+
+    def rows(batches):
+        for r, n in with_shared(batches, 5):
+            content = r[5][:n][::-1] + r[4]
+            if len(content) >= window:
+                h = Sequence(byte_items([content])[0]).spans(np.array([0]), np.array([len(content)])).view(np.int64)[0]
+                yield r[0], r[1] + r[3] - n, r[2], int(h), content
+
+    return lambda batches: in_batches(rows(batches), ["doc", "first", "anchor", "h", "content"], (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))
+
+
 def span_batch(doc, first, last, h) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(h, pa.int64())], names=["doc", "first", "last", "h"])
 
@@ -218,14 +280,20 @@ def remove_repeats(docs: DataFrame, *, window: int = 400, k: int = 24, shard_byt
     shared_pieces = cut(pieces.join(shared, "anchor"))
     contents = cut(shared_pieces.groupBy("anchor", "h").agg(F.count("*").alias("n"), F.min(F.struct("doc", "first", "last")).alias("source"), F.max("branches").alias("branches")))
     whole = shared_pieces.join(contents.where("n > 1").select("anchor", "h"), ["anchor", "h"]).select("doc", "first", "last", "h")
-    compared = contents.where("branches").groupBy("anchor").agg(F.count("*").alias("contents"), F.min("n").alias("least")).where("contents > 1 and least = 1").select("anchor", (F.col("contents") > most_contents).alias("big"))
-    to_open = contents.join(compared, "anchor").select("source.doc", "source.first", "source.last", "h", "anchor", "big")
-    opened = cut(map_batches(texts.join(gathered(to_open, "first", "last", "h", "anchor", "big"), "doc"), cut_out(window), "doc long, first int, anchor long, big boolean, content binary"))
-    size = opened.where("not big").agg(F.sum(F.length("content"))).first()[0] or 0
-    shards = opened.where("not big").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(1 + size // shard_bytes)))
+    compared = contents.where("branches").groupBy("anchor").agg(F.count("*").alias("contents"), F.min("n").alias("least")).where("contents > 1 and least = 1").select("anchor")
+    to_open = contents.join(compared, "anchor").select("source.doc", "source.first", "source.last", "h", "anchor")
+    opened = cut(map_batches(texts.join(gathered(to_open, "first", "last", "h", "anchor"), "doc"), cut_out(window, k), "doc long, first int, anchor long, off int, content binary").withColumn("after", F.expr("substring(content, off + 1)")))
+    half = opened.repartitionByRange("anchor", "after").sortWithinPartitions("anchor", "after").mapInArrow(trim_after, "doc long, first int, anchor long, off int, after binary, before binary")
+    trimmed = cut(half.repartitionByRange("anchor", "before").sortWithinPartitions("anchor", "before").mapInArrow(trim_before(window), "doc long, first int, anchor long, h long, content binary"))
+    left = cut(trimmed.groupBy("anchor", "h").agg(F.count("*").alias("n"), F.min(F.struct("doc", "first", "content")).alias("s")))
+    equal = trimmed.join(left.where("n > 1").select("anchor", "h"), ["anchor", "h"]).select("doc", "first", (F.col("first") + F.length("content") - window).alias("last"), "h")
+    still = left.groupBy("anchor").agg(F.count("*").alias("contents"), F.min("n").alias("least")).where("contents > 1 and least = 1").select("anchor", (F.col("contents") > most_contents).alias("big"))
+    compared_parts = cut(left.select("anchor", "s.*").join(still, "anchor"))
+    size = compared_parts.where("not big").agg(F.sum(F.length("content"))).first()[0] or 0
+    shards = compared_parts.where("not big").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(1 + size // shard_bytes)))
     matched = shards.groupBy("shard").applyInArrow(match_shard(window), SPANS)
-    strings = cut(map_batches(opened.where("big").select("doc", "first", "anchor", "content"), each_string(window), "doc long, first int, anchor long, h long"))
+    strings = cut(map_batches(compared_parts.where("big").select("doc", "first", "anchor", "content"), each_string(window), "doc long, first int, anchor long, h long"))
     repeated = strings.groupBy("anchor", "h").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "h")
     single = strings.join(repeated, ["anchor", "h"]).select("doc", "first", F.col("first").alias("last"), "h")
-    spans = gathered(whole.union(matched).union(single), "first", "last", "h")
+    spans = gathered(whole.union(equal).union(matched).union(single), "first", "last", "h")
     return map_batches(texts.join(spans, "doc", "left"), cleaned(window, digest), f"doc_id long, n_bytes long, n_removed long, n_spans long, {'kept_sha256' if digest else 'kept'} string, spans array<struct<first:int,last:int>>")
