@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read_table
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .itq import near_links
+
+    return near_links(read_table(spark, sf_dir, "embeddings"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .debruijn import remove_repeats
 
@@ -25,12 +31,29 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, how many went, and the hash of the text left."""
+    from pyspark.sql import functions as F
+
+    from .line_join import without_repeated_lines
+
+    cleaned = without_repeated_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify
 
     return identify(read_table(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of a document and a benchmark item that it leaks."""
+    from .bm25 import leaks
+
+    return leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .page_diff import extract
 
@@ -51,5 +74,5 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"), words=4, percent=80)
 
 
-QUERIES = {"op2_substring_dedup": op2_substring_dedup, "op3_quality_classifier": op3_quality_classifier, "op4_suffix_dedup": op4_suffix_dedup, "op6_language_id": op6_language_id, "op8_html_extraction": op8_html_extraction, "op9_byte_bpe": op9_byte_bpe, "op10_minhash_dedup": op10_minhash_dedup}
+QUERIES = {"op1_embedding_dedup": op1_embedding_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_quality_classifier": op3_quality_classifier, "op4_suffix_dedup": op4_suffix_dedup, "op5_line_dedup": op5_line_dedup, "op6_language_id": op6_language_id, "op7_decontamination": op7_decontamination, "op8_html_extraction": op8_html_extraction, "op9_byte_bpe": op9_byte_bpe, "op10_minhash_dedup": op10_minhash_dedup}
 ORACLE_SQL: dict[str, str] = {}
