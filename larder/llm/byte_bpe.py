@@ -88,7 +88,7 @@ def squeezed(numbers: np.ndarray) -> bytes:
     """Unsigned 32-bit numbers as four planes of bytes, compressed."""
     import zstandard
 
-    return zstandard.compress(np.ascontiguousarray(numbers, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), 3)
+    return zstandard.compress(np.ascontiguousarray(numbers, np.uint32).view(np.uint8).reshape(-1, 4).T.tobytes(), 9)
 
 
 def spread(blob: bytes) -> np.ndarray:
@@ -107,6 +107,7 @@ def split_job(pattern: str, buckets: int, block_chars: int, part_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
         import xxhash
+        import zstandard
         from pyspark import TaskContext
 
         find = regex.compile(pattern).findall
@@ -125,7 +126,7 @@ def split_job(pattern: str, buckets: int, block_chars: int, part_chars: int):
             rows = [(block, int(place[g[0]]), 0, 0, packed([words[i] for i in g]), squeezed(np.diff(rank[g], prepend=np.uint32(0)))) for g in np.split(order, cuts) if len(g)]
             yield routed(rows)
             for n, (docs, seq) in enumerate(parts):
-                yield routed([(block, (block * 7919 + n) % buckets, 1, n, docs.tobytes(), squeezed(rank[seq] if len(seq) else np.empty(0, np.uint32)))])
+                yield routed([(block, (block * 7919 + n) % buckets, 1, n, zstandard.compress(docs.T.tobytes(), 3), squeezed(rank[seq] if len(seq) else np.empty(0, np.uint32)))])
 
         numbers: dict[str, int] = {}
         parts, docs, seqs, size, part_size = [], [], [], 0, 0
@@ -188,6 +189,8 @@ def join_job(ranks: dict[bytes, int], digest: bool):
     position and closes the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
         token_bytes = {i: t for t, i in ranks.items()}
         now, ids, back, counts = None, [], [], None
         for batch in batches:
@@ -211,7 +214,7 @@ def join_job(ranks: dict[bytes, int], digest: bool):
                 if counts is None:
                     counts = np.fromiter((x.count(b" ") + 1 for x in ids), np.int64, len(ids))
                 seq, done = spread(b), 0
-                for there, doc, n in np.frombuffer(a, np.int64).reshape(-1, 3).tolist():
+                for there, doc, n in np.frombuffer(zstandard.decompress(a), np.int64).reshape(3, -1).T.tolist():
                     own = seq[done : done + n]
                     done += n
                     at = own.tolist()
@@ -226,7 +229,7 @@ def join_job(ranks: dict[bytes, int], digest: bool):
     return run
 
 
-def encode_decode(docs: DataFrame, rank_path: str, pattern: str, *, digest: bool = True, buckets: int = 4096, block_chars: int = 32_000_000, part_chars: int = 1_000_000) -> DataFrame:
+def encode_decode(docs: DataFrame, rank_path: str, pattern: str, *, digest: bool = True, buckets: int = 1024, block_chars: int = 32_000_000, part_chars: int = 1_000_000) -> DataFrame:
     """docs (doc_id, text; more columns are ignored) -> doc_id, n_tokens, and either ids_sha256 and decoded_sha256
     or, with digest=False, ids (decimal, joined by one space) and decoded (text).
 
