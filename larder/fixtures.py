@@ -122,3 +122,62 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         sql = re.sub(rf"\b(FROM|JOIN)\s+{n}\b", rf"\1 {{{n}}}", sql)
     used = {n: d for n, d in args.items() if "{" + n + "}" in sql}
     return spark.sql(sql, **used)
+
+
+def raw_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fx_products as supplier JSON in the shapes that occur: id, body."""
+    from pyspark.sql import functions as F
+
+    p = view(spark, sf_dir, "fx_products").join(view(spark, sf_dir, "fx_product_paths"), "id")
+    when = lambda n, k, c: F.when(F.col("id") % n == k, c)
+    pairs = F.struct(F.col("title").alias("Name:"), F.lit("Some &amp; such").alias("Note"), F.lit("x").alias("Share this"))
+
+    def q(c):
+        """A string as JSON, NULL for NULL."""
+        j = F.to_json(F.struct(c.alias("v")))
+        return F.when(c.isNotNull(), j.substr(F.lit(6), F.length(j) - 6))
+
+    listed = F.concat(F.lit('[{"name":"name ","value":"second"},{"label":"Size","text":'), q(F.col("sku")), F.lit("}]"))
+
+    def member(name, value):
+        return F.when(value.isNotNull(), F.concat(F.lit(f'"{name}":'), value))
+
+    level = F.col("stock").cast("string")
+    body = F.concat(
+        F.lit("{"),
+        F.concat_ws(
+            ",", member("id", F.col("id").cast("string")), member("sku", when(5, 0, F.lit(None).cast("string")).otherwise(q(F.col("sku")))), member("title", q(F.col("title"))),
+            member("price", when(3, 0, F.concat(F.lit('{"amount":'), F.col("price").cast("string"), F.lit("}"))).otherwise(F.col("price").cast("string"))),
+            member("brand", when(2, 0, F.concat(F.lit('{"name":'), q(F.coalesce("brand", F.lit(""))), F.lit("}"))).otherwise(q(F.coalesce("brand", F.lit(""))))),
+            member("stock", when(4, 0, F.concat(F.lit('{"level":'), F.coalesce(level, F.lit("null")), F.lit("}"))).when(F.col("id") % 4 == 1, q(F.translate(F.col("stock_status"), "_", " ")))),
+            member("variants", when(4, 2, F.concat(F.lit('{"7":{"stock":{"level":'), F.coalesce(level, F.lit('"?"')), F.lit('}},"3":{"stock_level":"1"}}')))),
+            member("url", when(2, 0, q(F.concat(F.lit("p/"), F.col("id").cast("string"), F.lit(".html")))).otherwise(q(F.col("url")))),
+            F.lit('"image":"77","images":[{"url":"/a.jpg"},"/a.jpg",{"src":"https://img.example/b.jpg"},{}]'),
+            member("attributes", when(2, 0, F.to_json(pairs)).otherwise(listed)),
+            F.concat(F.lit('"specs":{"9":{"title":"Weight:","value":"'), F.col("id").cast("string"), F.lit(' g"},"1":{"title":"","value":"none"}}')),
+            F.concat(F.lit('"categories":{"2":{"url":"'), F.expr("substring(p2, 5)"), F.lit('","title":"Two"},"1":{"url":"'), F.expr("substring(p1, 5)"), F.lit('","title":"One"}}')),
+        ),
+        F.lit("}"),
+    )
+    return p.select("id", when(3, 0, F.concat(F.lit('{"product":'), body, F.lit("}"))).otherwise(body).alias("body"))
+
+
+def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fx_products as listing pages of ten for each middle category: canonical_path, page, body. Every 13th category
+    repeats its last page, every 17th declares one product too many."""
+    from pyspark.sql import functions as F
+
+    c = view(spark, sf_dir, "fx_categories").select(F.col("canonical_path").alias("p2"), F.col("id").alias("cid"))
+    p = view(spark, sf_dir, "fx_products").join(view(spark, sf_dir, "fx_product_paths").select("id", "p2"), "id").join(c, "p2")
+    p = p.withColumn("page", F.expr("CAST((row_number() OVER (PARTITION BY p2 ORDER BY id) - 1) DIV 10 + 1 AS bigint)")).withColumn("total", F.expr("count(*) OVER (PARTITION BY p2) + IF(cid % 17 = 0, 1, 0)"))
+    item = F.struct(F.col("id"), F.col("sku").alias("code"), F.col("title"), F.struct(F.col("price").alias("price")).alias("price"))
+    pages = p.groupBy("p2", "cid", "page", "total").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    last = F.expr("max(page) OVER (PARTITION BY p2)")
+    pages = pages.withColumn("last", last)
+    pages = pages.withColumn("page", F.explode(F.when((F.col("cid") % 13 == 0) & (F.col("page") == F.col("last")), F.array("page", F.col("page") + 1)).otherwise(F.array("page"))))
+    listed = F.when(F.col("page") % 2 == 0, F.to_json("items")).otherwise(F.to_json(F.map_from_entries(F.transform("items", lambda i: F.struct(i["id"].cast("string"), i)))))
+    text = lambda c: F.col(c).cast("string")
+    inner = F.concat(F.lit('{"count":'), text("total"), F.lit(',"page":'), text("page"), F.lit(',"limit":10,"products":'), listed, F.lit("}"))
+    flat = F.concat(F.lit('{"total":'), text("total"), F.lit(',"page":'), text("page"), F.lit(',"limit":10,"products":'), listed, F.lit("}"))
+    body = F.when(F.col("cid") % 3 == 0, F.concat(F.lit('{"collection":'), inner, F.lit("}"))).when(F.col("cid") % 3 == 1, F.concat(F.lit('{"catalog":'), inner, F.lit("}"))).otherwise(flat)
+    return pages.select(F.col("p2").alias("canonical_path"), "page", body.alias("body"))

@@ -471,3 +471,145 @@ simple(
     """WITH x AS (SELECT id, is_active, CASE WHEN id % 13 = 0 THEN '' WHEN id % 7 = 0 THEN '/en/' || slug || '/' ELSE canonical_path END AS p FROM fx_categories), y AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY id) AS r FROM x)
         SELECT id, CASE WHEN p = '' THEN '/en/legacy-' || CAST(id AS varchar) || '/' WHEN r > 1 THEN '/en/__conflict-' || CAST(id AS varchar) || '/' ELSE p END AS canonical_path, is_active AND (r = 1 OR p = '') AS is_active FROM y""",
 )
+
+# supplier JSON; the oracle reads the relational columns that the documents were made from
+
+from .fixtures import listing_pages, raw_products  # noqa: E402
+from .operators import extract, listing  # noqa: E402
+
+
+def raw(name: str, f, sql: str) -> None:
+    query(name, sql)(lambda spark, sf_dir: f(raw_products(spark, sf_dir)))
+
+
+SKU = "CASE WHEN id % 5 = 0 THEN CAST(id AS varchar) ELSE sku END"
+STOCK = "CASE WHEN id % 4 = 0 THEN stock WHEN id % 4 = 2 THEN coalesce(stock, 0) + 1 END"
+STATUS = f"CASE WHEN id % 4 = 1 THEN stock_status WHEN id % 4 = 3 OR ({STOCK}) IS NULL THEN NULL WHEN ({STOCK}) > 0 THEN 'in_stock' ELSE 'out_of_stock' END"
+URL = "CASE WHEN id % 2 = 0 THEN 'https://shop.example/en/p/' || CAST(id AS varchar) || '.html' ELSE url END"
+raw("scan_product_json", lambda r: r.select("id", F.get_json_object(extract.unwrap(F.col("body")), "$.id").cast("bigint").alias("inner_id")), "SELECT id, id AS inner_id FROM fx_products")
+raw("product_identity", lambda r: extract.parsed(r).select("id", extract.product_id().alias("product_id"), extract.sku().alias("sku")), f"SELECT id, CAST(id AS varchar) AS product_id, {SKU} AS sku FROM fx_products")
+raw("product_price", lambda r: extract.parsed(r).select("id", extract.price_text().try_cast("double").alias("price")), "SELECT id, price FROM fx_products")
+raw("product_stock", lambda r: extract.parsed(r).select("id", extract.stock().alias("stock")), f"SELECT id, {STOCK} AS stock FROM fx_products")
+raw("variant_stock_sum", lambda r: extract.parsed(r).select("id", extract.variant_stock().alias("stock")), "SELECT id, CASE WHEN id % 4 = 2 THEN coalesce(stock, 0) + 1 END AS stock FROM fx_products")
+raw("product_stock_status", lambda r: extract.parsed(r).select("id", extract.stock_status(extract.stock()).alias("stock_status")), f"SELECT id, {STATUS} AS stock_status FROM fx_products")
+raw("product_brand", lambda r: extract.parsed(r).select("id", extract.brand().alias("brand")), "SELECT id, nullif(brand, '') AS brand FROM fx_products")
+raw("product_url", lambda r: extract.parsed(r).select("id", extract.url(BASE).alias("url")), f"SELECT id, {URL} AS url FROM fx_products")
+raw("first_present", lambda r: extract.parsed(r).select("id", extract.f("sku", "missing", "id").alias("value")), f"SELECT id, {SKU} AS value FROM fx_products")
+raw(
+    "normalize_products",
+    lambda r: extract.products(r, BASE)[0].drop("body", "ean"),
+    f"SELECT CAST(id AS varchar) AS product_id, {SKU} AS sku, title, price, {STOCK} AS stock, {STATUS} AS stock_status, nullif(brand, '') AS brand, 'EUR' AS currency, {URL} AS url FROM fx_products",
+)
+IMAGES = f"SELECT {SKU} AS sku, x.url, x.sort_order, x.sort_order = 0 AS is_cover FROM fx_products CROSS JOIN (VALUES ('https://cdn.example/77/500x500x2.jpg', 0), ('https://shop.example/a.jpg', 1), ('https://img.example/b.jpg', 3)) x(url, sort_order)"
+raw("product_images", lambda r: extract.images(r, BASE, CDN), IMAGES)
+QUERIES["dedupe_images"], ORACLE_SQL["dedupe_images"] = QUERIES["product_images"], ORACLE_SQL["product_images"]
+SPEC_ROWS = f"""SELECT {SKU} AS sku, 1 AS rank, 0 AS pos, 'Weight:' AS name, CAST(id AS varchar) || ' g' AS value FROM fx_products UNION ALL SELECT {SKU}, 2, 0, 'Name:', title FROM fx_products WHERE id % 2 = 0
+    UNION ALL SELECT {SKU}, 2, 1, 'Note', 'Some &amp; such' FROM fx_products WHERE id % 2 = 0 UNION ALL SELECT {SKU}, 2, 2, 'Share this', 'x' FROM fx_products WHERE id % 2 = 0
+    UNION ALL SELECT {SKU}, 2, 0, 'name ', 'second' FROM fx_products WHERE id % 2 = 1 UNION ALL SELECT {SKU}, 2, 1, 'Size', sku FROM fx_products WHERE id % 2 = 1"""
+raw("json_specs", extract.json_specs, SPEC_ROWS)
+CLEAN_SPECS = f"SELECT sku, rank, pos, trim(regexp_replace(name, ':\\s*$', '')) AS name, replace(value, '&amp;', '&') AS value FROM ({SPEC_ROWS}) x WHERE name <> 'Share this'"
+raw("spec_key_filter", lambda r: extract.spec_filter(extract.json_specs(r)), CLEAN_SPECS)
+DEDUPED = f"SELECT sku, lower(name) AS normalized_name, name, value, row_number() OVER (PARTITION BY sku ORDER BY rank, pos) - 1 AS sort_order FROM ({CLEAN_SPECS}) y"
+for _name in ("dedupe_specs", "product_specs"):
+    raw(_name, lambda r: extract.dedupe_specs(extract.json_specs(r)), DEDUPED)
+raw(
+    "product_category_nodes",
+    lambda r: extract.category_nodes(r, BASE),
+    f"SELECT {SKU} AS sku, q.p2 AS canonical_path, split_part(q.p2, '/', 4) AS slug, 'Two' AS name, 0 AS pos FROM fx_products JOIN (SELECT id AS i, p1, p2 FROM fx_product_paths) q ON q.i = id UNION ALL SELECT {SKU}, q.p1, split_part(q.p1, '/', 3), 'One', 1 FROM fx_products JOIN (SELECT id AS i, p1, p2 FROM fx_product_paths) q ON q.i = id",
+)
+raw("legacy_category_ids", lambda r: extract.legacy_category_ids(extract.category_nodes(r, BASE)), f"SELECT {SKU} AS sku, CASE WHEN split_part(q.p2, '/', 4) = split_part(q.p1, '/', 3) THEN split_part(q.p1, '/', 3) ELSE split_part(q.p2, '/', 4) || ',' || split_part(q.p1, '/', 3) END AS category_ids FROM fx_products JOIN (SELECT id AS i, p1, p2 FROM fx_product_paths) q ON q.i = id")
+raw("failure_message", lambda r: r.select("id", text.failure_message(F.concat(F.lit("S"), F.col("id").cast("string")), F.lit("ValueError"), F.lit("bad price")).alias("message")), "SELECT id, 'S' || CAST(id AS varchar) || ': ValueError: bad price' AS message FROM fx_products")
+
+# listings
+
+LISTED = "(SELECT f.id, f.p2 AS canonical_path, c.id AS cid, (row_number() OVER (PARTITION BY f.p2 ORDER BY f.id) - 1) // 10 + 1 AS page, (row_number() OVER (PARTITION BY f.p2 ORDER BY f.id) - 1) % 10 AS pos, count(*) OVER (PARTITION BY f.p2) AS own FROM fx_product_paths f JOIN fx_categories c ON c.canonical_path = f.p2)"
+PAGED = f"(SELECT id, canonical_path, cid, page, pos, own FROM {LISTED} a UNION ALL SELECT id, canonical_path, cid, page + 1, pos, own FROM {LISTED} b WHERE cid % 13 = 0 AND page = (own - 1) // 10 + 1)"
+META = f"(SELECT DISTINCT canonical_path, page, cid, own + CASE WHEN cid % 17 = 0 THEN 1 ELSE 0 END AS total FROM {PAGED} p)"
+
+
+def listed(name: str, f, sql: str) -> None:
+    query(name, sql)(lambda spark, sf_dir: f(listing_pages(spark, sf_dir)))
+
+
+listed("listing_products", lambda p: listing.listing_items(p).select("canonical_path", "page", "pos", F.get_json_object("item", "$.id").cast("bigint").alias("id")), f"SELECT canonical_path, page, CAST(pos AS int) AS pos, id FROM {PAGED} p")
+listed("listing_item_key", lambda p: listing.listing_items(p).select("canonical_path", "page", "key"), f"SELECT canonical_path, page, 'id:' || CAST(id AS varchar) AS key FROM {PAGED} p")
+listed("listing_metadata", lambda p: listing.listing_metadata(p).select("canonical_path", "page", "total", "limit"), f"SELECT canonical_path, page, total, CAST(10 AS bigint) AS \"limit\" FROM {META} m")
+listed("listing_total_pages", lambda p: listing.listing_metadata(p).select("canonical_path", "page", "total_pages", "more"), f"SELECT canonical_path, page, (total + 9) // 10 AS total_pages, page < (total + 9) // 10 AS more FROM {META} m")
+listed("listing_summary", lambda p: listing.summaries(listing.listing_items(p), BASE).select("canonical_path", "page", "product_id", "sku", "name", "price"), f"SELECT p.canonical_path, p.page, CAST(p.id AS varchar) AS product_id, f.sku, f.title AS name, f.price FROM {PAGED} p JOIN fx_products f ON f.id = p.id")
+listed("first_seen_listing_items", lambda p: listing.first_seen(listing.listing_items(p)).select("canonical_path", "key", "page"), f"SELECT canonical_path, 'id:' || CAST(id AS varchar) AS key, min(page) AS page FROM {PAGED} p GROUP BY canonical_path, id")
+listed("repeated_listing_pages", lambda p: listing.repeated_pages(listing.listing_items(p)), f"SELECT DISTINCT canonical_path, page FROM {PAGED} p WHERE cid % 13 = 0 AND page > (own - 1) // 10 + 1")
+listed(
+    "listing_completeness",
+    lambda p: listing.listing_status(p, p.groupBy("canonical_path").agg(F.sum(F.lit(0)).alias("failed"))),
+    f"SELECT canonical_path, max(own + CASE WHEN cid % 17 = 0 THEN 1 ELSE 0 END) AS list_total, max(own) AS unique_listed, CAST(0 AS bigint) AS failed, CASE WHEN max(cid) % 13 = 0 OR max(cid) % 17 = 0 THEN 'incomplete' ELSE 'complete' END AS status, CASE WHEN max(cid) % 13 = 0 THEN 'repeated page' WHEN max(cid) % 17 = 0 THEN 'count differs' ELSE '' END AS reason FROM {PAGED} p GROUP BY canonical_path",
+)
+simple(
+    "listing_page_plan",
+    "fx_product_paths",
+    lambda f: listing.page_plan(f.groupBy(F.col("p2").alias("canonical_path")).agg(F.ceil(F.count("*") / 10).alias("pages")).withColumn("url", F.concat(F.lit(BASE), "canonical_path"))),
+    "SELECT canonical_path, CAST(page AS int) AS page, CASE WHEN page = 1 THEN 'https://shop.example' || canonical_path ELSE 'https://shop.example' || rtrim(canonical_path, '/') || '/page' || CAST(page AS varchar) || '.html' END AS url FROM (SELECT p2 AS canonical_path, unnest(range(1, (count(*) + 9) // 10 + 1)) AS page FROM fx_product_paths GROUP BY p2) x",
+)
+
+
+@query("listing_fallback_record", "SELECT sku, CAST(id AS varchar) AS product_id, title, price FROM fx_products WHERE id % 4 = 0 OR id % 7 = 0")
+def listing_fallback_record(spark, sf_dir):
+    p = view(spark, sf_dir, "fx_products")
+    details = p.where("id % 4 <> 0").select("sku", F.when(F.col("id") % 7 == 0, F.lit("<html>")).otherwise(F.to_json(F.struct("id"))).alias("body"))
+    return listing.fallback_records(details, p.select("sku", F.col("id").cast("string").alias("product_id"), F.col("title").alias("name"), F.col("price").cast("string").alias("price"), "url")).drop("url")
+
+
+# paths and text
+
+PAGE_PATH = "lower(regexp_replace(regexp_replace(url, '^[a-z]+://[^/?#]*', ''), '[?#].*$', ''))"
+CANON = f"CASE WHEN trim({PAGE_PATH}, '/') = '' THEN '/' ELSE '/' || trim(regexp_replace(regexp_replace({PAGE_PATH}, '[^a-z0-9_~./-]', '-', 'g'), '-+', '-', 'g'), '/') || '/' END"
+
+
+def pages(name: str, f, sql: str) -> None:
+    query(name, sql)(lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+
+
+pages("normalize_category_path", lambda p: p.select("page_id", paths.normalize_path(F.col("url")).alias("path")), f"SELECT page_id, {CANON} AS path FROM pages")
+simple("category_slug", "fx_categories", lambda c: c.select("id", paths.slug(F.col("canonical_path")).alias("slug")), "SELECT id, slug FROM fx_categories")
+simple("parent_path", "fx_categories", lambda c: c.select("id", paths.parent(F.col("canonical_path")).alias("parent")), "SELECT id, coalesce(parent_path, '/en/') AS parent FROM fx_categories")
+simple("path_level", "fx_categories", lambda c: c.select("id", paths.level(F.col("canonical_path")).alias("level")), "SELECT id, level + 1 AS level FROM fx_categories")
+simple("path_segments", "fx_categories", lambda c: c.select("id", F.array_join(paths.segments(F.col("canonical_path")), ">").alias("segments")), "SELECT id, replace(trim(canonical_path, '/'), '/', '>') AS segments FROM fx_categories")
+simple("strip_language_prefix", "fx_categories", lambda c: c.select("id", F.array_join(paths.strip_language(paths.segments(F.col("canonical_path"))), ">").alias("segments")), "SELECT id, replace(trim(substr(canonical_path, 5), '/'), '/', '>') AS segments FROM fx_categories")
+simple("clean_category_name", "fx_categories", lambda c: c.select("id", text.clean_category_name(F.concat(F.lit(" "), "name", F.lit(" ("), F.col("id").cast("string"), F.lit(") "))).alias("name")), "SELECT id, name FROM fx_categories")
+simple("extract_count", "fx_categories", lambda c: c.select("id", text.extract_count(F.when(F.col("id") % 2 == 0, F.concat(F.lit("("), F.col("id").cast("string"), F.lit(")"))), F.when(F.col("id") % 3 == 0, F.concat("name", F.lit(" ("), F.col("level").cast("string"), F.lit(")")))).alias("n")), "SELECT id, CAST(CASE WHEN id % 2 = 0 THEN id WHEN id % 3 = 0 THEN level ELSE 0 END AS int) AS n FROM fx_categories")
+simple("slugify", "fx_products", lambda p: p.select("id", text.slugify(F.concat(F.lit(" The "), "title", F.lit("_&_"), "sku", F.lit("! "))).alias("slug")), "SELECT id, 'the-' || replace(title, ' ', '-') || '-' || lower(sku) AS slug FROM fx_products")
+simple("format_category_name", "fx_categories", lambda c: c.select("id", text.format_category_name(F.concat(F.lit("usb-"), "slug", F.lit("-kits"))).alias("name")), "SELECT id, 'USB ' || upper(substr(slug, 1, 1)) || substr(slug, 2) || ' Kits' AS name FROM fx_categories")
+simple("legacy_primary_category", "fx_categories", lambda c: c.select("id", text.legacy_primary(F.when(F.col("id") % 2 == 0, F.concat("slug", F.lit(", Speakers"))).when(F.col("id") % 3 == 0, F.lit("components,speakers")).otherwise(" , ")).alias("name")), "SELECT id, CASE WHEN id % 2 = 0 THEN upper(substr(slug, 1, 1)) || substr(slug, 2) WHEN id % 3 = 0 THEN 'Speakers' ELSE 'Uncategorized' END AS name FROM fx_categories")
+TEXT = "regexp_replace(replace(replace(replace(replace(replace(html, '&nbsp;', ' '), '&lt;', '<'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '{tags}', '', 'g')"
+pages("normalize_text", lambda p: p.select("page_id", F.md5(text.normalize_text(F.col("html"))).alias("digest")), "SELECT page_id, md5(lower(trim(regexp_replace(" + TEXT.format(tags="<[^>]+>") + ", '\\s+', ' ', 'g')))) AS digest FROM pages")
+pages("normalize_paragraph_text", lambda p: p.select("page_id", F.md5(text.normalize_paragraph(F.col("html"))).alias("digest")), "SELECT page_id, md5(trim(regexp_replace(" + TEXT.format(tags="^$") + ", '\\s+', ' ', 'g'))) AS digest FROM pages")
+simple("normalize_spec_name", "fx_attributes", lambda a: a.select("product_id", "sort_order", text.normalize_spec_name(F.concat("name", F.lit("&amp;  Co : "))).alias("name")), "SELECT product_id, sort_order, lower(name) || '& co' AS name FROM fx_attributes")
+query("parse_since_date", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events")(
+    lambda spark, sf: spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.date_format(F.try_to_timestamp(F.date_format("ts", "yyyy-M-d"), F.lit("yyyy-M-d")), "yyyy-MM-dd").alias("day"))
+)
+EXCLUDED = ("/brands/", "/service/", "/blogs/", "/blog/", "/account/", "/compare/", "/cart/", "/wishlist/", "/pages/")  # fixed values: sections without categories
+ROOTS = ("/", "/en/", "/en/catalog/", "/en/collection/", "/en/sitemap/")  # fixed values: paths that are no categories
+pages("excluded_url_sections", lambda p: p.where(~F.exists(F.array(*(F.lit(e) for e in EXCLUDED)), lambda e: F.contains(F.lower("url"), e))).select("page_id", "url"), "SELECT page_id, url FROM pages WHERE " + " AND ".join(f"NOT contains(lower(url), '{e}')" for e in EXCLUDED))
+
+
+def category_urls(p: DataFrame) -> DataFrame:
+    path = paths.normalize_path(F.col("url"))
+    return p.where(path.startswith("/en/") & ~F.contains("url", F.lit(".html")) & ~path.isin(*ROOTS) & ~path.startswith("/en/tags/")).select("page_id", path.alias("canonical_path"))
+
+
+pages("category_url_filter", category_urls, f"SELECT page_id, {CANON} AS canonical_path FROM pages WHERE starts_with({CANON}, '/en/') AND NOT contains(url, '.html') AND {CANON} NOT IN {ROOTS}")
+pages(
+    "sitemap_xml_categories",
+    lambda p: category_urls(p.groupBy((F.col("page_id") % 5).alias("g")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.transform(F.collect_list("url"), lambda u: F.concat(F.lit("<url><loc>"), F.replace(u, F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))), ""), F.lit("</urlset>")).alias("xml")).select(F.explode(F.xpath("xml", F.lit("//loc/text()"))).alias("url"), F.lit(0).alias("page_id"))).groupBy("canonical_path").agg(F.count("*").alias("n")).select("canonical_path", "n", paths.slug(F.col("canonical_path")).alias("slug"), paths.parent(F.col("canonical_path")).alias("parent"), paths.level(F.col("canonical_path")).alias("level")),
+    f"SELECT canonical_path, count(*) AS n, string_split(trim(canonical_path, '/'), '/')[-1] AS slug, regexp_replace(canonical_path, '[^/]+/$', '') AS parent, CAST(len(string_split(trim(canonical_path, '/'), '/')) AS int) AS level FROM (SELECT {CANON} AS canonical_path FROM pages WHERE starts_with({CANON}, '/en/') AND NOT contains(url, '.html') AND {CANON} NOT IN {ROOTS}) x GROUP BY canonical_path",
+)
+NODES = "(SELECT canonical_path, id % 3 AS pos, name || '-' || CAST(id % 3 AS varchar) AS name FROM fx_categories UNION ALL SELECT canonical_path, 5, 'late' FROM fx_categories WHERE id % 2 = 0)"
+
+
+def repeated_nodes(c: DataFrame) -> DataFrame:
+    own = c.select("canonical_path", (F.col("id") % 3).alias("pos"), F.concat("name", F.lit("-"), (F.col("id") % 3).cast("string")).alias("name"))
+    return own.union(c.where("id % 2 = 0").select("canonical_path", F.lit(5), F.lit("late")))
+
+
+simple("dedupe_by_path", "fx_categories", lambda c: repeated_nodes(c).where("canonical_path <> ''").groupBy("canonical_path").agg(F.min_by("name", "pos").alias("name")), f"SELECT canonical_path, arg_min(name, pos) AS name FROM {NODES} n GROUP BY canonical_path")
+simple("sitemap_parse_diagnostics", "fx_categories", lambda c: repeated_nodes(c).groupBy("canonical_path").agg(F.count("*").alias("n")).agg(F.sum("n").alias("raw"), F.count("*").alias("normalized"), F.count_if(F.col("n") > 1).alias("duplicates")), f"SELECT CAST(sum(n) AS bigint) AS raw, count(*) AS normalized, count(*) FILTER (WHERE n > 1) AS duplicates FROM (SELECT canonical_path, count(*) AS n FROM {NODES} n GROUP BY canonical_path) x")
+simple("merge_sitemaps", f"{SOURCE} {DB}", lambda s, d: s.select("canonical_path", F.lit("html").alias("origin")).unionByName(quality.missing(d, s).withColumn("origin", F.lit("xml"))), f"SELECT canonical_path, 'html' AS origin FROM {SOURCE} UNION ALL SELECT canonical_path, 'xml' FROM {DB} WHERE canonical_path NOT IN (SELECT canonical_path FROM {SOURCE})")
