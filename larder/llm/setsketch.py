@@ -9,11 +9,11 @@ Registers merge by maximum, and equal registers are the more likely the more ali
    bucket with probability below 1e-7. Each member of a bucket is paired with the bucket's smallest.
 3. Pairs are judged by joint maximum likelihood over register comparisons and known set sizes: a pair goes
    on unless similarity 0.8 is 5 standard errors off. Survivors are confirmed on full sets.
-4. Confirmed links give components. A bucket whose members still lie in different components may hide
-   links between two members that aren't its smallest: those buckets are dealt into blocks of about
-   `block` members, every two blocks are compared inside a task by likelihood, and only pairs
-   that pass and join different components are emitted and confirmed. No pairs of a group already
-   connected are ever formed, and no bucket is capped.
+4. Confirmed links give components. Members of one leader's buckets that still lie in different components
+   may be linked to each other: they are dealt into blocks of about `block`, two at a time to a task, and
+   compared by likelihood. Members with a likely partner are compared again on full sets, by matrix
+   products within a task, which emits one link for each pair of components. Pairs are never rows, and no
+   bucket is capped.
 5. Components of all links.
 
 Aggregates combine before shuffles and joins on hot keys (a set with a third of all rows, a bucket, its
@@ -155,26 +155,79 @@ def confirm(words: int, percent: int):
     return run
 
 
-def block_pairs(percent: int):
-    """One pair of blocks of a bucket -> pairs that are likely and lie in different components."""
+def sides(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of a group's two blocks, which may be the same."""
+    block = part.column("block").to_numpy()
+    return np.flatnonzero(block == part.column("i")[0].as_py()), np.flatnonzero(block == part.column("j")[0].as_py())
+
+
+def likely_members(percent: int):
+    """Two blocks of a leader's members -> those with a likely partner in another component, never the pairs."""
 
     def run(part: pa.Table) -> pa.Table:
-        rep, comp, n, block = (part.column(c).to_numpy() for c in ("rep", "comp", "n", "block"))
-        regs = matrix(part.column("regs"))
-        first, second = part.column("i")[0].as_py(), part.column("j")[0].as_py()
-        a_side, b_side = np.flatnonzero(block == first), np.flatnonzero(block == second)
-        found = []
+        leader, rep, comp, n = (part.column(c).to_numpy() for c in ("leader", "rep", "comp", "n"))
+        regs, (a_side, b_side) = matrix(part.column("regs")), sides(part)
+        found = np.zeros(len(rep), bool)
         for i in a_side:
-            others = b_side[(comp[b_side] != comp[i]) & ((rep[b_side] > rep[i]) if first == second else True)]
+            others = b_side[comp[b_side] != comp[i]]
             if len(others):
                 others = others[likely(np.broadcast_to(regs[i], (len(others), regs.shape[1])), regs[others], np.full(len(others), n[i]), n[others], percent)]
-                found.append(np.stack((np.minimum(rep[i], rep[others]), np.maximum(rep[i], rep[others]))))
-        a, b = np.concatenate(found, axis=1) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                found[others] = True
+                found[i] |= len(others) > 0
+        return pa.table({"leader": pa.array(leader[found], pa.int64()), "rep": pa.array(rep[found], pa.int64()), "comp": pa.array(comp[found], pa.int64())})
 
     return run
 
 
+def intersections(sets: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """Sizes of all intersections of a few sets, by products of 0-1 matrices over a range of elements at a time."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    values, column, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(uses > 1) - 1
+    mine = uses[column] > 1
+    owner, column = owner[mine], shared[column[mine]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        a, b = np.searchsorted(column, [start, start + width])
+        ones = np.zeros((len(sets), width), np.float32)
+        ones[owner[a:b], column[a:b] - start] = 1
+        out += (ones @ ones.T).astype(np.int64)
+    return out
+
+
+def linked_components(percent: int):
+    """Two blocks of a leader's members with their full sets -> one confirmed link for each pair of components."""
+
+    def run(part: pa.Table) -> pa.Table:
+        rep, comp = part.column("rep").to_numpy(), part.column("comp").to_numpy()
+        sets, (a_side, b_side) = [np.frombuffer(x, np.uint64) for x in part.column("shingles").to_pylist()], sides(part)
+        both, size = intersections(sets), np.array([len(x) for x in sets])
+        alike = (100 * both >= percent * (size[:, None] + size[None, :] - both)) & (comp[:, None] != comp[None, :])
+        a, b = np.nonzero(alike[np.ix_(a_side, b_side)])
+        a, b = a_side[a], b_side[b]
+        _, first = np.unique(np.stack((np.minimum(comp[a], comp[b]), np.maximum(comp[a], comp[b]))), axis=1, return_index=True)
+        return pa.table({"a": pa.array(rep[a[first]], pa.int64()), "b": pa.array(rep[b[first]], pa.int64())})
+
+    return run
+
+
+def set_batches(words: int):
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [s.tobytes() for _, texts in chunks(batch.column(0).to_pylist(), text_bytes(batch.column(1))) for s in shingle_sets(texts, words)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["rep", "shingles"])
+
+    return run
+
+
+def dealt(members: DataFrame, block: int) -> DataFrame:
+    """Members of each leader in blocks of about `block`, once for each other block they meet."""
+    size = members.groupBy("leader").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    placed = members.join(size, "leader").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(5)), "blocks"))
+    return placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+
+
 def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, m: int = 128, rows: int = 4, block: int = 128) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id (smallest doc_id reachable), kept (doc_id = component_id)."""
     if m % rows or m > len(SEEDS):
@@ -187,25 +240,20 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, m: in
     buckets = bands.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).where("size > 1")
     members = cut(bands.join(buckets, "key"))
 
-    def confirmed(pairs: DataFrame, known: bool) -> DataFrame:
-        """pairs (a, b): by likelihood unless that is known, then on full sets."""
-        if not known:
-            sides = [nodes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}")) for x in "ab"]
-            pairs = map_batches(pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", "na", "ra", "nb", "rb"), judge(percent), "a long, b long")
-        full = pairs.join(texts.withColumnsRenamed({"doc": "b", "text": "tb"}), "b").join(texts.withColumnsRenamed({"doc": "a", "text": "ta"}), "a")
-        return full.select("a", "b", "tb", "ta").mapInArrow(confirm(words, percent), "a long, b long")
-
-    links = cut(confirmed(members.where("leader < rep").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct(), False))
+    ends = [nodes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}")) for x in "ab"]
+    stars = members.where("leader < rep").select(F.col("leader").alias("a"), F.col("rep").alias("b")).distinct()
+    judged = map_batches(stars.join(ends[1], "b").join(ends[0], "a").select("a", "b", "na", "ra", "nb", "rb"), judge(percent), "a long, b long")
+    full = judged.join(texts.withColumnsRenamed({"doc": "b", "text": "tb"}), "b").join(texts.withColumnsRenamed({"doc": "a", "text": "ta"}), "a")
+    links = cut(full.select("a", "b", "tb", "ta").mapInArrow(confirm(words, percent), "a long, b long"))
     first = components(links)
-    placed = members.where("size > 2").join(first.withColumnsRenamed({"id": "rep", "component_id": "comp"}), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("size").alias("size")).where("lo < hi").select("key", F.ceil(F.col("size") / block).alias("blocks"))
-    rest = placed.where("rep <> leader").select("key", "rep", "comp").join(open_keys, "key").join(nodes, "rep").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(5)), "blocks"))
-    dealt = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
-    late = cut(dealt.select("key", "i", "j", "rep", "comp", "n", "regs", "block").groupBy("key", "i", "j").applyInArrow(block_pairs(percent), "a long, b long").distinct())
-    if late.isEmpty():
-        comps = first
-    else:
-        comps = components(links.union(cut(confirmed(late, True))))
+    placed = members.where("size > 2 and leader < rep").select("leader", "rep").distinct().join(first.withColumnsRenamed({"id": "rep", "component_id": "comp"}), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    placed = cut(placed)
+    open_leaders = placed.groupBy("leader").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("leader")
+    rest = dealt(placed.join(open_leaders, "leader"), block).join(nodes, "rep")
+    found = cut(rest.select("leader", "i", "j", "rep", "comp", "n", "regs", "block").groupBy("leader", "i", "j").applyInArrow(likely_members(percent), "leader long, rep long, comp long").distinct())
+    own = map_batches(found.select(F.col("rep").alias("doc")).distinct().join(texts, "doc"), set_batches(words), "rep long, shingles binary")
+    late = cut(dealt(found, block).join(own, "rep").select("leader", "i", "j", "rep", "comp", "shingles", "block").groupBy("leader", "i", "j").applyInArrow(linked_components(percent), "a long, b long").distinct())
+    comps = first if late.isEmpty() else components(links.union(late))
     of_sets = sets.select("d1", "d2", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component_id", "rep").alias("component"))
     out = sketch.select("doc", "n", "d1", "d2").join(of_sets, ["d1", "d2"], "left").withColumn("component", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc")))
     shown = {c: F.when(F.col(x) != NO_ID, F.col(x)) for c, x in (("doc_id", "doc"), ("component_id", "component"))}
