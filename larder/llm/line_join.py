@@ -61,6 +61,10 @@ def within(a: Column, b: Column, tau: int) -> Column:
     width, band = 2 * tau + 2, (1 << (2 * tau + 1)) - 1
 
     def accepted(c: Column) -> Column:
+        # what lies between prefix and suffix differs at both ends, so one edit covers one character at most
+        return F.when(F.greatest(c["na"], c["nb"]) > 1, False).otherwise(automaton(c)) if tau == 1 else automaton(c)
+
+    def automaton(c: Column) -> Column:
         first = sum((((1 << (e + 1)) - 1) << tau & band) << (width * e) for e in range(tau + 1))
 
         def step(state: Column, j: Column) -> Column:
@@ -122,7 +126,7 @@ def keys(line: Column, tau: int) -> Column:
 def near_links(lines: DataFrame, *, tau: int, min_chars: int, bucket: int, broadcast_lines: int) -> DataFrame:
     """lines (id long, line) with repeats -> links (a, b) between ids of different lines within tau edits."""
     long = lines.where(F.length("line") >= min_chars)
-    rows = long.select("id", F.explode(keys(F.col("line"), tau)).alias("k")).select("id", "k.*")
+    rows = cut(long.select("id", F.explode(keys(F.col("line"), tau)).alias("k")).select("id", "k.*"))
     shared = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count_if(~F.col("probe")).alias("own")).where("lo < hi and own > 0").select("key")
     members = cut(rows.join(shared, "key").distinct())
     sizes = members.groupBy("key").agg(F.count("*").alias("n"))
@@ -158,7 +162,7 @@ def without_repeated_lines(docs: DataFrame, *, tau: int = 1, min_chars: int = 20
     if tau < 1 or min_chars <= tau:
         raise ValueError("tau must be at least 1 and below min_chars")
     doc, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.col("text").cast("string")
-    lines = docs.select(doc.alias("doc"), F.posexplode(F.split(text, "\n")).alias("pos", "line")).select("doc", "pos", stripped(F.col("line")).alias("line")).where("line <> ''").withColumns({"id": F.xxhash64("line"), "id2": F.xxhash64(F.lit(1), "line")})
+    lines = docs.select(doc.alias("doc"), F.posexplode(F.transform(F.split(text, "\n"), stripped)).alias("pos", "line")).where("line <> ''").withColumns({"id": F.xxhash64("line"), "id2": F.xxhash64(F.lit(1), "line")})
     classes = components(near_links(lines.select("id", "line"), tau=tau, min_chars=min_chars, bucket=bucket, broadcast_lines=broadcast_lines))
     places = lines.select("id", "id2", F.struct("doc", "pos").alias("at"))
     firsts = places.groupBy("id", "id2").agg(F.min("at").alias("first"), F.max("at").alias("last")).join(classes, "id", "left").where("component_id is not null or first < last")
