@@ -613,3 +613,59 @@ def repeated_nodes(c: DataFrame) -> DataFrame:
 simple("dedupe_by_path", "fx_categories", lambda c: repeated_nodes(c).where("canonical_path <> ''").groupBy("canonical_path").agg(F.min_by("name", "pos").alias("name")), f"SELECT canonical_path, arg_min(name, pos) AS name FROM {NODES} n GROUP BY canonical_path")
 simple("sitemap_parse_diagnostics", "fx_categories", lambda c: repeated_nodes(c).groupBy("canonical_path").agg(F.count("*").alias("n")).agg(F.sum("n").alias("raw"), F.count("*").alias("normalized"), F.count_if(F.col("n") > 1).alias("duplicates")), f"SELECT CAST(sum(n) AS bigint) AS raw, count(*) AS normalized, count(*) FILTER (WHERE n > 1) AS duplicates FROM (SELECT canonical_path, count(*) AS n FROM {NODES} n GROUP BY canonical_path) x")
 simple("merge_sitemaps", f"{SOURCE} {DB}", lambda s, d: s.select("canonical_path", F.lit("html").alias("origin")).unionByName(quality.missing(d, s).withColumn("origin", F.lit("xml"))), f"SELECT canonical_path, 'html' AS origin FROM {SOURCE} UNION ALL SELECT canonical_path, 'xml' FROM {DB} WHERE canonical_path NOT IN (SELECT canonical_path FROM {SOURCE})")
+
+# documents and whole batches: shapes that SQL doesn't express
+
+from .plans.ingest import ingest  # noqa: E402
+from .sources import html  # noqa: E402
+
+
+def page_docs(name: str, f) -> None:
+    query(name)(lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), "html")))
+
+
+page_docs("html_intro_paragraph", lambda d: html.intro_paragraph(html.html_blocks(d)))
+page_docs("html_long_description", lambda d: html.long_description(html.html_blocks(d.withColumn("html", F.regexp_replace("html", "<h1>", "<h1>Features: ")))))
+page_docs("product_descriptions", html.descriptions)
+page_docs("sitemap_html_categories", lambda d: html.sitemap_nodes(d, BASE + "/en"))
+
+
+def spec_docs(p: DataFrame, a: DataFrame) -> DataFrame:
+    """A product's attributes as a definition list, a table, a list under a heading and a paragraph, by id."""
+    rows = catalog.nested(a.where(catalog.valid(F.col("value"))), "product_id", ["name", "value"], ["sort_order", "name"], "x")
+    put = lambda start, f, end: F.concat(F.lit(start), F.array_join(F.transform("x", f), ""), F.lit(end))
+    forms = (
+        put('<section id="specs"><dl>', lambda s: F.concat(F.lit("<dt>"), s["name"], F.lit("</dt><dd>"), s["value"], F.lit("</dd>")), "</dl></section>"),
+        put("<table>", lambda s: F.concat(F.lit("<tr><td>"), s["name"], F.lit("</td><td>"), s["value"], F.lit("</td></tr>")), "</table>"),
+        put("<h3>Technical data</h3><ul>", lambda s: F.concat(F.lit("<li>"), s["name"], F.lit(": "), s["value"], F.lit("</li>")), "</ul>"),
+        put("<p><strong>Specifications</strong>:", lambda s: F.concat(F.lit(" "), s["name"], F.lit(": "), s["value"], F.lit(" •")), "</p>"),
+    )
+    html_of = F.get(F.array(*forms), (F.col("id") % 4).cast("int"))
+    return p.select("id").join(rows, "id").select(F.col("id").alias("doc_id"), html_of.alias("html"))
+
+
+def spec_query(name: str, k: int, rank: int) -> None:
+    simple(
+        name,
+        "fx_products fx_attributes",
+        lambda p, a: html.spec_pairs(spec_docs(p.where(F.col("id") % 4 == k), a)).where(F.col("rank") == rank).select("doc_id", "name", "value"),
+        f"SELECT product_id AS doc_id, name, trim(value) AS value FROM fx_attributes WHERE product_id % 4 = {k} AND trim(value) <> ''",
+    )
+
+
+for _k, _name in enumerate(("html_specs_dl", "html_specs_table", "html_specs_heading_sections", "html_specs_paragraphs")):
+    spec_query(_name, _k, _k + 3)
+simple(
+    "split_key_value",
+    "fx_attributes",
+    lambda a: a.where(catalog.valid(F.col("value"))).select("product_id", "sort_order", html.split_key_value(F.concat(F.lit(" "), "name", F.when(F.col("sort_order") % 2 == 0, ": ").otherwise(" - "), "value")).alias("x")).select("product_id", "sort_order", "x.name", "x.value"),
+    "SELECT product_id, sort_order, name, value FROM fx_attributes WHERE trim(value) <> ''",
+)
+
+
+@query("ingest_run")
+def ingest_run(spark, sf_dir):
+    """Products of a whole batch: stored ones, listings and documents merged."""
+    p, c, s = (view(spark, sf_dir, n) for n in ("fx_products", "fx_categories", "fx_source_categories"))
+    stored = {"products": p.where("id % 3 <> 0").select("sku", "title", "brand", "price", "stock", "regular_price"), "categories": c, "links": p.where("id % 5 = 0").select("sku", F.lit("/en/none/").alias("canonical_path"))}
+    return ingest(stored, s, listing_pages(spark, sf_dir), raw_products(spark, sf_dir).drop("id"), BASE, CDN)["products"]
