@@ -669,3 +669,29 @@ def ingest_run(spark, sf_dir):
     p, c, s = (view(spark, sf_dir, n) for n in ("fx_products", "fx_categories", "fx_source_categories"))
     stored = {"products": p.where("id % 3 <> 0").select("sku", "title", "brand", "price", "stock", "regular_price"), "categories": c, "links": p.where("id % 5 = 0").select("sku", F.lit("/en/none/").alias("canonical_path"))}
     return ingest(stored, s, listing_pages(spark, sf_dir), raw_products(spark, sf_dir).drop("id"), BASE, CDN)["products"]
+
+# batch forms of the streams
+
+from .streaming import catalogue as streams  # noqa: E402
+
+
+@query("stream_upsert_products")
+def stream_upsert_products(spark, sf_dir):
+    """Two micro-batches merged in turn give what one batch of both gives."""
+    out = view(spark, sf_dir, "fx_products").select("sku", "title", "brand", "price", "stock", "regular_price")
+    incoming = view(spark, sf_dir, "fx_incoming_products")
+    for half in (0, 1):
+        out = merge.upsert_products(out, merge.fold_incoming(incoming.where(F.floor(F.col("seq") / 100) % 2 == half), "seq")).drop("is_new", "touched")
+    return out
+
+
+# every other hundred comes first here, so the oracle orders by batch and then by seq
+ORACLE_SQL["stream_upsert_products"] = ORACLE_SQL["upsert_products"].replace(", p.sku IS NULL AS is_new, i.sku IS NOT NULL AS touched", "").replace(", seq)", ", (seq // 100) % 2 * 1000000000 + seq)")
+query("stream_dedupe_listings", "SELECT DISTINCT user_id, event_type FROM events")(lambda spark, sf: spark.read.parquet(f"{sf}/events.parquet").withColumn("key", F.concat_ws(":", "user_id", "event_type")).dropDuplicates(["key"]).select("user_id", "event_type"))
+simple(
+    "stream_missing_streak",
+    "fx_progress",
+    lambda p: streams.missing_streak(p.groupBy("canonical_path", F.col("job_id").alias("snapshot")).agg(F.bool_or(F.col("status") == "completed").alias("present"))),
+    """WITH s AS (SELECT canonical_path, job_id AS snapshot, bool_or(status = 'completed') AS present FROM fx_progress GROUP BY canonical_path, job_id), m AS (SELECT canonical_path, coalesce(max(CASE WHEN present THEN snapshot END), -1) AS last FROM s GROUP BY canonical_path)
+        SELECT m.canonical_path, CAST(count(s.snapshot) AS int) AS missing_streak FROM m LEFT JOIN s ON s.canonical_path = m.canonical_path AND s.snapshot > m.last GROUP BY m.canonical_path""",
+)
