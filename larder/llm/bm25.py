@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
-BLOCK = 32
+BLOCK = 4
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¿¡«»„“”‘’…–—"
 
 
@@ -93,29 +93,36 @@ class Index:
         return cls(terms, np.searchsorted(t, np.arange(len(terms) + 1)), items.astype(np.int64), impacts.astype(float), block_max, ids, grams, longest)
 
 
-class Matcher:
-    """Finds the items that leak into a text. Term numbers of words seen before are kept, up to `most`."""
-
-    def __init__(self, index: Index, least: float, most: int = 500_000):
-        self.index, self.least, self.most = index, least, most
-        self.known: dict[str, int] = {}
-
-    def number(self, word: str) -> int:
-        got = self.known.get(word)
-        if got is None:
-            if len(self.known) >= self.most:
-                self.known.clear()
-            clean = norm(word)
-            got = self.known[word] = self.index.terms.get(clean, -1) if clean else -2
+class TermNumbers(dict):
+    """word -> its term number, -1 for a word that no item has, -2 for marks without a word. Words seen before are kept, up to `most`."""
+
+    def __init__(self, terms: dict[str, int], most: int = 500_000):
+        super().__init__()
+        self.terms, self.most = terms, most
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= self.most:
+            self.clear()
+        clean = norm(word)
+        self[word] = got = self.terms.get(clean, -1) if clean else -2
         return got
 
+
+class Matcher:
+    """Finds the items that leak into a text."""
+
+    def __init__(self, index: Index, least: float):
+        self.index, self.least = index, least
+        self.known = TermNumbers(index.terms)
+
     def scores(self, terms: np.ndarray) -> dict[int, float]:
         """Items whose sum over the distinct terms reaches 1."""
         x = self.index
         blocks = x.block_max[terms].sum(axis=0) >= 0.999
         if not blocks.any():
             return {}
-        at = np.concatenate([np.arange(a, b) for a, b in zip(x.starts[terms], x.starts[terms + 1])])
+        sizes = x.starts[terms + 1] - x.starts[terms]
+        at = np.repeat(x.starts[terms + 1] - np.cumsum(sizes), sizes) + np.arange(sizes.sum())
         at = at[blocks[x.items[at] // BLOCK]]
         sums = np.bincount(x.items[at], x.impacts[at])
         return {int(i): float(sums[i]) for i in np.flatnonzero(sums >= 1 - 1e-9)}
@@ -126,7 +133,7 @@ class Matcher:
         if not text or not x.ids:
             return []
         words = text.split()
-        seq = np.fromiter(map(self.number, words), np.int64, len(words))
+        seq = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         seq = seq[seq != -2]  # marks without a word
         distinct = np.unique(seq[seq >= 0])
         if not len(distinct) or not (x.block_max[distinct].sum(axis=0) >= 0.999).any():
