@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
+from .oracles import EMBEDDING_DEDUP, NEAR_DEDUP, SUBSTRING_DEDUP
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,4 +76,4 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_embedding_dedup": op1_embedding_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_quality_classifier": op3_quality_classifier, "op4_suffix_dedup": op4_suffix_dedup, "op5_line_dedup": op5_line_dedup, "op6_language_id": op6_language_id, "op7_decontamination": op7_decontamination, "op8_html_extraction": op8_html_extraction, "op9_byte_bpe": op9_byte_bpe, "op10_minhash_dedup": op10_minhash_dedup}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op1_embedding_dedup": EMBEDDING_DEDUP, "op2_substring_dedup": SUBSTRING_DEDUP, "op10_minhash_dedup": NEAR_DEDUP}
