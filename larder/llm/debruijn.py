@@ -11,8 +11,8 @@ corpus as a row would shuffle a row for every word, so paths are compacted from
 3. A join on (anchor, content) compacts the pieces that repeat as a whole: those not in the smallest
    document go entirely. Where an anchor has one content only, its path does not branch and is done.
 4. Where an anchor's path branches (two contents or more), each distinct content is opened once into
-   its edges, at the coordinates of its smallest document, and an aggregate over edges finds those with a
-   smaller document.
+   its edges, at its first place in its smallest document, and an aggregate over edges finds those with a
+   smaller document. These are joined back, by offset in the content, to all places of the content in that document.
 5. Coordinates are joined to the texts and verified there: a span whose words do not have the recorded
    hash is ignored. What is left is joined, counted and hashed.
 
@@ -70,11 +70,12 @@ def opened(window: int):
             fits = last + window < len(seq.sums)
             first, last, h, anchor = first[fits], last[fits], h[fits], anchor[fits]
             same = seq.spans(first, last + window).view(np.int64) == h
-            first, last, anchor = first[same], last[same], anchor[same]
+            first, last, h, anchor = first[same], last[same], h[same], anchor[same]
             n = last - first + 1
-            at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = np.repeat(first, n) + offset
             edge = seq.spans(at, at + window).view(np.int64)
-            out.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(at), doc, np.int64)), pa.array(at.astype(np.int32)), pa.array(np.repeat(anchor, n)), pa.array(edge)], names=["doc", "first", "anchor", "h"]))
+            out.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(at), doc, np.int64)), pa.array(offset.astype(np.int32)), pa.array(np.repeat(anchor, n)), pa.array(np.repeat(h, n)), pa.array(edge)], names=["doc", "offset", "anchor", "content", "h"]))
         return out
 
     return run
@@ -122,8 +123,10 @@ def remove_repeats(docs: DataFrame, *, window: int = 50, k: int = 8, digest: boo
     contents = shared_pieces.groupBy("anchor", "h").agg(F.min(F.struct("doc", "first", "last")).alias("source"), F.max("branches").alias("branches"))
     whole = shared_pieces.select("anchor", "h", "doc", "first", "last").join(contents.select("anchor", "h", "source.doc").withColumnRenamed("doc", "least"), ["anchor", "h"]).where("doc > least")
     to_open = contents.where("branches").select("source.doc", "source.first", "source.last", "anchor", "h")
-    edges = cut(map_batches(texts.join(gathered(to_open, "first", "last", "h", "anchor"), "doc"), opened(window), "doc long, first int, anchor long, h long"))
+    edges = cut(map_batches(texts.join(gathered(to_open, "first", "last", "h", "anchor"), "doc"), opened(window), "doc long, offset int, anchor long, content long, h long"))
     least = edges.groupBy("anchor", "h").agg(F.min("doc").alias("least"))
-    single = edges.join(least, ["anchor", "h"]).where("doc > least")
+    again = edges.join(least, ["anchor", "h"]).where("doc > least").select("anchor", "content", "doc", "offset", "h").distinct()
+    places = shared_pieces.where("branches").select("anchor", F.col("h").alias("content"), "doc", "first").distinct()
+    single = again.join(places, ["anchor", "content", "doc"]).withColumn("first", F.col("first") + F.col("offset"))
     spans = gathered(whole.select("doc", "first", "last", "h").union(single.select("doc", "first", F.col("first").alias("last"), "h")), "first", "last", "h")
     return map_batches(texts.join(spans, "doc", "left"), cleaned(window, digest), f"doc_id long, n_words long, n_removed long, {'kept_sha256' if digest else 'kept'} string, spans array<struct<first:int,last:int>>")

@@ -56,5 +56,14 @@ def test_repeated_ids_and_nulls(spark):
     assert {(r.doc_id, r.n_removed) for r in got} == {(None, 30), (4, 0)}
 
 
+def test_branching_contents_that_repeat_inside_a_document(spark):
+    for seed in range(3):
+        dice = random.Random(seed)
+        p, x, y, u, v = ([f"w{dice.randrange(10**6)}" for _ in range(n)] for n in (80, 60, 60, 60, 60))
+        rows = [(3, " ".join(u + p + v)), (5, " ".join(2 * (x + p + y))), (9, " ".join(y + 3 * (x + p)))]
+        got = run(spark, rows, window=50, k=8)
+        assert got == brute(rows, 50) and got[1][2] == 160
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
