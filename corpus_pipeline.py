@@ -1,7 +1,7 @@
 """A training-data pipeline over `documents`: five stages, each written as Parquet and reread by the next.
 
 1. language_id: documents whose language isn't recognised (no text, no letters, or no sure language) go.
-2. line_dedup: of lines that are equal or within one edit of another, the first stays. A document that had
+2. line_dedup: of lines that are equal or within two edits of another, the first stays. A document that had
    lines and has none left goes with them.
 3. near_dedup: of documents linked by 0.8 or more of their five-word shingles, the smallest doc_id stays.
 4. decontamination: documents that contain a benchmark item's question and answer go.

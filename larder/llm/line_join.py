@@ -10,13 +10,14 @@ position) stays; every other occurrence goes.
    are index keys (length, segment number, content); substrings of longer lines at the places that
    multi-match-aware selection leaves are probe keys for each shorter length.
 2. Keys with one line only drop out (an aggregate and a join). Small buckets pair probes with index lines.
-   For tau = 1 a bucket of more than `bucket` lines takes another exact way: each of its lines emits
+   A bucket of more than `bucket` lines is dealt into blocks of about `bucket` lines, and each two blocks
+   meet in a group of their own, so no bucket is one task. For tau = 1 it takes another exact way: each of its lines emits
    itself with one character deleted at each place outside the shared segment. Lines equal after deletion
    at the same place differ there only, so a star links them all; lines equal to another's deletion
    are linked to that one. Rows grow with the bucket, not with its square.
-3. Pairs are verified by banded bit-parallel edit distance: common prefix and suffix are found by
-   bisection, and between them a nondeterministic automaton of 2 tau + 1 diagonals and tau + 1 error
-   levels runs in the bits of one long.
+3. Pairs are verified by edit distance: common prefix and suffix are found by bisection. What is left
+   begins with an edit, so for tau = 2 each of its three kinds is tried and the rest trimmed again. For larger
+   tau a nondeterministic automaton of 2 tau + 1 diagonals and tau + 1 error levels runs in the bits of one long.
 4. Components of links are the classes; occurrences to drop are joined to the texts by doc_id, and
    a line goes only if its hash there is the recorded one.
 
@@ -49,6 +50,21 @@ def common_start(a: Column, b: Column) -> Column:
     return F.aggregate(F.filter(steps, lambda s: s <= most), F.lit(0), lambda n, s: F.when((n + s <= most) & (F.substring(a, n + 1, s) == F.substring(b, n + 1, s)), n + s).otherwise(n))
 
 
+def let(x: Column, f) -> Column:
+    """f of x, with x computed once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def within_one(a: Column, b: Column) -> Column:
+    """Whether the edit distance of two strings is at most 1."""
+
+    def trimmed(start: Column) -> Column:
+        rest = F.struct(F.substring(a, start + 1, F.length(a)).alias("a"), F.substring(b, start + 1, F.length(b)).alias("b"))
+        return let(rest, lambda r: F.greatest(F.length(r["a"]), F.length(r["b"])) - common_start(F.reverse(r["a"]), F.reverse(r["b"])) <= 1)
+
+    return let(common_start(a, b), trimmed)
+
+
 def within(a: Column, b: Column, tau: int) -> Column:
     """Whether the edit distance of two strings is at most tau."""
     start = common_start(a, b)
@@ -92,7 +108,12 @@ def within(a: Column, b: Column, tau: int) -> Column:
         goal = F.pow(F.lit(2), c["na"] - c["nb"] + tau).cast("long")
         return F.shiftrightunsigned(last, width * tau).bitwiseAND(goal) != 0
 
-    near = F.get(F.transform(F.transform(F.array(rest), core), accepted), F.lit(0))
+    def two(r: Column) -> Column:
+        # the first characters differ: one of them is replaced, or lacks in a or in b
+        x, y = (F.substring(r[c], F.lit(2), F.length(r[c])) for c in "ab")
+        return F.when(F.least(F.length(r["a"]), F.length(r["b"])) == 0, True).when(within_one(x, y), True).when(within_one(x, r["b"]), True).otherwise(within_one(r["a"], y))
+
+    near = let(rest, two) if tau == 2 else F.get(F.transform(F.transform(F.array(rest), core), accepted), F.lit(0))
     return F.when(F.abs(F.length(a) - F.length(b)) > tau, False).otherwise(near)
 
 
@@ -132,9 +153,13 @@ def near_links(lines: DataFrame, *, tau: int, min_chars: int, bucket: int, broad
     sizes = members.groupBy("key").agg(F.count("*").alias("n"))
     big = (F.col("n") > bucket) if tau == 1 else F.lit(False)
     small_keys, big_keys = sizes.where(~big).select("key"), sizes.where(big).select("key")
-    few = members.join(small_keys, "key")
-    index = few.where("not probe").select("key", F.col("id").alias("a"))
-    pairs = cut(index.join(few.select("key", F.col("id").alias("b"), "probe"), "key").where("a <> b and (probe or a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    few = members.join(small_keys, "key") if tau == 1 else members.join(sizes, "key")
+    blocks = F.lit(1).cast("long") if tau == 1 else F.ceil(F.col("n") / bucket)
+    few = few.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    # lines of different blocks meet under both blocks; those of one block under that block alone
+    few = few.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "probe", "block")
+    index = few.where("not probe").select("key", "i", "j", F.col("id").alias("a"), F.col("block").alias("own"))
+    pairs = cut(index.join(few.select("key", "i", "j", F.col("id").alias("b"), "probe", "block"), ["key", "i", "j"]).where("a <> b and (probe or a < b) and (i = j or own <> block)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     many = cut(members.join(big_keys, "key"))
     wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(many.select("id")).distinct())
     some = F.broadcast(wanted) if wanted.count() <= broadcast_lines else wanted
@@ -156,7 +181,7 @@ def near_links(lines: DataFrame, *, tau: int, min_chars: int, bucket: int, broad
     return cut(close.union(star).union(longer).distinct())
 
 
-def without_repeated_lines(docs: DataFrame, *, tau: int = 1, min_chars: int = 20, bucket: int = 64, broadcast_lines: int = 2_000_000) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, *, tau: int = 2, min_chars: int = 20, bucket: int = 64, broadcast_lines: int = 2_000_000) -> DataFrame:
     """docs with doc_id and text -> all columns of docs with the text cleaned, and two more at the end:
     n_lines and n_removed (names that docs may not have)."""
     if tau < 1 or min_chars <= tau:

@@ -66,6 +66,15 @@ def test_against_all_pairs(spark, tau, bucket):
     assert sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()) == brute(rows, tau, 8)
 
 
+def test_two_edits_are_near_and_hot_buckets_split(spark):
+    rows = [(1, "permitted provided that the year 2019 holds here"), (2, "permitted provided that the year 2024 holds here"), (3, "permitted provided that the year 2024 helds here")]
+    got = without_repeated_lines(spark.createDataFrame([(d, t, 1, "k") for d, t in rows], SCHEMA))
+    assert {r.doc_id: r.text for r in got.collect()} == {1: rows[0][1], 2: "", 3: ""}
+    rows = fixture(7)
+    got = without_repeated_lines(spark.createDataFrame([(d, t, 1, "k") for d, t in rows], SCHEMA), min_chars=8, bucket=2)
+    assert sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()) == brute(rows, 2, 8)
+
+
 @pytest.mark.parametrize("tau", [1, 2, 3])
 def test_automaton_is_the_edit_distance(spark, tau):
     dice = random.Random(tau)
