@@ -4,9 +4,10 @@
    collapsed) with the place where each stood: chrome (menus, headers, footers, sidebars, notices,
    adverts, forms, reader comments), body (paragraphs, headings, lists and tables of an article or main
    element), or open (anything else).
-2. Pages of a host are sorted by URL path; a host with many pages is first dealt into shards of about
-   `shard_pages` by a hash of the path, so that no host is one task. Each page is paired with the
-   neighbour in path order whose path shares the longer prefix with its own.
+2. Pages are sorted by host and URL path over all tasks (a range partition, so hosts and equal paths are
+   split at any size), and each is compared within its partition; the first and last page of a partition
+   meet their neighbours in the next ones afterwards. A page is paired with the neighbour in path order whose
+   path shares the longer prefix with its own. Repeated rows count as one page. `shard_pages` has no effect.
 3. The lines of a pair are aligned by longest common subsequence, on line hashes. Shared lines are
    template text and are deleted. Two exceptions keep the article whole: body lines stay, since
    copies and quotations share whole paragraphs with their neighbours; and pages that share more than
@@ -22,12 +23,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from itertools import islice
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 CHROME, OPEN, BODY = 0, 1, 2
 # Elements and class or id words that mark text outside an article.
 CHROME_TAGS = frozenset("nav footer aside form button select dialog menu noscript".split())
@@ -163,15 +167,47 @@ def line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))], names=["key", "host", "path", "hashes", "sizes"])
 
 
-def compare(copy_share: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+PAGE = "key long, host string, path string, hashes array<long>, sizes array<int>"
+KIND = pa.struct([("key", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("hashes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
+
+
+def compare(copy_share: float, ends: bool):
+    """Pages in order -> key and the lines that go. With `ends`, the first and last page of the partition come with their
+    known neighbours instead, to be compared when all partitions' ends are in order."""
+
+    def judged(page: dict, before: dict | None, after: dict | None) -> dict:
+        path, own, sizes = page["path"], page["hashes"], page["sizes"]
+        near = [x for x in (before, after) if x is not None and x["host"] == page["host"]]
+        near = max(near, key=lambda x: common_prefix(path, x["path"]), default=None)
+        found = shared_lines(own, near["hashes"] if near else [])
+        return {"key": page["key"], "gone": [] if sum(sizes[i] for i in found) > copy_share * sum(sizes) else found}
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        last = None
         for batch in batches:
-            gone = []
-            for path, own, sizes, p1, h1, p2, h2 in zip(*(c.to_pylist() for c in batch.columns[1:])):
-                near = h2 if h1 is None or h2 is not None and common_prefix(path, p2) > common_prefix(path, p1) else h1
-                found = shared_lines(own, near or [])
-                gone.append([] if sum(sizes[i] for i in found) > copy_share * sum(sizes) else found)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], names=["key", "gone"])
+            for x in batch.to_pylist():
+                page = x if ends else x["page"]
+                if page["key"] != last:
+                    yield {"page": page, "before": None, "after": None} if ends else x
+                last = page["key"]
+
+    def results(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        held, first = None, True
+        for x in rows(batches):
+            if held is not None:
+                x["before"] = x["before"] or held["page"]
+                held["after"] = held["after"] or x["page"]
+                yield held if ends and first else judged(**held)
+                first = False
+            held = x
+        if held is not None:
+            yield held if ends else judged(**held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"key": pa.int64(), "gone": pa.list_(pa.int32())} | ({c: KIND for c in ("page", "before", "after")} if ends else {})
+        found = results(batches)
+        while some := list(islice(found, 500)):
+            yield pa.RecordBatch.from_arrays([pa.array([x.get(c) for x in some], k) for c, k in kinds.items()], names=list(kinds))
 
     return run
 
@@ -195,10 +231,10 @@ def extract(pages: DataFrame, *, shard_pages: int = 2000, copy_share: float = 0.
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     path = F.coalesce(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?(.*)$", 1), F.lit(""))
     keys = own.select("key", host.alias("host"), path.alias("path"), "html")
-    counts = own.select(host.alias("host")).groupBy("host").agg(F.count("*").alias("n"))
-    hashed = keys.mapInArrow(line_hashes, "key long, host string, path string, hashes array<long>, sizes array<int>")
-    dealt = hashed.join(counts, "host").withColumn("shard", F.pmod(F.xxhash64("path"), F.greatest(F.lit(1), F.floor(F.col("n") / shard_pages))))
-    order = Window.partitionBy("host", "shard").orderBy("path", "key")
-    paired = dealt.select("key", "path", "hashes", "sizes", *(f(c, 1).over(order).alias(n) for f, s in ((F.lag, "1"), (F.lead, "2")) for c, n in (("path", f"p{s}"), ("hashes", f"h{s}"))))
-    gone = paired.mapInArrow(compare(copy_share), "key long, gone array<int>").groupBy("key").agg(F.min("gone").alias("gone"))
+    hashed = keys.mapInArrow(line_hashes, PAGE)
+    order = ["host", "path", "key"]
+    page = ", ".join(f"{c} struct<{PAGE.replace(' ', ':').replace(',:', ',')}>" for c in ("page", "before", "after"))
+    inner = cut(hashed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compare(copy_share, True), f"key long, gone array<int>, {page}"))
+    ends = inner.where("page is not null").select("page", "before", "after").repartition(1).sortWithinPartitions(*(f"page.{c}" for c in order))
+    gone = inner.where("page is null").select("key", "gone").union(ends.mapInArrow(compare(copy_share, False), "key long, gone array<int>"))
     return own.join(gone, "key", "left").select("page_id", "url", "html", "gone").mapInArrow(main_text, "page_id long, url string, text string, n_chars long")

@@ -31,6 +31,14 @@ def test_shared_lines_of_neighbours_go(spark):
     assert texts(spark, rows, shard_pages=3).keys() == got.keys()
 
 
+def test_neighbours_are_the_same_at_every_size(spark):
+    page = "<html><body><div>Section {0} greets you</div><p>Own text of page {1} that is long enough to be no copy {1}</p></body></html>"
+    rows = [(i, f"https://h.example/s{i % 9}/{i:03}", page.format(i % 9, i)) for i in range(90)]
+    rows += [(i, None, f"<div>Open line</div><p>Text {i} of a page that has no address at all, {i}</p>") for i in range(100, 140)]
+    got, small = texts(spark, rows), texts(spark, rows, shard_pages=3)
+    assert got == small and not any("greets" in x[1] or "Open line" in x[1] for x in got.values())
+
+
 def test_copies_and_shared_paragraphs_stay(spark):
     rows = [(i, f"http://h/{i}", f"<article><h1>Same</h1><p>Shared paragraph.</p><p>Own {i}</p></article>") for i in range(3)]
     rows += [(i, f"http://g/{i}", "<div>Copied text with no article</div>") for i in (7, 8, 8)]
