@@ -11,7 +11,8 @@
 3. The lines of a pair are aligned by longest common subsequence, on line hashes. Shared lines are
    template text and are deleted. Two exceptions keep the article whole: body lines stay, since
    copies and quotations share whole paragraphs with their neighbours; and pages that share more than
-   `copy_share` of their text are copies, whose shared lines say nothing about a template.
+   `copy_share` of their text that could stay (no chrome, nothing beside an article) are copies, whose shared
+   lines say nothing about a template; the neighbour on the other side is taken then, if it is no copy.
 4. Chrome lines go. On pages with an article or main element only its lines stay; the rest is joined.
 
 Null or empty html gives an empty text. A null URL is its own host. Repeated rows and repeated or null
@@ -163,7 +164,8 @@ def line_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lines = [page_lines(h or "") for h in batch.column(3).to_pylist()]
         hashes = [[xxhash.xxh3_64_intdigest(t) - (1 << 63) for t, _, _ in x] for x in lines]
-        sizes = [[len(t) for t, _, _ in x] for x in lines]
+        articles = [any(inside for _, _, inside in x) for x in lines]
+        sizes = [[len(t) if place != CHROME and (inside or not a) else 0 for t, place, inside in x] for x, a in zip(lines, articles)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))], names=["key", "host", "path", "hashes", "sizes"])
 
 
@@ -178,9 +180,11 @@ def compare(copy_share: float, ends: bool):
     def judged(page: dict, before: dict | None, after: dict | None) -> dict:
         path, own, sizes = page["path"], page["hashes"], page["sizes"]
         near = [x for x in (before, after) if x is not None and x["host"] == page["host"]]
-        near = max(near, key=lambda x: common_prefix(path, x["path"]), default=None)
-        found = shared_lines(own, near["hashes"] if near else [])
-        return {"key": page["key"], "gone": [] if sum(sizes[i] for i in found) > copy_share * sum(sizes) else found}
+        for other in sorted(near, key=lambda x: -common_prefix(path, x["path"])):
+            found = shared_lines(own, other["hashes"])
+            if sum(sizes[i] for i in found) <= copy_share * sum(sizes):
+                return {"key": page["key"], "gone": found}
+        return {"key": page["key"], "gone": []}
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         last = None

@@ -39,6 +39,15 @@ def test_neighbours_are_the_same_at_every_size(spark):
     assert got == small and not any("greets" in x[1] or "Open line" in x[1] for x in got.values())
 
 
+def test_copies_are_judged_without_chrome_and_by_either_neighbour(spark):
+    menu = "<nav>" + "".join(f"<a href='/{i}'>A long entry of the menu, number {i}</a> " for i in range(20)) + "</nav>"
+    page = "<html><body>{0}<div>Greeting</div><p>Own text about {1} and its {1}</p></body></html>"
+    rows = [(i, f"https://h.example/a/{i}", page.format(menu, f"topic{i}")) for i in range(4)]
+    rows += [(i, f"https://g.example/a/{i}", page.format("", f"topic{max(i, 11)}")) for i in (10, 11, 12)]
+    got = texts(spark, rows)
+    assert all(got[i][1] == f"Own text about topic{i} and its topic{i}" for i in (0, 1, 2, 3, 11, 12))
+
+
 def test_copies_and_shared_paragraphs_stay(spark):
     rows = [(i, f"http://h/{i}", f"<article><h1>Same</h1><p>Shared paragraph.</p><p>Own {i}</p></article>") for i in range(3)]
     rows += [(i, f"http://g/{i}", "<div>Copied text with no article</div>") for i in (7, 8, 8)]
