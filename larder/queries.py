@@ -597,9 +597,16 @@ def category_urls(p: DataFrame) -> DataFrame:
 
 
 pages("category_url_filter", category_urls, f"SELECT page_id, {CANON} AS canonical_path FROM pages WHERE starts_with({CANON}, '/en/') AND NOT contains(url, '.html') AND {CANON} NOT IN {ROOTS}")
+def sitemap_documents(p: DataFrame) -> DataFrame:
+    """Sitemap XML of 1,024 URLs at most each, whatever the page_ids are."""
+    loc = lambda u: F.concat(F.lit("<url><loc>"), F.replace(u, F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
+    numbered = p.select("url", F.shiftright(F.monotonically_increasing_id(), 10).alias("g"))
+    return numbered.groupBy("g").agg(F.concat(F.lit("<urlset>"), F.array_join(F.transform(F.collect_list("url"), loc), ""), F.lit("</urlset>")).alias("xml"))
+
+
 pages(
     "sitemap_xml_categories",
-    lambda p: category_urls(p.groupBy((F.col("page_id") % 5).alias("g")).agg(F.concat(F.lit("<urlset>"), F.array_join(F.transform(F.collect_list("url"), lambda u: F.concat(F.lit("<url><loc>"), F.replace(u, F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))), ""), F.lit("</urlset>")).alias("xml")).select(F.explode(F.xpath("xml", F.lit("//loc/text()"))).alias("url"), F.lit(0).alias("page_id"))).groupBy("canonical_path").agg(F.count("*").alias("n")).select("canonical_path", "n", paths.slug(F.col("canonical_path")).alias("slug"), paths.parent(F.col("canonical_path")).alias("parent"), paths.level(F.col("canonical_path")).alias("level")),
+    lambda p: category_urls(sitemap_documents(p).select(F.explode(F.xpath("xml", F.lit("//loc/text()"))).alias("url"), F.lit(0).alias("page_id"))).groupBy("canonical_path").agg(F.count("*").alias("n")).select("canonical_path", "n", paths.slug(F.col("canonical_path")).alias("slug"), paths.parent(F.col("canonical_path")).alias("parent"), paths.level(F.col("canonical_path")).alias("level")),
     f"SELECT canonical_path, count(*) AS n, string_split(trim(canonical_path, '/'), '/')[-1] AS slug, regexp_replace(canonical_path, '[^/]+/$', '') AS parent, CAST(len(string_split(trim(canonical_path, '/'), '/')) AS int) AS level FROM (SELECT {CANON} AS canonical_path FROM pages WHERE starts_with({CANON}, '/en/') AND NOT contains(url, '.html') AND {CANON} NOT IN {ROOTS}) x GROUP BY canonical_path",
 )
 NODES = "(SELECT canonical_path, id % 3 AS pos, name || '-' || CAST(id % 3 AS varchar) AS name FROM fx_categories UNION ALL SELECT canonical_path, 5, 'late' FROM fx_categories WHERE id % 2 = 0)"

@@ -99,3 +99,11 @@ def test_streams(spark, tmp_path):
 def test_text(spark):
     row = spark.createDataFrame([("Big &amp; <b>Loud</b> (12)",)], "t string").select(text.normalize_text(F.col("t")), text.clean_category_name(F.col("t")), text.extract_count(F.lit(None).cast("string"), F.col("t")), text.slugify(F.lit(" A_b  C! "))).first()
     assert tuple(row) == ("big & loud (12)", "Big &amp; <b>Loud</b>", 12, "a-b-c")
+
+
+def test_sitemap_documents_are_bounded(spark):
+    from larder.queries import sitemap_documents
+
+    rows = [(None if i % 2 else 7, f"https://a.b/en/c{i}/?x&y") for i in range(5000)]
+    sizes = [r.xml.count("<loc>") for r in sitemap_documents(spark.createDataFrame(rows, "page_id long, url string")).collect()]
+    assert sum(sizes) == 5000 and max(sizes) <= 1024
