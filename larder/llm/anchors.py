@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import xxhash
 
 from .common import mix64
 
@@ -62,17 +63,32 @@ def chunks(docs: list, texts: list[bytes], most: int = 2_000_000) -> Iterator[tu
         yield own_docs, own
 
 
-def word_items(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The words of all texts: hash, number of the text, start and end in the texts joined by a line feed; and how many each text has is a bincount away."""
-    data = np.frombuffer(b"\n".join(texts), np.uint8)
-    if not len(data):
-        none = np.empty(0, np.int64)
-        return np.empty(0, np.uint64), none, none, none
+def word_items(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts: a 64-bit hash of each, and the number of its text.
+
+    A word is read eight bytes at a time, each chunk mixed into what came before, so that no arithmetic relation
+    between words carries over to their hashes."""
+    data = np.frombuffer(b"\n".join([*texts, b"\n" * 8]), np.uint8)
     solid = np.concatenate(([False], ~SPACES[data], [False]))
     edges = np.flatnonzero(solid[1:] != solid[:-1])
     starts, ends = edges[::2], edges[1::2]
-    text_starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
-    return Sequence(BYTE_VALUES[data]).spans(starts, ends), np.searchsorted(text_starts, starts, "right") - 1, starts, ends
+    h = mix64((ends - starts).astype(np.uint64) * BASE)
+    open_, at = np.arange(len(starts)), starts.copy()
+    while len(open_):
+        left = ends[open_] - at
+        chunk = np.zeros(len(open_), np.uint64)
+        for j in range(8):
+            byte = data[np.minimum(at + j, len(data) - 1)].astype(np.uint64)
+            chunk |= np.where(left > j, byte, np.uint64(0)) << np.uint64(8 * j)
+        h[open_] = mix64((h[open_] ^ chunk) * BASE)
+        more = left > 8
+        open_, at = open_[more], at[more] + 8
+        if len(open_) < 64 and len(open_):
+            for i, a in zip(open_.tolist(), at.tolist()):
+                h[i] ^= np.uint64(xxhash.xxh3_64_intdigest(data[a : ends[i]].tobytes(), int(h[i])))
+            break
+    text_starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return h, np.searchsorted(text_starts, starts, "right") - 1
 
 
 def byte_items(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -95,6 +111,8 @@ def groups(seq: Sequence, owner: np.ndarray, window: int, k: int) -> dict[str, n
     whole sequence), anchor (hash of the k-gram) and content (hash of the group's items)."""
     n = len(owner)
     none = np.empty(0, np.int64)
+    if n >> int(POSITION_BITS):
+        raise ValueError("a text of 2**28 items or more doesn't fit the positions of its anchors")
     if n < window:
         return {"owner": none, "first": none, "last": none, "anchor": none, "content": none}
     grams = seq.all_of(k)

@@ -18,9 +18,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local one is made only where none is set."""
+    """The folder that driver and executors share. Where none is set, a local master gets a folder of its own; on a
+    cluster that would lie on another disk for each machine, so it is an error there."""
     found = spark.conf.get(DIR_KEY, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{DIR_KEY} must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-cuts-")
         spark.conf.set(DIR_KEY, found)
     return found.rstrip("/")
@@ -57,6 +60,12 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | li
     return df.mapInArrow(run, schema)
 
 
+def in_slices(column, step: int = 256) -> Iterator:
+    """The values of an Arrow column, of which `step` at a time are Python objects."""
+    for start in range(0, len(column), step):
+        yield from column.slice(start, step).to_pylist()
+
+
 def text_bytes(column) -> list[bytes]:
     """The UTF-8 bytes of an Arrow string column; null is empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
@@ -72,33 +81,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
-
-
-class WordHashes(dict):
-    """xxh3 of each word, kept until it holds `most` words."""
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def k_gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit hash of every k consecutive items, in order. Shorter inputs have none."""
-    n = len(h) - k + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for i in range(k):
-        out = mix64(out * MUL + h[i : i + n])
-    return out

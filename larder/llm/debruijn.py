@@ -49,7 +49,7 @@ def word_pieces(window: int, k: int):
     def run(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
         out = []
         for docs, texts in chunks(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
-            h, owner, _, _ = word_items(texts)
+            h, owner = word_items(texts)
             g = groups(Sequence(h), owner, window, k)
             base = np.searchsorted(owner, np.arange(len(texts)))[g["owner"]] if len(owner) else g["owner"]
             ids = np.array(docs, np.int64)[g["owner"]]

@@ -1,17 +1,19 @@
 """Language ID by words first, backing off to character n-grams.
 
-Model: for each language the log frequencies of its most frequent words, and of the character n-grams
-(lengths 4 to 1, word ends marked) of its training words. A known word is scored by its frequencies; an
-unseen word by the longest n-grams of which the model knows at least one. Each word gives log posteriors
-over the languages, floored so that one word can't decide a text; a text is scored by their sum.
+Model: for each language the log frequencies of the words of its training texts, and of their character
+n-grams (lengths 4 to 1, word ends marked). A known word is scored by its frequencies; an unseen word by the
+longest n-grams of which the model knows at least one. Each word gives log posteriors over the languages,
+floored so that one word can't decide a text; a text is scored by their sum.
 
 Training reads labelled rows only (text and lang not null) and takes about `sample_docs` of them for each
-language, by a hash of doc_id, so model and training cost are bounded whatever the corpus: at most
-`most_words` words and `most_grams` n-grams of each length for a language. The model is broadcast.
-Prediction reads every whole text and nothing else of a row.
-
-A text that is null or has no letters is `und` with score 0. Without training rows every text is `und`.
-Ties go to the alphabetically first language.
+language, by a hash of doc_id and text, so model and training cost are bounded whatever the corpus. All words
+and n-grams of the sample are kept: the model is one sorted array of 64-bit hashes and one matrix of logs,
+24 bytes an entry at four languages, which is broadcast. Prediction reads every whole text and nothing else
+of a row.
+
+Letters are what str.isalpha takes for letters; other characters of a word (such as fractions and raised
+digits) are left out. A text that is null or has no letters is `und` with score 0. Without training rows every
+text is `und`. Ties go to the alphabetically first language. Repeated rows get the same prediction.
 """
 
 from __future__ import annotations
@@ -23,9 +25,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_slices
+
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 FLOOR = -6.0
@@ -41,39 +46,68 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+def letters(word: str) -> str:
+    return word if word.isalpha() else "".join(c for c in word if c.isalpha())
+
+
+def words_of(text: str) -> Iterator[str]:
+    return filter(None, map(letters, WORD.findall(text.lower())))
+
+
+def entry(gram: str, n: int) -> int:
+    """The key of a word (n = 0) or of an n-gram."""
+    return xxhash.xxh3_64_intdigest(gram.encode("utf-8", "surrogatepass"), n)
+
+
 @dataclass
 class Model:
-    """tables[0]: word -> log posteriors by language; tables[n]: the same of n-grams."""
+    """Log posteriors by language of each entry, in the order of the entries' keys."""
 
     langs: list[str]
-    tables: list[dict[str, np.ndarray]]
+    keys: np.ndarray
+    logs: np.ndarray
+    longest: int
+
+    def rows(self, keys: list[int]) -> np.ndarray:
+        """The logs of those keys that are known."""
+        if not len(self.keys):
+            return self.logs[:0]
+        wanted = np.array(keys, np.uint64)
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return self.logs[at[self.keys[at] == wanted]]
 
     def row(self, word: str) -> np.ndarray:
-        known = self.tables[0].get(word)
-        if known is not None:
-            return known
-        for n in range(len(self.tables) - 1, 0, -1):
-            found = [x for g in grams(word, n) if (x := self.tables[n].get(g)) is not None]
-            if found:
-                sums = np.sum(found, axis=0)
-                sums = sums - np.logaddexp.reduce(sums)
-                return np.maximum(sums, FLOOR)
+        for n in (0, *range(self.longest, 0, -1)):
+            found = self.rows([entry(g, n) for g in (grams(word, n) if n else [word])])
+            if len(found):
+                if not n:
+                    return found[0].astype(np.float64)
+                sums = found.sum(axis=0, dtype=np.float64)
+                return np.maximum(sums - np.logaddexp.reduce(sums), FLOOR)
         return np.zeros(len(self.langs))
 
 
 class Scorer:
     """Scores texts; rows of words seen before are kept, up to `most`."""
 
-    def __init__(self, model: Model, most: int = 300_000):
+    def __init__(self, model: Model, most: int = 200_000):
         self.model, self.most = model, most
+        self.clear()
+
+    def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.rows = np.zeros((4096, max(1, len(model.langs))))
+        self.rows = np.zeros((4096, max(1, len(self.model.langs))))
 
-    def place(self, word: str) -> int:
-        at = self.known.get(word)
+    def place(self, found: str) -> int:
+        """The row of a word; -1 if it has no letters."""
+        at = self.known.get(found)
         if at is None:
-            at = self.known[word] = len(self.known)
-            if at == len(self.rows):
+            word = letters(found)
+            if not word:
+                self.known[found] = -1
+                return -1
+            at = self.known[found] = len(self.known)
+            if at >= len(self.rows):
                 self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
             self.rows[at] = self.model.row(word)
         return at
@@ -83,62 +117,67 @@ class Scorer:
         if not words:
             return UNKNOWN, 0.0
         if len(self.known) > self.most:
-            self.known = {}
+            self.clear()
         at = np.fromiter(map(self.place, words), np.int64, len(words))
+        at = at[at >= 0]
+        if not len(at):
+            return UNKNOWN, 0.0
         sums = self.rows[at].sum(axis=0)
         best = int(sums.argmax())
         return self.model.langs[best], float(np.exp(sums[best] - np.logaddexp.reduce(sums)))
 
 
-def count_grams(longest: int):
+def count_entries(longest: int, most: int = 200_000):
+    """Rows (lang number, text) -> lang, n, key, uses; a task holds at most about `most` counts at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uses: Counter = Counter()
 
         def out() -> pa.RecordBatch:
-            cols = list(zip(*((*k, n) for k, n in uses.items()))) if uses else [[]] * 4
+            keys = np.array(list(uses.keys()), np.uint64).reshape(-1, 2)
+            times = np.fromiter(uses.values(), np.int64, len(uses))
             uses.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.int64()))], names=["lang", "n", "gram", "uses"])
+            kind = keys[:, 0].astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(kind // (longest + 1)), pa.array(kind % (longest + 1)), pa.array(keys[:, 1].view(np.int64)), pa.array(times)], names=["lang", "n", "key", "uses"])
 
         for batch in batches:
-            for lang, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for word, times in Counter(WORD.findall(text.lower())).items():
-                    uses[lang, 0, word] += times
+            for lang, text in zip(batch.column(0).to_pylist(), in_slices(batch.column(1))):
+                first = lang * (longest + 1)
+                for word, times in Counter(words_of(text)).items():
+                    uses[first, entry(word, 0)] += times
                     for n in range(1, longest + 1):
                         for g in grams(word, n):
-                            uses[lang, n, g] += times
-                if len(uses) > 1_000_000:
-                    yield out()
+                            uses[first + n, entry(g, n)] += times
+                    if len(uses) > most:
+                        yield out()
         yield out()
 
     return run
 
 
-def train(labelled: DataFrame, *, sample_docs: int = 1500, most_words: int = 40_000, most_grams: int = 15_000, longest: int = 4) -> Model:
+def train(labelled: DataFrame, *, sample_docs: int = 1500, longest: int = 4) -> Model:
     """labelled (doc_id, text, lang) -> the model. Rows without text or lang are left out."""
-    rows = labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
+    rows = labelled.select(F.xxhash64("doc_id", F.col("text").cast("string"), F.lit(17)).alias("draw"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
-    if not sizes:
-        return Model([], [{} for _ in range(longest + 1)])
-    share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(sample_docs / n)) for k, n in sorted(sizes.items())))
-    chosen = rows.where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(17)), F.lit(1_000_003)) < share * 1_000_003)
-    uses = chosen.select("lang", "text").mapInArrow(count_grams(longest), "lang string, n int, gram string, uses long").groupBy("lang", "n", "gram").agg(F.sum("uses").alias("uses"))
-    by = Window.partitionBy("lang", "n")
-    ranked = uses.withColumn("total", F.sum("uses").over(by)).withColumn("place", F.row_number().over(by.orderBy(F.desc("uses"), "gram"))).where(F.col("place") <= F.when(F.col("n") == 0, most_words).otherwise(most_grams))
     langs = sorted(sizes)
-    place = {x: i for i, x in enumerate(langs)}
-    counts: list[dict[str, np.ndarray]] = [{} for _ in range(longest + 1)]
+    if not langs:
+        return Model([], np.empty(0, np.uint64), np.empty((0, 0), np.float32), longest)
+    share = F.coalesce(*(F.when(F.col("lang") == k, F.lit(sample_docs / sizes[k])) for k in langs))
+    place = F.coalesce(*(F.when(F.col("lang") == k, F.lit(i)) for i, k in enumerate(langs)))
+    chosen = rows.where(F.pmod("draw", F.lit(1_000_003)) < share * 1_000_003)
+    counted = chosen.select(place.alias("lang"), "text").mapInArrow(count_entries(longest), "lang int, n int, key long, uses long").groupBy("lang", "n", "key").agg(F.sum("uses").alias("uses")).toArrow()  # entries of the sample only
+    lang, n, key, uses = (counted.column(c).to_numpy() for c in ("lang", "n", "key", "uses"))
+    # entries of different n have different seeds, so the key alone tells them apart
+    keys, first, at = np.unique(key.view(np.uint64), return_index=True, return_inverse=True)
+    times = np.zeros((len(keys), len(langs)))
+    times[at, lang] = uses
+    level = n[first]
     totals = np.zeros((longest + 1, len(langs)))
-    for lang, n, gram, times, total in ranked.select("lang", "n", "gram", "uses", "total").toLocalIterator():
-        counts[n].setdefault(gram, np.zeros(len(langs)))[place[lang]] = times
-        totals[n, place[lang]] = total
-    tables = []
-    for n, table in enumerate(counts):
-        done = {}
-        for gram, times in table.items():
-            logs = np.log((times + SMOOTH) / (totals[n] + SMOOTH * (len(table) + 1)))
-            done[gram] = np.maximum(logs - np.logaddexp.reduce(logs), FLOOR)
-        tables.append(done)
-    return Model(langs, tables)
+    np.add.at(totals, (n, lang), uses)
+    entries = np.bincount(level, minlength=longest + 1)
+    logs = np.log((times + SMOOTH) / (totals[level] + SMOOTH * (entries[level] + 1)[:, None]))
+    logs -= np.logaddexp.reduce(logs, axis=1, keepdims=True)
+    return Model(langs, keys, np.maximum(logs, FLOOR).astype(np.float32), longest)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -148,21 +187,22 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(shared.value)
         for batch in batches:
-            got = [score(t) for t in batch.column(2).to_pylist()]
+            got = [score(t) for t in in_slices(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, model: Model, least_score: float = 0.5) -> DataFrame:
-    """The rows of docs, all their columns, whose text is in a learned language with at least `least_score`."""
+    """The rows of docs, all their columns, whose text is in a learned language with at least `least_score`.
+    Null texts and texts without letters go; every other column may be null, and repeated rows share their fate."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(shared.value)
         for batch in batches:
-            got = [score(t) for t in batch.column(at).to_pylist()]
+            got = [score(t) for t in in_slices(batch.column(at))]
             yield batch.filter(pa.array([lang != UNKNOWN and s >= least_score for lang, s in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -5,30 +5,32 @@ never touched. Two lines are linked if they are equal or, from `min_chars` chara
 distance is at most `tau`. Of each class of linked lines the first occurrence (smallest doc_id, then
 position) stays; every other occurrence goes.
 
-1. Equal lines meet by 128-bit hash. Each distinct line is split into tau + 1 segments; by the pigeonhole
-   principle a line within tau edits holds one of them unchanged, near its place. A line's own segments
-   are index keys (length, segment number, content); substrings of longer lines at the places that
-   multi-match-aware selection leaves are probe keys for each shorter length.
-2. Keys with one line only drop out (an aggregate and a join). Small buckets pair probes with index lines.
-   A bucket of more than `bucket` lines is dealt into blocks of about `bucket` lines, and each two blocks
-   meet in a group of their own, so no bucket is one task. For tau = 1 it takes another exact way: each of its lines emits
-   itself with one character deleted at each place outside the shared segment. Lines equal after deletion
-   at the same place differ there only, so a star links them all; lines equal to another's deletion
-   are linked to that one. Rows grow with the bucket, not with its square.
-3. Pairs are verified by edit distance: common prefix and suffix are found by bisection. What is left
-   begins with an edit, so for tau = 2 each of its three kinds is tried and the rest trimmed again. For larger
-   tau a nondeterministic automaton of 2 tau + 1 diagonals and tau + 1 error levels runs in the bits of one long.
-4. Components of links are the classes; occurrences to drop are joined to the texts by doc_id, and
+1. Equal lines meet by 128-bit hash. A line is split into tau + 1 segments; by the pigeonhole principle a line
+   within tau edits holds one of them unchanged, near its place. A line's own segments are index keys
+   (length, segment number, content); substrings of longer lines at the places that multi-match-aware
+   selection leaves are probe keys for each shorter length. Lines with more than a 100,000th of all
+   occurrences (so at most 100,000 of them) make keys at their first place only.
+2. Keys are dealt once, by key: there, those with one line only drop out, and the rest are members. Keys of up
+   to `bucket` lines pair probes with index lines.
+3. Lines of a larger key are looked at again with longer signatures: of tau + 3 segments, three stay unchanged
+   within tau edits, so any two of them meet under three segments' contents at once, some three fifths of the
+   line. A signature that is still shared by more than `bucket` lines is dealt into blocks, two at a time to a
+   group, which is exact and splits the work, but grows with the square of such lines.
+4. Pairs are verified. The built-in banded distance drops the hopeless ones; the others are judged by a
+   nondeterministic automaton of 2 tau + 1 diagonals and tau + 1 error levels in the bits of one long.
+5. Components of links are the classes; occurrences to drop are joined to the texts by doc_id, and
    a line goes only if its hash there is the recorded one.
 
 A null text stays null with no lines. A null doc_id counts as larger than any other. Rows that share a
 doc_id are one document: equal lines at the same position are one occurrence. Candidate lines are fetched
 by a broadcast join only while they number at most `broadcast_lines` (16 bytes each), and by a shuffle join
-beyond.
+beyond. Columns of any name may be there; the counts take names that the caller chooses.
 """
 
 from __future__ import annotations
 
+from itertools import combinations, product
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,21 +52,6 @@ def common_start(a: Column, b: Column) -> Column:
     return F.aggregate(F.filter(steps, lambda s: s <= most), F.lit(0), lambda n, s: F.when((n + s <= most) & (F.substring(a, n + 1, s) == F.substring(b, n + 1, s)), n + s).otherwise(n))
 
 
-def let(x: Column, f) -> Column:
-    """f of x, with x computed once."""
-    return F.get(F.transform(F.array(x), f), F.lit(0))
-
-
-def within_one(a: Column, b: Column) -> Column:
-    """Whether the edit distance of two strings is at most 1."""
-
-    def trimmed(start: Column) -> Column:
-        rest = F.struct(F.substring(a, start + 1, F.length(a)).alias("a"), F.substring(b, start + 1, F.length(b)).alias("b"))
-        return let(rest, lambda r: F.greatest(F.length(r["a"]), F.length(r["b"])) - common_start(F.reverse(r["a"]), F.reverse(r["b"])) <= 1)
-
-    return let(common_start(a, b), trimmed)
-
-
 def within(a: Column, b: Column, tau: int) -> Column:
     """Whether the edit distance of two strings is at most tau."""
     start = common_start(a, b)
@@ -76,10 +63,6 @@ def within(a: Column, b: Column, tau: int) -> Column:
 
     width, band = 2 * tau + 2, (1 << (2 * tau + 1)) - 1
 
-    def accepted(c: Column) -> Column:
-        # what lies between prefix and suffix differs at both ends, so one edit covers one character at most
-        return F.when(F.greatest(c["na"], c["nb"]) > 1, False).otherwise(automaton(c)) if tau == 1 else automaton(c)
-
     def automaton(c: Column) -> Column:
         first = sum((((1 << (e + 1)) - 1) << tau & band) << (width * e) for e in range(tau + 1))
 
@@ -108,97 +91,134 @@ def within(a: Column, b: Column, tau: int) -> Column:
         goal = F.pow(F.lit(2), c["na"] - c["nb"] + tau).cast("long")
         return F.shiftrightunsigned(last, width * tau).bitwiseAND(goal) != 0
 
-    def two(r: Column) -> Column:
-        # the first characters differ: one of them is replaced, or lacks in a or in b
-        x, y = (F.substring(r[c], F.lit(2), F.length(r[c])) for c in "ab")
-        return F.when(F.least(F.length(r["a"]), F.length(r["b"])) == 0, True).when(within_one(x, y), True).when(within_one(x, r["b"]), True).otherwise(within_one(r["a"], y))
+    near = F.get(F.transform(F.transform(F.array(rest), core), automaton), F.lit(0))
+    return F.when(F.levenshtein(a, b, tau) < 0, False).otherwise(near)
 
-    near = let(rest, two) if tau == 2 else F.get(F.transform(F.transform(F.array(rest), core), accepted), F.lit(0))
-    return F.when(F.abs(F.length(a) - F.length(b)) > tau, False).otherwise(near)
 
+def segments(n: Column, parts: int) -> list[tuple[Column, Column]]:
+    """Start (from 1) and length of the parts of a line of n characters; longer ones last."""
+    short = F.call_function("div", n, F.lit(parts)).cast("int")
+    longer = (n % parts).cast("int")
+    starts = [F.lit(1) + short * i + F.greatest(longer - (parts - i), F.lit(0)) for i in range(parts)]
+    return [(start, short + (longer > parts - 1 - i).cast("int")) for i, start in enumerate(starts)]
 
-def segments(n: Column, tau: int) -> list[tuple[Column, Column]]:
-    """Start (from 1) and length of the tau + 1 segments of a line of n characters; longer ones last."""
-    short = F.floor(n / (tau + 1)).cast("int")
-    longer = n - short * (tau + 1)
-    out, start = [], F.lit(1)
-    for i in range(tau + 1):
-        size = short + (longer > tau - i).cast("int")
-        out.append((start, size))
-        start = start + size
-    return out
 
+# A line's number is 63 bits of its hash; the sign bit of a key's tag marks a probe.
+PROBE = -(1 << 63)
 
-def keys(line: Column, tau: int) -> Column:
-    """Array of (key, probe, part): index keys of the line's own length and probe keys of it and of shorter lengths."""
-    n = F.length(line)
-    made = []
+
+def keys(tau: int) -> tuple[Column, int]:
+    """Of columns (line, n): an array of index keys of the line's own length, then probe keys of it and of shorter
+    lengths; and how many index keys there are. Keys whose place doesn't fit are null."""
+    n, line, own, probes = F.col("n"), F.col("line"), [], []
     for delta in range(tau + 1):
-        for i, (start, size) in enumerate(segments(n - delta, tau)):
+        for i, (start, size) in enumerate(segments(n - delta, tau + 1)):
             low, high = max(-i, delta - (tau - i)), min(i, delta + (tau - i))
             for shift in range(low, high + 1):
-                own = delta == 0 and shift == 0
-                fits = F.lit(True) if own else (start + shift >= 1) & (start + shift + size <= n + 1)
                 key = F.xxhash64(n - delta, F.lit(i), F.substring(line, start + shift, size))
-                made.append(F.when(fits, F.struct(key.alias("key"), F.lit(not own).alias("probe"), F.lit(i).alias("part"))))
-    return F.array_compact(F.array(*made))
+                if delta == shift == 0:
+                    own.append(key)
+                else:
+                    probes.append(F.when((start + shift >= 1) & (start + shift + size <= n + 1), key))
+    return F.array(*own, *probes), len(own)
 
 
-def near_links(lines: DataFrame, *, tau: int, min_chars: int, bucket: int, broadcast_lines: int) -> DataFrame:
-    """lines (id long, line) with repeats -> links (a, b) between ids of different lines within tau edits."""
-    long = lines.where(F.length("line") >= min_chars)
-    rows = cut(long.select("id", F.explode(keys(F.col("line"), tau)).alias("k")).select("id", "k.*"))
-    shared = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count_if(~F.col("probe")).alias("own")).where("lo < hi and own > 0").select("key")
-    members = cut(rows.join(shared, "key").distinct())
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-    big = (F.col("n") > bucket) if tau == 1 else F.lit(False)
-    small_keys, big_keys = sizes.where(~big).select("key"), sizes.where(big).select("key")
-    few = members.join(small_keys, "key") if tau == 1 else members.join(sizes, "key")
-    blocks = F.lit(1).cast("long") if tau == 1 else F.ceil(F.col("n") / bucket)
-    few = few.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+def signatures(lines: DataFrame, tau: int, shared: int) -> DataFrame:
+    """lines (id, line, n) -> (id, own, key) for `shared` unchanged segments out of tau + shared at once."""
+    parts, patterns = tau + shared, []
+    for delta in range(tau + 1):
+        for shifts in product(range(-tau, tau + 1), repeat=shared):
+            path = (0, *shifts, delta)
+            if sum(abs(x - y) for x, y in zip(path, path[1:])) <= tau:
+                patterns += [(delta, *chosen, *shifts) for chosen in combinations(range(parts), shared)]
+    names = ["delta", *(f"i{k}" for k in range(shared)), *(f"s{k}" for k in range(shared))]
+    fixed = ", ".join(f"named_struct({', '.join(f"'{name}', {x}" for name, x in zip(names, p))})" for p in patterns)
+    rows = lines.select("id", "line", "n", F.expr(f"inline(array({fixed}))")).withColumn("m", F.col("n") - F.col("delta"))
+    short, longer = F.expr(f"m div {parts}").cast("int"), (F.col("m") % parts).cast("int")
+    rows = rows.select("*", short.alias("short"), longer.alias("longer"))
+    content, fits, still = [], F.lit(True), F.col("delta") == 0
+    for k in range(shared):
+        i, shift = F.col(f"i{k}"), F.col(f"s{k}")
+        start = F.col("short") * i + F.greatest(F.col("longer") - (parts - i), F.lit(0)) + 1 + shift
+        size = F.col("short") + (F.col("longer") > parts - 1 - i).cast("int")
+        content += [i, F.substring(F.col("line"), start, size)]
+        fits, still = fits & (start >= 1) & (start + size <= F.col("n") + 1), still & (shift == 0)
+    return rows.where(fits).select("id", still.alias("own"), F.xxhash64("m", *content).alias("key"))
+
+
+def segment_keys(lines: DataFrame, tau: int) -> DataFrame:
+    """lines (id, line, n) -> (id, own, key) of single segments."""
+    array, own = keys(tau)
+    return lines.select("id", F.posexplode(array).alias("at", "key")).where("key is not null").select("id", (F.col("at") < own).alias("own"), "key")
+
+
+def members_of(keyed: DataFrame) -> DataFrame:
+    """(id, own, key) -> (key, id, probe) of keys that two lines or more share, one of them by an index key."""
+    tag = F.when(F.col("own"), F.col("id")).otherwise(F.col("id").bitwiseOR(F.lit(PROBE)))
+    dealt = keyed.select("key", tag.alias("tag")).repartition("key")
+    shared = dealt.groupBy("key").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("hi >= 0 and lo < hi").select("key")
+    return dealt.join(shared, "key", "left_semi").distinct().select("key", F.col("tag").bitwiseAND(F.lit(~PROBE)).alias("id"), (F.col("tag") < 0).alias("probe"))
+
+
+def pairs_of(members: DataFrame, bucket: int) -> DataFrame:
+    """(key, id, probe, n) -> distinct (a, b), a < b. A key of more than `bucket` members is dealt into blocks."""
+    placed = members.withColumn("blocks", F.ceil(F.col("n") / bucket)).withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     # lines of different blocks meet under both blocks; those of one block under that block alone
-    few = few.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "probe", "block")
-    index = few.where("not probe").select("key", "i", "j", F.col("id").alias("a"), F.col("block").alias("own"))
-    pairs = cut(index.join(few.select("key", "i", "j", F.col("id").alias("b"), "probe", "block"), ["key", "i", "j"]).where("a <> b and (probe or a < b) and (i = j or own <> block)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    many = cut(members.join(big_keys, "key"))
-    wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(many.select("id")).distinct())
-    some = F.broadcast(wanted) if wanted.count() <= broadcast_lines else wanted
-    texts = cut(long.join(some, "id").groupBy("id").agg(F.min("line").alias("line")))
-    close = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("lb")), "b").where(within(F.col("la"), F.col("lb"), tau)).select("a", "b")
-    if tau > 1:
-        return cut(close)
-    # the part that isn't shared holds the edit; a probe is one character longer than the lines it looks for
-    n = F.length("line") - F.col("probe").cast("int")
-    (_, first_size), (second, _) = segments(n, 1)
-    at = F.when(F.col("part") == 0, F.sequence(second, F.length("line"))).otherwise(F.sequence(F.lit(1), first_size + F.col("probe").cast("int")))
-    without = F.concat(F.substring(F.col("line"), F.lit(1), F.col("x") - 1), F.substring(F.col("line"), F.col("x") + 1, F.length("line")))
-    opened = many.join(texts, "id").select("id", "line", F.explode(at).alias("x")).select("id", "x", F.xxhash64(without).alias("h1"), F.xxhash64(F.lit(1), without).alias("h2"))
-    opened = cut(opened.distinct())
-    same = opened.groupBy("x", "h1", "h2").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").drop("z")
-    star = opened.join(same, ["x", "h1", "h2"]).where("id <> a").select("a", F.col("id").alias("b"))
-    whole = many.select("id").distinct().join(texts, "id").select(F.col("id").alias("a"), F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    longer = opened.select(F.col("id").alias("b"), "h1", "h2").join(whole, ["h1", "h2"]).select("a", "b")
-    return cut(close.union(star).union(longer).distinct())
-
-
-def without_repeated_lines(docs: DataFrame, *, tau: int = 2, min_chars: int = 20, bucket: int = 64, broadcast_lines: int = 2_000_000) -> DataFrame:
-    """docs with doc_id and text -> all columns of docs with the text cleaned, and two more at the end:
-    n_lines and n_removed (names that docs may not have)."""
+    placed = placed.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "probe", "block")
+    index = placed.where("not probe").select("key", "i", "j", F.col("id").alias("a"), F.col("block").alias("own"))
+    met = index.join(placed.withColumnRenamed("id", "b"), ["key", "i", "j"]).where("a <> b and (probe or a < b) and (i = j or own <> block)")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def near_links(lines: DataFrame, *, tau: int, bucket: int, broadcast_lines: int) -> DataFrame:
+    """lines (id, line, n) with repeats -> links (a, b) between ids of different lines within tau edits."""
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        some = F.broadcast(wanted) if wanted.count() <= broadcast_lines else wanted
+        return cut(lines.join(some, "id").groupBy("id").agg(F.min("line").alias("line")).withColumn("n", F.length("line")))
+
+    members = cut(members_of(segment_keys(lines, tau)))
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    pairs = cut(pairs_of(members.join(sizes.where(F.col("n") <= bucket), "key"), bucket))
+    crowded = cut(members.join(sizes.where(F.col("n") > bucket), "key", "left_semi").select("id").distinct())
+    crowd = not crowded.isEmpty()
+    texts = texts_of(cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowded).distinct()))
+    if crowd:
+        again = cut(members_of(signatures(texts.join(crowded, "id", "left_semi"), tau, 3)))
+        pairs = cut(pairs.union(pairs_of(again.join(again.groupBy("key").agg(F.count("*").alias("n")), "key"), bucket)).distinct())
+    first, second = (texts.select(F.col("id").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
+    return cut(pairs.join(first, "a").join(second, "b").where(within(F.col("la"), F.col("lb"), tau)).select("a", "b"))
+
+
+def without_repeated_lines(docs: DataFrame, *, tau: int = 2, min_chars: int = 20, bucket: int = 64, broadcast_lines: int = 2_000_000, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """docs with doc_id and text -> all columns of docs with the text cleaned, and the two `counts` at the end. A
+    column of docs that already has the name of a count is left out."""
     if tau < 1 or min_chars <= tau:
         raise ValueError("tau must be at least 1 and below min_chars")
+    names = {c.lower() for c in counts}
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in names))
     doc, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.col("text").cast("string")
-    lines = docs.select(doc.alias("doc"), F.posexplode(F.transform(F.split(text, "\n"), stripped)).alias("pos", "line")).where("line <> ''").withColumns({"id": F.xxhash64("line"), "id2": F.xxhash64(F.lit(1), "line")})
-    classes = components(near_links(lines.select("id", "line"), tau=tau, min_chars=min_chars, bucket=bucket, broadcast_lines=broadcast_lines))
-    places = lines.select("id", "id2", F.struct("doc", "pos").alias("at"))
-    firsts = places.groupBy("id", "id2").agg(F.min("at").alias("first"), F.max("at").alias("last")).join(classes, "id", "left").where("component_id is not null or first < last")
+    split = docs.select(doc.alias("doc"), F.posexplode(F.split(text, "\n")).alias("pos", "raw"))
+    lines = split.select("doc", "pos", stripped(F.col("raw")).alias("line")).where("line <> ''")
+    lines = lines.select("doc", "pos", "line", F.xxhash64("line").bitwiseAND(F.lit(~PROBE)).alias("id"))
+    places = lines.select("id", F.xxhash64(F.lit(1), "line").alias("id2"), F.struct("doc", "pos").alias("at"))
+    found = cut(places.groupBy("id", "id2").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n")))
+    total = found.agg(F.sum("n")).first()[0] or 0
+    common = found.where(F.col("n") > max(1000, total // 100_000)).select("id", "first")  # 100,000 rows at most
+    long = lines.where(F.length("line") >= min_chars).join(F.broadcast(common), "id", "left").where("first is null or (first.doc = doc and first.pos = pos)").select("id", "line", F.length("line").alias("n"))
+    classes = components(near_links(long, tau=tau, bucket=bucket, broadcast_lines=broadcast_lines))
+    firsts = found.join(classes, "id", "left").where("component_id is not null or first < last")
     firsts = firsts.withColumns({"c1": F.coalesce("component_id", "id"), "c2": F.when(F.col("component_id").isNull(), F.col("id2")).otherwise(F.lit(0))})
     kept = firsts.groupBy("c1", "c2").agg(F.min("first").alias("kept"))
     repeated = firsts.select("id", "id2", "c1", "c2").join(kept, ["c1", "c2"]).select("id", "id2", "kept")
-    gone = places.join(repeated, ["id", "id2"]).where("at <> kept").groupBy("at.doc").agg(F.collect_set(F.struct("at.pos", "id")).alias("__gone"))
-    split = F.split(text, "\n")
-    cleaned = F.filter(split, lambda x, i: ~F.coalesce(F.array_contains(F.col("__gone"), F.struct(i.alias("pos"), F.xxhash64(stripped(x)).alias("id"))), F.lit(False)))
-    out = docs.withColumn("__doc", doc).join(gone.withColumnRenamed("doc", "__doc"), "__doc", "left").withColumn("__lines", cleaned)
+    gone = places.join(repeated, ["id", "id2"]).where("at <> kept").groupBy("at.doc").agg(F.collect_set(F.struct("at.pos", "id")).alias("gone"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), doc.alias("doc")).join(gone, "doc", "left")
+    text = F.col("row.text").cast("string")
+    there = F.split(text, "\n")
+    ids = lambda x: F.xxhash64(stripped(x)).bitwiseAND(F.lit(~PROBE))
+    stays = lambda x, i: ~F.coalesce(F.array_contains(F.col("gone"), F.struct(i.alias("pos"), ids(x).alias("id"))), F.lit(False))
+    whole = whole.withColumn("left", F.when(F.col("gone").isNotNull(), F.filter(there, stays)))
     solid = lambda a: F.coalesce(F.size(F.filter(a, lambda x: stripped(x) != "")), F.lit(0)).cast("long")
-    count = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(solid(split))
-    left = F.when(F.col("text").isNull(), F.lit(0).cast("long")).otherwise(solid(F.col("__lines")))
-    return out.select(*(F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join("__lines", "\n")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns), count.alias("n_lines"), (count - left).alias("n_removed"))
+    before = F.when(text.isNull(), F.lit(0).cast("long")).otherwise(solid(there))
+    after = F.when(F.col("gone").isNull(), before).otherwise(solid(F.col("left")))
+    return whole.select(*(F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join("left", "\n")).alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns), before.alias(counts[0]), (before - after).alias(counts[1]))

@@ -45,7 +45,7 @@ SEEDS = mix64(np.arange(1, 1025, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93
 
 def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     """The distinct shingle hashes of each text, sorted; A-Z in lower case. Short texts are one shingle."""
-    h, owner, _, _ = word_items([t.lower() for t in texts])
+    h, owner = word_items([t.lower() for t in texts])
     seq = Sequence(h)
     grams = seq.all_of(words)
     bounds = np.searchsorted(owner, np.arange(len(texts) + 1))

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -26,8 +27,11 @@ def brute(rows, tau, min_chars):
             x = root[x]
         return x
 
+    uses = np.array([np.bincount(np.frombuffer(x.encode(), np.uint8), minlength=256) for x in lines], np.int32).reshape(-1, 256)
     for i, a in enumerate(lines):
-        for b in lines[i + 1 :]:
+        # an edit changes two counts of characters by one, of bytes by at most four each
+        for j in np.flatnonzero(np.abs(uses[i + 1 :] - uses[i]).sum(axis=1) <= 8 * tau):
+            b = lines[i + 1 + j]
             if min(len(a), len(b)) >= min_chars and abs(len(a) - len(b)) <= tau and distance(a, b) <= tau:
                 root[find(b)] = find(a)
     first = {}
@@ -58,7 +62,7 @@ def fixture(seed, n=60):
     return rows + [(500, None), (501, ""), (502, "\n \n"), (503, "x" * 5000), (504, "x" * 5001), (505, "one\none\r\n one")]
 
 
-@pytest.mark.parametrize("tau,bucket", [(1, 64), (1, 2), (2, 64)])
+@pytest.mark.parametrize("tau,bucket", [(1, 64), (1, 2), (2, 64), (2, 3)])
 def test_against_all_pairs(spark, tau, bucket):
     rows = fixture(tau * 10 + bucket)
     got = without_repeated_lines(spark.createDataFrame([(d, t, 1, "k") for d, t in rows], SCHEMA), tau=tau, min_chars=8, bucket=bucket)
@@ -90,6 +94,17 @@ def test_automaton_is_the_edit_distance(spark, tau):
     assert [r.near for r in got] == [distance(a, b) <= tau for a, b in pairs]
 
 
+def test_names_of_the_counts_and_of_helpers_may_be_taken(spark):
+    line = "a line of enough characters"
+    rows = [(1, line, 7, 8, "r", "g", "l"), (2, line, 7, 8, "r", "g", "l")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines long, n_removed long, row string, gone string, left string")
+    got = without_repeated_lines(docs)
+    assert got.columns == ["doc_id", "text", "row", "gone", "left", "n_lines", "n_removed"]
+    assert [tuple(r) for r in got.orderBy("doc_id").collect()] == [(1, line, "r", "g", "l", 1, 0), (2, "", "r", "g", "l", 1, 1)]
+    got = without_repeated_lines(docs, counts=("a", "b"))
+    assert got.columns == [*docs.columns, "a", "b"] and got.where("b = 1").select("n_removed").collect()[0][0] == 8
+
+
 def test_null_and_repeated_ids_and_empty_table(spark):
     line = "a line of enough characters"
     got = without_repeated_lines(spark.createDataFrame([(None, line, 0, ""), (4, line, 0, ""), (4, line, 0, ""), (4, f"x\n{line}", 0, "")], SCHEMA)).collect()
