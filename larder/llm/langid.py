@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_slices
+from .common import MUL, in_slices, mix64
 
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
@@ -41,11 +41,6 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def grams(word: str, n: int) -> list[str]:
-    marked = f" {word} " if n > 1 else word
-    return [marked[i : i + n] for i in range(len(marked) - n + 1)]
-
-
 def letters(word: str) -> str:
     return word if word.isalpha() else "".join(c for c in word if c.isalpha())
 
@@ -54,9 +49,20 @@ def words_of(text: str) -> Iterator[str]:
     return filter(None, map(letters, WORD.findall(text.lower())))
 
 
-def entry(gram: str, n: int) -> int:
-    """The key of a word (n = 0) or of an n-gram."""
-    return xxhash.xxh3_64_intdigest(gram.encode("utf-8", "surrogatepass"), n)
+def entries(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The entries of all words (n = 0), or of all their n-grams: the number of the word and a 64-bit key.
+    For n over 1 a word's ends are marked by a blank."""
+    if not n:
+        return np.arange(len(words)), np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
+    marked = words if n == 1 else [f" {w} " for w in words]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
+    owner, left = np.repeat(np.arange(len(words)), sizes), np.repeat(np.cumsum(sizes), sizes) - np.arange(sizes.sum())
+    at = np.flatnonzero(left >= n)
+    key = np.full(len(at), n, np.uint64)
+    for i in range(n):
+        key = mix64((key ^ codes[at + i]) * MUL)
+    return owner[at], key
 
 
 @dataclass
@@ -68,89 +74,108 @@ class Model:
     logs: np.ndarray
     longest: int
 
-    def rows(self, keys: list[int]) -> np.ndarray:
-        """The logs of those keys that are known."""
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, -1 where it isn't known."""
         if not len(self.keys):
-            return self.logs[:0]
-        wanted = np.array(keys, np.uint64)
-        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
-        return self.logs[at[self.keys[at] == wanted]]
-
-    def row(self, word: str) -> np.ndarray:
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """The log posteriors of each word."""
+        out = np.zeros((len(words), len(self.langs)))
+        left = np.arange(len(words))
         for n in (0, *range(self.longest, 0, -1)):
-            found = self.rows([entry(g, n) for g in (grams(word, n) if n else [word])])
-            if len(found):
-                if not n:
-                    return found[0].astype(np.float64)
-                sums = found.sum(axis=0, dtype=np.float64)
-                return np.maximum(sums - np.logaddexp.reduce(sums), FLOOR)
-        return np.zeros(len(self.langs))
+            if not len(left):
+                break
+            owner, keys = entries([words[i] for i in left], n)
+            at = self.places(keys)
+            owner, at = owner[at >= 0], at[at >= 0]
+            if not len(at):
+                continue
+            first = np.flatnonzero(np.diff(owner, prepend=-1))
+            sums = np.add.reduceat(self.logs[at].astype(np.float64), first, axis=0)
+            if n:
+                sums = np.maximum(sums - np.logaddexp.reduce(sums, axis=1, keepdims=True), FLOOR)
+            out[left[owner[first]]] = sums
+            left = np.delete(left, owner[first])
+        return out
 
 
 class Scorer:
-    """Scores texts; rows of words seen before are kept, up to `most`."""
+    """Scores texts, many at a time; rows of words seen before are kept, up to about `most`."""
 
     def __init__(self, model: Model, most: int = 200_000):
         self.model, self.most = model, most
-        self.clear()
-
-    def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.rows = np.zeros((4096, max(1, len(self.model.langs))))
-
-    def place(self, found: str) -> int:
-        """The row of a word; -1 if it has no letters."""
-        at = self.known.get(found)
-        if at is None:
-            word = letters(found)
-            if not word:
-                self.known[found] = -1
-                return -1
-            at = self.known[found] = len(self.known)
-            if at >= len(self.rows):
-                self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
-            self.rows[at] = self.model.row(word)
-        return at
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        words = WORD.findall(text.lower()) if text and self.model.langs else []
-        if not words:
-            return UNKNOWN, 0.0
-        if len(self.known) > self.most:
-            self.clear()
-        at = np.fromiter(map(self.place, words), np.int64, len(words))
-        at = at[at >= 0]
-        if not len(at):
-            return UNKNOWN, 0.0
-        sums = self.rows[at].sum(axis=0)
-        best = int(sums.argmax())
-        return self.model.langs[best], float(np.exp(sums[best] - np.logaddexp.reduce(sums)))
-
-
-def count_entries(longest: int, most: int = 200_000):
-    """Rows (lang number, text) -> lang, n, key, uses; a task holds at most about `most` counts at a time."""
+        self.rows = np.zeros((0, len(model.langs)))
+
+    def learn(self, found: set[str]) -> None:
+        """Rows for new words; those without letters get -1."""
+        new, clean = [], []
+        for w in found:
+            word = letters(w)
+            if word:
+                new.append(w)
+                clean.append(word)
+            else:
+                self.known[w] = -1
+        self.known.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
+        self.rows = np.concatenate((self.rows, self.model.rows(clean)))
+
+    def __call__(self, texts: Iterable[str | None], size: int = 1_000_000) -> Iterator[tuple[str, float]]:
+        """(language, score) of each text, in runs of about `size` characters."""
+        part, chars = [], 0
+        for text in texts:
+            part.append(text)
+            chars += len(text or "")
+            if chars >= size:
+                yield from self.judged(part)
+                part, chars = [], 0
+        yield from self.judged(part)
+
+    def judged(self, texts: list[str | None]) -> Iterator[tuple[str, float]]:
+        words = [WORD.findall(t.lower()) if t and self.model.langs else [] for t in texts]
+        if len(self.rows) > self.most:
+            self.known, self.rows = {}, self.rows[:0]
+        self.learn(set().union(*words).difference(self.known))
+        for own in words:
+            at = np.fromiter(map(self.known.__getitem__, own), np.int64, len(own))
+            at = at[at >= 0]
+            if not len(at):
+                yield UNKNOWN, 0.0
+                continue
+            sums = self.rows[at].sum(axis=0)
+            best = int(sums.argmax())
+            yield self.model.langs[best], float(np.exp(sums[best] - np.logaddexp.reduce(sums)))
+
+
+def count_entries(longest: int, most: int = 1_000_000):
+    """Rows (lang number, text) -> lang, n, key, uses, for about `most` characters of text at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        uses: Counter = Counter()
-
-        def out() -> pa.RecordBatch:
-            keys = np.array(list(uses.keys()), np.uint64).reshape(-1, 2)
-            times = np.fromiter(uses.values(), np.int64, len(uses))
+        uses: dict[int, Counter] = {}
+        chars = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, counter in uses.items():
+                words, times = list(counter), np.fromiter(counter.values(), np.int64, len(counter))
+                for n in range(longest + 1):
+                    owner, keys = entries(words, n)
+                    keys, at = np.unique(keys, return_inverse=True)
+                    sums = np.zeros(len(keys), np.int64)
+                    np.add.at(sums, at, times[owner])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), lang, np.int32)), pa.array(np.full(len(keys), n, np.int32)), pa.array(keys.view(np.int64)), pa.array(sums)], names=["lang", "n", "key", "uses"])
             uses.clear()
-            kind = keys[:, 0].astype(np.int32)
-            return pa.RecordBatch.from_arrays([pa.array(kind // (longest + 1)), pa.array(kind % (longest + 1)), pa.array(keys[:, 1].view(np.int64)), pa.array(times)], names=["lang", "n", "key", "uses"])
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), in_slices(batch.column(1))):
-                first = lang * (longest + 1)
-                for word, times in Counter(words_of(text)).items():
-                    uses[first, entry(word, 0)] += times
-                    for n in range(1, longest + 1):
-                        for g in grams(word, n):
-                            uses[first + n, entry(g, n)] += times
-                    if len(uses) > most:
-                        yield out()
-        yield out()
+                uses.setdefault(lang, Counter()).update(words_of(text))
+                chars += len(text)
+                if chars >= most:
+                    yield from out()
+                    chars = 0
+        yield from out()
 
     return run
 
@@ -167,15 +192,15 @@ def train(labelled: DataFrame, *, sample_docs: int = 1500, longest: int = 4) ->
     chosen = rows.where(F.pmod("draw", F.lit(1_000_003)) < share * 1_000_003)
     counted = chosen.select(place.alias("lang"), "text").mapInArrow(count_entries(longest), "lang int, n int, key long, uses long").groupBy("lang", "n", "key").agg(F.sum("uses").alias("uses")).toArrow()  # entries of the sample only
     lang, n, key, uses = (counted.column(c).to_numpy() for c in ("lang", "n", "key", "uses"))
-    # entries of different n have different seeds, so the key alone tells them apart
+    # the keys of different n begin otherwise, so the key alone tells them apart
     keys, first, at = np.unique(key.view(np.uint64), return_index=True, return_inverse=True)
     times = np.zeros((len(keys), len(langs)))
     times[at, lang] = uses
     level = n[first]
     totals = np.zeros((longest + 1, len(langs)))
     np.add.at(totals, (n, lang), uses)
-    entries = np.bincount(level, minlength=longest + 1)
-    logs = np.log((times + SMOOTH) / (totals[level] + SMOOTH * (entries[level] + 1)[:, None]))
+    sizes_of = np.bincount(level, minlength=longest + 1)
+    logs = np.log((times + SMOOTH) / (totals[level] + SMOOTH * (sizes_of[level] + 1)[:, None]))
     logs -= np.logaddexp.reduce(logs, axis=1, keepdims=True)
     return Model(langs, keys, np.maximum(logs, FLOOR).astype(np.float32), longest)
 
@@ -187,7 +212,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(shared.value)
         for batch in batches:
-            got = [score(t) for t in in_slices(batch.column(2))]
+            got = list(score(in_slices(batch.column(2))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
@@ -202,7 +227,7 @@ def keep_known(docs: DataFrame, model: Model, least_score: float = 0.5) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(shared.value)
         for batch in batches:
-            got = [score(t) for t in in_slices(batch.column(at))]
+            got = score(in_slices(batch.column(at)))
             yield batch.filter(pa.array([lang != UNKNOWN and s >= least_score for lang, s in got], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

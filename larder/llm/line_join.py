@@ -31,7 +31,7 @@ from __future__ import annotations
 
 from itertools import combinations, product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -108,14 +108,15 @@ PROBE = -(1 << 63)
 
 
 def keys(tau: int) -> tuple[Column, int]:
-    """Of columns (line, n): an array of index keys of the line's own length, then probe keys of it and of shorter
-    lengths; and how many index keys there are. Keys whose place doesn't fit are null."""
-    n, line, own, probes = F.col("n"), F.col("line"), [], []
+    """Of columns (wide, n): an array of index keys of the line's own length, then probe keys of it and of shorter
+    lengths; and how many index keys there are. Keys whose place doesn't fit are null. `wide` holds four bytes a
+    character, so that a place is found without counting characters."""
+    n, wide, own, probes = F.col("n"), F.col("wide"), [], []
     for delta in range(tau + 1):
         for i, (start, size) in enumerate(segments(n - delta, tau + 1)):
             low, high = max(-i, delta - (tau - i)), min(i, delta + (tau - i))
             for shift in range(low, high + 1):
-                key = F.xxhash64(n - delta, F.lit(i), F.substring(line, start + shift, size))
+                key = F.xxhash64(n - delta, F.lit(i), F.substring(wide, (start + shift) * 4 - 3, size * 4))
                 if delta == shift == 0:
                     own.append(key)
                 else:
@@ -149,15 +150,16 @@ def signatures(lines: DataFrame, tau: int, shared: int) -> DataFrame:
 def segment_keys(lines: DataFrame, tau: int) -> DataFrame:
     """lines (id, line, n) -> (id, own, key) of single segments."""
     array, own = keys(tau)
-    return lines.select("id", F.posexplode(array).alias("at", "key")).where("key is not null").select("id", (F.col("at") < own).alias("own"), "key")
+    wide = lines.select("id", "n", F.encode("line", "UTF-32").alias("wide"))
+    return wide.select("id", F.posexplode(array).alias("at", "key")).where("key is not null").select("id", (F.col("at") < own).alias("own"), "key")
 
 
 def members_of(keyed: DataFrame) -> DataFrame:
     """(id, own, key) -> (key, id, probe) of keys that two lines or more share, one of them by an index key."""
     tag = F.when(F.col("own"), F.col("id")).otherwise(F.col("id").bitwiseOR(F.lit(PROBE)))
-    dealt = keyed.select("key", tag.alias("tag")).repartition("key")
-    shared = dealt.groupBy("key").agg(F.min("tag").alias("lo"), F.max("tag").alias("hi")).where("hi >= 0 and lo < hi").select("key")
-    return dealt.join(shared, "key", "left_semi").distinct().select("key", F.col("tag").bitwiseAND(F.lit(~PROBE)).alias("id"), (F.col("tag") < 0).alias("probe"))
+    by = Window.partitionBy("key")
+    dealt = keyed.select("key", tag.alias("tag")).withColumns({"lo": F.min("tag").over(by), "hi": F.max("tag").over(by)}).where("hi >= 0 and lo < hi")
+    return dealt.select("key", "tag").distinct().select("key", F.col("tag").bitwiseAND(F.lit(~PROBE)).alias("id"), (F.col("tag") < 0).alias("probe"))
 
 
 def pairs_of(members: DataFrame, bucket: int) -> DataFrame:
@@ -201,7 +203,7 @@ def without_repeated_lines(docs: DataFrame, *, tau: int = 2, min_chars: int = 20
     split = docs.select(doc.alias("doc"), F.posexplode(F.split(text, "\n")).alias("pos", "raw"))
     lines = split.select("doc", "pos", stripped(F.col("raw")).alias("line")).where("line <> ''")
     lines = lines.select("doc", "pos", "line", F.xxhash64("line").bitwiseAND(F.lit(~PROBE)).alias("id"))
-    places = lines.select("id", F.xxhash64(F.lit(1), "line").alias("id2"), F.struct("doc", "pos").alias("at"))
+    places = cut(lines.select("id", F.xxhash64(F.lit(1), "line").alias("id2"), F.struct("doc", "pos").alias("at")))
     found = cut(places.groupBy("id", "id2").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n")))
     total = found.agg(F.sum("n")).first()[0] or 0
     common = found.where(F.col("n") > max(1000, total // 100_000)).select("id", "first")  # 100,000 rows at most

@@ -1,9 +1,10 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
-from larder.llm.langid import entry, identify, keep_known, train
+from larder.llm.langid import entries, identify, keep_known, train
 from larder.llm.queries import op6_language_id
 
 SCHEMA = "doc_id long, text string, lang string, source string, score string"
@@ -50,7 +51,8 @@ def test_model_against_plain_counts(spark):
     for (n, gram), uses in plain.items():
         logs = [math.log((u + 0.5) / (t + 0.5 * (sizes[n] + 1))) for u, t in zip(uses, totals[n])]
         top = math.log(sum(map(math.exp, logs)))
-        assert [float(x) for x in model.rows([entry(gram, n)])[0]] == pytest.approx([x - top for x in logs], abs=1e-5)
+        key = entries([gram], n)[1] if n < 2 else {f" {w} "[i : i + 2]: k for w in ("ab", "ba", "cd") for i, k in enumerate(entries([w], 2)[1])}[gram]
+        assert [float(x) for x in model.logs[model.places(np.atleast_1d(key))[0]]] == pytest.approx([x - top for x in logs], abs=1e-5)
     assert len(model.keys) == len(plain)
 
 
