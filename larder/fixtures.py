@@ -29,10 +29,10 @@ VIEWS = {
                '/en/' || lower(p_type) || '/' || split_part(p_name, ' ', 1) || '/' || split_part(p_name, ' ', 2) || '/' AS p3
         FROM part""",
     "fx_category_paths": """
-        SELECT p1 AS canonical_path, CAST(NULL AS varchar(200)) AS parent_path, 1 AS level FROM fx_product_paths
-        UNION SELECT p2, p1, 2 FROM fx_product_paths UNION SELECT p3, p2, 3 FROM fx_product_paths""",
+        SELECT p1 AS canonical_path, CAST(NULL AS varchar(200)) AS parent_path, 1 AS level, min(id) AS first_id FROM fx_product_paths GROUP BY p1
+        UNION ALL SELECT p2, p1, 2, min(id) FROM fx_product_paths GROUP BY p2, p1 UNION ALL SELECT p3, p2, 3, min(id) FROM fx_product_paths GROUP BY p3, p2""",
     "fx_numbered_paths": """
-        SELECT CAST(row_number() OVER (ORDER BY canonical_path) AS bigint) AS id, canonical_path, parent_path, level FROM fx_category_paths""",
+        SELECT CAST(first_id * 101 + level AS bigint) AS id, canonical_path, parent_path, level FROM fx_category_paths""",
     "fx_categories": """
         SELECT c.id AS id, p.id AS parent_id, c.canonical_path AS canonical_path, c.parent_path AS parent_path,
                split_part(trim(BOTH '/' FROM c.canonical_path), '/', c.level + 1) AS slug,
@@ -63,13 +63,13 @@ VIEWS = {
                CASE WHEN c.id % 23 = 0 THEN NULL WHEN c.id % 37 = 0 THEN CAST(999999 AS bigint) ELSE c.parent_id END AS parent_id, d.n AS product_count
         FROM fx_categories c JOIN fx_direct_counts d ON d.id = c.id WHERE c.id % 12 <> 5""",
     "fx_progress": """
-        SELECT e.event_id + 1 AS id, e.user_id % 5 + 1 AS job_id, c.canonical_path AS canonical_path,
+        SELECT e.event_id + 1 AS id, e.user_id % 5 + 1 AS job_id, CASE e.event_id % 3 WHEN 0 THEN c.p1 WHEN 1 THEN c.p2 ELSE c.p3 END AS canonical_path,
                CASE e.event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'retrying' WHEN 'click' THEN 'running' ELSE 'completed' END AS status,
                CAST(e.event_id % 3 + 1 AS int) AS attempt_count, CASE WHEN e.event_id % 4 = 0 THEN 0 ELSE e.event_id % 9 + 1 END AS total_products,
                CASE WHEN e.event_id % 4 = 0 THEN 0 WHEN e.event_id % 7 = 0 THEN e.event_id % 9 ELSE e.event_id % 9 + 1 END AS products_scraped,
                CASE WHEN e.event_type = 'error' THEN 'timeout' ELSE NULL END AS last_error, e.ts AS updated_at
-        FROM (SELECT x.*, (x.event_id * 7919) % s.n + 1 AS category FROM events x CROSS JOIN (SELECT count(*) AS n FROM fx_category_paths) s) e
-        JOIN fx_numbered_paths c ON c.id = e.category""",
+        FROM (SELECT x.*, (x.event_id * 7919) % s.n + 1 AS category FROM events x CROSS JOIN (SELECT count(*) AS n FROM fx_product_paths) s) e
+        JOIN fx_product_paths c ON c.id = e.category""",
     "fx_jobs": """
         SELECT o_orderkey + 1 AS id, CASE WHEN o_orderpriority = '1-URGENT' THEN 'incremental' ELSE 'full' END AS job_type,
                CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'interrupted' END AS status, o_orderdate AS started_at,
@@ -83,13 +83,13 @@ VIEWS = {
                ELSE upper(split_part(f.p1, '/', 3)) END AS refs
         FROM fx_product_paths f JOIN fx_numbered_paths c ON c.canonical_path = f.p3""",
     "fx_incoming_products": """
-        SELECT CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS bigint) AS seq,
+        SELECT CAST((l_orderkey * 8 + l_linenumber) * 100000 + l_suppkey AS bigint) AS seq,
                'SKU-' || lpad(CAST(CASE WHEN l_partkey % 40 = 0 THEN l_partkey + 9000000 ELSE l_partkey END AS varchar(20)), 7, '0') AS sku,
                CASE WHEN l_linenumber % 3 = 0 THEN NULL WHEN l_linenumber % 4 = 0 THEN '' ELSE 'New ' || l_returnflag END AS title,
                CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE l_extendedprice END AS price,
                CASE WHEN l_suppkey % 6 = 0 THEN l_extendedprice ELSE NULL END AS regular_price,
                CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE CAST(l_quantity AS int) END AS stock
-        FROM lineitem WHERE l_orderkey % 20 = 0""",
+        FROM lineitem""",
 }
 
 

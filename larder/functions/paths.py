@@ -7,14 +7,23 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Latin letters that decompose to one ASCII letter, by rule
-_LATIN = {chr(c): base for c in range(0xC0, 0x250) if len(base := unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode()) == 1}
+# What NFKD leaves of each character of the basic plane in ASCII, by rule: first those with one character, then those with more
+_PLAIN = {chr(c): base for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000 and (base := unicodedata.normalize("NFKD", chr(c)).encode("ascii", "ignore").decode())}
+_ONE = {k: v for k, v in _PLAIN.items() if len(v) == 1}
+_MORE = "[" + "".join(k for k, v in _PLAIN.items() if len(v) > 1) + "]"
 BLANKS = " \t\n\r\x0b\x0c"
 
 
+def _spelled(c: Column) -> Column:
+    """Characters that stand for several (ligatures, fractions, squared units) spelled out."""
+    table = F.create_map(*(F.lit(x) for k, v in _PLAIN.items() if len(v) > 1 for x in (k, v)))
+    return F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.element_at(table, x), x)), "")
+
+
 def ascii_lower(c: Column) -> Column:
     """Letters without accents, other non-ASCII characters dropped, lower case."""
-    return F.lower(F.regexp_replace(F.translate(c, "".join(_LATIN), "".join(_LATIN.values())), r"[^\x00-\x7F]", ""))
+    one = F.translate(c, "".join(_ONE), "".join(_ONE.values()))
+    return F.lower(F.regexp_replace(F.when(one.rlike(_MORE), _spelled(one)).otherwise(one), r"[^\x00-\x7F]", ""))
 
 
 def resolve(c: Column, base: str) -> Column:

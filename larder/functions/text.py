@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
+import html
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Words written in capitals in category names, and slugs too general to name a product's category.
 ACRONYMS = ("diy", "ean", "sku", "usb", "dac", "dsp", "rms")
 GENERAL_SLUGS = ("speakers", "home-audio", "car-audio", "components", "accessories", "audio-components", "crossover-components", "diy-kits")
-# Character references, ampersand last.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&deg;", "°"), ("&euro;", "€"), ("&copy;", "©"), ("&reg;", "®"), ("&middot;", "·"), ("&amp;", "&"))
+# White space of all scripts, no-break spaces included
+BLANKS = r"[\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@F.pandas_udf(StringType())
+def _decoded(s: pd.Series) -> pd.Series:
+    return s.map(html.unescape, na_action="ignore")
 
 
 def unescape(c: Column) -> Column:
-    for name, value in ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(value))
-    return c
+    """Named and numeric character references become characters, as HTML 5 has them. Arrow batches; no built-in knows them all."""
+    return _decoded(c)
 
 
 def squeeze(c: Column) -> Column:
-    """White space, no-break spaces included, becomes single blanks; ends are trimmed."""
-    return F.trim(F.regexp_replace(c, r"[\s ]+", " "))
+    """Runs of white space become single blanks; ends are trimmed."""
+    return F.trim(F.regexp_replace(c, BLANKS, " "))
 
 
 def normalize_text(c: Column) -> Column:
@@ -32,7 +40,7 @@ def normalize_paragraph(c: Column) -> Column:
 
 
 def normalize_spec_name(c: Column) -> Column:
-    return F.lower(squeeze(F.regexp_replace(F.trim(unescape(c)), r":\s*$", "")))
+    return F.lower(squeeze(F.regexp_replace(F.rtrim(squeeze(unescape(c))), r":\s*$", "")))
 
 
 def clean_category_name(c: Column) -> Column:

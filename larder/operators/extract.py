@@ -108,10 +108,11 @@ def products(raw: DataFrame, base: str) -> tuple[DataFrame, DataFrame]:
     error = F.when(F.col("m").isNull(), "no JSON").when(F.col("sku").isNull(), "no SKU and no product id").when(F.col("price_text").isNotNull() & F.col("price_text").try_cast("double").isNull(), "price is no number")
     rows = rows.withColumn("error", error)
     good = rows.where("error is null").select(
-        product_id().alias("product_id"), "sku", f("ean", "gtin", "upc").alias("ean"), f("title", "name", "productName").alias("title"), F.col("price_text").cast("double").alias("price"),
+        product_id().alias("product_id"), "sku", f("ean", "gtin", "upc").alias("ean"), f("title", "name", "productName").alias("title"), F.col("price_text").cast("double").alias("price"), F.col("price_text").cast("double").alias("regular_price"),
         "stock", stock_status(F.col("stock")).alias("stock_status"), brand().alias("brand"), F.coalesce(f("currency"), F.lit("EUR")).alias("currency"), url(base).alias("url"), "body",
     )
-    return good, rows.where("error is not null").select("body", "error")
+    key = first_present(F.col("sku"), F.get_json_object("body", "$.sku"), F.get_json_object("body", "$.id"))
+    return good, rows.where("error is not null").select("body", "error", key.alias("key"))
 
 
 def images(raw: DataFrame, base: str, cdn: str) -> DataFrame:

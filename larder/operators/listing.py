@@ -52,9 +52,9 @@ def listing_metadata(pages: DataFrame) -> DataFrame:
     return out.withColumn("total_pages", pages_of.cast("bigint")).withColumn("more", F.col("page") < F.col("total_pages"))
 
 
-def page_plan(categories: DataFrame, most: int = 100_000) -> DataFrame:
+def page_plan(categories: DataFrame) -> DataFrame:
     """categories (canonical_path, url, pages) -> a row for each page with its URL."""
-    rows = categories.where("pages > 0").select("canonical_path", "url", F.explode(F.sequence(F.lit(1), F.least(F.col("pages"), F.lit(most)).cast("int"))).alias("page"))
+    rows = categories.where("pages > 0").select("canonical_path", "url", F.explode(F.sequence(F.lit(1), F.col("pages").cast("int"))).alias("page"))
     root = F.regexp_replace("url", "/+$", "")
     return rows.select("canonical_path", "page", F.when(F.col("page") == 1, F.col("url")).otherwise(F.concat(root, F.lit("/page"), F.col("page").cast("string"), F.lit(".html"))).alias("url"))
 
@@ -83,6 +83,13 @@ def repeated_pages(items: DataFrame) -> DataFrame:
     return keys.withColumn("before", F.lag("keys").over(by)).where((F.size("keys") > 0) & (F.col("keys") == F.col("before"))).select("canonical_path", "page")
 
 
+def failed_details(items: DataFrame, base: str, rejects: DataFrame) -> DataFrame:
+    """Listed items by category whose document was rejected: canonical_path, failed. rejects (key): the SKU, or without
+    one the product id, of the documents that failed."""
+    short = summaries(items, base).select("canonical_path", first_present(F.col("sku"), F.col("product_id")).alias("key")).distinct()
+    return short.join(rejects.select("key").distinct(), "key", "left_semi").groupBy("canonical_path").agg(F.count("*").alias("failed"))
+
+
 def first_seen(items: DataFrame) -> DataFrame:
     """Each key of a category with the page and place that show it first."""
     return items.where("key <> ''").groupBy("canonical_path", "key").agg(F.min(F.struct("page", "pos")).alias("at")).select("canonical_path", "key", "at.page", "at.pos")
@@ -91,12 +98,12 @@ def first_seen(items: DataFrame) -> DataFrame:
 def listing_status(pages: DataFrame, failures: DataFrame) -> DataFrame:
     """pages, failures (canonical_path, failed) -> list_total, unique_listed, failed, status, reason."""
     items, meta = listing_items(pages), listing_metadata(pages)
-    totals = meta.groupBy("canonical_path").agg(F.max("total").alias("list_total"), F.max("asked").alias("last_page"))
+    totals = meta.groupBy("canonical_path").agg(F.max("total").alias("list_total"), F.greatest(F.max("total_pages"), F.max("asked")).alias("last_page"))
     unique = items.where("key <> ''").groupBy("canonical_path").agg(F.count_distinct("key").alias("unique_listed"))
     repeats = repeated_pages(items).groupBy("canonical_path").agg(F.min("page").alias("repeated"))
     filled = items.select("canonical_path", "page").distinct()
     empty = meta.select("canonical_path", F.col("asked").alias("page")).join(filled, ["canonical_path", "page"], "left_anti").join(totals, "canonical_path").where("page < last_page").groupBy("canonical_path").agg(F.min("page").alias("empty_page"))
     out = totals.join(unique, "canonical_path", "left").join(repeats, "canonical_path", "left").join(empty, "canonical_path", "left").join(failures, "canonical_path", "left")
     out = out.withColumns({"unique_listed": F.coalesce("unique_listed", F.lit(0)), "failed": F.coalesce("failed", F.lit(0)).cast("bigint")})
-    reason = F.when(F.col("repeated").isNotNull(), "repeated page").when(F.col("empty_page").isNotNull(), "empty page").when(F.col("unique_listed") != F.col("list_total"), "count differs").when(F.col("failed") > 0, "failed details")
+    reason = F.when(F.col("repeated").isNotNull(), "repeated page").when(F.col("empty_page").isNotNull(), "empty page").when((F.col("list_total") > 0) & (F.col("unique_listed") != F.col("list_total")), "count differs").when(F.col("failed") > 0, "failed details")
     return out.select("canonical_path", "list_total", "unique_listed", "failed", F.when(reason.isNull(), "complete").otherwise("incomplete").alias("status"), F.coalesce(reason, F.lit("")).alias("reason"))

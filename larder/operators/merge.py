@@ -5,6 +5,8 @@ Every function is idempotent: applied twice with the same batch it changes nothi
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,12 +31,32 @@ def fold_incoming(incoming: DataFrame, order: str, key: str = "sku") -> DataFram
     return incoming.groupBy(key).agg(*aggs)
 
 
-def upsert_products(current: DataFrame, folded: DataFrame, key: str = "sku") -> DataFrame:
-    """current and folded products -> every product with its merged fields, is_new and touched."""
+def upsert_products(current: DataFrame, folded: DataFrame, key: str = "sku", at: datetime | None = None) -> DataFrame:
+    """current and folded products -> every product with its merged fields, is_new and touched.
+
+    A price without a regular price sets both, and a new product's short description falls back to its description.
+    Products of the batch are active, and updated at `at` if it is given. Columns that only the batch has are added.
+    """
+    if "price" in folded.columns and "regular_price" in current.columns:
+        own = [F.col("regular_price")] if "regular_price" in folded.columns else []
+        folded = folded.withColumn("regular_price", F.coalesce(*own, "price"))
+    current = current.select("*", *(F.lit(None).cast(folded.schema[c].dataType).alias(c) for c in folded.columns if c not in current.columns))
     new = folded.select(F.col(key), *(F.col(c).alias(f"in_{c}") for c in folded.columns if c != key), F.lit(True).alias("touched"))
     both = current.withColumn("known", F.lit(True)).join(new, key, "full_outer")
-    fields = [F.coalesce(f"in_{c}", c).alias(c) if c in folded.columns else F.col(c) for c in current.columns if c != key]
-    return both.select(key, *fields, F.col("known").isNull().alias("is_new"), F.coalesce("touched", F.lit(False)).alias("touched"))
+    added, seen = F.col("known").isNull(), F.coalesce("touched", F.lit(False))
+
+    def merged(c: str) -> Column:
+        value = F.coalesce(f"in_{c}", c) if c in folded.columns else F.col(c)
+        if c == "short_description" and "description" in folded.columns:
+            value = F.when(added, F.coalesce(F.nullif(value, F.lit("")), "in_description")).otherwise(value)
+        if c == "is_active":
+            value = F.when(seen, F.lit(True)).otherwise(F.col(c))
+        if c == "updated_at" and at is not None:
+            value = F.when(seen, F.lit(at)).otherwise(F.col(c))
+        return value.alias(c)
+
+    fields = [merged(c) for c in current.columns if c != key]
+    return both.select(key, *fields, added.alias("is_new"), seen.alias("touched"))
 
 
 def replace_children(current: DataFrame, incoming: DataFrame, key: str = "product_id") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import paths
 
 
-def closure(categories: DataFrame, most_levels: int = 64) -> DataFrame:
+def closure(categories: DataFrame) -> DataFrame:
     """categories (id, parent_id) -> ancestor_id, descendant_id, distance; each category is its own ancestor at 0.
 
     One join a level until no path grows; a path that meets itself stops, so cycles end. Driver values are the
@@ -22,7 +22,7 @@ def closure(categories: DataFrame, most_levels: int = 64) -> DataFrame:
     known = categories.select("id")
     step = known.select(F.col("id").alias("ancestor_id"), F.col("id").alias("descendant_id"), F.array("id").alias("seen"))
     levels = [step]
-    for _ in range(most_levels):
+    while True:
         step = step.join(up, F.col("ancestor_id") == F.col("child")).where(~F.array_contains("seen", F.col("up"))).select(F.col("up").alias("ancestor_id"), "descendant_id", F.concat("seen", F.array("up")).alias("seen"))
         step = step.join(known, step.ancestor_id == known.id, "left_semi")
         if step.isEmpty():

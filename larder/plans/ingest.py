@@ -18,12 +18,14 @@ def ingest(current: dict[str, DataFrame], snapshot: DataFrame, pages: DataFrame,
     """
     categories = merge.upsert_categories(current["categories"], snapshot)
     items = listing.listing_items(pages)
-    short = listing.summaries(items, base).dropDuplicates(["sku"])
+    every = listing.summaries(items, base).withColumn("key", F.coalesce(F.nullif("sku", F.lit("")), F.concat(F.lit("id:"), "product_id")))
+    fields = ("sku", "product_id", "name", "price", "url")
+    short = every.groupBy("key").agg(F.min_by(F.struct(*fields), F.struct("canonical_path", "page", "pos")).alias("x")).select("x.*")
     good, rejects = extract.products(raw, base)
     fallback = listing.fallback_records(good.select("sku", "body"), short)
-    incoming = good.drop("body").unionByName(fallback.select("sku", "product_id", "title", "price", "url"), allowMissingColumns=True).withColumn("seq", F.lit(0))
+    incoming = good.drop("body").unionByName(fallback.where("sku <> ''").select("sku", "product_id", "title", "price", "url"), allowMissingColumns=True).withColumn("seq", F.lit(0))
     products = merge.upsert_products(current["products"], merge.fold_incoming(incoming, "seq"))
-    status = listing.listing_status(pages, pages.groupBy("canonical_path").agg(F.sum(F.lit(0)).alias("failed")))
+    status = listing.listing_status(pages, listing.failed_details(items, base, rejects))
     listed = listing.summaries(items, base).where("sku <> ''").select("sku", "canonical_path").distinct()
     links = current["links"].select("sku", "canonical_path").union(listed).distinct()
     if not narrowed:

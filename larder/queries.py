@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from html import entities, unescape
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -498,7 +499,7 @@ raw("first_present", lambda r: extract.parsed(r).select("id", extract.f("sku", "
 raw(
     "normalize_products",
     lambda r: extract.products(r, BASE)[0].drop("body", "ean"),
-    f"SELECT CAST(id AS varchar) AS product_id, {SKU} AS sku, title, price, {STOCK} AS stock, {STATUS} AS stock_status, nullif(brand, '') AS brand, 'EUR' AS currency, {URL} AS url FROM fx_products",
+    f"SELECT CAST(id AS varchar) AS product_id, {SKU} AS sku, title, price, price AS regular_price, {STOCK} AS stock, {STATUS} AS stock_status, nullif(brand, '') AS brand, 'EUR' AS currency, {URL} AS url FROM fx_products",
 )
 IMAGES = f"SELECT {SKU} AS sku, x.url, x.sort_order, x.sort_order = 0 AS is_cover FROM fx_products CROSS JOIN (VALUES ('https://cdn.example/77/500x500x2.jpg', 0), ('https://shop.example/a.jpg', 1), ('https://img.example/b.jpg', 3)) x(url, sort_order)"
 raw("product_images", lambda r: extract.images(r, BASE, CDN), IMAGES)
@@ -579,9 +580,17 @@ simple("extract_count", "fx_categories", lambda c: c.select("id", text.extract_c
 simple("slugify", "fx_products", lambda p: p.select("id", text.slugify(F.concat(F.lit(" The "), "title", F.lit("_&_"), "sku", F.lit("! "))).alias("slug")), "SELECT id, 'the-' || replace(title, ' ', '-') || '-' || lower(sku) AS slug FROM fx_products")
 simple("format_category_name", "fx_categories", lambda c: c.select("id", text.format_category_name(F.concat(F.lit("usb-"), "slug", F.lit("-kits"))).alias("name")), "SELECT id, 'USB ' || upper(substr(slug, 1, 1)) || substr(slug, 2) || ' Kits' AS name FROM fx_categories")
 simple("legacy_primary_category", "fx_categories", lambda c: c.select("id", text.legacy_primary(F.when(F.col("id") % 2 == 0, F.concat("slug", F.lit(", Speakers"))).when(F.col("id") % 3 == 0, F.lit("components,speakers")).otherwise(" , ")).alias("name")), "SELECT id, CASE WHEN id % 2 = 0 THEN upper(substr(slug, 1, 1)) || substr(slug, 2) WHEN id % 3 = 0 THEN 'Speakers' ELSE 'Uncategorized' END AS name FROM fx_categories")
-TEXT = "regexp_replace(replace(replace(replace(replace(replace(html, '&nbsp;', ' '), '&lt;', '<'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '{tags}', '', 'g')"
-pages("normalize_text", lambda p: p.select("page_id", F.md5(text.normalize_text(F.col("html"))).alias("digest")), "SELECT page_id, md5(lower(trim(regexp_replace(" + TEXT.format(tags="<[^>]+>") + ", '\\s+', ' ', 'g')))) AS digest FROM pages")
-pages("normalize_paragraph_text", lambda p: p.select("page_id", F.md5(text.normalize_paragraph(F.col("html"))).alias("digest")), "SELECT page_id, md5(trim(regexp_replace(" + TEXT.format(tags="^$") + ", '\\s+', ' ', 'g'))) AS digest FROM pages")
+# Character references for DuckDB, from Python's own table of HTML 5 and of the numbers that HTML reads otherwise
+REFS = {f"&{k}": v for k, v in entities.html5.items()} | {f"&#{n};": unescape(f"&#{n};") for n in range(128, 160)}
+SHORT = "|".join(sorted((k for k in entities.html5 if not k.endswith(";")), key=len, reverse=True))
+REF = f"&(?:#[0-9]{{1,7}};|#[xX][0-9a-fA-F]{{1,6}};|[A-Za-z][A-Za-z0-9]{{1,31}};|{SHORT})"
+quoted = lambda x: "'" + x.replace("'", "''") + "'"
+DECODED = f"""array_to_string(list_transform(list_zip(regexp_split_to_array(html, '{REF}'), regexp_extract_all(html, '{REF}')), lambda x: x[1] || CASE WHEN x[2] IS NULL THEN '' WHEN length(refs[x[2]]) > 0 THEN refs[x[2]]
+    WHEN starts_with(x[2], '&#x') OR starts_with(x[2], '&#X') THEN chr(CAST('0x' || substr(x[2], 4, length(x[2]) - 4) AS int)) WHEN starts_with(x[2], '&#') THEN chr(CAST(substr(x[2], 3, length(x[2]) - 3) AS int)) ELSE x[2] END), '')"""
+DECODING = f"WITH r AS (SELECT MAP {{{', '.join(f'{quoted(k)}: {quoted(v)}' for k, v in REFS.items())}}} AS refs), d AS (SELECT page_id, {DECODED} AS html FROM pages, r) "
+WHITE = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+pages("normalize_text", lambda p: p.select("page_id", F.md5(text.normalize_text(F.col("html"))).alias("digest")), f"{DECODING} SELECT page_id, md5(lower(trim(regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '{WHITE}', ' ', 'g')))) AS digest FROM d")
+pages("normalize_paragraph_text", lambda p: p.select("page_id", F.md5(text.normalize_paragraph(F.col("html"))).alias("digest")), f"{DECODING} SELECT page_id, md5(trim(regexp_replace(html, '{WHITE}', ' ', 'g'))) AS digest FROM d")
 simple("normalize_spec_name", "fx_attributes", lambda a: a.select("product_id", "sort_order", text.normalize_spec_name(F.concat("name", F.lit("&amp;  Co : "))).alias("name")), "SELECT product_id, sort_order, lower(name) || '& co' AS name FROM fx_attributes")
 query("parse_since_date", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events")(
     lambda spark, sf: spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.date_format(F.try_to_timestamp(F.date_format("ts", "yyyy-M-d"), F.lit("yyyy-M-d")), "yyyy-MM-dd").alias("day"))
@@ -693,7 +702,7 @@ def stream_upsert_products(spark, sf_dir):
 
 
 # every other hundred comes first here, so the oracle orders by batch and then by seq
-ORACLE_SQL["stream_upsert_products"] = ORACLE_SQL["upsert_products"].replace(", p.sku IS NULL AS is_new, i.sku IS NOT NULL AS touched", "").replace(", seq)", ", (seq // 100) % 2 * 1000000000 + seq)")
+ORACLE_SQL["stream_upsert_products"] = ORACLE_SQL["upsert_products"].replace(", p.sku IS NULL AS is_new, i.sku IS NOT NULL AS touched", "").replace(", seq)", ", (seq // 100) % 2 * 1000000000000000 + seq)")
 query("stream_dedupe_listings", "SELECT DISTINCT user_id, event_type FROM events")(lambda spark, sf: spark.read.parquet(f"{sf}/events.parquet").withColumn("key", F.concat_ws(":", "user_id", "event_type")).dropDuplicates(["key"]).select("user_id", "event_type"))
 simple(
     "stream_missing_streak",
