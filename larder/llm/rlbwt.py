@@ -14,19 +14,20 @@ lie under one anchor.
    since bytes beyond belong to no match. Range partitions split hot anchors; a row at the edge of a
    partition isn't trimmed on that side, which costs work and no match. Contents that are equal after
    trimming repeat as a whole and are done, so a passage in many contexts collapses to one content.
-4. Distinct trimmed contents are dealt to shards by anchor. A shard (its size bounded by
-   `shard_bytes`) builds a run-length index: the BWT of its contents as runs, each run with its head, its
-   LF target and the suffix-array sample of its end, and the ranges of rank in which `window` bytes agree
-   with a neighbour. Each content is then streamed through the index from its end by LF steps, all of a
-   shard in lockstep, giving the matching statistics against everything else in the shard (cut off at
-   `window`), and long matches are marked.
-5. An anchor with more than `most_contents` contents doesn't fit a shard. Its strings take a plain exact
-   way: one hash a string, an aggregate, a join back.
+4. Distinct trimmed contents are dealt to shards by anchor, about `shard_bytes` each. A shard builds a
+   run-length index: the BWT of its contents as runs, each run with its head and the suffix-array samples of
+   its two ends. At those samples the match with the neighbouring rank is measured on the bytes; between
+   samples it falls by one for each byte, since ranks inside a run keep their neighbours under LF. So matching
+   statistics against everything else in the shard are streamed over each content from the run ends alone, and
+   starts with `window` or more are marked.
+5. An anchor with more than `most_contents` contents is split over shards. A match that covers the anchor has
+   three quarters of `window` in one of four places around it, so contents meet under each of those four pieces,
+   and each piece may lie in a shard of its own. Only contents that share such a piece stay together.
 6. Marks are joined to the texts, verified against the recorded hash, and the rest is counted and hashed.
 
 Texts are UTF-8 bytes; null is empty. Rows count as documents of their own even when they repeat or share
 a doc_id; a null doc_id is an ordinary document. Strings are compared by anchor and hash, 128 bits, outside
-the shards and as they are inside.
+the shards and byte by byte inside.
 """
 
 from __future__ import annotations
@@ -53,72 +54,77 @@ class RunLengthIndex:
 
     run_starts: np.ndarray
     run_heads: np.ndarray
-    run_targets: np.ndarray  # LF of each run's first rank
-    run_end_samples: np.ndarray  # text position of each run's last rank
-    long_starts: np.ndarray  # ranges of rank that share `window` symbols with a neighbour
-    long_ends: np.ndarray
-    contents: int
+    run_start_samples: np.ndarray  # text position of each run's first rank
+    run_end_samples: np.ndarray  # and of its last
+    start_matches: np.ndarray  # symbols that the suffix at a run's start shares with the rank before
+    end_matches: np.ndarray  # and that at its end with the rank after
+    window: int
 
     @classmethod
     def build(cls, contents: list[bytes], window: int) -> RunLengthIndex:
         m = len(contents)
         lengths = np.array([len(c) for c in contents], np.int64)
         stops = np.cumsum(lengths + 1) - 1
-        text = np.frombuffer(b"\0".join([*contents, b""]), np.uint8).astype(np.int64) + m
+        data = np.frombuffer(b"\0".join([*contents, b""]), np.uint8)
+        text = data.astype(np.int64) + m
         text[stops] = np.arange(m)
-        n = len(text)
-        rank, k, agree = text, 1, None
-        while True:  # prefix doubling; the stops differ, so it ends at the longest content at the latest
-            if k <= window < 2 * k:
-                agree = cls.classes(rank, window - k)
-            order, rank = cls.classes(rank, k, order=True)
-            k *= 2
-            if rank[order[-1]] == n - 1 and agree is not None:
-                break
+        order = cls.sorted_suffixes(text)
         heads = text[order - 1]
         turns = np.concatenate(([0], np.flatnonzero(heads[1:] != heads[:-1]) + 1))
-        ends = np.concatenate((turns[1:], [n])) - 1
-        by_head = np.argsort(heads[turns], kind="stable")
-        sizes = (ends - turns + 1)[by_head]
-        targets = np.empty(len(turns), np.int64)
-        targets[by_head] = np.cumsum(sizes) - sizes
-        same = np.concatenate(([False], agree[order[1:]] == agree[order[:-1]], [False]))
-        long = same[1:] | same[:-1]
-        change = np.flatnonzero(np.diff(np.concatenate(([0], long.view(np.int8), [0]))))
-        return cls(turns, heads[turns], targets, order[ends], change[::2], change[1::2], m)
+        ends = np.concatenate((turns[1:], [len(text)])) - 1
+        room = np.repeat(stops, lengths + 1) - np.arange(len(text))  # symbols before the stop
+        first, last = order[turns], order[ends]
+        up, down = np.zeros(len(turns), np.int64), np.zeros(len(turns), np.int64)
+        up[1:] = cls.shared(data, room, first[1:], order[turns[1:] - 1])
+        down[:-1] = cls.shared(data, room, last[:-1], order[ends[:-1] + 1])
+        return cls(turns, heads[turns], first, last, up, down, window)
 
     @staticmethod
-    def classes(rank: np.ndarray, ahead: int, order: bool = False):
-        """Dense ranks of (rank at i, rank at i + ahead)."""
-        n = len(rank)
-        later = np.zeros(n, np.int64)
-        later[: max(0, n - ahead)] = rank[ahead:] + 1
-        key = rank * (n + 300 + int(rank.max())) + later
-        at = np.argsort(key)
-        new = np.empty(n, np.int64)
-        new[at] = np.cumsum(np.concatenate(([0], key[at][1:] != key[at][:-1])))
-        return (at, new) if order else new
+    def sorted_suffixes(text: np.ndarray) -> np.ndarray:
+        """By prefix doubling; the stops differ, so it ends at the longest content at the latest."""
+        rank, k, n = text, 1, len(text)
+        while True:
+            later = np.zeros(n, np.int64)
+            later[: max(0, n - k)] = rank[k:] + 1
+            key = rank * (n + 300 + int(rank.max())) + later
+            order = np.argsort(key, kind="stable")
+            rank = np.empty(n, np.int64)
+            rank[order] = np.cumsum(np.concatenate(([0], key[order][1:] != key[order][:-1])))
+            if rank[order[-1]] == n - 1:
+                return order
+            k *= 2
+
+    @staticmethod
+    def shared(data: np.ndarray, room: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bytes that the suffixes at a and b share before a stop, eight at a time."""
+        padded = np.concatenate((data, np.zeros(16, np.uint8))).astype(np.uint64)
+        eights = sum(padded[i : i + len(data) + 8] << np.uint64(8 * i) for i in range(8))
+        most = np.minimum(room[a], room[b])
+        out = np.zeros(len(a), np.int64)
+        left = np.flatnonzero(most > 0)
+        while len(left):
+            differ = eights[a[left] + out[left]] ^ eights[b[left] + out[left]]
+            low = differ & (~differ + np.uint64(1))
+            out[left] += np.where(differ == 0, 8, np.log2(np.maximum(low, np.uint64(1)).astype(np.float64)).astype(np.int64) // 8)
+            left = left[(differ == 0) & (out[left] < most[left])]
+        return np.minimum(out, most)
+
+    def matching_statistics(self, n: int) -> np.ndarray:
+        """For each of n text positions, how much it shares with another suffix of the shard at most."""
+        found = np.zeros(n, np.int64)
+        for samples, matches in ((self.run_start_samples, self.start_matches), (self.run_end_samples, self.end_matches)):
+            order = np.argsort(samples)
+            at, length = samples[order], matches[order]
+            reach = np.repeat(at + length, np.diff(np.concatenate((at, [n]))))
+            found[at[0] :] = np.maximum(found[at[0] :], reach - np.arange(at[0], n))
+        return found
 
     def long_matches(self, lengths: np.ndarray) -> list[np.ndarray]:
-        """Streams all contents backwards by LF steps; for each, the starts whose match elsewhere is long."""
-        rank = np.arange(self.contents)  # the stops are the smallest suffixes, in order
-        alive = np.arange(self.contents)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        step = 0
-        while len(alive):
-            step += 1
-            run = np.searchsorted(self.run_starts, rank, "right") - 1
-            rank = self.run_targets[run] + rank - self.run_starts[run]
-            more = step <= lengths[alive]
-            alive, rank = alive[more], rank[more]
-            if not len(alive):
-                break
-            r = np.searchsorted(self.long_starts, rank, "right") - 1
-            long = (r >= 0) & (rank < self.long_ends[r]) if len(self.long_starts) else np.zeros(len(rank), bool)
-            found.append((alive[long], lengths[alive[long]] - step))
-        who, where = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
-        order = np.lexsort((where, who))
-        return np.split(where[order], np.searchsorted(who[order], np.arange(1, self.contents)))
+        """For each content, the starts whose match elsewhere has `window` bytes or more."""
+        starts = np.cumsum(lengths + 1) - lengths - 1
+        long = np.flatnonzero(self.matching_statistics(int((lengths + 1).sum())) >= self.window)
+        parts = np.split(long, np.searchsorted(long, starts[1:]))
+        return [p - s for p, s in zip(parts, starts)]
 
 
 def byte_pieces(window: int, k: int):
@@ -209,9 +215,9 @@ def trim_before(window: int):
             content = r[5][:n][::-1] + r[4]
             if len(content) >= window:
                 h = Sequence(byte_items([content])[0]).spans(np.array([0]), np.array([len(content)])).view(np.int64)[0]
-                yield r[0], r[1] + r[3] - n, r[2], int(h), content
+                yield r[0], r[1] + r[3] - n, r[2], n, int(h), content
 
-    return lambda batches: in_batches(rows(batches), ["doc", "first", "anchor", "h", "content"], (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))
+    return lambda batches: in_batches(rows(batches), ["doc", "first", "anchor", "off", "h", "content"], (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))
 
 
 def span_batch(doc, first, last, h) -> pa.RecordBatch:
@@ -239,15 +245,16 @@ def match_shard(window: int):
     return run
 
 
-def each_string(window: int):
-    def run(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
-        out = []
-        for doc, first, anchor, text in zip(*(batch.column(i).to_pylist() for i in range(3)), text_bytes(batch.column(3))):
-            h = Sequence(byte_items([text])[0]).all_of(window).view(np.int64)
-            out.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(h), doc, np.int64)), pa.array((first + np.arange(len(h))).astype(np.int32)), pa.array(np.full(len(h), anchor, np.int64)), pa.array(h)], names=["doc", "first", "anchor", "h"]))
-        return out
+def pieces_around(window: int):
+    """Of columns (content, off): hashes of the four pieces around the anchor of which a match of `window` has one."""
+    quarter = window // 4
+    after = F.length("content") - F.col("off")
 
-    return run
+    def piece(before: int, ahead: int):
+        inside = F.substring(F.col("content"), F.col("off") - before * quarter + 1, F.lit(3 * quarter))
+        return F.when((F.col("off") >= before * quarter) & (after >= ahead * quarter), F.xxhash64(F.lit(before), "anchor", inside))
+
+    return F.array_compact(F.array(piece(0, 3), piece(1, 2), piece(2, 1), piece(3, 0)))
 
 
 def cleaned(window: int, digest: bool):
@@ -284,16 +291,15 @@ def remove_repeats(docs: DataFrame, *, window: int = 400, k: int = 24, shard_byt
     to_open = contents.join(compared, "anchor").select("source.doc", "source.first", "source.last", "h", "anchor")
     opened = cut(map_batches(texts.join(gathered(to_open, "first", "last", "h", "anchor"), "doc"), cut_out(window, k), "doc long, first int, anchor long, off int, content binary").withColumn("after", F.expr("substring(content, off + 1)")))
     half = opened.repartitionByRange("anchor", "after").sortWithinPartitions("anchor", "after").mapInArrow(trim_after, "doc long, first int, anchor long, off int, after binary, before binary")
-    trimmed = cut(half.repartitionByRange("anchor", "before").sortWithinPartitions("anchor", "before").mapInArrow(trim_before(window), "doc long, first int, anchor long, h long, content binary"))
-    left = cut(trimmed.groupBy("anchor", "h").agg(F.count("*").alias("n"), F.min(F.struct("doc", "first", "content")).alias("s")))
+    trimmed = cut(half.repartitionByRange("anchor", "before").sortWithinPartitions("anchor", "before").mapInArrow(trim_before(window), "doc long, first int, anchor long, off int, h long, content binary"))
+    left = cut(trimmed.groupBy("anchor", "h").agg(F.count("*").alias("n"), F.min(F.struct("doc", "first", "off", "content")).alias("s")))
     equal = trimmed.join(left.where("n > 1").select("anchor", "h"), ["anchor", "h"]).select("doc", "first", (F.col("first") + F.length("content") - window).alias("last"), "h")
     still = left.groupBy("anchor").agg(F.count("*").alias("contents"), F.min("n").alias("least")).where("contents > 1 and least = 1").select("anchor", (F.col("contents") > most_contents).alias("big"))
     compared_parts = cut(left.select("anchor", "s.*").join(still, "anchor"))
-    size = compared_parts.where("not big").agg(F.sum(F.length("content"))).first()[0] or 0
-    shards = compared_parts.where("not big").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(1 + size // shard_bytes)))
+    size = compared_parts.agg(F.sum(F.length("content"))).first()[0] or 0
+    groups_of = F.when(F.col("big"), pieces_around(window)).otherwise(F.array(F.xxhash64("anchor")))
+    dealt = compared_parts.select("doc", "first", "content", F.explode(groups_of).alias("g")).withColumn("shard", F.pmod("g", F.lit(1 + size // shard_bytes)))
+    shards = dealt.groupBy("shard", "doc", "first").agg(F.first("content").alias("content"))
     matched = shards.groupBy("shard").applyInArrow(match_shard(window), SPANS)
-    strings = cut(map_batches(compared_parts.where("big").select("doc", "first", "anchor", "content"), each_string(window), "doc long, first int, anchor long, h long"))
-    repeated = strings.groupBy("anchor", "h").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "h")
-    single = strings.join(repeated, ["anchor", "h"]).select("doc", "first", F.col("first").alias("last"), "h")
-    spans = gathered(whole.union(equal).union(matched).union(single), "first", "last", "h")
+    spans = gathered(whole.union(equal).union(matched), "first", "last", "h")
     return map_batches(texts.join(spans, "doc", "left"), cleaned(window, digest), f"doc_id long, n_bytes long, n_removed long, n_spans long, {'kept_sha256' if digest else 'kept'} string, spans array<struct<first:int,last:int>>")

@@ -62,3 +62,20 @@ def test_index_is_a_bwt():
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_given_table_at_the_registered_window(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    want = brute(rows, 400)
+    assert run(spark, rows) == want and run(spark, rows, most_contents=1) == want and sum(r[2] for r in want) > 0
+
+
+def test_matching_statistics_are_the_longest_matches():
+    dice = random.Random(5)
+    for _ in range(20):
+        contents = [bytes(dice.choice(b"ab\0") for _ in range(dice.randint(0, 25))) for _ in range(6)]
+        got = RunLengthIndex.build(contents, 3).matching_statistics(sum(len(c) + 1 for c in contents))
+        suffixes = [c[i:] for c in contents for i in range(len(c) + 1)]
+        common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert got.tolist() == [max(common(x, y) for j, y in enumerate(suffixes) if i != j) for i, x in enumerate(suffixes)]
