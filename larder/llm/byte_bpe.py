@@ -229,23 +229,28 @@ def join_job(ranks: dict[bytes, int], digest: bool):
     return run
 
 
-def encode_decode(docs: DataFrame, rank_path: str, pattern: str, *, digest: bool = True, buckets: int = 1024, block_chars: int = 32_000_000, part_chars: int = 1_000_000) -> DataFrame:
+def encode_decode(docs: DataFrame, rank_path: str, pattern: str, *, digest: bool = True, buckets: int | None = None, block_chars: int = 32_000_000, part_chars: int = 1_000_000) -> DataFrame:
     """docs (doc_id, text; more columns are ignored) -> doc_id, n_tokens, and either ids_sha256 and decoded_sha256
     or, with digest=False, ids (decimal, joined by one space) and decoded (text).
 
-    buckets: the distinct words of one bucket are held at a time, so raise it with the vocabulary.
+    buckets: the distinct words of one bucket are held at a time. Without a number there are 1,024, and one for every
+    2 * 10**9 characters beyond; partitions follow the input's size too, so that none grows with it.
     """
+    size = docs.agg(F.sum(F.length(F.col("text").cast("string")))).first()[0] or 0
+    buckets = buckets or max(1024, size // 2_000_000_000)
+    parts = 8 + 2 * (size // max(block_chars, 4_000_000))
     ranks = load_ranks(docs.sparkSession, rank_path)
     cols = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digest else "ids string, decoded string")
     asked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(split_job(pattern, buckets, block_chars, part_chars), ROUTE)
-    known = asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(encode_job(ranks), ROUTE)
-    return known.repartition("block").sortWithinPartitions("block", "kind", "part").mapInArrow(join_job(ranks, digest), cols)
+    known = asked.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(encode_job(ranks), ROUTE)
+    return known.repartition(parts, "block").sortWithinPartitions("block", "kind", "part").mapInArrow(join_job(ranks, digest), cols)
 
 
 def decode(ids: DataFrame, rank_path: str) -> DataFrame:
     """ids (doc_id long, pos long, id int) -> doc_id, data binary: joins the token-byte table (a fixed vocabulary,
-    so it is broadcast) and puts the bytes together by position. An unknown id contributes nothing."""
+    so it is broadcast) and puts the bytes together by position. An unknown id is an error."""
     spark = ids.sparkSession
     table = spark.createDataFrame([(i, bytearray(t)) for t, i in load_ranks(spark, rank_path).items()], "id int, piece binary")
-    parts = ids.join(F.broadcast(table), "id").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.hex("piece").alias("piece")))).alias("p"))
+    known = ids.join(F.broadcast(table), "id", "left").withColumn("piece", F.when(F.col("piece").isNull(), F.raise_error(F.concat(F.lit("no token has the id "), F.col("id").cast("string"))).cast("binary")).otherwise(F.col("piece")))
+    parts = known.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.hex("piece").alias("piece")))).alias("p"))
     return parts.select("doc_id", F.unhex(F.array_join(F.col("p.piece"), "")).alias("data"))

@@ -7,13 +7,17 @@
 2. Pages are sorted by host and URL path over all tasks (a range partition, so hosts and equal paths are
    split at any size), and each is compared within its partition; the first and last page of a partition
    meet their neighbours in the next ones afterwards. A page is paired with the neighbour in path order whose
-   path shares the longer prefix with its own. Repeated rows count as one page. `shard_pages` has no effect.
+   path shares the longer prefix with its own. Pages of a host with the same html count as one, at the first of their
+   paths, so a page is never compared with itself. The number of partitions changes no result.
 3. The lines of a pair are aligned by longest common subsequence, on line hashes. Shared lines are
    template text and are deleted. Two exceptions keep the article whole: body lines stay, since
    copies and quotations share whole paragraphs with their neighbours; and pages that share more than
    `copy_share` of their text that could stay (no chrome, nothing beside an article) are copies, whose shared
    lines say nothing about a template; the neighbour on the other side is taken then, if it is no copy.
-4. Chrome lines go. On pages with an article or main element only its lines stay; the rest is joined.
+4. What differencing can't see, because it changes from page to page, goes by its element or names: menus,
+   adverts, comments. An element that holds lines of its own (a paragraph, a heading, a cell) goes only by a whole
+   name, a container also by a word of a name; a name on a container around an article doesn't count against the
+   article. On pages with an article or main element only its lines stay; the rest is joined.
 
 Null or empty html gives an empty text. A null URL is its own host. Repeated rows and repeated or null
 page_ids each give their own row.
@@ -48,12 +52,27 @@ PIECE = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:\"[^\"]*\"|'[^']*'|[
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
+# First words of names that say what a container has or lacks, not what it is.
+ABOUT_WORDS = frozenset("with has no without contains".split())
+
+
 def is_chrome(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in CHROME_TAGS or tag == "header" and not in_article:
         return True
     if tag in ("html", "body", "article", "main") and "comment" not in attributes.lower() or not attributes:
         return False
-    return any(w in CHROME_WORDS for m in NAMES.finditer(attributes) for w in re.split(r"[^a-z]+", "".join(x or "" for x in m.groups()).lower()))
+    names = [n for m in NAMES.finditer(attributes) for n in "".join(x or "" for x in m.groups()).lower().split()]
+    if tag in BODY_TAGS:
+        return any(n in CHROME_WORDS for n in names)
+    words = [re.split(r"[^a-z]+", n) for n in names]
+    return any(w[0] not in ABOUT_WORDS and not CHROME_WORDS.isdisjoint(w) for w in words)
+
+
+def holds_article(tag: str, attributes: str, stack: list) -> bool:
+    """An article or main element, in no other and in no element that is chrome by itself, is no chrome whatever the
+    names around it say."""
+    inside = any(t in CHROME_TAGS or t == "header" or a for t, _, a in stack)
+    return tag in ("article", "main") and not inside and not is_chrome(tag, attributes, False)
 
 
 def page_lines(html: str) -> list[tuple[str, int, bool]]:
@@ -100,7 +119,7 @@ def page_lines(html: str) -> list[tuple[str, int, bool]]:
         if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") or tag[0] == "h" and tag[1:].isdigit():
             close_implied(stack, tag)
         chrome, article = stack[-1][1:] if stack else (False, False)
-        mine = chrome or is_chrome(tag, m["more"] or "", article)
+        mine = (chrome or is_chrome(tag, m["more"] or "", article)) and not (chrome and holds_article(tag, m["more"] or "", stack))
         if inline and mine and not chrome:
             close()
         stack.append((tag, mine, article or tag in ("article", "main")))
@@ -228,17 +247,17 @@ def main_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(counts, pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame, *, shard_pages: int = 2000, copy_share: float = 0.5) -> DataFrame:
+def extract(pages: DataFrame, *, partitions: int | None = None, copy_share: float = 0.8) -> DataFrame:
     """pages (page_id, url, html) -> page_id, url, text, n_chars."""
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    own = own.withColumn("key", F.xxhash64("page_id", "url", "html"))
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     path = F.coalesce(F.regexp_extract("url", r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?(.*)$", 1), F.lit(""))
-    keys = own.select("key", host.alias("host"), path.alias("path"), "html")
-    hashed = keys.mapInArrow(line_hashes, PAGE)
+    own = own.withColumn("host", host).withColumn("key", F.xxhash64("host", "html"))
+    hashed = own.select("key", "host", path.alias("path"), "html").mapInArrow(line_hashes, PAGE)
+    hashed = hashed.groupBy("key").agg(F.min(F.struct("host", "path", "hashes", "sizes")).alias("x")).select("key", "x.*")
     order = ["host", "path", "key"]
     page = ", ".join(f"{c} struct<{PAGE.replace(' ', ':').replace(',:', ',')}>" for c in ("page", "before", "after"))
-    inner = cut(hashed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compare(copy_share, True), f"key long, gone array<int>, {page}"))
+    inner = cut(hashed.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order).mapInArrow(compare(copy_share, True), f"key long, gone array<int>, {page}"))
     ends = inner.where("page is not null").select("page", "before", "after").repartition(1).sortWithinPartitions(*(f"page.{c}" for c in order))
     gone = inner.where("page is null").select("key", "gone").union(ends.mapInArrow(compare(copy_share, False), "key long, gone array<int>"))
     return own.join(gone, "key", "left").select("page_id", "url", "html", "gone").mapInArrow(main_text, "page_id long, url string, text string, n_chars long")

@@ -5,7 +5,7 @@
    Expectation-maximisation over the patterns estimates the share of good texts and how each labeller
    votes on good and on bad ones, and so its accuracy; it starts from the sum of votes. Labellers whose
    silence is no praise only vote bad. This yields a posterior for each pattern.
-3. About `sample_docs` documents, chosen by a hash of doc_id, are hashed into `2 ** bits` features (words,
+3. About `sample_docs` documents, chosen by a hash of doc_id and text, are hashed into `2 ** bits` features (words,
    word shapes, repeats); a logistic scorer is fitted to their posteriors by full gradient steps, whose
    sums are taken on the executors. The sample is the documented bound of the fit; all else covers all rows.
 4. Every document is scored by the linear scorer alone.
@@ -142,8 +142,8 @@ def train(docs: DataFrame, *, sample_docs: int = 6000, bits: int = 16, steps: in
             rows = [(*features.of(t), posterior["".join(chr(ord("1") + v) for v in votes(t))]) for t in text_bytes(batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0].tolist() for r in rows], pa.list_(pa.int32())), pa.array([r[1].tolist() for r in rows], pa.list_(pa.float64())), pa.array([r[2] for r in rows], pa.float64())], names=["i", "x", "y"])
 
-    chosen = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(29)), F.lit(1_000_003)) < part * 1_000_003
-    table = cut(texts.where(chosen).select("text").mapInArrow(sample, "i array<int>, x array<double>, y double").coalesce(8))
+    chosen = F.pmod(F.xxhash64("doc_id", "text", F.lit(29)), F.lit(1_000_003)) < part * 1_000_003
+    table = cut(texts.where(chosen).select("text").mapInArrow(sample, "i array<int>, x array<double>, y double").repartition(8))
 
     def gradient(w: np.ndarray):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

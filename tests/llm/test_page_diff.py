@@ -1,6 +1,8 @@
+import os
 import random
+import re
 
-from larder.llm.page_diff import extract, page_lines, shared_lines
+from larder.llm.page_diff import BODY, CHROME, extract, page_lines, shared_lines
 
 SCHEMA = "page_id long, url string, html string, host string, key string"
 
@@ -28,14 +30,14 @@ def test_shared_lines_of_neighbours_go(spark):
     rows = [(i, f"https://h.example/{'ab'[i % 2]}/{i}", page.format(f"topic{i}")) for i in range(6)]
     got = texts(spark, rows)
     assert all(got[i][1] == f"topic{i} Long own text about topic{i} and on topic{i}" for i in range(6))
-    assert texts(spark, rows, shard_pages=3).keys() == got.keys()
+    assert texts(spark, rows, partitions=3).keys() == got.keys()
 
 
 def test_neighbours_are_the_same_at_every_size(spark):
     page = "<html><body><div>Section {0} greets you</div><p>Own text of page {1} that is long enough to be no copy {1}</p></body></html>"
     rows = [(i, f"https://h.example/s{i % 9}/{i:03}", page.format(i % 9, i)) for i in range(90)]
     rows += [(i, None, f"<div>Open line</div><p>Text {i} of a page that has no address at all, {i}</p>") for i in range(100, 140)]
-    got, small = texts(spark, rows), texts(spark, rows, shard_pages=3)
+    got, small = texts(spark, rows), texts(spark, rows, partitions=3)
     assert got == small and not any("greets" in x[1] or "Open line" in x[1] for x in got.values())
 
 
@@ -55,6 +57,57 @@ def test_copies_and_shared_paragraphs_stay(spark):
     assert got[1][1] == "Same Shared paragraph. Own 1" and got[7][1] == got[8][1] == "Copied text with no article"
 
 
+def test_names_around_and_inside_an_article(spark):
+    rows = [(1, "http://h/1", '<div class="with-sidebar"><article><p>Text of one</p></article></div><div class="sidebar">Side</div>'), (2, "http://h/2", '<div id="page-widget"><main><p class="share-price">Shares rose</p><p class="ad">Buy</p></main></div>')]
+    got = texts(spark, rows)
+    assert got[1][1] == "Text of one" and got[2][1] == "Shares rose"
+
+
+def test_repeated_pages_bring_no_template_back(spark):
+    page = "<html><body><div>Welcome</div><p>Own text of {0}, long enough to be told from the rest, {0}</p><div>Read more</div></body></html>"
+    rows = [(i, f"http://h/{i}", page.format(i)) for i in range(3)] + [(1, "http://h/1", page.format(1))] * 2 + [(9, "http://h/1", page.format(1)), (8, "http://h/1b", page.format(1))]
+    got = texts(spark, rows)
+    assert all(x[1].startswith("Own text") and x[1].endswith(str(min(i, 9))) or i > 2 for i, x in got.items()) and got[9][1] == got[8][1] == got[1][1]
+
+
+def brute(rows):
+    """Pages in path order in one list; each compared with its neighbours by a plain table of common subsequences."""
+    def host_path(u):
+        m = re.match(r"[a-z]+://([^/?#]*)(.*)", u or "")
+        return (m[1], m[2]) if m else ("", u or "")
+
+    first = {}
+    for _, u, h in rows:
+        k = (host_path(u)[0], h)
+        first[k] = min(first.get(k, host_path(u)), host_path(u))
+    order = sorted(first, key=lambda k: first[k])
+    out = {}
+    for n, k in enumerate(order):
+        lines = page_lines(k[1] or "")
+        has = any(inside for _, _, inside in lines)
+        size = [len(t) if place != CHROME and (inside or not has) else 0 for t, place, inside in lines]
+        near = [order[i] for i in (n - 1, n + 1) if 0 <= i < len(order) and order[i][0] == k[0]]
+        same = lambda o: len(os.path.commonprefix([first[k][1], first[o][1]]))
+        gone = set()
+        for o in sorted(near, key=lambda o: -same(o)):
+            found = set(shared_lines([t for t, _, _ in lines], [t for t, _, _ in page_lines(o[1] or "")]))
+            if sum(size[i] for i in found) <= 0.8 * sum(size):
+                gone = found
+                break
+        out[k] = " ".join(t for i, (t, place, inside) in enumerate(lines) if place != CHROME and (inside or not has) and (place == BODY or i not in gone))
+    return {i: out[host_path(u)[0], h] for i, u, h in rows}
+
+
+def test_given_pages_against_brute_force(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = [(r.page_id, r.url, r.html) for r in pages.select("page_id", "url", "html").collect()]
+    # and the same pages without article elements, where differencing alone tells template from text
+    rows += [(10**6 + i, f"http://bare.example/{i}", (h or "").replace("<article", "<div").replace("</article>", "</div>").replace("<main", "<div").replace("</main>", "</div>")) for i, _, h in rows]
+    want = brute(rows)
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string"), partitions=5).collect()}
+    assert got == want
+
+
 def test_longest_common_subsequence():
     dice = random.Random(1)
     for _ in range(200):
