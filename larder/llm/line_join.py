@@ -16,7 +16,8 @@ position) stays; every other occurrence goes.
    within tau edits, so any two of them meet under three segments' contents at once, some three fifths of the
    line. A signature that is still shared by more than `bucket` lines is dealt into blocks, two at a time to a
    group, which is exact and splits the work, but grows with the square of such lines.
-4. Pairs are verified. The built-in banded distance drops the hopeless ones; the others are judged by a
+4. Only pairs whose parities of letters allow tau edits are made at all, so lines that share a key but differ in
+   a word or more give no rows. The built-in banded distance drops what is hopeless still; the others are judged by a
    nondeterministic automaton of 2 tau + 1 diagonals and tau + 1 error levels in the bits of one long.
 5. Components of links are the classes; occurrences to drop are joined to the texts by doc_id, and
    a line goes only if its hash there is the recorded one.
@@ -42,7 +43,11 @@ BLANKS = " \t\r\x0b\x0c"
 
 
 def stripped(line: Column) -> Column:
-    return F.btrim(line, F.lit(BLANKS))
+    """Without blanks at its ends; the slow trim is for lines with other blanks than spaces there."""
+    plain, odd = F.trim(line), F.lit(False)
+    for b in BLANKS[1:]:
+        odd = odd | F.startswith(plain, F.lit(b)) | F.endswith(plain, F.lit(b))
+    return F.when(odd, F.btrim(line, F.lit(BLANKS))).otherwise(plain)
 
 
 def common_start(a: Column, b: Column) -> Column:
@@ -151,7 +156,8 @@ def segment_keys(lines: DataFrame, tau: int) -> DataFrame:
     """lines (id, line, n) -> (id, own, key) of single segments."""
     array, own = keys(tau)
     wide = lines.select("id", "n", F.encode("line", "UTF-32").alias("wide"))
-    return wide.select("id", F.posexplode(array).alias("at", "key")).where("key is not null").select("id", (F.col("at") < own).alias("own"), "key")
+    # the array is a column of its own: inside the generator its code would be too long to be compiled
+    return wide.select("id", array.alias("keys")).select("id", F.posexplode("keys").alias("at", "key")).where("key is not null").select("id", (F.col("at") < own).alias("own"), "key")
 
 
 def members_of(keyed: DataFrame) -> DataFrame:
@@ -162,13 +168,23 @@ def members_of(keyed: DataFrame) -> DataFrame:
     return dealt.select("key", "tag").distinct().select("key", F.col("tag").bitwiseAND(F.lit(~PROBE)).alias("id"), (F.col("tag") < 0).alias("probe"))
 
 
-def pairs_of(members: DataFrame, bucket: int) -> DataFrame:
-    """(key, id, probe, n) -> distinct (a, b), a < b. A key of more than `bucket` members is dealt into blocks."""
+def parities(line: Column) -> Column:
+    """A bit for each letter, digit and the blank: whether the line holds it an odd number of times. An edit changes two bits at most."""
+    out = F.lit(0).cast("long")
+    for i, c in enumerate("abcdefghijklmnopqrstuvwxyz 0123456789"):
+        odd = (F.length(line) - F.length(F.replace(line, F.lit(c), F.lit("")))) % 2
+        out = out.bitwiseOR(F.shiftleft(odd.cast("long"), i))
+    return out
+
+
+def pairs_of(members: DataFrame, tau: int, bucket: int) -> DataFrame:
+    """(key, id, probe, n, bits) -> distinct (a, b), a < b, whose parities leave `tau` edits possible. A key of more than
+    `bucket` members is dealt into blocks."""
     placed = members.withColumn("blocks", F.ceil(F.col("n") / bucket)).withColumn("block", F.pmod(F.xxhash64("id", F.lit(5)), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     # lines of different blocks meet under both blocks; those of one block under that block alone
-    placed = placed.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "probe", "block")
-    index = placed.where("not probe").select("key", "i", "j", F.col("id").alias("a"), F.col("block").alias("own"))
-    met = index.join(placed.withColumnRenamed("id", "b"), ["key", "i", "j"]).where("a <> b and (probe or a < b) and (i = j or own <> block)")
+    placed = placed.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "probe", "block", "bits")
+    index = placed.where("not probe").select("key", "i", "j", F.col("id").alias("a"), F.col("block").alias("own"), F.col("bits").alias("own_bits"))
+    met = index.join(placed.withColumnRenamed("id", "b"), ["key", "i", "j"]).where(f"a <> b and (probe or a < b) and (i = j or own <> block) and bit_count(own_bits ^ bits) <= {2 * tau}")
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -177,17 +193,18 @@ def near_links(lines: DataFrame, *, tau: int, bucket: int, broadcast_lines: int)
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         some = F.broadcast(wanted) if wanted.count() <= broadcast_lines else wanted
-        return cut(lines.join(some, "id").groupBy("id").agg(F.min("line").alias("line")).withColumn("n", F.length("line")))
+        return cut(lines.join(some, "id").groupBy("id").agg(F.min("line").alias("line")).select("id", "line", F.length("line").alias("n"), parities(F.col("line")).alias("bits")))
 
     members = cut(members_of(segment_keys(lines, tau)))
+    texts = texts_of(cut(members.select("id").distinct()))
+    bits = texts.select("id", "bits")
     sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-    pairs = cut(pairs_of(members.join(sizes.where(F.col("n") <= bucket), "key"), bucket))
+    pairs = cut(pairs_of(members.join(sizes.where(F.col("n") <= bucket), "key").join(bits, "id"), tau, bucket))
     crowded = cut(members.join(sizes.where(F.col("n") > bucket), "key", "left_semi").select("id").distinct())
-    crowd = not crowded.isEmpty()
-    texts = texts_of(cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(crowded).distinct()))
-    if crowd:
+    if not crowded.isEmpty():
         again = cut(members_of(signatures(texts.join(crowded, "id", "left_semi"), tau, 3)))
-        pairs = cut(pairs.union(pairs_of(again.join(again.groupBy("key").agg(F.count("*").alias("n")), "key"), bucket)).distinct())
+        more = again.join(again.groupBy("key").agg(F.count("*").alias("n")), "key").join(bits, "id")
+        pairs = cut(pairs.union(pairs_of(more, tau, bucket)).distinct())
     first, second = (texts.select(F.col("id").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
     return cut(pairs.join(first, "a").join(second, "b").where(within(F.col("la"), F.col("lb"), tau)).select("a", "b"))
 
