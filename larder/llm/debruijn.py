@@ -118,13 +118,14 @@ def remove_repeats(docs: DataFrame, *, window: int = 50, k: int = 8, digest: boo
         raise ValueError("k must lie between 1 and window")
     texts = keyed(docs)
     pieces = cut(map_batches(texts, word_pieces(window, k), "doc long, first int, last int, anchor long, h long"))
-    shared = pieces.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), (F.min("h") < F.max("h")).alias("branches")).where("lo < hi").select("anchor", "branches")
+    # written tables, so that a join with them deals both sides anew and a hot anchor or content can be split
+    shared = cut(pieces.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), (F.min("h") < F.max("h")).alias("branches")).where("lo < hi").select("anchor", "branches"))
     shared_pieces = cut(pieces.join(shared, "anchor"))
-    contents = shared_pieces.groupBy("anchor", "h").agg(F.min(F.struct("doc", "first", "last")).alias("source"), F.max("branches").alias("branches"))
+    contents = cut(shared_pieces.groupBy("anchor", "h").agg(F.min(F.struct("doc", "first", "last")).alias("source"), F.max("branches").alias("branches")))
     whole = shared_pieces.select("anchor", "h", "doc", "first", "last").join(contents.select("anchor", "h", "source.doc").withColumnRenamed("doc", "least"), ["anchor", "h"]).where("doc > least")
     to_open = contents.where("branches").select("source.doc", "source.first", "source.last", "anchor", "h")
     edges = cut(map_batches(texts.join(gathered(to_open, "first", "last", "h", "anchor"), "doc"), opened(window), "doc long, offset int, anchor long, content long, h long"))
-    least = edges.groupBy("anchor", "h").agg(F.min("doc").alias("least"))
+    least = cut(edges.groupBy("anchor", "h").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most"))
     again = edges.join(least, ["anchor", "h"]).where("doc > least").select("anchor", "content", "doc", "offset", "h").distinct()
     places = shared_pieces.where("branches").select("anchor", F.col("h").alias("content"), "doc", "first").distinct()
     single = again.join(places, ["anchor", "content", "doc"]).withColumn("first", F.col("first") + F.col("offset"))
