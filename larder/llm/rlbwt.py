@@ -283,7 +283,8 @@ def remove_repeats(docs: DataFrame, *, window: int = 400, k: int = 24, shard_byt
         raise ValueError("k must lie between 1 and window")
     texts = keyed(docs)
     pieces = cut(map_batches(texts, byte_pieces(window, k), SPANS.replace("h long", "anchor long, h long")))
-    shared = pieces.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("h") < F.max("h")).alias("branches")).where("n > 1").select("anchor", "branches")
+    # a written table, so that the join with it deals both sides anew and a hot anchor can be split
+    shared = cut(pieces.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("h") < F.max("h")).alias("branches")).where("n > 1").select("anchor", "branches"))
     shared_pieces = cut(pieces.join(shared, "anchor"))
     contents = cut(shared_pieces.groupBy("anchor", "h").agg(F.count("*").alias("n"), F.min(F.struct("doc", "first", "last")).alias("source"), F.max("branches").alias("branches")))
     whole = shared_pieces.join(contents.where("n > 1").select("anchor", "h"), ["anchor", "h"]).select("doc", "first", "last", "h")
