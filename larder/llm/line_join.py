@@ -198,7 +198,7 @@ def near_links(lines: DataFrame, *, tau: int, bucket: int, broadcast_lines: int)
     members = cut(members_of(segment_keys(lines, tau)))
     texts = texts_of(cut(members.select("id").distinct()))
     bits = texts.select("id", "bits")
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    sizes = cut(members.groupBy("key").agg(F.count("*").alias("n")))
     pairs = cut(pairs_of(members.join(sizes.where(F.col("n") <= bucket), "key").join(bits, "id"), tau, bucket))
     crowded = cut(members.join(sizes.where(F.col("n") > bucket), "key", "left_semi").select("id").distinct())
     if not crowded.isEmpty():
