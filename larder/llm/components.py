@@ -30,4 +30,6 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components are not complete after {most_rounds} rounds")
     return edges.groupBy("u").agg(F.min("v").alias("component_id")).select(F.col("u").alias("id"), "component_id").union(edges.select(F.col("v").alias("id"), F.col("v").alias("component_id")).distinct())

@@ -223,7 +223,7 @@ def set_batches(words: int):
 
 def dealt(members: DataFrame, block: int) -> DataFrame:
     """Members of each leader in blocks of about `block`, once for each other block they meet."""
-    size = members.groupBy("leader").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    size = cut(members.groupBy("leader").agg(F.ceil(F.count("*") / block).alias("blocks")))
     placed = members.join(size, "leader").withColumn("block", F.pmod(F.xxhash64("rep", F.lit(5)), "blocks"))
     return placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
 
@@ -237,7 +237,8 @@ def near_duplicates(docs: DataFrame, *, words: int = 5, percent: int = 80, m: in
     sets = cut(sketch.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc", "n", "regs", "keys")).alias("s")).select("d1", "d2", F.col("s.doc").alias("rep"), "s.n", "s.regs", "s.keys"))
     nodes = sets.select("rep", "n", "regs")
     bands = sets.select("rep", F.explode("keys").alias("key"))
-    buckets = bands.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).where("size > 1")
+    # written tables, here and in dealt(), so that a join with them deals both sides anew and a hot key can be split
+    buckets = cut(bands.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).where("size > 1"))
     members = cut(bands.join(buckets, "key"))
 
     ends = [nodes.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}")) for x in "ab"]

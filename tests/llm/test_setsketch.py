@@ -78,3 +78,12 @@ def test_components_of_a_long_path(spark):
     links = [(names[i], names[i + 1]) for i in range(0, 199)] + [(names[200], names[i]) for i in range(201, 300)] + [(5, 5)]
     got = {r.id: r.component_id for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {n: min(names[:200]) if i < 200 else min(names[200:]) for i, n in enumerate(names)}
+
+
+def test_words_that_a_polynomial_would_confuse(spark):
+    signs = [0]
+    while len(signs) < 1024:
+        signs += [1 - x for x in signs]
+    rows = [(1, "".join("ab"[x] for x in signs)), (2, "".join("ba"[x] for x in signs))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(1, 1, True), (2, 2, True)}
