@@ -646,8 +646,8 @@ page_docs("product_descriptions", html.descriptions)
 page_docs("sitemap_html_categories", lambda d: html.sitemap_nodes(d, BASE + "/en"))
 
 
-def spec_docs(p: DataFrame, a: DataFrame) -> DataFrame:
-    """A product's attributes as a definition list, a table, a list under a heading and a paragraph, by id."""
+def spec_docs(p: DataFrame, a: DataFrame, k: int) -> DataFrame:
+    """A product's attributes as a definition list, a table, a list under a heading or a paragraph (k = 0 to 3)."""
     rows = catalog.nested(a.where(catalog.valid(F.col("value"))), "product_id", ["name", "value"], ["sort_order", "name"], "x")
     put = lambda start, f, end: F.concat(F.lit(start), F.array_join(F.transform("x", f), ""), F.lit(end))
     forms = (
@@ -656,16 +656,15 @@ def spec_docs(p: DataFrame, a: DataFrame) -> DataFrame:
         put("<h3>Technical data</h3><ul>", lambda s: F.concat(F.lit("<li>"), s["name"], F.lit(": "), s["value"], F.lit("</li>")), "</ul>"),
         put("<p><strong>Specifications</strong>:", lambda s: F.concat(F.lit(" "), s["name"], F.lit(": "), s["value"], F.lit(" •")), "</p>"),
     )
-    html_of = F.get(F.array(*forms), (F.col("id") % 4).cast("int"))
-    return p.select("id").join(rows, "id").select(F.col("id").alias("doc_id"), html_of.alias("html"))
+    return p.select("id").join(rows, "id").select(F.col("id").alias("doc_id"), forms[k].alias("html"))
 
 
 def spec_query(name: str, k: int, rank: int) -> None:
     simple(
         name,
         "fx_products fx_attributes",
-        lambda p, a: html.spec_pairs(spec_docs(p.where(F.col("id") % 4 == k), a)).where(F.col("rank") == rank).select("doc_id", "name", "value"),
-        f"SELECT product_id AS doc_id, name, trim(value) AS value FROM fx_attributes WHERE product_id % 4 = {k} AND trim(value) <> ''",
+        lambda p, a: html.spec_pairs(spec_docs(p, a, k)).where(F.col("rank") == rank).select("doc_id", "name", "value"),
+        f"SELECT product_id AS doc_id, name, trim(value) AS value FROM fx_attributes WHERE trim(value) <> ''",
     )
 
 

@@ -17,10 +17,11 @@ from ..functions import paths, text
 
 # Section names by what they hold.
 LONG_SECTIONS = ("highlights", "features", "product details", "benefits", "construction", "applications", "compatibility", "usage", "additional information", "description", "details", "specifications")
+INTRO_SECTIONS = ("highlights", "features", "specifications", "product details", "description", "details")  # fixed values: what an intro doesn't begin with
 STOP_SECTIONS = ("reviews", "ratings", "alternatives", "related products", "recommended products", "frequently bought together", "recently viewed", "shipping", "returns", "payment", "support", "footer")
 BLOCKS = frozenset("p div h1 h2 h3 h4 h5 h6 li dt dd td th a".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-BLOCK_SCHEMA = "doc_id long, pos int, tag string, depth int, list_depth int, row int, in_specs boolean, nested boolean, href string, text string"
+BLOCK_SCHEMA = "doc_id long, pos int, tag string, depth int, list_depth int, row int, in_specs boolean, nested boolean, href string, holds boolean, text string"
 
 
 class _Blocks(HTMLParser):
@@ -36,6 +37,10 @@ class _Blocks(HTMLParser):
             self.hidden += 1
         if tag == "tr":
             self.row += 1
+        if tag in ("table", "ul", "ol"):
+            for _, above in self.open:
+                if above:
+                    above[9] = True
         row = None
         if tag in BLOCKS:
             names = f"{given.get('id') or ''} {given.get('class') or ''}".lower().split()
@@ -43,10 +48,12 @@ class _Blocks(HTMLParser):
             for _, above in self.open:
                 if above and tag != "a":
                     above[6] = True
-            row = [len(self.rows), tag, len(self.open), sum(t in ("ul", "ol") for t, _ in self.open), self.row, inside or self.in_specs(), False, given.get("href"), []]
+                if above and tag[0] == "h":
+                    above[9] = True
+            row = [len(self.rows), tag, len(self.open), sum(t in ("ul", "ol") for t, _ in self.open), self.row, inside or self.in_specs(), False, given.get("href"), [], False]
             self.rows.append(row)
         elif any(n in ("specs", "specifications") for n in f"{given.get('id') or ''} {given.get('class') or ''}".lower().split()):
-            row = [0, tag, 0, 0, 0, True, False, None, []]  # a container only
+            row = [0, tag, 0, 0, 0, True, False, None, [], False]  # a container only
         if tag not in VOID:
             self.open.append((tag, row))
 
@@ -75,10 +82,10 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             p = _Blocks()
             p.feed(html or "")
             p.close()
-            out += [(doc, *r[:8], " ".join("".join(r[8]).split())) for r in p.rows]
-        cols = list(zip(*out)) if out else [[]] * 10
-        kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "pos", "tag", "depth", "list_depth", "row", "in_specs", "nested", "href", "text"])
+            out += [(doc, *r[:8], r[9], " ".join("".join(r[8]).split())) for r in p.rows]
+        cols = list(zip(*out)) if out else [[]] * 11
+        kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.string(), pa.bool_(), pa.string())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "pos", "tag", "depth", "list_depth", "row", "in_specs", "nested", "href", "holds", "text"])
 
 
 def html_blocks(docs: DataFrame) -> DataFrame:
@@ -95,8 +102,8 @@ def contains_any(c: Column, words: tuple[str, ...]) -> Column:
 
 
 def intro_paragraph(blocks: DataFrame) -> DataFrame:
-    """The first paragraph or plain block of 15 characters or more that opens no section."""
-    plain = blocks.where(F.col("tag").isin("p", "div") & ~F.col("nested") & (F.length("text") >= 15) & ~F.exists(F.array(*(F.lit(w) for w in LONG_SECTIONS)), lambda w: F.startswith(F.lower("text"), w)))
+    """The first paragraph or block of 15 characters or more that holds no heading, table or list and opens no section."""
+    plain = blocks.where(F.col("tag").isin("p", "div") & ~F.col("holds") & (F.length("text") >= 15) & ~F.startswith("text", F.lit("<")) & ~F.exists(F.array(*(F.lit(w) for w in INTRO_SECTIONS)), lambda w: F.startswith(F.lower("text"), w)))
     return plain.groupBy("doc_id").agg(F.min(F.struct("pos", "text")).alias("x")).select("doc_id", F.col("x.pos").alias("pos"), F.col("x.text").alias("short_description"))
 
 
@@ -136,13 +143,19 @@ def spec_pairs(docs: DataFrame) -> DataFrame:
     return terms.union(cells).union(split)
 
 
+DEEPEST = 12  # links nested deeper count as of this depth
+
+
 def sitemap_nodes(docs: DataFrame, base: str) -> DataFrame:
     """Links of nested lists as category rows: doc_id, pos, name, canonical_path, parent_path, level, source_count. The
     parent is the nearest link before of a lesser list depth; of equal paths the first stays."""
     links = html_blocks(docs).where("tag = 'a' and list_depth > 0 and href is not null")
     rows = links.select("doc_id", "pos", F.col("list_depth").alias("level"), text.clean_category_name(F.col("text")).alias("name"), paths.normalize_path(F.col("href"), base).alias("canonical_path"), text.extract_count(F.lit(""), F.col("text")).alias("source_count")).where("canonical_path not in ('', '/')")
     by = Window.partitionBy("doc_id").orderBy("pos")
-    levels = rows.withColumn("above", F.collect_list(F.struct("level", "canonical_path")).over(by.rowsBetween(Window.unboundedPreceding, -1)))
-    parent = F.try_element_at(F.filter("above", lambda s: s["level"] < F.col("level")), F.lit(-1))["canonical_path"]
+    # the last link before at each depth; lists are nested a few levels deep, and the nearest lesser one is the latest
+    before = by.rowsBetween(Window.unboundedPreceding, -1)
+    last = F.array(*(F.last(F.when(F.col("level") == n, F.struct("pos", "canonical_path")), True).over(before) for n in range(1, DEEPEST)))
+    levels = rows.withColumn("above", last)
+    parent = F.array_max(F.filter("above", lambda s, n: s.isNotNull() & (n + 1 < F.least(F.col("level"), F.lit(DEEPEST)))))["canonical_path"]
     first = levels.select("doc_id", "pos", "name", "canonical_path", parent.alias("parent_path"), "level", "source_count").withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "canonical_path").orderBy("pos")))
     return first.where("r = 1").drop("r")
