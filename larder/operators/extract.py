@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths, text
 from ..functions.text import first_present
+from ..sources import html
 from .catalog import image_url
 from .listing import field, values
 
@@ -59,15 +60,15 @@ def variant_stock() -> Column:
     return F.when(F.size(levels) > 0, F.aggregate(levels, F.lit(0), lambda a, b: a + b))
 
 
-def stock(html: Column | None = None) -> Column:
+def stock(page: Column | None = None) -> Column:
     s = stock_field()
     out = F.coalesce(F.when(is_object(s), field(s, "level", "quantity", "qty", "stock").try_cast("int")), variant_stock())
-    if html is not None:
-        out = F.coalesce(out, F.nullif(F.regexp_extract(html, r"(?i)(\d+)\s*\+?\s*in\s*stock", 1), F.lit("")).try_cast("int"), F.when(html.rlike(r"(?i)out\s*of\s*stock"), 0))
+    if page is not None:
+        out = F.coalesce(out, F.nullif(F.regexp_extract(page, r"(?i)(\d+)\s*\+?\s*in\s*stock", 1), F.lit("")).try_cast("int"), F.when(page.rlike(r"(?i)out\s*of\s*stock"), 0))
     return out
 
 
-def stock_status(amount: Column, html: Column | None = None) -> Column:
+def stock_status(amount: Column, page: Column | None = None) -> Column:
     s = stock_field()
     on, available, level = (F.get_json_object(s, f"$.{n}") for n in ("on_stock", "available", "level"))
     backorder = F.coalesce(first_present(*(F.get_json_object(s, f"$.{n}") for n in ("allow_outofstock_sale", "delivery"))), F.lit("false")) != "false"
@@ -87,8 +88,8 @@ def stock_status(amount: Column, html: Column | None = None) -> Column:
         return F.when(c.rlike("in[ _]stock"), "in_stock").when(c.rlike("out[ _]of[ _]stock"), "out_of_stock").when(c.contains("backorder"), "on_backorder")
 
     out = F.coalesce(F.when(is_object(s), of_object).otherwise(of_words(s)), of_words(f("stockStatus", "availabilityText")), F.when(amount > 0, "in_stock").when(amount.isNotNull(), "out_of_stock"))
-    if html is not None:
-        out = F.coalesce(out, F.when(html.rlike(r"(?i)in\s*stock"), "in_stock").when(html.rlike(r"(?i)out\s*of\s*stock"), "out_of_stock").when(html.rlike("(?i)backorder"), "on_backorder"))
+    if page is not None:
+        out = F.coalesce(out, F.when(page.rlike(r"(?i)in\s*stock"), "in_stock").when(page.rlike(r"(?i)out\s*of\s*stock"), "out_of_stock").when(page.rlike("(?i)backorder"), "on_backorder"))
     return out
 
 
@@ -103,13 +104,15 @@ def url(base: str) -> Column:
 
 
 def products(raw: DataFrame, base: str) -> tuple[DataFrame, DataFrame]:
-    """Normalised products, and rejects (body, error): documents without an identity or with a price that is no number."""
-    rows = parsed(raw).withColumns({"sku": sku(), "price_text": price_text(), "stock": stock()})
+    """Normalised products, and rejects (body, error, key): documents without an identity or with a price that is no number.
+    raw may have a column `page`, the product's HTML, for stock that the JSON lacks."""
+    page = F.col("page") if "page" in raw.columns else None
+    rows = parsed(raw).withColumns({"sku": sku(), "price_text": price_text(), "stock": stock(page)})
     error = F.when(F.col("m").isNull(), "no JSON").when(F.col("sku").isNull(), "no SKU and no product id").when(F.col("price_text").isNotNull() & F.col("price_text").try_cast("double").isNull(), "price is no number")
     rows = rows.withColumn("error", error)
     good = rows.where("error is null").select(
         product_id().alias("product_id"), "sku", f("ean", "gtin", "upc").alias("ean"), f("title", "name", "productName").alias("title"), F.col("price_text").cast("double").alias("price"), F.col("price_text").cast("double").alias("regular_price"),
-        "stock", stock_status(F.col("stock")).alias("stock_status"), brand().alias("brand"), F.coalesce(f("currency"), F.lit("EUR")).alias("currency"), url(base).alias("url"), "body",
+        "stock", stock_status(F.col("stock"), page).alias("stock_status"), brand().alias("brand"), F.coalesce(f("currency"), F.lit("EUR")).alias("currency"), url(base).alias("url"), "body",
     )
     key = first_present(F.col("sku"), F.get_json_object("body", "$.sku"), F.get_json_object("body", "$.id"))
     return good, rows.where("error is not null").select("body", "error", key.alias("key"))
@@ -139,6 +142,16 @@ def json_specs(raw: DataFrame) -> DataFrame:
     return rows.select("sku", "rank", "pos", "x.name", "x.value").where("name is not null and value is not null")
 
 
+def product_specs(raw: DataFrame) -> DataFrame:
+    """sku, rank, pos, name, value of every source in order of precedence: JSON (1, 2), the content's HTML (3 to 6), the
+    article number (7) and the EAN (8)."""
+    rows = parsed(raw).select(F.xxhash64("body").alias("doc_id"), sku().alias("sku"), f("content").alias("html"), f("sku", "number", "articleNumber").alias("number"), f("ean", "gtin", "upc").alias("ean")).distinct()
+    found = html.spec_pairs(rows.where("html is not null").select("doc_id", "html")).join(rows.select("doc_id", "sku"), "doc_id").select("sku", "rank", "pos", "name", "value")
+    pair = lambda rank, name, c: F.struct(F.lit(rank).alias("rank"), F.lit(0).alias("pos"), F.lit(name).alias("name"), F.col(c).alias("value"))
+    identity = rows.select("sku", F.inline(F.array(pair(7, "Article number", "number"), pair(8, "EAN", "ean")))).where("value is not null")
+    return json_specs(raw).union(found).union(identity)
+
+
 def spec_filter(rows: DataFrame) -> DataFrame:
     """Cleaned pairs whose key has 2 to 70 characters and no word of a button, and whose value isn't empty."""
     key = F.trim(F.regexp_replace(text.squeeze(text.unescape(F.col("name"))), r":\s*$", ""))

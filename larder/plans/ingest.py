@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import extract, listing, merge, taxonomy
+from ..operators import extract, ledger, listing, merge, taxonomy
+from ..sources.supplier import SHOP, Supplier
+
+
+class Tables(dict):
+    """Tables by name; those given as functions are planned when they are first asked for."""
 
+    def __getitem__(self, name: str) -> DataFrame:
+        found = super().__getitem__(name)
+        if not isinstance(found, DataFrame):
+            found = self[name] = found()
+        return found
 
-def ingest(current: dict[str, DataFrame], snapshot: DataFrame, pages: DataFrame, raw: DataFrame, base: str, cdn: str, *, narrowed: bool = False) -> dict[str, DataFrame]:
+
+def ingest(current: dict[str, DataFrame], snapshot: DataFrame, pages: DataFrame, raw: DataFrame, base: str, cdn: str, *, narrowed: bool = False, supplier: Supplier = SHOP) -> dict[str, DataFrame]:
     """current: products (sku, …), categories, links (product key sku, canonical_path). snapshot: source categories.
     pages: listing pages. raw: product documents. Returns the tables and reports by name.
 
@@ -17,32 +30,49 @@ def ingest(current: dict[str, DataFrame], snapshot: DataFrame, pages: DataFrame,
     shows go, unless the batch is narrowed to some categories.
     """
     categories = merge.upsert_categories(current["categories"], snapshot)
-    items = listing.listing_items(pages)
-    every = listing.summaries(items, base).withColumn("key", F.coalesce(F.nullif("sku", F.lit("")), F.concat(F.lit("id:"), "product_id")))
+    items = supplier.items(pages)
+    every = supplier.summaries(items, base).withColumn("key", F.coalesce(F.nullif("sku", F.lit("")), F.concat(F.lit("id:"), "product_id")))
     fields = ("sku", "product_id", "name", "price", "url")
     short = every.groupBy("key").agg(F.min_by(F.struct(*fields), F.struct("canonical_path", "page", "pos")).alias("x")).select("x.*")
-    good, rejects = extract.products(raw, base)
+    good, rejects = supplier.products(raw, base)
     fallback = listing.fallback_records(good.select("sku", "body"), short)
     incoming = good.drop("body").unionByName(fallback.where("sku <> ''").select("sku", "product_id", "title", "price", "url"), allowMissingColumns=True).withColumn("seq", F.lit(0))
     products = merge.upsert_products(current["products"], merge.fold_incoming(incoming, "seq"))
-    status = listing.listing_status(pages, listing.failed_details(items, base, rejects))
-    listed = listing.summaries(items, base).where("sku <> ''").select("sku", "canonical_path").distinct()
-    links = current["links"].select("sku", "canonical_path").union(listed).distinct()
-    if not narrowed:
-        complete = status.where("status = 'complete'").select("canonical_path")
+    listed = supplier.summaries(items, base).where("sku <> ''").select("sku", "canonical_path").distinct()
+
+    @cache
+    def status() -> DataFrame:
+        return listing.listing_status(pages, listing.failed_details(items, base, rejects))
+
+    @cache
+    def kept_and_removed() -> tuple[DataFrame, DataFrame]:
+        links = current["links"].select("sku", "canonical_path").union(listed).distinct()
+        if narrowed:
+            return links, links.limit(0)
+        complete = status().where("status = 'complete'").select("canonical_path")
         gone = links.join(complete, "canonical_path", "left_semi").join(listed, ["sku", "canonical_path"], "left_anti")
-        links = links.join(gone, ["sku", "canonical_path"], "left_anti")
+        return links.join(gone, ["sku", "canonical_path"], "left_anti"), gone
+
     own = raw.join(good.select("body"), "body", "left_semi")
-    return {
+
+    def run() -> DataFrame:
+        created = listed.join(current["links"], ["sku", "canonical_path"], "left_anti").agg(F.count("*").alias("links_created"))
+        existing = listed.join(current["links"], ["sku", "canonical_path"], "left_semi").agg(F.count("*").alias("links_existing"))
+        removed = kept_and_removed()[1].agg(F.count("*").alias("links_removed"))
+        counters = ledger.batch_counters(products, rejects, status())
+        return counters.crossJoin(created).crossJoin(existing).crossJoin(removed)  # rows of one
+
+    return Tables({
         "categories": categories,
         "products": products,
-        "links": links,
-        "images": extract.images(own, base, cdn),
-        "attributes": extract.dedupe_specs(extract.json_specs(own)),
+        "links": lambda: kept_and_removed()[0],
+        "images": lambda: supplier.images(own, base, cdn),
+        "attributes": lambda: extract.dedupe_specs(supplier.specifications(own)),
         "rejects": rejects,
         "listing_status": status,
-        "counts": taxonomy_counts(categories, links),
-    }
+        "counts": lambda: taxonomy_counts(categories, kept_and_removed()[0]),
+        "run": run,
+    })
 
 
 def taxonomy_counts(categories: DataFrame, links: DataFrame) -> DataFrame:

@@ -498,8 +498,8 @@ raw("product_url", lambda r: extract.parsed(r).select("id", extract.url(BASE).al
 raw("first_present", lambda r: extract.parsed(r).select("id", extract.f("sku", "missing", "id").alias("value")), f"SELECT id, {SKU} AS value FROM fx_products")
 raw(
     "normalize_products",
-    lambda r: extract.products(r, BASE)[0].drop("body", "ean"),
-    f"SELECT CAST(id AS varchar) AS product_id, {SKU} AS sku, title, price, price AS regular_price, {STOCK} AS stock, {STATUS} AS stock_status, nullif(brand, '') AS brand, 'EUR' AS currency, {URL} AS url FROM fx_products",
+    lambda r: extract.products(r, BASE)[0].drop("body"),
+    f"SELECT CAST(id AS varchar) AS product_id, {SKU} AS sku, CAST(NULL AS varchar) AS ean, title, price, price AS regular_price, {STOCK} AS stock, {STATUS} AS stock_status, nullif(brand, '') AS brand, 'EUR' AS currency, {URL} AS url FROM fx_products",
 )
 IMAGES = f"SELECT {SKU} AS sku, x.url, x.sort_order, x.sort_order = 0 AS is_cover FROM fx_products CROSS JOIN (VALUES ('https://cdn.example/77/500x500x2.jpg', 0), ('https://shop.example/a.jpg', 1), ('https://img.example/b.jpg', 3)) x(url, sort_order)"
 raw("product_images", lambda r: extract.images(r, BASE, CDN), IMAGES)
@@ -511,8 +511,13 @@ raw("json_specs", extract.json_specs, SPEC_ROWS)
 CLEAN_SPECS = f"SELECT sku, rank, pos, trim(regexp_replace(name, ':\\s*$', '')) AS name, replace(value, '&amp;', '&') AS value FROM ({SPEC_ROWS}) x WHERE name <> 'Share this'"
 raw("spec_key_filter", lambda r: extract.spec_filter(extract.json_specs(r)), CLEAN_SPECS)
 DEDUPED = f"SELECT sku, lower(name) AS normalized_name, name, value, row_number() OVER (PARTITION BY sku ORDER BY rank, pos) - 1 AS sort_order FROM ({CLEAN_SPECS}) y"
-for _name in ("dedupe_specs", "product_specs"):
-    raw(_name, lambda r: extract.dedupe_specs(extract.json_specs(r)), DEDUPED)
+raw("dedupe_specs", lambda r: extract.dedupe_specs(extract.json_specs(r)), DEDUPED)
+ALL_SPECS = f"SELECT sku, rank, pos, name, value FROM ({CLEAN_SPECS}) j UNION ALL SELECT {SKU}, 4, 0, 'Weight', 'late' FROM fx_products WHERE id % 3 = 1 UNION ALL SELECT {SKU}, 4, 1, 'Code', 'C' || CAST(id AS varchar) FROM fx_products WHERE id % 3 = 1 UNION ALL SELECT {SKU}, 5, 0, 'Power', CAST(id AS varchar) || ' W' FROM fx_products WHERE id % 3 = 1 UNION ALL SELECT sku, 7, 0, 'Article number', sku FROM fx_products WHERE id % 5 <> 0"
+raw(
+    "product_specs",
+    lambda r: extract.dedupe_specs(extract.product_specs(r)),
+    f"SELECT sku, normalized_name, name, value, row_number() OVER (PARTITION BY sku ORDER BY rank, pos) - 1 AS sort_order FROM (SELECT *, lower(name) AS normalized_name, row_number() OVER (PARTITION BY sku, lower(name) ORDER BY rank, pos) AS r FROM ({ALL_SPECS}) y) z WHERE r = 1",
+)
 raw(
     "product_category_nodes",
     lambda r: extract.category_nodes(r, BASE),
