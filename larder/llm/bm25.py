@@ -1,7 +1,7 @@
 """Benchmark decontamination: training passages query a BM25 inverted index of test items with block-max WAND.
 
 Test items are indexed in shards of at most about `shard_chars` of text, so that what is broadcast is
-bounded however many items there are; each shard costs one pass over the documents. Document frequencies
+bounded however many items there are: postings and block maxima are lists, at most one entry a word; each shard costs one pass over the documents. Document frequencies
 and the mean length cover all items. Impacts are divided by the item's threshold (`share` of the score of
 its own full text), so an item is retrieved when its sum reaches 1.
 
@@ -57,7 +57,9 @@ class Index:
     starts: np.ndarray  # of each term's postings
     items: np.ndarray  # postings: item number
     impacts: np.ndarray  # postings: impact over the item's threshold
-    block_max: np.ndarray  # terms x blocks
+    block_starts: np.ndarray  # of each term's block maxima
+    blocks: np.ndarray  # block maxima: block number
+    tops: np.ndarray  # block maxima: greatest impact within the block
     ids: list
     grams: list[tuple]  # of each item: n-grams of question and of answer, in term numbers
     longest: int
@@ -87,10 +89,22 @@ class Index:
             grams.append(tuple(sides))
         postings.sort()
         t, items, impacts = (np.array(x) for x in zip(*postings)) if postings else (np.empty(0, np.int64),) * 3
-        block_max = np.zeros((len(terms) + 1, max(1, -(-len(ids) // BLOCK))), np.float32)
-        if len(t):
-            np.maximum.at(block_max, (t, items // BLOCK), impacts)
-        return cls(terms, np.searchsorted(t, np.arange(len(terms) + 1)), items.astype(np.int64), impacts.astype(float), block_max, ids, grams, longest)
+        block = items // BLOCK
+        first = np.flatnonzero((np.diff(t, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
+        tops = np.maximum.reduceat(impacts, first) if len(first) else impacts
+        numbers = np.arange(len(terms) + 1)
+        return cls(terms, np.searchsorted(t, numbers), items.astype(np.int32), impacts.astype(float), np.searchsorted(t[first], numbers), block[first].astype(np.int32), tops.astype(float), ids, grams, longest)
+
+    def hopeful(self, terms: np.ndarray) -> np.ndarray:
+        """Which blocks could hold an item whose sum over the distinct terms reaches 1."""
+        at = spans(self.block_starts, terms)
+        return np.bincount(self.blocks[at], self.tops[at], -(-len(self.ids) // BLOCK)) >= 0.999
+
+
+def spans(starts: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """The places of all entries of the terms."""
+    sizes = starts[terms + 1] - starts[terms]
+    return np.repeat(starts[terms + 1] - np.cumsum(sizes), sizes) + np.arange(sizes.sum())
 
 
 class TermNumbers(dict):
@@ -118,11 +132,10 @@ class Matcher:
     def scores(self, terms: np.ndarray) -> dict[int, float]:
         """Items whose sum over the distinct terms reaches 1."""
         x = self.index
-        blocks = x.block_max[terms].sum(axis=0) >= 0.999
+        blocks = x.hopeful(terms)
         if not blocks.any():
             return {}
-        sizes = x.starts[terms + 1] - x.starts[terms]
-        at = np.repeat(x.starts[terms + 1] - np.cumsum(sizes), sizes) + np.arange(sizes.sum())
+        at = spans(x.starts, terms)
         at = at[blocks[x.items[at] // BLOCK]]
         sums = np.bincount(x.items[at], x.impacts[at])
         return {int(i): float(sums[i]) for i in np.flatnonzero(sums >= 1 - 1e-9)}
@@ -136,7 +149,7 @@ class Matcher:
         seq = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         seq = seq[seq != -2]  # marks without a word
         distinct = np.unique(seq[seq >= 0])
-        if not len(distinct) or not (x.block_max[distinct].sum(axis=0) >= 0.999).any():
+        if not len(distinct) or not x.hopeful(distinct).any():
             return []
         best: dict[int, tuple] = {}
         for start in range(0, max(1, len(seq) - x.longest), x.longest):
