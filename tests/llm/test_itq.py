@@ -35,6 +35,21 @@ def test_against_all_pairs(spark, block):
     assert np.mean([r.component_id == want[r.vec_id][1] for r in got]) > 0.97
 
 
+def test_each_length_has_its_tables(spark):
+    """Vectors of floats in three lengths; each length links as it would alone, and copies over several tables count once."""
+    rng = np.random.default_rng(5)
+    parts, rows = [], []
+    for n, d in ((300, 16), (200, 24), (5, 8)):
+        x = (np.repeat(rng.standard_normal((n // 5, d)), 5, axis=0) + rng.standard_normal((n, d)) * 0.1).astype(np.float32)
+        ids = list(range(len(rows), len(rows) + n))
+        parts.append(brute(ids, x.astype(float)))
+        rows += [(i, v.tolist(), 0, "") for i, v in zip(ids, x)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_links(spark.createDataFrame(rows, SCHEMA.replace("double", "float")), block=32).collect()}
+    for want in parts:
+        links, found = sum(n for n, _ in want.values()), sum(got[i][0] for i in want)
+        assert 0.98 * links <= found <= links and np.mean([got[i] == w for i, w in want.items()]) > 0.97
+
+
 def test_recall_on_the_table(spark):
     sf = "/root/testdata/sf0.01"
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
