@@ -95,9 +95,10 @@ def first_seen(items: DataFrame) -> DataFrame:
     return items.where("key <> ''").groupBy("canonical_path", "key").agg(F.min(F.struct("page", "pos")).alias("at")).select("canonical_path", "key", "at.page", "at.pos")
 
 
-def listing_status(pages: DataFrame, failures: DataFrame) -> DataFrame:
-    """pages, failures (canonical_path, failed) -> list_total, unique_listed, failed, status, reason."""
-    items, meta = listing_items(pages), listing_metadata(pages)
+def listing_status(pages: DataFrame, failures: DataFrame, items: DataFrame | None = None) -> DataFrame:
+    """pages, failures (canonical_path, failed) -> list_total, unique_listed, failed, status, reason. items: those of the
+    pages, where they are known already."""
+    items, meta = listing_items(pages) if items is None else items, listing_metadata(pages)
     totals = meta.groupBy("canonical_path").agg(F.max("total").alias("list_total"), F.greatest(F.max("total_pages"), F.max("asked")).alias("last_page"))
     unique = items.where("key <> ''").groupBy("canonical_path").agg(F.count_distinct("key").alias("unique_listed"))
     repeats = repeated_pages(items).groupBy("canonical_path").agg(F.min("page").alias("repeated"))

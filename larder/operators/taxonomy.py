@@ -10,27 +10,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import paths
+from ..sources.tables import staged
 
 
 def closure(categories: DataFrame) -> DataFrame:
     """categories (id, parent_id) -> ancestor_id, descendant_id, distance; each category is its own ancestor at 0.
 
-    One join a level until no path grows; a path that meets itself stops, so cycles end. Driver values are the
-    level and one emptiness test.
+    One join a level until no path grows; a path that meets itself stops, so cycles end. Each level is staged, so
+    none is computed twice. Driver values are the level and one emptiness test.
     """
-    up = categories.select(F.col("id").alias("child"), F.col("parent_id").alias("up")).where("up is not null")
-    known = categories.select("id")
+    known = staged(categories.select("id", "parent_id"))
+    up = known.select(F.col("id").alias("child"), F.col("parent_id").alias("up")).join(known.select(F.col("id").alias("up")), "up", "left_semi")
     step = known.select(F.col("id").alias("ancestor_id"), F.col("id").alias("descendant_id"), F.array("id").alias("seen"))
-    levels = [step]
+    out = step
     while True:
-        step = step.join(up, F.col("ancestor_id") == F.col("child")).where(~F.array_contains("seen", F.col("up"))).select(F.col("up").alias("ancestor_id"), "descendant_id", F.concat("seen", F.array("up")).alias("seen"))
-        step = step.join(known, step.ancestor_id == known.id, "left_semi")
+        grown = step.join(up, F.col("ancestor_id") == F.col("child")).where(~F.array_contains("seen", F.col("up")))
+        step = staged(grown.select(F.col("up").alias("ancestor_id"), "descendant_id", F.concat("seen", F.array("up")).alias("seen")))
         if step.isEmpty():
             break
-        levels.append(step)
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.union(level)
+        out = out.union(step)
     return out.select("ancestor_id", "descendant_id", (F.size("seen") - 1).cast("bigint").alias("distance"))
 
 
@@ -55,8 +53,16 @@ def family_counts(categories: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def descendants(categories: DataFrame, chosen: DataFrame) -> DataFrame:
-    """chosen (id) -> id of each chosen category and of all below it."""
-    return closure(categories).join(chosen.select(F.col("id").alias("ancestor_id")), "ancestor_id", "left_semi").select(F.col("descendant_id").alias("id")).distinct()
+    """chosen (id) -> id of each chosen category and of all below it: one join a level from the chosen ones down, so the
+    work follows what lies below them. Categories found before aren't followed again, so cycles end."""
+    known = staged(categories.select("id", "parent_id"))
+    found = level = staged(known.join(chosen.select("id"), "id", "left_semi").select("id").distinct())
+    while True:
+        below = known.join(level.select(F.col("id").alias("parent_id")), "parent_id", "left_semi").select("id").distinct()
+        level = staged(below.join(found, "id", "left_anti"))
+        if level.isEmpty():
+            return found
+        found = found.union(level)
 
 
 def resolve_parents(categories: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import view
 from ..operators import catalog, taxonomy
+from ..sources.tables import staged
 
 
 @dataclass
@@ -33,8 +34,9 @@ def scope(c: Catalogue, category: str | None, include_children: bool) -> DataFra
     if category is None:
         return None
     keys = c.categories.sparkSession.createDataFrame([(category,)], "key string")
-    found = taxonomy.resolve_category(keys, c.categories).where("category_id is not null").select(F.col("category_id").alias("id"))
-    return taxonomy.descendants(c.categories, found) if include_children else found
+    categories = staged(c.categories.select("id", "parent_id", "canonical_path", "slug"))  # read for each kind of key and each level
+    found = taxonomy.resolve_category(keys, categories).where("category_id is not null").select(F.col("category_id").alias("id"))
+    return taxonomy.descendants(categories, found) if include_children else found
 
 
 def chosen(c: Catalogue, *, category: str | None = None, include_children: bool = False, **filters) -> DataFrame:
@@ -45,7 +47,7 @@ def products_page(c: Catalogue, *, number: int = 1, size: int = 20, sort_by: str
     """One page of list items with the total of all matches; children are gathered for the page alone."""
     found = chosen(c, **filters)
     total = found.agg(F.count("*").alias("total"))
-    rows = catalog.page(found, number, size, sort_by, sort_order)
+    rows = staged(catalog.page(found, number, size, sort_by, sort_order))
     return catalog.list_items(rows, c.images, c.attributes, c.links, c.categories).crossJoin(total)  # one row
 
 

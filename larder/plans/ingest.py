@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import extract, ledger, listing, merge, taxonomy
 from ..sources.supplier import SHOP, Supplier
+from ..sources.tables import staged
 
 
 class Tables(dict):
@@ -26,23 +27,24 @@ def ingest(current: dict[str, DataFrame], snapshot: DataFrame, pages: DataFrame,
     """current: products (sku, …), categories, links (product key sku, canonical_path). snapshot: source categories.
     pages: listing pages. raw: product documents. Returns the tables and reports by name.
 
+    What several outputs read is staged first: listed items and their short records, products and rejects.
     Membership comes from listings, never from a document's own categories. Links that a complete listing no longer
     shows go, unless the batch is narrowed to some categories.
     """
     categories = merge.upsert_categories(current["categories"], snapshot)
-    items = supplier.items(pages)
-    every = supplier.summaries(items, base).withColumn("key", F.coalesce(F.nullif("sku", F.lit("")), F.concat(F.lit("id:"), "product_id")))
+    items = staged(supplier.items(pages))
+    every = staged(supplier.summaries(items, base)).withColumn("key", F.coalesce(F.nullif("sku", F.lit("")), F.concat(F.lit("id:"), "product_id")))
     fields = ("sku", "product_id", "name", "price", "url")
     short = every.groupBy("key").agg(F.min_by(F.struct(*fields), F.struct("canonical_path", "page", "pos")).alias("x")).select("x.*")
-    good, rejects = supplier.products(raw, base)
+    good, rejects = (staged(t) for t in supplier.products(raw, base))
     fallback = listing.fallback_records(good.select("sku", "body"), short)
     incoming = good.drop("body").unionByName(fallback.where("sku <> ''").select("sku", "product_id", "title", "price", "url"), allowMissingColumns=True).withColumn("seq", F.lit(0))
     products = merge.upsert_products(current["products"], merge.fold_incoming(incoming, "seq"))
-    listed = supplier.summaries(items, base).where("sku <> ''").select("sku", "canonical_path").distinct()
+    listed = every.where("sku <> ''").select("sku", "canonical_path").distinct()
 
     @cache
     def status() -> DataFrame:
-        return listing.listing_status(pages, listing.failed_details(items, base, rejects))
+        return listing.listing_status(pages, listing.failed_details(items, base, rejects), items)
 
     @cache
     def kept_and_removed() -> tuple[DataFrame, DataFrame]:

@@ -638,6 +638,7 @@ simple("merge_sitemaps", f"{SOURCE} {DB}", lambda s, d: s.select("canonical_path
 # documents and whole batches: shapes that SQL doesn't express
 
 from .plans.ingest import ingest  # noqa: E402
+from .sources.tables import staged  # noqa: E402
 from .sources import html  # noqa: E402
 
 
@@ -688,7 +689,7 @@ def ingest_run(spark, sf_dir):
     """Products of a whole batch: stored ones, listings and documents merged."""
     p, c, s = (view(spark, sf_dir, n) for n in ("fx_products", "fx_categories", "fx_source_categories"))
     stored = {"products": p.where("id % 3 <> 0").select("sku", "title", "brand", "price", "stock", "regular_price"), "categories": c, "links": p.where("id % 5 = 0").select("sku", F.lit("/en/none/").alias("canonical_path"))}
-    return ingest(stored, s, listing_pages(spark, sf_dir), raw_products(spark, sf_dir).drop("id"), BASE, CDN)["products"]
+    return ingest(stored, s, staged(listing_pages(spark, sf_dir)), staged(raw_products(spark, sf_dir).drop("id")), BASE, CDN)["products"]
 
 # batch forms of the streams
 

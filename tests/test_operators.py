@@ -16,6 +16,12 @@ def test_paths(spark):
     assert one.p == "/en/cables/usb/"
 
 
+def test_descendants(spark):
+    tree = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 5), (5, 4), (6, 99), (7, 2)], "id long, parent_id long")
+    below = lambda *ids: sorted(r.id for r in taxonomy.descendants(tree, spark.createDataFrame([(i,) for i in ids], "id long")).collect())
+    assert below(2) == [2, 3, 7] and below(1, 2) == [1, 2, 3, 7] and below(4) == [4, 5] and below(99) == below() == [] and below(6, 6) == [6]
+
+
 def test_closure_survives_cycles(spark):
     got = taxonomy.closure(spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 5), (5, 4), (6, 99)], "id long, parent_id long")).collect()
     assert {(r.ancestor_id, r.descendant_id) for r in got} == {(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (1, 2), (2, 3), (1, 3), (5, 4), (4, 5)}
