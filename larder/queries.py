@@ -13,6 +13,7 @@ from .functions import paths, text
 from .operators import catalog, taxonomy
 from .plans import catalogue
 from .plans.catalogue import Catalogue
+from .sources.tables import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -480,7 +481,8 @@ from .operators import extract, listing  # noqa: E402
 
 
 def raw(name: str, f, sql: str) -> None:
-    query(name, sql)(lambda spark, sf_dir: f(raw_products(spark, sf_dir)))
+    """A query over landed product documents."""
+    query(name, sql)(lambda spark, sf_dir: f(staged(raw_products(spark, sf_dir))))
 
 
 SKU = "CASE WHEN id % 5 = 0 THEN CAST(id AS varchar) ELSE sku END"
@@ -534,7 +536,7 @@ META = f"(SELECT DISTINCT canonical_path, page, cid, own + CASE WHEN cid % 17 =
 
 
 def listed(name: str, f, sql: str) -> None:
-    query(name, sql)(lambda spark, sf_dir: f(listing_pages(spark, sf_dir)))
+    query(name, sql)(lambda spark, sf_dir: f(staged(listing_pages(spark, sf_dir))))
 
 
 listed("listing_products", lambda p: listing.listing_items(p).select("canonical_path", "page", "pos", F.get_json_object("item", "$.id").cast("bigint").alias("id")), f"SELECT canonical_path, page, CAST(pos AS int) AS pos, id FROM {PAGED} p")
@@ -638,7 +640,6 @@ simple("merge_sitemaps", f"{SOURCE} {DB}", lambda s, d: s.select("canonical_path
 # documents and whole batches: shapes that SQL doesn't express
 
 from .plans.ingest import ingest  # noqa: E402
-from .sources.tables import staged  # noqa: E402
 from .sources import html  # noqa: E402
 
 
