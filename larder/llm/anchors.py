@@ -20,6 +20,7 @@ BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * BASE)
 SPACES = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 POSITION_BITS = np.uint64(28)
+HEAD = 32  # bytes of a word that are hashed for all words at once
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -66,15 +67,16 @@ def chunks(docs: list, texts: list[bytes], most: int = 2_000_000) -> Iterator[tu
 def word_items(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The words of all texts: a 64-bit hash of each, and the number of its text.
 
-    A word is read eight bytes at a time, each chunk mixed into what came before, so that no arithmetic relation
-    between words carries over to their hashes."""
+    A word's hash depends on its own bytes alone, whatever else is in the call. A word is read eight bytes at a time,
+    each chunk mixed into what came before, so that no arithmetic relation between words carries over to their hashes;
+    what follows a word's first HEAD bytes is hashed at once."""
     data = np.frombuffer(b"\n".join([*texts, b"\n" * 8]), np.uint8)
     solid = np.concatenate(([False], ~SPACES[data], [False]))
     edges = np.flatnonzero(solid[1:] != solid[:-1])
     starts, ends = edges[::2], edges[1::2]
     h = mix64((ends - starts).astype(np.uint64) * BASE)
     open_, at = np.arange(len(starts)), starts.copy()
-    while len(open_):
+    for _ in range(HEAD // 8):
         left = ends[open_] - at
         chunk = np.zeros(len(open_), np.uint64)
         for j in range(8):
@@ -83,10 +85,10 @@ def word_items(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         h[open_] = mix64((h[open_] ^ chunk) * BASE)
         more = left > 8
         open_, at = open_[more], at[more] + 8
-        if len(open_) < 64 and len(open_):
-            for i, a in zip(open_.tolist(), at.tolist()):
-                h[i] ^= np.uint64(xxhash.xxh3_64_intdigest(data[a : ends[i]].tobytes(), int(h[i])))
+        if not len(open_):
             break
+    for i, a in zip(open_.tolist(), at.tolist()):
+        h[i] ^= np.uint64(xxhash.xxh3_64_intdigest(data[a : ends[i]].tobytes(), int(h[i])))
     text_starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
     return h, np.searchsorted(text_starts, starts, "right") - 1
 

@@ -14,14 +14,14 @@ corpus as a row would shuffle a row for every word, so paths are compacted from
    its edges, at its first place in its smallest document, and an aggregate over edges finds those with a
    smaller document. These are joined back, by offset in the content, to all places of the content in that document.
 5. Coordinates are joined to the texts and verified there: a span whose words do not have the recorded
-   hash is ignored. What is left is joined, counted and hashed.
+   hash is an error. What is left is joined, counted and hashed.
 
 Edges are compared by anchor and content hash, 128 bits together, never by words alone. Aggregates
 combine before the shuffle, and joins on hot anchors or contents are plain sort-merge joins that adaptive
 execution splits, so a passage in a third of all documents costs rows in proportion.
 
 Null texts have no words. A null doc_id counts as larger than any other. Rows that share a doc_id never
-remove each other's words.
+remove each other's words; a text is known by its doc_id and its own hash.
 """
 
 from __future__ import annotations
@@ -48,29 +48,34 @@ def keyed(docs: DataFrame) -> DataFrame:
 def word_pieces(window: int, k: int):
     def run(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
         out = []
-        for docs, texts in chunks(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
+        for keys, texts in chunks(list(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())), text_bytes(batch.column(1))):
             h, owner = word_items(texts)
             g = groups(Sequence(h), owner, window, k)
             base = np.searchsorted(owner, np.arange(len(texts)))[g["owner"]] if len(owner) else g["owner"]
-            ids = np.array(docs, np.int64)[g["owner"]]
-            out.append(pa.RecordBatch.from_arrays([pa.array(ids), pa.array((g["first"] - base).astype(np.int32)), pa.array((g["last"] - base).astype(np.int32)), pa.array(g["anchor"]), pa.array(g["content"])], names=["doc", "first", "last", "anchor", "h"]))
+            ids = np.array(keys, np.int64)[g["owner"]]
+            out.append(pa.RecordBatch.from_arrays([pa.array(ids[:, 0].copy()), pa.array(ids[:, 1].copy()), pa.array((g["first"] - base).astype(np.int32)), pa.array((g["last"] - base).astype(np.int32)), pa.array(g["anchor"]), pa.array(g["content"])], names=["doc", "th", "first", "last", "anchor", "h"]))
         return out
 
     return run
 
 
+def confirmed(text: bytes, spans: list[dict], window: int) -> tuple[Sequence, np.ndarray, np.ndarray, np.ndarray]:
+    """The text's sequence and first, last and hash of its spans, all of which its words must have."""
+    seq = Sequence(word_items([text])[0])
+    first, last, h = (np.array([s[x] for s in spans], np.int64) for x in ("first", "last", "h"))
+    if len(first) and (last.max() + window >= len(seq.sums) or (seq.spans(first, last + window).view(np.int64) != h).any()):
+        raise ValueError("a recorded span doesn't have its words")
+    return seq, first, last, h
+
+
 def opened(window: int):
-    """Rows (doc, text, pieces) -> the edges of the pieces that the text confirms."""
+    """Rows (doc, text, pieces) -> the edges of the pieces."""
 
     def run(batch: pa.RecordBatch) -> list[pa.RecordBatch]:
         out = []
         for doc, text, pieces in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist()):
-            seq = Sequence(word_items([text])[0])
-            first, last, h, anchor = (np.array([p[x] for p in pieces], np.int64) for x in ("first", "last", "h", "anchor"))
-            fits = last + window < len(seq.sums)
-            first, last, h, anchor = first[fits], last[fits], h[fits], anchor[fits]
-            same = seq.spans(first, last + window).view(np.int64) == h
-            first, last, h, anchor = first[same], last[same], h[same], anchor[same]
+            seq, first, last, h = confirmed(text, pieces, window)
+            anchor = np.array([p["anchor"] for p in pieces], np.int64)
             n = last - first + 1
             offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             at = np.repeat(first, n) + offset
@@ -89,12 +94,8 @@ def cleaned(window: int, digest: bool):
         for doc, text, spans in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist()):
             words, gone = text.split(), None
             if spans:
-                seq = Sequence(word_items([text])[0])
-                first, last, h = (np.array([s[x] for s in spans], np.int64) for x in ("first", "last", "h"))
-                fits = last + window < len(seq.sums)
-                first, last, h = first[fits], last[fits], h[fits]
-                same = seq.spans(first, last + window).view(np.int64) == h
-                gone = covered(len(words), first[same], last[same], window)
+                _, first, last, _ = confirmed(text, spans, window)
+                gone = covered(len(words), first, last, window)
             n = len(words)
             if gone is not None:
                 words = [words[i] for i in np.flatnonzero(~gone)]
@@ -108,26 +109,26 @@ def cleaned(window: int, digest: bool):
     return run
 
 
-def gathered(spans: DataFrame, *fields: str) -> DataFrame:
-    return spans.groupBy("doc").agg(F.collect_list(F.struct(*fields)).alias("spans"))
+def gathered(spans: DataFrame, *fields: str, by: tuple = ("doc",)) -> DataFrame:
+    return spans.groupBy(*by).agg(F.collect_list(F.struct(*fields)).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, *, window: int = 50, k: int = 8, digest: bool = True) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_words, n_removed, kept_sha256 (or kept, the words left), spans (removed word runs)."""
     if not 0 < k <= window:
         raise ValueError("k must lie between 1 and window")
-    texts = keyed(docs)
-    pieces = cut(map_batches(texts, word_pieces(window, k), "doc long, first int, last int, anchor long, h long"))
+    texts = keyed(docs).withColumn("th", F.xxhash64("text"))
+    pieces = cut(map_batches(texts, word_pieces(window, k), "doc long, th long, first int, last int, anchor long, h long"))
     # written tables, so that a join with them deals both sides anew and a hot anchor or content can be split
     shared = cut(pieces.groupBy("anchor").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), (F.min("h") < F.max("h")).alias("branches")).where("lo < hi").select("anchor", "branches"))
     shared_pieces = cut(pieces.join(shared, "anchor"))
-    contents = cut(shared_pieces.groupBy("anchor", "h").agg(F.min(F.struct("doc", "first", "last")).alias("source"), F.max("branches").alias("branches")))
-    whole = shared_pieces.select("anchor", "h", "doc", "first", "last").join(contents.select("anchor", "h", "source.doc").withColumnRenamed("doc", "least"), ["anchor", "h"]).where("doc > least")
-    to_open = contents.where("branches").select("source.doc", "source.first", "source.last", "anchor", "h")
-    edges = cut(map_batches(texts.join(gathered(to_open, "first", "last", "h", "anchor"), "doc"), opened(window), "doc long, offset int, anchor long, content long, h long"))
+    contents = cut(shared_pieces.groupBy("anchor", "h").agg(F.min(F.struct("doc", "th", "first", "last")).alias("source"), F.max("branches").alias("branches")))
+    whole = shared_pieces.select("anchor", "h", "doc", "th", "first", "last").join(contents.select("anchor", "h", "source.doc").withColumnRenamed("doc", "least"), ["anchor", "h"]).where("doc > least")
+    to_open = contents.where("branches").select("source.doc", "source.th", "source.first", "source.last", "anchor", "h")
+    edges = cut(map_batches(texts.join(gathered(to_open, "first", "last", "h", "anchor", by=("doc", "th")), ["doc", "th"]).select("doc", "text", "spans"), opened(window), "doc long, offset int, anchor long, content long, h long"))
     least = cut(edges.groupBy("anchor", "h").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).where("least < most").drop("most"))
     again = edges.join(least, ["anchor", "h"]).where("doc > least").select("anchor", "content", "doc", "offset", "h").distinct()
-    places = shared_pieces.where("branches").select("anchor", F.col("h").alias("content"), "doc", "first").distinct()
+    places = shared_pieces.where("branches").select("anchor", F.col("h").alias("content"), "doc", "th", "first").distinct()
     single = again.join(places, ["anchor", "content", "doc"]).withColumn("first", F.col("first") + F.col("offset"))
-    spans = gathered(whole.select("doc", "first", "last", "h").union(single.select("doc", "first", F.col("first").alias("last"), "h")), "first", "last", "h")
-    return map_batches(texts.join(spans, "doc", "left"), cleaned(window, digest), f"doc_id long, n_words long, n_removed long, {'kept_sha256' if digest else 'kept'} string, spans array<struct<first:int,last:int>>")
+    spans = gathered(whole.select("doc", "th", "first", "last", "h").union(single.select("doc", "th", "first", F.col("first").alias("last"), "h")), "first", "last", "h", by=("doc", "th"))
+    return map_batches(texts.join(spans, ["doc", "th"], "left").select("doc", "text", "spans"), cleaned(window, digest), f"doc_id long, n_words long, n_removed long, {'kept_sha256' if digest else 'kept'} string, spans array<struct<first:int,last:int>>")

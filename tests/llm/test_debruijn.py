@@ -3,7 +3,8 @@ import random
 
 import pytest
 
-from larder.llm.debruijn import remove_repeats
+from larder.llm.anchors import word_items
+from larder.llm.debruijn import confirmed, remove_repeats
 
 SCHEMA = "doc_id long, text string, anchor string, h string"
 
@@ -27,8 +28,9 @@ def brute(rows, window):
     return sorted(out)
 
 
-def run(spark, rows, **options):
+def run(spark, rows, parts=None, **options):
     df = spark.createDataFrame([(d, t, "x", "y") for d, t in rows], SCHEMA)
+    df = df.repartition(parts) if parts else df
     return sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in remove_repeats(df, **options).collect())
 
 
@@ -67,3 +69,38 @@ def test_branching_contents_that_repeat_inside_a_document(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def long_words(dice, n):
+    return ["".join(dice.choice("abcdeé") for _ in range(dice.randint(1, 40))) for _ in range(n)]
+
+
+def test_a_words_hash_is_its_own():
+    dice = random.Random(3)
+    words = [w.encode() for w in long_words(dice, 300)] + [b"x" * n for n in range(1, 100)]
+    alone = [int(word_items([w])[0][0]) for w in words]
+    assert len(set(alone)) == len(set(words))
+    for texts in ([b" ".join(words)], [b" ".join(words[i::7]) for i in range(7)], words):
+        h, _ = word_items(texts)
+        assert dict(zip([w for t in texts for w in t.split()], h.tolist())) == dict(zip(words, alone))
+
+
+@pytest.mark.parametrize("parts", [1, 4, 16])
+def test_words_of_all_lengths_in_any_partitioning(spark, parts):
+    dice = random.Random(11)
+    shared = [long_words(dice, dice.randint(15, 80)) for _ in range(5)]
+    rows = [(d, " ".join(sum((dice.choice(shared) if dice.random() < 0.5 else long_words(dice, dice.randint(1, 90)) for _ in range(dice.randint(1, 5))), []))) for d in range(60)]
+    assert run(spark, rows, parts, window=10, k=3) == brute(rows, 10)
+
+
+def test_a_span_without_its_words_is_an_error():
+    with pytest.raises(ValueError):
+        confirmed(b"a b c d", [{"first": 0, "last": 1, "h": 5}], 2)
+    with pytest.raises(ValueError):
+        confirmed(b"a b c d", [{"first": 3, "last": 3, "h": 5}], 2)
+
+
+def test_one_id_with_two_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
+    got = run(spark, [(1, a), (3, a + " z"), (3, b), (7, b + " " + a)], window=10, k=3)
+    assert [x[:3] for x in got] == [(1, 30, 0), (3, 30, 0), (3, 31, 30), (7, 60, 60)]

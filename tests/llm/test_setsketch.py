@@ -87,3 +87,17 @@ def test_words_that_a_polynomial_would_confuse(spark):
     rows = [(1, "".join("ab"[x] for x in signs)), (2, "".join("ba"[x] for x in signs))]
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(1, 1, True), (2, 2, True)}
+
+
+def test_long_words_in_any_partitioning(spark):
+    dice = random.Random(6)
+    word = lambda: "".join(dice.choice("abcdefgh") for _ in range(11))
+    text = [word() for _ in range(64)]
+    rows = [(1, " ".join(text[:63])), (2, " ".join(text)), (5, " ".join(text[:30])), (6, " ".join(text[:30]))]
+    rows += [(10 + i, " ".join(word() + "x" * dice.randint(0, 30) for _ in range(dice.randint(1, 99)))) for i in range(40)]
+    rows += [(100 + d, t + " tail") for d, t in rows]
+    want = brute(rows, 4, 80)
+    assert {x[0]: x[2] for x in want}[2] == 1 and {x[0]: x[2] for x in want}[6] == 5
+    for parts in (1, 2, 16):
+        df = spark.createDataFrame([(i, t, 0, "") for i, t in rows], SCHEMA).repartition(parts)
+        assert sorted(map(tuple, near_duplicates(df, words=4).collect())) == want
