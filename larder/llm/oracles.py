@@ -30,3 +30,12 @@ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec
 r AS (SELECT vec_id, vec_id AS id FROM e UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.id),
 c AS (SELECT vec_id, min(id) AS component_id FROM r GROUP BY vec_id), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept FROM e LEFT JOIN n ON n.a = e.vec_id JOIN c ON c.vec_id = e.vec_id"""
+
+HARD_NEGATIVES = """
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(CAST(embedding AS double[]), lambda x: floor(256 * x)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.r AS a, a.vec_id AS anchor_id, b.r AS b, b.vec_id AS id, a.label = b.label AS same, CAST(list_dot_product(a.v, b.v) AS bigint) AS score FROM e a JOIN e b ON a.r <> b.r AND len(a.v) = len(b.v) WHERE a.vec_id % 50 = 0),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, id NULLS LAST, b) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER w AS int) AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+WINDOW w AS (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.id NULLS LAST, s.b) QUALIFY row_number() OVER w <= 3"""
