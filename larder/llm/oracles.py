@@ -39,3 +39,16 @@ p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER
 SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER w AS int) AS rank, s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
 FROM p JOIN s ON s.a = p.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
 WINDOW w AS (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.id NULLS LAST, s.b) QUALIFY row_number() OVER w <= 3"""
+
+RANKED_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+RANKED_SEARCH = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {RANKED_TERMS} AS ts FROM documents),
+n AS (SELECT r, doc_id, CAST(len(ts) AS bigint) AS n FROM d WHERE len(ts) > 0),
+c AS (SELECT count(*) AS docs, CAST(sum(n) AS bigint) AS total FROM n),
+t AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM d) x GROUP BY r, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS bigint) AS w FROM (SELECT term, count(*) AS df FROM t GROUP BY term) f, c),
+q AS (SELECT row_number() OVER () AS q, item_id, {RANKED_TERMS} AS ts FROM benchmark),
+u AS (SELECT q, item_id, term, count(*) AS c FROM (SELECT q, item_id, unnest(ts) AS term FROM q) x GROUP BY q, item_id, term),
+s AS (SELECT u.q, u.item_id, n.r, n.doc_id, CAST(sum(u.c * w.w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n.n * docs) // total)))) AS bigint) AS score
+  FROM u JOIN t ON t.term = u.term JOIN w ON w.term = u.term JOIN n ON n.r = t.r, c GROUP BY u.q, u.item_id, n.r, n.doc_id)
+SELECT item_id, CAST(row_number() OVER v AS int) AS rank, doc_id, score FROM s WHERE score > 0 WINDOW v AS (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) QUALIFY row_number() OVER v <= 20"""

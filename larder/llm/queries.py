@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read_table
-from .oracles import EMBEDDING_DEDUP, HARD_NEGATIVES, NEAR_DEDUP, SUBSTRING_DEDUP
+from .oracles import EMBEDDING_DEDUP, HARD_NEGATIVES, NEAR_DEDUP, RANKED_SEARCH, SUBSTRING_DEDUP
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,11 +81,17 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(moved_labels(read_table(spark, sf_dir, "embeddings")))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .maxscore import ranked
+
+    return ranked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_dedup, op2_substring_dedup, op3_quality_classifier, op4_suffix_dedup, op5_line_dedup, op6_language_id, op7_decontamination,
-        op8_html_extraction, op9_byte_bpe, op10_minhash_dedup, op11_hard_negatives,
+        op8_html_extraction, op9_byte_bpe, op10_minhash_dedup, op11_hard_negatives, op12_ranked_search,
     )
 }
-ORACLE_SQL = {"op1_embedding_dedup": EMBEDDING_DEDUP, "op2_substring_dedup": SUBSTRING_DEDUP, "op10_minhash_dedup": NEAR_DEDUP, "op11_hard_negatives": HARD_NEGATIVES}
+ORACLE_SQL = {"op1_embedding_dedup": EMBEDDING_DEDUP, "op2_substring_dedup": SUBSTRING_DEDUP, "op10_minhash_dedup": NEAR_DEDUP, "op11_hard_negatives": HARD_NEGATIVES, "op12_ranked_search": RANKED_SEARCH}
