@@ -87,11 +87,19 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels come from words of the host name; the trees see its features, never its words."""
+    from .url_filter import filter_urls, seed_labels
+
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    return filter_urls(pages, seed_labels(pages))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_embedding_dedup, op2_substring_dedup, op3_quality_classifier, op4_suffix_dedup, op5_line_dedup, op6_language_id, op7_decontamination,
-        op8_html_extraction, op9_byte_bpe, op10_minhash_dedup, op11_hard_negatives, op12_ranked_search,
+        op8_html_extraction, op9_byte_bpe, op10_minhash_dedup, op11_hard_negatives, op12_ranked_search, op13_url_filters,
     )
 }
 ORACLE_SQL = {"op1_embedding_dedup": EMBEDDING_DEDUP, "op2_substring_dedup": SUBSTRING_DEDUP, "op10_minhash_dedup": NEAR_DEDUP, "op11_hard_negatives": HARD_NEGATIVES, "op12_ranked_search": RANKED_SEARCH}
