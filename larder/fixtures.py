@@ -82,6 +82,10 @@ VIEWS = {
         SELECT f.id AS product_id, CASE f.id % 5 WHEN 0 THEN CAST(c.id AS varchar(20)) WHEN 1 THEN f.p3 WHEN 2 THEN 'economy, nope' WHEN 3 THEN 'ring,standard'
                ELSE upper(split_part(f.p1, '/', 3)) END AS refs
         FROM fx_product_paths f JOIN fx_numbered_paths c ON c.canonical_path = f.p3""",
+    "fx_batch": """
+        SELECT p.id AS id, CASE WHEN p.id % 5 = 0 THEN CAST(p.id AS varchar(20)) ELSE p.sku END AS k, p.title AS title, p.brand AS brand, p.price AS price, p.regular_price AS regular_price,
+               p.stock AS stock, f.p2 AS p2, CASE WHEN n.p2 <> f.p2 THEN n.p2 ELSE NULL END AS stale
+        FROM fx_products p JOIN fx_product_paths f ON f.id = p.id LEFT JOIN fx_product_paths n ON n.id = p.id + 1""",
     "fx_incoming_products": """
         SELECT CAST((l_orderkey * 8 + l_linenumber) * 100000 + l_suppkey AS bigint) AS seq,
                'SKU-' || lpad(CAST(CASE WHEN l_partkey % 40 = 0 THEN l_partkey + 9000000 ELSE l_partkey END AS varchar(20)), 7, '0') AS sku,
@@ -165,13 +169,13 @@ def raw_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """fx_products as listing pages of ten for each middle category: canonical_path, page, body. Every 13th category
-    repeats its last page, every 17th declares one product too many."""
+    repeats its last page, every 17th declares one product too many; every fifth product has no code."""
     from pyspark.sql import functions as F
 
     c = view(spark, sf_dir, "fx_categories").select(F.col("canonical_path").alias("p2"), F.col("id").alias("cid"))
     p = view(spark, sf_dir, "fx_products").join(view(spark, sf_dir, "fx_product_paths").select("id", "p2"), "id").join(c, "p2")
     p = p.withColumn("page", F.expr("CAST((row_number() OVER (PARTITION BY p2 ORDER BY id) - 1) DIV 10 + 1 AS bigint)")).withColumn("total", F.expr("count(*) OVER (PARTITION BY p2) + IF(cid % 17 = 0, 1, 0)"))
-    item = F.struct(F.col("id"), F.col("sku").alias("code"), F.col("title"), F.struct(F.col("price").alias("price")).alias("price"))
+    item = F.struct(F.col("id"), F.when(F.col("id") % 5 != 0, F.col("sku")).alias("code"), F.col("title"), F.struct(F.col("price").alias("price")).alias("price"))
     pages = p.groupBy("p2", "cid", "page", "total").agg(F.sort_array(F.collect_list(item)).alias("items"))
     last = F.expr("max(page) OVER (PARTITION BY p2)")
     pages = pages.withColumn("last", last)
@@ -182,3 +186,29 @@ def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = F.concat(F.lit('{"total":'), text("total"), F.lit(',"page":'), text("page"), F.lit(',"limit":10,"products":'), listed, F.lit("}"))
     body = F.when(F.col("cid") % 3 == 0, F.concat(F.lit('{"collection":'), inner, F.lit("}"))).when(F.col("cid") % 3 == 1, F.concat(F.lit('{"catalog":'), inner, F.lit("}"))).otherwise(flat)
     return pages.select(F.col("p2").alias("canonical_path"), "page", body.alias("body"))
+
+
+def stored_links(f: DataFrame) -> DataFrame:
+    """fx_batch -> links as stored before a batch: to a path that no source has, to the listed path, to a neighbour's path."""
+    from pyspark.sql import functions as F
+
+    paths = F.filter(F.array(F.when(F.col("id") % 5 == 0, F.lit("/en/none/")), F.when(F.col("id") % 6 == 0, F.col("p2")), F.when(F.col("id") % 7 == 0, F.col("stale"))), lambda p: p.isNotNull())
+    return f.select(F.col("k").alias("sku"), F.explode(paths).alias("canonical_path")).distinct()
+
+
+def batch(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """A supplier's batch over stored tables: products, categories and links before it (stored_), source categories, listing
+    pages and documents. Every 41st document has a price that is no number, every 43rd is missing."""
+    from pyspark.sql import functions as F
+
+    f = view(spark, sf_dir, "fx_batch")
+    broken = F.concat(F.lit('{"id":'), F.col("id").cast("string"), F.lit(',"sku":"'), F.col("k"), F.lit('","price":"dear"}'))
+    raw = raw_products(spark, sf_dir).join(f.select("id", "k", "p2"), "id").where("id % 41 = 0 or id % 43 <> 0")
+    return {
+        "stored_products": f.where("id % 3 <> 0").select(F.col("k").alias("sku"), "title", "brand", "price", "stock", "regular_price"),
+        "stored_categories": view(spark, sf_dir, "fx_categories"),
+        "stored_links": stored_links(f),
+        "snapshot": view(spark, sf_dir, "fx_source_categories"),
+        "pages": listing_pages(spark, sf_dir),
+        "raw": raw.select(F.when(F.col("id") % 41 == 0, broken).otherwise(F.col("body")).alias("body"), F.col("p2").alias("canonical_path")),
+    }

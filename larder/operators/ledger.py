@@ -73,15 +73,17 @@ def finalize_runs(progress: DataFrame) -> DataFrame:
     return counters.withColumn("job_status", run_status(F.col("failed"), F.col("succeeded"), F.col("skipped"), F.lit(0), (F.col("listed") > F.col("scraped")).cast("int")))
 
 
-def batch_counters(products: DataFrame, rejects: DataFrame, status: DataFrame) -> DataFrame:
-    """One row for a batch: merged products (is_new, touched), rejected documents and listing status -> distinct products in
-    total, new, updated and failed, categories by outcome, and the run's status."""
+def batch_counters(products: DataFrame, rejects: DataFrame, status: DataFrame, pages: DataFrame, discrepancies: DataFrame) -> DataFrame:
+    """One row for a batch: merged products (is_new, touched), rejected documents, listing status, listing pages and categories
+    whose count differs from the source's -> distinct products in total, new, updated and failed, categories by outcome,
+    pages, discrepancies, and the run's status."""
     a = products.where("touched").agg(F.count("*").alias("products_total"), F.count_if("is_new").alias("products_new"), F.count_if(~F.col("is_new")).alias("products_updated"))
     b = rejects.agg(F.count_distinct(F.coalesce("key", "body")).alias("products_failed"))
     done = F.col("status") == "complete"
     c = status.agg(F.count_if(done).alias("categories_succeeded"), F.count_if(~done).alias("categories_failed"))
-    out = a.crossJoin(b).crossJoin(c)  # three rows of one
-    return out.withColumn("job_status", run_status(F.col("categories_failed"), F.col("categories_succeeded"), F.lit(0), F.col("products_failed"), F.lit(0)))
+    d, e = pages.agg(F.count("*").alias("pages_fetched")), discrepancies.agg(F.count("*").alias("category_discrepancies"))
+    out = a.crossJoin(b).crossJoin(c).crossJoin(d).crossJoin(e)  # rows of one
+    return out.withColumn("job_status", run_status(F.col("categories_failed"), F.col("categories_succeeded"), F.lit(0), F.col("products_failed"), F.col("category_discrepancies")))
 
 
 def health_windows(samples: DataFrame, minutes: int = 60) -> DataFrame:

@@ -84,10 +84,12 @@ def repeated_pages(items: DataFrame) -> DataFrame:
 
 
 def failed_details(items: DataFrame, base: str, rejects: DataFrame) -> DataFrame:
-    """Listed items by category whose document was rejected: canonical_path, failed. rejects (key): the SKU, or without
-    one the product id, of the documents that failed."""
-    short = summaries(items, base).select("canonical_path", first_present(F.col("sku"), F.col("product_id")).alias("key")).distinct()
-    return short.join(rejects.select("key").distinct(), "key", "left_semi").groupBy("canonical_path").agg(F.count("*").alias("failed"))
+    """Listed items by category that failed: canonical_path, failed. Items fail whose document was rejected, rejects (key)
+    being the SKU, or without one the product id, and items that have neither SKU nor product id."""
+    short = summaries(items, base).select("canonical_path", first_present(F.col("sku"), F.col("product_id")).alias("key"), F.concat_ws(":", "url", "name").alias("item")).distinct()
+    nameless = short.where("key is null")
+    known = short.select("canonical_path", "key").distinct().join(rejects.select("key").distinct(), "key", "left_semi")
+    return known.select("canonical_path", "key").union(nameless.select("canonical_path", "item")).groupBy("canonical_path").agg(F.count("*").alias("failed"))
 
 
 def first_seen(items: DataFrame) -> DataFrame:

@@ -23,24 +23,29 @@ class Tables(dict):
         return found
 
 
-def ingest(current: dict[str, DataFrame], snapshot: DataFrame, pages: DataFrame, raw: DataFrame, base: str, cdn: str, *, narrowed: bool = False, supplier: Supplier = SHOP) -> dict[str, DataFrame]:
-    """current: products (sku, …), categories, links (product key sku, canonical_path). snapshot: source categories.
-    pages: listing pages. raw: product documents. Returns the tables and reports by name.
+def ingest(current: dict[str, DataFrame], snapshot: DataFrame, pages: DataFrame, raw: DataFrame, base: str, cdn: str, *, narrowed: bool = False, supplier: Supplier = SHOP, done: DataFrame | None = None) -> dict[str, DataFrame]:
+    """current: products (sku, …), categories, links (product key sku, canonical_path), and images and attributes (sku, …) if
+    there are any. snapshot: source categories. pages: listing pages. raw: product documents. done (canonical_path): categories
+    that the run's ledger holds as completed; their listings are left out, so a run that stopped goes on with the rest.
+    Returns the tables and reports by name.
 
     What several outputs read is staged first: listed items and their short records, products and rejects.
     Membership comes from listings, never from a document's own categories. Links that a complete listing no longer
-    shows go, unless the batch is narrowed to some categories.
+    shows go, unless the batch is narrowed to some categories. Children of products without a document in the batch stay.
     """
+    if done is not None:
+        pages = pages.join(done.select("canonical_path"), "canonical_path", "left_anti")
     categories = merge.upsert_categories(current["categories"], snapshot)
     items = staged(supplier.items(pages))
-    every = staged(supplier.summaries(items, base)).withColumn("key", F.coalesce(F.nullif("sku", F.lit("")), F.concat(F.lit("id:"), "product_id")))
-    fields = ("sku", "product_id", "name", "price", "url")
-    short = every.groupBy("key").agg(F.min_by(F.struct(*fields), F.struct("canonical_path", "page", "pos")).alias("x")).select("x.*")
+    # an item without a code is known by its id, as a document without a SKU is
+    every = staged(supplier.summaries(items, base).withColumns({"sku": F.coalesce(F.nullif("sku", F.lit("")), "product_id"), "product_id": F.coalesce(F.nullif("product_id", F.lit("")), "sku")}).where("sku <> ''"))
+    fields = ("product_id", "name", "price", "url")
+    short = every.groupBy("sku").agg(F.min_by(F.struct(*fields), F.struct("canonical_path", "page", "pos")).alias("x")).select("sku", "x.*")
     good, rejects = (staged(t) for t in supplier.products(raw, base))
-    fallback = listing.fallback_records(good.select("sku", "body"), short)
-    incoming = good.drop("body").unionByName(fallback.where("sku <> ''").select("sku", "product_id", "title", "price", "url"), allowMissingColumns=True).withColumn("seq", F.lit(0))
+    fallback = listing.fallback_records(good.select("sku", "body"), short).select("sku", "product_id", "title", "price", "url", F.lit("EUR").alias("currency"))
+    incoming = good.drop("body").unionByName(fallback, allowMissingColumns=True).withColumn("seq", F.lit(0))
     products = merge.upsert_products(current["products"], merge.fold_incoming(incoming, "seq"))
-    listed = every.where("sku <> ''").select("sku", "canonical_path").distinct()
+    listed = every.select("sku", "canonical_path").distinct()
 
     @cache
     def status() -> DataFrame:
@@ -57,22 +62,30 @@ def ingest(current: dict[str, DataFrame], snapshot: DataFrame, pages: DataFrame,
 
     own = raw.join(good.select("body"), "body", "left_semi")
 
+    def children(name: str, incoming: DataFrame) -> DataFrame:
+        return merge.replace_children(current[name], incoming, "sku") if name in current else incoming
+
+    @cache
+    def counts() -> DataFrame:
+        return staged(taxonomy_counts(categories, kept_and_removed()[0]))
+
     def run() -> DataFrame:
         created = listed.join(current["links"], ["sku", "canonical_path"], "left_anti").agg(F.count("*").alias("links_created"))
         existing = listed.join(current["links"], ["sku", "canonical_path"], "left_semi").agg(F.count("*").alias("links_existing"))
         removed = kept_and_removed()[1].agg(F.count("*").alias("links_removed"))
-        counters = ledger.batch_counters(products, rejects, status())
+        differing = counts().join(snapshot.select("canonical_path", "source_count"), "canonical_path").where("source_count <> 0 and source_count <> product_count")
+        counters = ledger.batch_counters(products, rejects, status(), pages, differing)
         return counters.crossJoin(created).crossJoin(existing).crossJoin(removed)  # rows of one
 
     return Tables({
         "categories": categories,
         "products": products,
         "links": lambda: kept_and_removed()[0],
-        "images": lambda: supplier.images(own, base, cdn),
-        "attributes": lambda: extract.dedupe_specs(supplier.specifications(own)),
+        "images": lambda: children("images", supplier.images(own, base, cdn)),
+        "attributes": lambda: children("attributes", extract.dedupe_specs(supplier.specifications(own))),
         "rejects": rejects,
         "listing_status": status,
-        "counts": lambda: taxonomy_counts(categories, kept_and_removed()[0]),
+        "counts": counts,
         "run": run,
     })
 
@@ -83,13 +96,3 @@ def taxonomy_counts(categories: DataFrame, links: DataFrame) -> DataFrame:
     own = pairs.join(links.withColumnRenamed("canonical_path", "descendant_path"), "descendant_path").select("ancestor_path", "sku").distinct()
     counts = own.groupBy(F.col("ancestor_path").alias("canonical_path")).agg(F.count("*").alias("product_count"))
     return categories.select("canonical_path").join(counts, "canonical_path", "left").na.fill(0)
-
-
-def write_products_json(products: DataFrame, folder: str) -> None:
-    products.write.mode("overwrite").json(folder)
-
-
-def write_product_files(products: DataFrame, folder: str, buckets: int = 64) -> None:
-    """One JSON line for each product, under a folder for each bucket of file keys."""
-    keyed = products.select(text.file_key(F.col("sku")).alias("file_key"), F.to_json(F.struct(*products.columns)).alias("document"))
-    keyed.withColumn("bucket", F.pmod(F.xxhash64("file_key"), F.lit(buckets))).repartition("bucket").write.mode("overwrite").partitionBy("bucket").json(folder)

@@ -152,7 +152,6 @@ simple("lookup_product_by_id", "fx_products", lambda p: p.where("id = 42").selec
 simple("lookup_product_by_sku", "fx_products", lambda p: p.where(F.col("sku") == F.url_decode(F.lit("SKU%2D0000041"))).select("id", "sku", "title"), "SELECT id, sku, title FROM fx_products WHERE sku = 'SKU-0000041'")
 simple("children_of_category", "fx_categories", lambda c: c.where("parent_id <=> NULL").orderBy("name").select("id", "name"), "SELECT id, name FROM fx_categories WHERE parent_id IS NULL")
 simple("changed_since", "fx_products", lambda p: p.where(F.col("updated_at") >= F.try_to_timestamp(F.lit("2001-7-1"), F.lit("yyyy-M-d")).cast("timestamp_ntz")).orderBy(F.desc("updated_at"), "id").select("id"), "SELECT id FROM fx_products WHERE updated_at >= TIMESTAMP '2001-07-01'")
-QUERIES["change_feed"], ORACLE_SQL["change_feed"] = QUERIES["changed_since"], ORACLE_SQL["changed_since"]
 simple(
     "needs_enrichment",
     "fx_products fx_attributes",
@@ -515,11 +514,8 @@ raw("spec_key_filter", lambda r: extract.spec_filter(extract.json_specs(r)), CLE
 DEDUPED = f"SELECT sku, lower(name) AS normalized_name, name, value, row_number() OVER (PARTITION BY sku ORDER BY rank, pos) - 1 AS sort_order FROM ({CLEAN_SPECS}) y"
 raw("dedupe_specs", lambda r: extract.dedupe_specs(extract.json_specs(r)), DEDUPED)
 ALL_SPECS = f"SELECT sku, rank, pos, name, value FROM ({CLEAN_SPECS}) j UNION ALL SELECT {SKU}, 4, 0, 'Weight', 'late' FROM fx_products WHERE id % 3 = 1 UNION ALL SELECT {SKU}, 4, 1, 'Code', 'C' || CAST(id AS varchar) FROM fx_products WHERE id % 3 = 1 UNION ALL SELECT {SKU}, 5, 0, 'Power', CAST(id AS varchar) || ' W' FROM fx_products WHERE id % 3 = 1 UNION ALL SELECT sku, 7, 0, 'Article number', sku FROM fx_products WHERE id % 5 <> 0"
-raw(
-    "product_specs",
-    lambda r: extract.dedupe_specs(extract.product_specs(r)),
-    f"SELECT sku, normalized_name, name, value, row_number() OVER (PARTITION BY sku ORDER BY rank, pos) - 1 AS sort_order FROM (SELECT *, lower(name) AS normalized_name, row_number() OVER (PARTITION BY sku, lower(name) ORDER BY rank, pos) AS r FROM ({ALL_SPECS}) y) z WHERE r = 1",
-)
+DEDUPED_SPECS = f"SELECT sku, normalized_name, name, value, row_number() OVER (PARTITION BY sku ORDER BY rank, pos) - 1 AS sort_order FROM (SELECT *, lower(name) AS normalized_name, row_number() OVER (PARTITION BY sku, lower(name) ORDER BY rank, pos) AS r FROM ({ALL_SPECS}) y) z WHERE r = 1"
+raw("product_specs", lambda r: extract.dedupe_specs(extract.product_specs(r)), DEDUPED_SPECS)
 raw(
     "product_category_nodes",
     lambda r: extract.category_nodes(r, BASE),
@@ -543,7 +539,7 @@ listed("listing_products", lambda p: listing.listing_items(p).select("canonical_
 listed("listing_item_key", lambda p: listing.listing_items(p).select("canonical_path", "page", "key"), f"SELECT canonical_path, page, 'id:' || CAST(id AS varchar) AS key FROM {PAGED} p")
 listed("listing_metadata", lambda p: listing.listing_metadata(p).select("canonical_path", "page", "total", "limit"), f"SELECT canonical_path, page, total, CAST(10 AS bigint) AS \"limit\" FROM {META} m")
 listed("listing_total_pages", lambda p: listing.listing_metadata(p).select("canonical_path", "page", "total_pages", "more"), f"SELECT canonical_path, page, (total + 9) // 10 AS total_pages, page < (total + 9) // 10 AS more FROM {META} m")
-listed("listing_summary", lambda p: listing.summaries(listing.listing_items(p), BASE).select("canonical_path", "page", "product_id", "sku", "name", "price"), f"SELECT p.canonical_path, p.page, CAST(p.id AS varchar) AS product_id, f.sku, f.title AS name, f.price FROM {PAGED} p JOIN fx_products f ON f.id = p.id")
+listed("listing_summary", lambda p: listing.summaries(listing.listing_items(p), BASE).select("canonical_path", "page", "product_id", "sku", "name", "price"), f"SELECT p.canonical_path, p.page, CAST(p.id AS varchar) AS product_id, CASE WHEN p.id % 5 = 0 THEN '' ELSE f.sku END AS sku, f.title AS name, f.price FROM {PAGED} p JOIN fx_products f ON f.id = p.id")
 listed("first_seen_listing_items", lambda p: listing.first_seen(listing.listing_items(p)).select("canonical_path", "key", "page"), f"SELECT canonical_path, 'id:' || CAST(id AS varchar) AS key, min(page) AS page FROM {PAGED} p GROUP BY canonical_path, id")
 listed("repeated_listing_pages", lambda p: listing.repeated_pages(listing.listing_items(p)), f"SELECT DISTINCT canonical_path, page FROM {PAGED} p WHERE cid % 13 = 0 AND page > (own - 1) // 10 + 1")
 listed(
@@ -639,7 +635,6 @@ simple("merge_sitemaps", f"{SOURCE} {DB}", lambda s, d: s.select("canonical_path
 
 # documents and whole batches: shapes that SQL doesn't express
 
-from .plans.ingest import ingest  # noqa: E402
 from .sources import html  # noqa: E402
 
 
@@ -685,35 +680,4 @@ simple(
 )
 
 
-@query("ingest_run")
-def ingest_run(spark, sf_dir):
-    """Products of a whole batch: stored ones, listings and documents merged."""
-    p, c, s = (view(spark, sf_dir, n) for n in ("fx_products", "fx_categories", "fx_source_categories"))
-    stored = {"products": p.where("id % 3 <> 0").select("sku", "title", "brand", "price", "stock", "regular_price"), "categories": c, "links": p.where("id % 5 = 0").select("sku", F.lit("/en/none/").alias("canonical_path"))}
-    return ingest(stored, s, staged(listing_pages(spark, sf_dir)), staged(raw_products(spark, sf_dir).drop("id")), BASE, CDN)["products"]
-
-# batch forms of the streams
-
-from .streaming import catalogue as streams  # noqa: E402
-
-
-@query("stream_upsert_products")
-def stream_upsert_products(spark, sf_dir):
-    """Two micro-batches merged in turn give what one batch of both gives."""
-    out = view(spark, sf_dir, "fx_products").select("sku", "title", "brand", "price", "stock", "regular_price")
-    incoming = view(spark, sf_dir, "fx_incoming_products")
-    for half in (0, 1):
-        out = merge.upsert_products(out, merge.fold_incoming(incoming.where(F.floor(F.col("seq") / 100) % 2 == half), "seq")).drop("is_new", "touched")
-    return out
-
-
-# every other hundred comes first here, so the oracle orders by batch and then by seq
-ORACLE_SQL["stream_upsert_products"] = ORACLE_SQL["upsert_products"].replace(", p.sku IS NULL AS is_new, i.sku IS NOT NULL AS touched", "").replace(", seq)", ", (seq // 100) % 2 * 1000000000000000 + seq)")
-query("stream_dedupe_listings", "SELECT DISTINCT user_id, event_type FROM events")(lambda spark, sf: spark.read.parquet(f"{sf}/events.parquet").withColumn("key", F.concat_ws(":", "user_id", "event_type")).dropDuplicates(["key"]).select("user_id", "event_type"))
-simple(
-    "stream_missing_streak",
-    "fx_progress",
-    lambda p: streams.missing_streak(p.groupBy("canonical_path", F.col("job_id").alias("snapshot")).agg(F.bool_or(F.col("status") == "completed").alias("present"))),
-    """WITH s AS (SELECT canonical_path, job_id AS snapshot, bool_or(status = 'completed') AS present FROM fx_progress GROUP BY canonical_path, job_id), m AS (SELECT canonical_path, coalesce(max(CASE WHEN present THEN snapshot END), -1) AS last FROM s GROUP BY canonical_path)
-        SELECT m.canonical_path, CAST(count(s.snapshot) AS int) AS missing_streak FROM m LEFT JOIN s ON s.canonical_path = m.canonical_path AND s.snapshot > m.last GROUP BY m.canonical_path""",
-)
+from . import batch_queries  # noqa: E402, F401

@@ -10,19 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 NAMES = ("products", "categories", "product_categories", "images", "attributes", "scrape_jobs", "scrape_progress")
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the folder that driver and executors share, and read back. What several later steps
-    read is computed once, and lost executors lose nothing. Only a local master may lack such a folder."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir. Only a local master may lack one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-staged-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/staged-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """df written as Parquet to the shared folder, and read back. What several later steps read is computed once, and lost
+    executors lose nothing."""
+    path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def load_catalog(spark: SparkSession, folder: str | None = None, *, jdbc: dict[str, str] | None = None, bounds: tuple[int, int] = (0, 1_000_000), partitions: int = 8) -> dict[str, DataFrame]:
