@@ -152,8 +152,8 @@ GAP, AS_OF = "6 hours", datetime(2024, 1, 31)
 
 @query(
     "run_sessions",
-    f"""SELECT run_id, min(ts) AS started_at, max(ts) AS last_beat, count(*) AS beats, max(ts) + INTERVAL {GAP} <= TIMESTAMP '{AS_OF}' AS stale FROM
-        (SELECT *, sum(opens) OVER (PARTITION BY run_id ORDER BY ts) AS k FROM (SELECT user_id AS run_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL {GAP} THEN 0 ELSE 1 END AS opens FROM events) a) b GROUP BY run_id, k""",
+    f"""SELECT run_id, min(ts) AS started_at, max(ts) AS last_beat, count(*) AS beats, max(ts) + INTERVAL {GAP} < TIMESTAMP '{AS_OF}' AS stale FROM
+        (SELECT *, sum(opens) OVER (PARTITION BY run_id ORDER BY ts) AS k FROM (SELECT user_id AS run_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL {GAP} THEN 0 ELSE 1 END AS opens FROM events) a) b GROUP BY run_id, k""",
 )
 def run_sessions(spark, sf_dir):
     """A run's heartbeats as sessions, with a last heartbeat of no run far ahead that lets the watermark pass all ends."""

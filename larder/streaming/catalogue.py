@@ -159,7 +159,7 @@ def run_health(samples: DataFrame, watermark: str = "1 hour", minutes: int = 60)
 
 
 def sessions(beats: DataFrame, gap: str, watermark: str | None = None) -> DataFrame:
-    """beats (run_id, ts) -> run_id, started_at, last_beat, beats: stretches whose heartbeats are less than `gap` apart. On a
+    """beats (run_id, ts) -> run_id, started_at, last_beat, beats: stretches whose heartbeats are `gap` apart at most. On a
     stream (with a watermark) a session comes out when the watermark has passed its end."""
     beats = beats.withWatermark("ts", watermark) if watermark else beats
     found = beats.groupBy("run_id", F.session_window("ts", gap)).agg(F.max("ts").alias("last_beat"), F.count("*").alias("beats"))
@@ -168,4 +168,4 @@ def sessions(beats: DataFrame, gap: str, watermark: str | None = None) -> DataFr
 
 def stale_sessions(found: DataFrame, gap: str, as_of: datetime) -> DataFrame:
     """sessions -> whether the run went stale after each: no heartbeat within `gap`, as seen at as_of."""
-    return found.withColumn("stale", F.col("last_beat") + F.expr(f"INTERVAL {gap}") <= F.lit(as_of).cast(dict(found.dtypes)["last_beat"]))
+    return found.withColumn("stale", F.col("last_beat") + F.expr(f"INTERVAL {gap}") < F.lit(as_of).cast(dict(found.dtypes)["last_beat"]))
