@@ -13,6 +13,7 @@ from .functions import paths, text
 from .operators import catalog, taxonomy
 from .plans import catalogue
 from .plans.catalogue import Catalogue
+from .sources import html
 from .sources.tables import staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -598,9 +599,8 @@ simple("normalize_spec_name", "fx_attributes", lambda a: a.select("product_id",
 query("parse_since_date", "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM events")(
     lambda spark, sf: spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.date_format(F.try_to_timestamp(F.date_format("ts", "yyyy-M-d"), F.lit("yyyy-M-d")), "yyyy-MM-dd").alias("day"))
 )
-EXCLUDED = ("/brands/", "/service/", "/blogs/", "/blog/", "/account/", "/compare/", "/cart/", "/wishlist/", "/pages/")  # fixed values: sections without categories
 ROOTS = ("/", "/en/", "/en/catalog/", "/en/collection/", "/en/sitemap/")  # fixed values: paths that are no categories
-pages("excluded_url_sections", lambda p: p.where(~F.exists(F.array(*(F.lit(e) for e in EXCLUDED)), lambda e: F.contains(F.lower("url"), e))).select("page_id", "url"), "SELECT page_id, url FROM pages WHERE " + " AND ".join(f"NOT contains(lower(url), '{e}')" for e in EXCLUDED))
+pages("excluded_url_sections", lambda p: p.where(~F.exists(F.array(*(F.lit(e) for e in html.EXCLUDED)), lambda e: F.contains(F.lower("url"), e))).select("page_id", "url"), "SELECT page_id, url FROM pages WHERE " + " AND ".join(f"NOT contains(lower(url), '{e}')" for e in html.EXCLUDED))
 
 
 def category_urls(p: DataFrame) -> DataFrame:
@@ -635,17 +635,61 @@ simple("merge_sitemaps", f"{SOURCE} {DB}", lambda s, d: s.select("canonical_path
 
 # documents and whole batches: shapes that SQL doesn't express
 
-from .sources import html  # noqa: E402
 
 
-def page_docs(name: str, f) -> None:
-    query(name)(lambda spark, sf_dir: f(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), "html")))
+TITLE = "upper(substr(title, 1, 1)) || substr(title, 2)"
 
 
-page_docs("html_intro_paragraph", lambda d: html.intro_paragraph(html.html_blocks(d)))
-page_docs("html_long_description", lambda d: html.long_description(html.html_blocks(d.withColumn("html", F.regexp_replace("html", "<h1>", "<h1>Features: ")))))
-page_docs("product_descriptions", html.descriptions)
-page_docs("sitemap_html_categories", lambda d: html.sitemap_nodes(d, BASE + "/en"))
+def text_docs(p: DataFrame) -> DataFrame:
+    """Product texts: an introduction (every third has none), sections, one that stops, and what doesn't count around them.
+    Every fourth has its introduction under a heading; descriptions are the supplier's plain texts."""
+    intro = F.when(F.col("id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("<p class='intro'>Meet the <b>"), "title", F.lit("</b> &amp;\n more</p>")))
+    before, after = (F.when((F.col("id") % 4 == 0) == at, intro).otherwise("") for at in (False, True))
+    parts = (
+        F.lit("<h2>Features of the page</h2><div><p>short</p><div>"), before, F.lit("<h3>Highlights</h3>"), after, F.lit("<ul><li>Size of "), F.col("id").cast("string"),
+        F.lit("</li><li>Two</li></ul>loose<p>End</p><h4>Colours</h4><p>None at all of these</p><h3>Usage</h3><!-- no --><table><tr><td>Where</td><td>Anywhere</td></tr></table><h3>Customer Reviews</h3><p>Bad</p><h3>Details</h3><p>Never</p></div></div>"),
+    )
+    return p.select(F.col("id").alias("doc_id"), F.concat(*parts).alias("html"), F.when(F.col("id") % 2 == 0, F.concat(F.lit(" Plain&nbsp;"), "sku", F.lit(" "))).alias("description"))
+
+
+INTRO_TEXT = "CASE WHEN id % 3 = 0 THEN '{none}' ELSE 'Meet the ' || title || ' & more' END"
+SECTIONS = "'<h3>Highlights</h3><ul><li>Size of ' || CAST(id AS varchar) || '</li><li>Two</li></ul><p>End</p>' || chr(10) || '<h3>Usage</h3><table><tr><td>Where</td><td>Anywhere</td></tr></table>'"
+WHOLE_PAGE = "'<h2>Features of the page</h2><div><p>short</p><div>' || CASE WHEN id % 3 <> 0 AND id % 4 <> 0 THEN {i} ELSE '' END || '<h3>Highlights</h3>' || CASE WHEN id % 3 <> 0 AND id % 4 = 0 THEN {i} ELSE '' END || '<ul><li>Size of ' || CAST(id AS varchar) || '</li><li>Two</li></ul>loose<p>End</p><h4>Colours</h4><p>None at all of these</p><h3>Usage</h3><!-- no --><table><tr><td>Where</td><td>Anywhere</td></tr></table><h3>Customer Reviews</h3><p>Bad</p><h3>Details</h3><p>Never</p></div></div>' || chr(10) || ".format(i="'<p class=''intro''>Meet the <b>' || title || '</b> &amp;' || chr(10) || ' more</p>'")
+WITH_INTRO = SECTIONS.replace("<h3>Highlights</h3>", "<h3>Highlights</h3>' || CASE WHEN id % 3 <> 0 AND id % 4 = 0 THEN '<p class=''intro''>Meet the <b>' || title || '</b> &amp;' || chr(10) || ' more</p>' ELSE '' END || '")
+
+
+def text_query(name: str, f, sql: str) -> None:
+    query(name, sql)(lambda spark, sf_dir: f(staged(text_docs(view(spark, sf_dir, "fx_products")))))
+
+
+# without an introduction of its own, a page's first fitting paragraph is the one under Colours
+text_query("html_intro_paragraph", lambda d: html.intro_paragraph(d, staged(html.html_elements(d))).select("doc_id", "short_description"), f"SELECT id AS doc_id, {INTRO_TEXT.format(none='None at all of these')} AS short_description FROM fx_products")
+text_query("html_long_description", lambda d: html.long_description(d, staged(html.html_elements(d))), f"SELECT id AS doc_id, {WHOLE_PAGE} {WITH_INTRO} AS long_description FROM fx_products")
+text_query("product_descriptions", html.descriptions, f"SELECT id AS doc_id, {INTRO_TEXT.format(none='None at all of these')} AS short_description, {SECTIONS} AS long_description FROM fx_products")
+
+
+def category_lists(c: DataFrame) -> DataFrame:
+    """A document for each first category: its tree as nested lists, every third in a labelled block, with links that are no
+    categories and what hangs below them."""
+    item = lambda path, name, below: F.concat(F.lit("<li><a href='"), path, F.lit("'><b>"), name, F.lit("</b> <span>(7)</span></a>"), below, F.lit("</li>"))
+    joined = lambda x: F.concat(F.lit("<ul>"), F.array_join(F.transform(F.sort_array(x), lambda s: s["item"]), ""), F.lit("</ul>"))
+    rows = c.select("id", "canonical_path", "parent_path", "name", "level")
+    low = rows.where("level = 3").groupBy("parent_path").agg(joined(F.collect_list(F.struct("id", item(F.col("canonical_path"), F.col("name"), F.lit("")).alias("item")))).alias("low"))
+    middle = rows.where("level = 2").join(low.withColumnRenamed("parent_path", "canonical_path"), "canonical_path", "left")
+    middle = middle.groupBy("parent_path").agg(joined(F.collect_list(F.struct("id", item(F.col("canonical_path"), F.col("name"), F.coalesce("low", F.lit(""))).alias("item")))).alias("middle"))
+    top = rows.where("level = 1").join(middle.withColumnRenamed("parent_path", "canonical_path"), "canonical_path", "left")
+    others = F.lit("<li><a href='/en/brands/x/'>Brands</a><ul><li><a href='/en/lost/'>Lost</a></li></ul></li><li>No link<ul><li><a href='/en/gone/'>Gone</a></li></ul></li><li><div><ul><li><a href='/en/deep/'>Deep</a></li></ul></div></li><li><a href='/en/extra-a/'>Extra A</a></li><li><a href='/en/extra-b/'>Extra B</a></li>")
+    tree = F.concat(F.lit("<ul>"), item(F.col("canonical_path"), F.col("name"), F.coalesce("middle", F.lit(""))), others, F.lit("</ul>"))
+    block = F.concat(F.lit("<ul><li><a href='/en/a/'>A</a></li><li><a href='/en/b/'>B</a></li><li><a href='/en/c/'>C</a></li></ul><div class='x gui-list' aria-labelledby='our categories'>"), tree, F.lit("</div>"))
+    return top.select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, block).otherwise(F.concat(F.lit("<ul><li><a href='/en/few/'>Few</a></li></ul>"), tree)).alias("html"))
+
+
+simple(
+    "sitemap_html_categories",
+    "fx_categories",
+    lambda c: html.sitemap_nodes(staged(category_lists(c)), BASE + "/en").drop("pos"),
+    "WITH t AS (SELECT id AS doc_id, canonical_path AS root FROM fx_categories WHERE level = 1) SELECT t.doc_id, c.name, replace(c.canonical_path, ' ', '-') AS canonical_path, replace(c.parent_path, ' ', '-') AS parent_path, CAST(c.level AS int) AS level, 7 AS source_count FROM t JOIN fx_categories c ON starts_with(c.canonical_path, t.root) UNION ALL SELECT doc_id, x.name, x.path, NULL, 1, 0 FROM t CROSS JOIN (VALUES ('Extra A', '/en/extra-a/'), ('Extra B', '/en/extra-b/')) x(name, path)",
+)
 
 
 def spec_docs(p: DataFrame, a: DataFrame, k: int) -> DataFrame:
@@ -655,7 +699,9 @@ def spec_docs(p: DataFrame, a: DataFrame, k: int) -> DataFrame:
     forms = (
         put('<section id="specs"><dl>', lambda s: F.concat(F.lit("<dt>"), s["name"], F.lit("</dt><dd>"), s["value"], F.lit("</dd>")), "</dl></section>"),
         put("<table>", lambda s: F.concat(F.lit("<tr><td>"), s["name"], F.lit("</td><td>"), s["value"], F.lit("</td></tr>")), "</table>"),
-        put("<h3>Technical data</h3><ul>", lambda s: F.concat(F.lit("<li>"), s["name"], F.lit(": "), s["value"], F.lit("</li>")), "</ul>"),
+        F.when(F.col("id") % 3 == 0, put("<h3>Technical data</h3><ul>", lambda s: F.concat(F.lit("<li>"), s["name"], F.lit(": "), s["value"], F.lit("</li>")), "</ul><hr><p>Not: here</p>"))
+        .when(F.col("id") % 3 == 1, put("<p>On <strong>Technical <!-- x --></strong></p><p><strong>Physical parameters</strong></p><div>", lambda s: F.concat(s["name"], F.lit(" - "), s["value"], F.lit(";")), "</div><h4>Other</h4><p>Not: here</p>"))
+        .otherwise(put("<h2>Specificaties</h2><p>below</p><table>", lambda s: F.concat(F.lit("<tr><th>"), s["name"], F.lit("</th><td>"), s["value"], F.lit("</td></tr>")), "</table>")),
         put("<p><strong>Specifications</strong>:", lambda s: F.concat(F.lit(" "), s["name"], F.lit(": "), s["value"], F.lit(" •")), "</p>"),
     )
     return p.select("id").join(rows, "id").select(F.col("id").alias("doc_id"), forms[k].alias("html"))

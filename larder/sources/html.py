@@ -1,7 +1,14 @@
-"""HTML documents as rows: text blocks, nested link lists, specification pairs.
+"""HTML documents as rows: elements of the tree by intervals, descriptions, specification pairs, nested link lists.
+
+Each element is a row with its number in document order (pre), the number of the last element inside it (last) and the
+number of its parent, and the place of its markup in the source. So one element lies in another if pre is between the
+other's pre and last; siblings share a parent; and markup or text of an element is a slice of the source, cut for the
+chosen elements alone. Rows hold no text but a short head for tests of how an element begins, so a text under many open
+elements is not repeated for each.
 
 Parsing one document is a small helper on the standard library's tokenizer; order, precedence, dedupe and joins are
-DataFrame operators over its rows. Documents are spread over tasks, one at a time is in memory.
+DataFrame operators over its rows. Documents are spread over tasks, one at a time is in memory. A missing html has no
+elements. doc_ids are unique.
 """
 
 from __future__ import annotations
@@ -14,111 +21,192 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import paths, text
+from .tables import staged
 
 # Section names by what they hold.
 LONG_SECTIONS = ("highlights", "features", "product details", "benefits", "construction", "applications", "compatibility", "usage", "additional information", "description", "details", "specifications")
 INTRO_SECTIONS = ("highlights", "features", "specifications", "product details", "description", "details")  # fixed values: what an intro doesn't begin with
 STOP_SECTIONS = ("reviews", "ratings", "alternatives", "related products", "recommended products", "frequently bought together", "recently viewed", "shipping", "returns", "payment", "support", "footer")
-BLOCKS = frozenset("p div h1 h2 h3 h4 h5 h6 li dt dd td th a".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-BLOCK_SCHEMA = "doc_id long, pos int, tag string, depth int, list_depth int, row int, in_specs boolean, nested boolean, href string, holds boolean, text string"
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+BLOCKS = ("p", "div", *HEADINGS, "li", "dt", "dd", "td", "th", "a")
+SPEC_HEADING = r"(?i)specifications?|specificaties?|technical\s+(specifications?|data|details)|parameters?|physical\s+parameters?"  # fixed value
+EXCLUDED = ("/brands/", "/service/", "/blogs/", "/blog/", "/account/", "/compare/", "/cart/", "/wishlist/", "/pages/")  # fixed values: sections without categories
+ELEMENTS = "doc_id long, pre int, last int, parent int, list_depth int, row int, in_specs boolean, holds boolean, single boolean, tag string, names string, label string, href string, start int, end int, chars int, head string"
+HEAD = 40  # characters of an element's text that its row holds
+
 
+class _Tree(HTMLParser):
+    """Elements as lists in the order of ELEMENTS without doc_id."""
 
-class _Blocks(HTMLParser):
-    def __init__(self):
+    def __init__(self, source: str):
         super().__init__(convert_charrefs=True)
         self.rows: list[list] = []
-        self.open: list[tuple[str, list | None]] = []
-        self.hidden = self.row = 0
+        self.open: list[list] = []  # rows
+        self.kids: list[list] = [[0, False, False]]  # of the document and each open element: child nodes; is the last one a single text; is it a text
+        self.pieces: list[str] = []  # stripped texts of the document, not those of scripts and styles
+        self.size = self.hidden = self.lists = 0
+        self.row = -1
+        self.source, self.lines = source, [0]
+        for line in source.split("\n"):
+            self.lines.append(self.lines[-1] + len(line) + 1)
+        self.feed(source)
+        self.close()
+        while self.open:
+            self._shut(len(source))
+
+    def _place(self) -> int:
+        line, column = self.getpos()
+        return self.lines[line - 1] + column
+
+    def _child(self, single: bool, is_text: bool = False) -> None:
+        own = self.kids[-1]
+        if not (is_text and own[2]):  # texts beside each other are one
+            own[:] = [own[0] + 1, single, is_text]
 
     def handle_starttag(self, tag, attrs):
-        given = dict(attrs)
-        if tag in ("script", "style"):
-            self.hidden += 1
+        given, at, pre = dict(attrs), self._place(), len(self.rows)
+        names = f"{given.get('id') or ''} {given.get('class') or ''}".lower().split()
+        above = self.open[-1] if self.open else None
         if tag == "tr":
-            self.row += 1
-        if tag in ("table", "ul", "ol"):
-            for _, above in self.open:
-                if above:
-                    above[9] = True
-        row = None
-        if tag in BLOCKS:
-            names = f"{given.get('id') or ''} {given.get('class') or ''}".lower().split()
-            inside = any(x for _, r in self.open if r for x in [r[5]]) or any(n in ("specs", "specifications") for n in names)
-            for _, above in self.open:
-                if above and tag != "a":
-                    above[6] = True
-                if above and tag[0] == "h":
-                    above[9] = True
-            row = [len(self.rows), tag, len(self.open), sum(t in ("ul", "ol") for t, _ in self.open), self.row, inside or self.in_specs(), False, given.get("href"), [], False]
-            self.rows.append(row)
-        elif any(n in ("specs", "specifications") for n in f"{given.get('id') or ''} {given.get('class') or ''}".lower().split()):
-            row = [0, tag, 0, 0, 0, True, False, None, [], False]  # a container only
+            self.row = pre
+        if tag in ("ul", "ol"):
+            self.lists += 1
+        if tag in ("table", "ul", "ol", *HEADINGS):
+            for row in reversed(self.open):
+                if row[6]:
+                    break  # and so are all above
+                row[6] = True
+        in_specs = bool(above and above[5]) or any(n in ("specs", "specifications") for n in names)
+        row = [pre, pre, above[0] if above else -1, self.lists, self.row, in_specs, False, False, tag, " ".join(names), given.get("aria-labelledby"), given.get("href"), at, at + len(self.get_starttag_text() or ""), len(self.pieces), self.size]
+        self.rows.append(row)
+        if tag in VOID:
+            self._child(False)
+            row[14:] = [0, ""]
+        else:
+            self.open.append(row)
+            self.kids.append([0, False, False])
+            self.hidden += tag in ("script", "style")
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.open.append((tag, row))
-
-    def in_specs(self):
-        return any(r and r[5] for _, r in self.open)
+            self.handle_endtag(tag)
+
+    def _shut(self, end: int) -> None:
+        row, (n, single, _) = self.open.pop(), self.kids.pop()
+        row[1], row[7], row[13] = len(self.rows) - 1, n == 1 and single, end
+        self.lists -= row[8] in ("ul", "ol")
+        self.hidden -= row[8] in ("script", "style")
+        head, at = "", row[14]
+        while len(head) < HEAD and at < len(self.pieces):
+            head, at = head + self.pieces[at], at + 1
+        row[14:] = [self.size - row[15], head[:HEAD]]
+        self._child(row[7])
 
     def handle_endtag(self, tag):
-        if tag in ("script", "style") and self.hidden:
-            self.hidden -= 1
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                break
+        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][8] == tag), None)
+        if at is None:
+            return
+        place = self._place()
+        while len(self.open) > at + 1:
+            self._shut(place)
+        close = self.source.find(">", place)
+        self._shut(len(self.source) if close < 0 else close + 1)
+
+    def handle_comment(self, data):
+        self._child(False)
 
     def handle_data(self, data):
         if not self.hidden:
-            for _, row in self.open:
-                if row:
-                    row[8].append(data)
+            self._child(True, True)
+            piece = " ".join(data.split())
+            if piece:
+                self.pieces.append(piece)
+                self.size += len(piece)
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for doc, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            p = _Blocks()
-            p.feed(html or "")
-            p.close()
-            out += [(doc, *r[:8], r[9], " ".join("".join(r[8]).split())) for r in p.rows]
-        cols = list(zip(*out)) if out else [[]] * 11
-        kinds = (pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.string(), pa.bool_(), pa.string())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "pos", "tag", "depth", "list_depth", "row", "in_specs", "nested", "href", "holds", "text"])
+        for doc, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            rows = _Tree(source).rows if source else []
+            cols = [[doc] * len(rows), *(zip(*rows) if rows else [[]] * 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, KINDS)], names=[f.split()[0] for f in ELEMENTS.split(", ")])
+
 
+KINDS = [{"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}[f.split()[1]] for f in ELEMENTS.split(", ")]
 
-def html_blocks(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, html) -> a row for each block element in document order."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("html").cast("string")).mapInArrow(_parse, BLOCK_SCHEMA)
 
+def html_elements(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, html) -> a row for each element: pre, last and parent (-1 for none) in document order; list_depth (open
+    lists, its own included), row (the last table row begun), in_specs (in a specification section), holds (a heading, table
+    or list is inside), single (its only content is one text), start and end in the source (counted from 0), chars and head
+    of its text."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("html").cast("string")).mapInArrow(_parse, ELEMENTS)
 
-def heading() -> Column:
-    return F.col("tag").rlike("^h[1-6]$")
+
+def sliced(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """spans (doc_id, start, end, ..) with `markup`, the slice of the document's source. Spans are gathered by document, so a
+    document's source moves once, not once for each span."""
+    rest = [c for c in spans.columns if c != "doc_id"]
+    of = spans.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_list(F.struct(*rest)).alias("_spans"))
+    both = docs.select("doc_id", "html").join(of, F.col("doc_id") == F.col("_doc"))
+    cut = F.transform("_spans", lambda s: F.struct(*(s[c].alias(c) for c in rest), F.substring("html", s["start"] + 1, s["end"] - s["start"]).alias("markup")))
+    return both.select("doc_id", F.explode(cut).alias("_x")).select("doc_id", "_x.*")
+
+
+def text_of(markup: Column, between: str = "") -> Column:
+    """The text of a slice of markup, without comments, scripts and styles, white space squeezed; tags become `between`."""
+    shown = F.regexp_replace(markup, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", between)
+    return text.squeeze(text.unescape(F.regexp_replace(shown, r"(?s)</?[a-zA-Z!?][^>]*>", between)))
 
 
 def contains_any(c: Column, words: tuple[str, ...]) -> Column:
     return F.exists(F.array(*(F.lit(w) for w in words)), lambda w: F.contains(F.lower(c), w))
 
 
-def intro_paragraph(blocks: DataFrame) -> DataFrame:
-    """The first paragraph or block of 15 characters or more that holds no heading, table or list and opens no section."""
-    plain = blocks.where(F.col("tag").isin("p", "div") & ~F.col("holds") & (F.length("text") >= 15) & ~F.startswith("text", F.lit("<")) & ~F.exists(F.array(*(F.lit(w) for w in INTRO_SECTIONS)), lambda w: F.startswith(F.lower("text"), w)))
-    return plain.groupBy("doc_id").agg(F.min(F.struct("pos", "text")).alias("x")).select("doc_id", F.col("x.pos").alias("pos"), F.col("x.text").alias("short_description"))
+def intro_elements(elements: DataFrame) -> DataFrame:
+    """The first paragraph or block of each document with 15 characters or more that holds no heading, table or list and opens
+    no section: doc_id, pre, parent, start, end."""
+    opens = F.exists(F.array(*(F.lit(w) for w in INTRO_SECTIONS)), lambda w: F.startswith(F.lower("head"), w))
+    plain = elements.where(F.col("tag").isin("p", "div") & ~F.col("holds") & (F.col("chars") >= 15) & ~F.startswith("head", F.lit("<")) & ~opens)
+    return plain.groupBy("doc_id").agg(F.min(F.struct("pre", "parent", "start", "end")).alias("x")).select("doc_id", "x.*")
+
 
+def intro_paragraph(docs: DataFrame, elements: DataFrame) -> DataFrame:
+    return sliced(docs, intro_elements(elements)).select("doc_id", F.col("pre").alias("pos"), text_of(F.col("markup")).alias("short_description"))
 
-def long_description(blocks: DataFrame) -> DataFrame:
-    """Headings that name a section and the blocks up to the next heading, until a section that stops; joined by line feeds."""
-    flat = blocks.where(heading() | (F.col("tag").isin("p", "li", "td", "dd", "dt") & ~F.col("nested")))
-    by = Window.partitionBy("doc_id").orderBy("pos")
-    marked = flat.withColumns({"named": F.last(F.when(heading(), contains_any(F.col("text"), LONG_SECTIONS)), True).over(by), "stopped": F.max((heading() & contains_any(F.col("text"), STOP_SECTIONS)).cast("int")).over(by)})
-    kept = marked.where("named and stopped = 0 and text <> ''")
-    return kept.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "text"))), lambda s: s["text"]), "\n").alias("long_description"))
+
+def long_description(docs: DataFrame, elements: DataFrame, intro: DataFrame | None = None) -> DataFrame:
+    """Headings that name a section, each with the markup of its siblings up to the next whose name begins with h, until a
+    heading of a section that stops; sections without text are left out, the others joined by line feeds. intro (doc_id,
+    pre, parent): an element that counts as removed; only headings inside its parent count then."""
+    if intro is None:
+        intro = elements.select("doc_id", F.lit(-1).alias("pre"), F.lit(-1).alias("parent")).limit(0)
+    removed = intro.select("doc_id", F.col("pre").alias("intro"), F.col("parent").alias("within"))
+    container = removed.join(elements.select("doc_id", F.col("pre").alias("within"), F.col("last").alias("until")), ["doc_id", "within"], "left")
+    names = elements.where(F.col("tag").isin(*HEADINGS)).join(container, "doc_id", "left").where("until is null or (pre > within and pre <= until)")
+    named = sliced(docs, names.select("doc_id", "pre", "start", "end")).withColumn("name", text_of(F.col("markup")))
+    in_order = Window.partitionBy("doc_id").orderBy("pre")
+    running = named.withColumn("stopped", F.max(contains_any(F.col("name"), STOP_SECTIONS).cast("int")).over(in_order))
+    chosen = running.where(contains_any(F.col("name"), LONG_SECTIONS) & (F.col("stopped") == 0)).select("doc_id", F.col("pre").alias("section"))
+    siblings = Window.partitionBy("doc_id", "parent").orderBy("pre")
+    parts = elements.withColumn("section", F.last(F.when(F.startswith("tag", F.lit("h")), F.col("pre")), True).over(siblings)).where("section is not null")
+    parts = parts.join(chosen, ["doc_id", "section"]).join(removed.select("doc_id", F.col("intro").alias("pre")), ["doc_id", "pre"], "left_anti")
+    cut = sliced(docs, parts.select("doc_id", "section", "pre", "start", "end", "chars"))
+    one = cut.groupBy("doc_id", "section").agg(F.sum("chars").alias("chars"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pre", "markup"))), lambda s: s["markup"]), "").alias("markup")).where("chars > 0")
+    return one.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("section", "markup"))), lambda s: F.regexp_replace(s["markup"], r"^\s+|\s+$", "")), "\n").alias("long_description"))
 
 
 def descriptions(docs: DataFrame) -> DataFrame:
-    blocks = html_blocks(docs)
-    return docs.select("doc_id").join(intro_paragraph(blocks).drop("pos"), "doc_id", "left").join(long_description(blocks), "doc_id", "left").withColumn("long_description", F.trim(F.replace("long_description", F.coalesce("short_description", F.lit("\u0000")), F.lit(""))))
+    """docs (doc_id, html, and optionally description, the supplier's plain text) -> doc_id, short_description (the intro
+    paragraph, else the supplier's), long_description (sections beside the intro paragraph, which is removed as an element)."""
+    elements = staged(html_elements(docs))
+    intro = staged(intro_elements(elements))
+    short = sliced(docs, intro).select("doc_id", text_of(F.col("markup")).alias("intro_text"))
+    plain = F.nullif(text.normalize_paragraph(F.col("description")), F.lit("")) if "description" in docs.columns else F.lit(None).cast("string")
+    out = docs.select("doc_id", plain.alias("plain")).join(short, "doc_id", "left").join(long_description(docs, elements, intro), "doc_id", "left")
+    return out.select("doc_id", F.coalesce(F.nullif("intro_text", F.lit("")), "plain").alias("short_description"), "long_description")
 
 
 def split_key_value(c: Column) -> Column:
@@ -129,33 +217,100 @@ def split_key_value(c: Column) -> Column:
     return F.when(F.size(colon) > 0, F.struct(part(by_colon, 1).alias("name"), part(by_colon, 2).alias("value"))).when(F.size(dash) == 2, F.struct(part(by_dash, 1).alias("name"), part(by_dash, 2).alias("value")))
 
 
-def spec_pairs(docs: DataFrame) -> DataFrame:
-    """doc_id, rank, pos, name, value: definition lists in a specification section (3), table rows of two cells (4), lines
-    after a specification heading (5), and specification paragraphs split at bullets, bars, semicolons and line feeds (6)."""
-    b = html_blocks(docs)
-    by = Window.partitionBy("doc_id").orderBy("pos")
-    terms = b.where("in_specs and tag in ('dt', 'dd')").withColumn("value", F.lead(F.when(F.col("tag") == "dd", F.col("text"))).over(by)).where("tag = 'dt' and value is not null").select("doc_id", F.lit(3).alias("rank"), "pos", F.col("text").alias("name"), "value")
-    cells = b.where("tag in ('td', 'th') and row > 0").groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("c")).where(F.size("c") == 2).select("doc_id", F.lit(4).alias("rank"), F.col("c")[0]["pos"].alias("pos"), F.col("c")[0]["text"].alias("name"), F.col("c")[1]["text"].alias("value"))
-    is_spec = F.lower("text").rlike("spec|technical|technische|kenmerken")
-    after = b.withColumn("named", F.last(F.when(heading(), is_spec), True).over(by)).where("named and tag in ('li', 'p') and not nested").select("doc_id", F.lit(5).alias("rank"), "pos", split_key_value(F.col("text")).alias("x"))
-    paragraphs = b.where("tag = 'p'").where(F.lower("text").rlike("^spec[a-z]*:")).select("doc_id", "pos", F.explode(F.split(F.regexp_replace("text", "(?i)^spec[a-z]*:", ""), "[•▪|;\n]")).alias("piece")).select("doc_id", F.lit(6).alias("rank"), "pos", split_key_value(F.col("piece")).alias("x"))
-    split = after.union(paragraphs).where("x is not null").select("doc_id", "rank", "pos", "x.name", "x.value")
-    return terms.union(cells).union(split)
+def sibling_members(elements: DataFrame, containers: DataFrame) -> DataFrame:
+    """containers (doc_id, pre, parent) -> the elements after each within its parent, up to the next whose name begins with h."""
+    later = Window.partitionBy("doc_id", "parent").orderBy("pre").rowsBetween(1, Window.unboundedFollowing)
+    ends = elements.select("doc_id", "pre", "parent", F.min(F.when(F.startswith("tag", F.lit("h")), F.col("pre"))).over(later).alias("until"))
+    own = ends.join(containers.select("doc_id", "pre").distinct(), ["doc_id", "pre"]).withColumnsRenamed({"pre": "after"})
+    found = elements.join(own, ["doc_id", "parent"]).where("pre > after and (until is null or pre < until)")
+    return found.drop("after", "until").distinct()
+
+
+def heading_spans(docs: DataFrame, elements: DataFrame) -> DataFrame:
+    """What follows a heading or a strong label of specifications: kind (line, cells or text), pre, place, start, end. Lines are
+    items of lists, cells those of table rows, texts whole paragraphs or blocks."""
+    heads = elements.where(F.col("tag").isin(*HEADINGS, "strong") & F.col("single") & (F.col("chars") > 0))
+    labels = sliced(docs, heads.select("doc_id", "pre", "parent", "tag", "start", "end")).where(F.regexp_like(text_of(F.col("markup")), F.lit(SPEC_HEADING)))
+    containers = labels.select("doc_id", F.when(F.col("tag") == "strong", F.col("parent")).otherwise(F.col("pre")).alias("pre"))
+    members = sibling_members(elements, containers)
+    inside = members.where("tag in ('ul', 'ol', 'table')").select("doc_id", F.col("pre").alias("m"), F.col("last").alias("m_last"), (F.col("tag") == "table").alias("table"))
+    within = lambda tag: elements.where(F.col("tag") == tag).join(inside, "doc_id").where("pre > m and pre <= m_last")
+    lines = within("li").where("not table").select("doc_id", F.lit("line").alias("kind"), "pre", F.lit(0).alias("place"), "start", "end").distinct()
+    rows = within("tr").where("table").select("doc_id", F.col("pre").alias("row")).distinct()
+    cells = elements.where("tag in ('td', 'th')").join(rows, ["doc_id", "row"]).select("doc_id", F.lit("cells").alias("kind"), F.col("row").alias("pre"), F.col("pre").alias("place"), "start", "end")
+    texts = members.where("tag in ('p', 'div')").select("doc_id", F.lit("text").alias("kind"), "pre", F.lit(0).alias("place"), "start", "end")
+    return lines.union(cells).union(texts)
 
 
-DEEPEST = 12  # links nested deeper count as of this depth
+PIECES = "[•▪|;\n]"
+
+
+def spec_pairs(docs: DataFrame) -> DataFrame:
+    """doc_id, rank, pos, name, value: definition lists in a specification section (3), table rows of two cells (4), lists,
+    tables and paragraphs after a specification heading or strong label (5), and specification paragraphs split at bullets,
+    bars, semicolons and line feeds (6)."""
+    elements = staged(html_elements(docs))
+    by = Window.partitionBy("doc_id").orderBy("pre")
+    following = F.lead(F.struct("tag", "pre", "start", "end")).over(by)
+    terms = elements.where(F.col("tag").isin(*BLOCKS)).withColumn("next", following).where("in_specs and tag = 'dt' and next.tag = 'dd'")
+    span = lambda df, rank, kind, pre, place, start, end: df.select("doc_id", F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), pre.alias("pre"), place.alias("place"), start.alias("start"), end.alias("end"))
+    c, zero = F.col, F.lit(0)
+    spans = span(terms, 3, "cells", c("pre"), zero, c("start"), c("end")).union(span(terms, 3, "cells", c("pre"), F.lit(1), c("next.start"), c("next.end")))
+    spans = spans.union(span(elements.where("tag in ('td', 'th') and row >= 0"), 4, "cells", c("row"), c("pre"), c("start"), c("end")))
+    spans = spans.union(heading_spans(docs, elements).select("doc_id", F.lit(5), "kind", "pre", "place", "start", "end"))
+    spans = spans.union(span(elements.where("tag = 'p'").where(F.lower("head").rlike("^spec[a-z]*:")), 6, "text", c("pre"), zero, c("start"), c("end")))
+    texts = sliced(docs, spans).withColumn("text", F.when(F.col("kind") == "cells", text_of(c("markup"))).otherwise(text_of(c("markup"), " ")))
+    pairs = texts.where("kind = 'cells'").groupBy("doc_id", "rank", "pre").agg(F.sort_array(F.collect_list(F.struct("place", "text"))).alias("c")).where(F.size("c") == 2).select("doc_id", "rank", c("pre").alias("pos"), c("c")[0]["text"].alias("name"), c("c")[1]["text"].alias("value"))
+    whole = F.when(c("rank") == 6, F.regexp_replace("text", "(?i)^spec[a-z]*\\s*:", "")).otherwise(c("text"))
+    lines = texts.where("kind <> 'cells'").select("doc_id", "rank", c("pre").alias("pos"), F.explode(F.when(c("kind") == "text", F.split(whole, PIECES)).otherwise(F.array("text"))).alias("piece"))
+    split = lines.select("doc_id", "rank", "pos", split_key_value(c("piece")).alias("x")).where("x is not null").select("doc_id", "rank", "pos", "x.name", "x.value")
+    return pairs.union(split)
 
 
 def sitemap_nodes(docs: DataFrame, base: str) -> DataFrame:
-    """Links of nested lists as category rows: doc_id, pos, name, canonical_path, parent_path, level, source_count. The
-    parent is the nearest link before of a lesser list depth; of equal paths the first stays."""
-    links = html_blocks(docs).where("tag = 'a' and list_depth > 0 and href is not null")
-    rows = links.select("doc_id", "pos", F.col("list_depth").alias("level"), text.clean_category_name(F.col("text")).alias("name"), paths.normalize_path(F.col("href"), base).alias("canonical_path"), text.extract_count(F.lit(""), F.col("text")).alias("source_count")).where("canonical_path not in ('', '/')")
-    by = Window.partitionBy("doc_id").orderBy("pos")
-    # the last link before at each depth; lists are nested a few levels deep, and the nearest lesser one is the latest
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    last = F.array(*(F.last(F.when(F.col("level") == n, F.struct("pos", "canonical_path")), True).over(before) for n in range(1, DEEPEST)))
-    levels = rows.withColumn("above", last)
-    parent = F.array_max(F.filter("above", lambda s, n: s.isNotNull() & (n + 1 < F.least(F.col("level"), F.lit(DEEPEST)))))["canonical_path"]
-    first = levels.select("doc_id", "pos", "name", "canonical_path", parent.alias("parent_path"), "level", "source_count").withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "canonical_path").orderBy("pos")))
-    return first.where("r = 1").drop("r")
+    """Category links of a document's list: doc_id, pos, name, canonical_path, parent_path, level, source_count.
+
+    The list is the first of the block with class gui-list that is labelled by categories; where that gives nothing, the
+    first list with three linked items, three links below /en/ and a first-level category. An item is a category if its own
+    link has a name, a path and no excluded section; its children are the items of its own first list. What lies below
+    an item that is none, or deeper in other markup, is no category: the intervals of such elements cut it off. Lists nest
+    to any depth. Of equal paths the first stays."""
+    elements = staged(html_elements(docs))
+    first = elements.where("tag = 'a' and href is not null").groupBy("doc_id", "parent").agg(F.min(F.struct("pre", "href", "start", "end")).alias("a")).select("doc_id", F.col("parent").alias("pre"), "a.href", "a.start", "a.end")
+    lists = elements.where("tag = 'ul'")
+    items = elements.where("tag = 'li'").select("doc_id", "pre", "last", "parent", "list_depth")
+    own = sliced(docs, items.select("doc_id", "pre").join(first, ["doc_id", "pre"]))
+    name = text_of(F.col("markup"))
+    linked = own.select("doc_id", "pre", "href", text.clean_category_name(name).alias("name"), text.extract_count(F.lit(""), name).alias("source_count"), paths.normalize_path(F.col("href"), base).alias("canonical_path"))
+    sound = (F.col("name") != "") & ~contains_any(F.col("href"), EXCLUDED) & ~F.col("canonical_path").isin("", "/")
+    linked = staged(linked.where(sound).withColumn("absolute", F.startswith("href", F.lit("http")) | F.startswith("href", F.lit("/"))))
+    # roots: the labelled block's first list, else lists that pass for one
+    direct = items.join(lists.select("doc_id", F.col("pre").alias("parent")), ["doc_id", "parent"])
+    blocks = elements.where("tag = 'div' and array_contains(split(names, ' '), 'gui-list') and contains(label, 'categories')").groupBy("doc_id").agg(F.min(F.struct("pre", "last")).alias("b"))
+    labelled = lists.join(blocks, "doc_id").where("pre > b.pre and pre <= b.last").groupBy("doc_id").agg(F.min(F.struct("pre", "last", "list_depth")).alias("r")).select("doc_id", F.lit(0).alias("choice"), "r.*")
+    # links inside an element: those begun by its last element less those begun before it
+    is_link = (F.col("tag") == "a") & F.col("href").isNotNull()
+    category = is_link & F.contains("href", F.lit("/en/")) & ~F.coalesce(contains_any(F.col("href"), EXCLUDED), F.lit(False))
+    so_far = Window.partitionBy("doc_id").orderBy("pre")
+    seen = elements.select("doc_id", "pre", *(F.count_if(c).over(so_far).alias(n) for n, c in (("links", is_link), ("categories", category))))
+    until = seen.select("doc_id", F.col("pre").alias("last"), F.col("links").alias("l"), F.col("categories").alias("k"))
+    counted = lambda rows, *keep: rows.join(seen, ["doc_id", "pre"]).join(until, ["doc_id", "last"]).select("doc_id", "pre", *keep, (F.col("l") - F.col("links")).alias("links"), (F.col("k") - F.col("categories")).alias("categories"))
+    enough_items = counted(direct.select("doc_id", "pre", "last", "parent"), "parent").where("links > 0").groupBy("doc_id", F.col("parent").alias("pre")).agg(F.count("*").alias("items")).where("items >= 3").select("doc_id", "pre")
+    with_items = lists.join(enough_items, ["doc_id", "pre"]).select("doc_id", "pre", "last", "list_depth")
+    enough_links = counted(with_items.select("doc_id", "pre", "last")).where("categories >= 3").select("doc_id", "pre")
+    candidates = labelled.unionByName(with_items.join(enough_links, ["doc_id", "pre"]).withColumn("choice", F.lit(1)))
+    good = direct.join(linked.select("doc_id", "pre", "absolute"), ["doc_id", "pre"]).groupBy("doc_id", F.col("parent").alias("pre")).agg(F.bool_or("absolute").alias("any_absolute"))
+    usable = candidates.join(good, ["doc_id", "pre"]).where("choice = 0 or any_absolute")
+    roots = staged(usable.groupBy("doc_id").agg(F.min(F.struct("choice", "pre", "last", "list_depth")).alias("r")))
+    # cuts: items that are no category or no list's own, and lists that aren't an item's first
+    first_lists = lists.join(items.select("doc_id", F.col("pre").alias("parent")), ["doc_id", "parent"]).groupBy("doc_id", "parent").agg(F.min("pre").alias("pre")).select("doc_id", "pre", F.lit(True).alias("followed"))
+    fit = linked.join(direct.select("doc_id", "pre"), ["doc_id", "pre"]).join(roots, "doc_id").where("r.choice = 0 or absolute").select("doc_id", "pre", F.lit(True).alias("fits"))
+    inside = elements.where("tag in ('ul', 'ol', 'li')").join(roots, "doc_id").where("pre > r.pre and pre <= r.last").join(fit, ["doc_id", "pre"], "left").join(first_lists, ["doc_id", "pre"], "left")
+    cut = F.when(F.coalesce(F.when(F.col("tag") == "li", F.col("fits")).when(F.col("tag") == "ul", F.col("followed")), F.lit(False)), F.lit(-1)).otherwise(F.col("last"))
+    swept = inside.withColumn("reach", F.max(cut).over(Window.partitionBy("doc_id").orderBy("pre"))).where("tag = 'li' and reach < pre")
+    nodes = swept.select("doc_id", "pre", "parent", (F.col("list_depth") - F.col("r.list_depth") + 1).alias("level")).join(linked, ["doc_id", "pre"])
+    above = lists.select("doc_id", F.col("pre").alias("parent"), F.col("parent").alias("above"))
+    of = linked.select("doc_id", F.col("pre").alias("above"), F.col("canonical_path").alias("above_path"))
+    out = nodes.join(above, ["doc_id", "parent"]).join(of, ["doc_id", "above"], "left")
+    out = out.select("doc_id", F.col("pre").alias("pos"), "name", "canonical_path", F.when(F.col("level") > 1, F.col("above_path")).alias("parent_path"), "level", "source_count")
+    return out.withColumn("r", F.row_number().over(Window.partitionBy("doc_id", "canonical_path").orderBy("pos"))).where("r = 1").drop("r")

@@ -4,6 +4,7 @@ from larder.functions import paths, text
 from larder.operators import catalog, extract, listing, merge, taxonomy
 from larder.plans import catalogue
 from larder.sources import html
+from larder.sources.snapshots import SnapshotStore
 from larder.streaming import catalogue as streams
 from pyspark.sql import functions as F
 
@@ -65,9 +66,9 @@ def test_documents(spark):
     doc = '<p>An intro of some length</p><h3>Highlights</h3><ul><li>One</li><li>Two</li></ul><h3>Reviews</h3><p>Bad text</p><section id="specs"><dl><dt>Weight</dt><dd>5 kg</dd></dl></section><script>x</script>'
     docs = spark.createDataFrame([(1, doc), (2, None)], "doc_id long, html string")
     got = {r.doc_id: r for r in html.descriptions(docs).collect()}
-    assert got[1].short_description == "An intro of some length" and got[1].long_description == "Highlights\nOne\nTwo" and got[2].short_description is None
+    assert got[1].short_description == "An intro of some length" and got[1].long_description == "<h3>Highlights</h3><ul><li>One</li><li>Two</li></ul>" and got[2].short_description is None
     assert [(r.name, r.value) for r in html.spec_pairs(docs).collect()] == [("Weight", "5 kg")]
-    tree = '<ul><li><a href="/en/a/">A <span>(5)</span></a><ul><li><a href="/en/a/b/">B</a></li></ul></li><li><a href="/en/a/">A again</a></li></ul>'
+    tree = '<div class="gui-list" aria-labelledby="categories"><ul><li><a href="/en/a/">A <span>(5)</span></a><ul><li><a href="/en/a/b/">B</a></li></ul></li><li><a href="/en/a/">A again</a></li></ul></div>'
     got = html.sitemap_nodes(spark.createDataFrame([(1, tree)], "doc_id long, html string"), "https://s.example/en").orderBy("pos").collect()
     assert [(r.name, r.canonical_path, r.parent_path, r.level, r.source_count) for r in got] == [("A", "/en/a/", None, 1, 5), ("B", "/en/a/b/", "/en/a/", 2, 0)]
 
@@ -97,7 +98,7 @@ def test_streams(spark, tmp_path):
         if n:
             (land / "b.json").write_text('{"seq":3,"sku":"b","title":"z"}\n{"seq":4,"sku":"a","title":""}\n')
         streams.stream_upsert_products(streams.read_landed(spark, str(land), schema), target, str(tmp_path / "check")).awaitTermination()
-    assert {tuple(r) for r in spark.read.parquet(f"{target}/v1").collect()} == {("a", "y"), ("b", "z")}
+    assert {tuple(r) for r in SnapshotStore(spark, target).read("products").collect()} == {("a", "y"), ("b", "z")}
     rows = spark.createDataFrame([("/a/", 1, True), ("/a/", 2, False), ("/a/", 3, False), ("/b/", 3, True)], "canonical_path string, snapshot int, present boolean")
     assert {tuple(r) for r in streams.missing_streak(rows).collect()} == {("/a/", 2), ("/b/", 0)}
 
