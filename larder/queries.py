@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 from html import entities, unescape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +15,8 @@ from .functions import paths, text
 from .operators import catalog, taxonomy
 from .plans import catalogue
 from .plans.catalogue import Catalogue
-from .sources import html
-from .sources.tables import staged
+from .sources import exports, html, tables
+from .sources.tables import key_of, shared_folder, staged, write_snapshot
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -113,12 +115,40 @@ simple(
     "SELECT p.id, p.sku, (SELECT count(*) FROM fx_images i WHERE i.product_id = p.id) AS images, (SELECT count(*) FROM fx_attributes i WHERE i.product_id = p.id) AS attributes, (SELECT count(*) FROM fx_product_categories i WHERE i.product_id = p.id) AS categories FROM fx_products p",
 )
 simple("products_keyset_batch", "fx_products", lambda p: p.where("id > 100").orderBy("id").limit(50).select("id", "sku", "title"), "SELECT id, sku, title FROM fx_products WHERE id > 100 ORDER BY id LIMIT 50")
-simple(
-    "load_catalog",
-    "fx_products fx_categories fx_product_categories fx_images fx_attributes",
-    lambda *t: __import__("functools").reduce(DataFrame.union, (d.agg(F.lit(n).alias("name"), F.count("*").alias("n")) for n, d in zip(("products", "categories", "product_categories", "images", "attributes"), t))),
-    " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM fx_{n}" for n in ("products", "categories", "product_categories", "images", "attributes")),
-)
+CATALOGUE = ("products", "categories", "product_categories", "images", "attributes")
+
+
+def catalogue_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    tables = {n: view(spark, sf_dir, f"fx_{n}") for n in CATALOGUE}
+    number = {n: F.col("product_id") * 1000 + F.col("sort_order") for n in ("images", "attributes")}
+    return {n: df.withColumn("id", number[n]) if n in number else df for n, df in tables.items()}
+
+
+def sizes(tables: dict[str, DataFrame]) -> DataFrame:
+    parts = [df.agg(F.lit(n).alias("name"), F.count("*").alias("n"), F.sum(key_of(n)).cast("bigint").alias("keys")) for n, df in tables.items()]
+    return reduce(DataFrame.union, parts)
+
+
+CATALOGUE_SIZES = " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n, CAST(sum({k}) AS bigint) AS keys FROM fx_{n}" for n, k in zip(CATALOGUE, ("id", "id", "product_id", "product_id * 1000 + sort_order", "product_id * 1000 + sort_order")))
+
+
+@query("load_catalog", CATALOGUE_SIZES)
+def load_catalog(spark, sf_dir):
+    """Tables written as a snapshot's Parquet and read back."""
+    folder = f"{shared_folder(spark)}/catalogue-{uuid.uuid4().hex}"
+    write_snapshot(catalogue_tables(spark, sf_dir), folder)
+    return sizes(tables.load_catalog(spark, folder, names=CATALOGUE))
+
+
+@query("load_catalog_jdbc", CATALOGUE_SIZES)
+def load_catalog_jdbc(spark, sf_dir):
+    """Tables written to a database and read back in ranges of ids."""
+    jdbc = tables.database(spark)
+    for name, df in catalogue_tables(spark, sf_dir).items():
+        tables.write_jdbc(df, name, jdbc)
+    return sizes(tables.load_catalog(spark, jdbc=jdbc, names=CATALOGUE))
+
+
 simple("product_description", "fx_products", lambda p: p.select("id", "sku", "title", F.coalesce("regular_price", "price").alias("price")), "SELECT id, sku, title, coalesce(regular_price, price) AS price FROM fx_products")
 simple("product_specifications", "fx_attributes", catalog.specifications, f"SELECT product_id, name, value, sort_order FROM {SPECS} s")
 QUERIES["reindex_sort_order"], ORACLE_SQL["reindex_sort_order"] = QUERIES["product_specifications"], ORACLE_SQL["product_specifications"]
@@ -129,14 +159,37 @@ simple(
     "SELECT product_id, sort_order, CASE sort_order % 3 WHEN 0 THEN 'https://cdn.example/' || regexp_extract(src, '(\\d+)', 1) || '/500x500x2.jpg' WHEN 1 THEN 'https://shop.example' || regexp_extract(src, 'example(.*)$', 1) ELSE src END AS url FROM fx_images",
 )
 simple("category_node", "fx_categories", lambda c: c.select("id", "name", "slug", "canonical_path", "parent_id", "level", "is_active"), "SELECT id, name, slug, canonical_path, parent_id, level, is_active FROM fx_categories")
-simple("export_products_json", "fx_products", lambda p: p.select(F.to_json(F.struct("id", "sku", F.coalesce("brand", F.lit("")).alias("brand"))).alias("line")), "SELECT CAST(to_json({'id': id, 'sku': sku, 'brand': coalesce(brand, '')}) AS varchar) AS line FROM fx_products")
-simple(
-    "export_product_files",
-    "fx_products",
-    lambda p: p.select(text.file_key(F.concat("sku", F.lit("/"), "title")).alias("file_key"), F.to_json(F.struct("id", "sku")).alias("document")),
-    "SELECT translate(sku || '/' || title, '/\\', '__') AS file_key, CAST(to_json({'id': id, 'sku': sku}) AS varchar) AS document FROM fx_products",
-)
-QUERIES["file_key"], ORACLE_SQL["file_key"] = QUERIES["export_product_files"], ORACLE_SQL["export_product_files"]
+
+
+@query("export_products_json", f"{ITEM} FROM fx_products p LEFT JOIN {MAIN} m ON m.product_id = p.id WHERE p.stock_status = 'in_stock'")
+def export_products_json(spark, sf_dir):
+    """A filtered and sorted export, written as files and read back."""
+    c = Catalogue.of(spark, sf_dir)
+    found = catalogue.export_products(c, sort_by="price", sort_order="asc", stock_status="in_stock")
+    items = catalog.list_items(found, c.images, c.attributes, c.links, c.categories).withColumn("regular_price", F.col("price"))
+    folder = f"{shared_folder(spark)}/export-{uuid.uuid4().hex}"
+    exports.write_products_json(items.orderBy(*catalog.order("price", "asc")).drop("regular_price"), folder)
+    return spark.read.schema(items.drop("regular_price").schema).json(folder)
+
+
+def slashed(p: DataFrame) -> DataFrame:
+    k = F.floor(F.col("id") / 8).cast("string")
+    return p.select("id", F.when(F.col("id") % 8 == 0, F.concat(F.lit("A/"), k)).when(F.col("id") % 8 == 1, F.concat(F.lit("A\\"), k)).when(F.col("id") % 8 == 2, F.concat(F.lit("A_"), k)).otherwise(F.col("sku")).alias("sku"))
+
+
+SLASHED = "(SELECT id, CASE id % 8 WHEN 0 THEN 'A/' || CAST(id // 8 AS varchar) WHEN 1 THEN 'A\\' || CAST(id // 8 AS varchar) WHEN 2 THEN 'A_' || CAST(id // 8 AS varchar) ELSE sku END AS sku FROM fx_products)"
+
+
+@query("export_product_files", f"SELECT translate(sku, '/\\', '__') AS file_key, CAST(to_json({{'id': id, 'sku': sku}}) AS varchar) AS document FROM {SLASHED} s")
+def export_product_files(spark, sf_dir):
+    """One document for each SKU, written below buckets and read back."""
+    folder = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    exports.write_product_files(slashed(view(spark, sf_dir, "fx_products")), folder)
+    return spark.read.schema("file_key string, document string, bucket int").json(folder).select("file_key", "document")
+
+
+simple("export_file_collisions", "fx_products", lambda p: exports.file_key_collisions(slashed(p)), f"SELECT translate(sku, '/\\', '__') AS file_key, count(DISTINCT sku) AS skus FROM {SLASHED} s GROUP BY 1 HAVING count(DISTINCT sku) > 1")
+simple("file_key", "fx_products", lambda p: slashed(p).select("id", text.file_key(F.col("sku")).alias("file_key")), f"SELECT id, translate(sku, '/\\', '__') AS file_key FROM {SLASHED} s")
 
 # filters
 

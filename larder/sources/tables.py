@@ -29,17 +29,52 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def load_catalog(spark: SparkSession, folder: str | None = None, *, jdbc: dict[str, str] | None = None, bounds: tuple[int, int] = (0, 1_000_000), partitions: int = 8) -> dict[str, DataFrame]:
-    """Tables by name: Parquet below a folder, or a database read in ranges of id."""
+def key_of(table: str) -> str:
+    """The number by which a table is read in ranges."""
+    return "product_id" if table == "product_categories" else "id"
+
+
+def load_jdbc(spark: SparkSession, table: str, key: str, jdbc: dict[str, str], rows_each: int = 100_000, most: int = 64, quote: str = '"') -> DataFrame:
+    """A database table read by several connections at once, each a range of the key. Smallest and greatest key and the number
+    of rows are asked for first, so that a range holds about `rows_each` rows, in `most` ranges at most."""
+    reader = lambda **more: spark.read.format("jdbc").options(**jdbc, **more)
+    k = f"{quote}{key}{quote}"
+    n, low, high = reader(query=f"SELECT COUNT(*) AS n, MIN({k}) AS low, MAX({k}) AS high FROM {table}").load().first()
+    if not n or low is None or low == high:
+        return reader(dbtable=table).load()
+    ranges = max(1, min(most, -(-n // rows_each)))
+    return reader(dbtable=table, partitionColumn=k, lowerBound=low, upperBound=high + 1, numPartitions=ranges).load()
+
+
+def write_jdbc(df: DataFrame, table: str, jdbc: dict[str, str], rows_each: int = 5_000) -> None:
+    """df as a database table, in batches of `rows_each` rows."""
+    df.write.format("jdbc").options(**jdbc).option("dbtable", table).option("batchsize", rows_each).mode("overwrite").save()
+
+
+def load_catalog(spark: SparkSession, folder: str | None = None, *, jdbc: dict[str, str] | None = None, names: tuple[str, ...] = NAMES, rows_each: int = 100_000) -> dict[str, DataFrame]:
+    """Tables by name: Parquet below a folder, or a database read in ranges of ids."""
     if folder:
-        return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in NAMES}
+        return {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
     if not jdbc:
         raise ValueError("a folder or JDBC options are needed")
-    reader = spark.read.format("jdbc").options(**jdbc).options(numPartitions=partitions, lowerBound=bounds[0], upperBound=bounds[1])
-    return {n: reader.option("dbtable", n).option("partitionColumn", "product_id" if n == "product_categories" else "id").load() for n in NAMES}
+    return {n: load_jdbc(spark, n, key_of(n), jdbc, rows_each) for n in names}
 
 
 def write_snapshot(tables: dict[str, DataFrame], folder: str) -> None:
-    """Each table to a new folder; the caller swaps readers to it when all are written."""
+    """Each table to a new folder; SnapshotStore swaps readers over."""
     for name, df in tables.items():
         df.write.parquet(f"{folder}/{name}.parquet")
+
+
+JDBC_KEY = "spark.larder.jdbc.url"
+
+
+def database(spark: SparkSession) -> dict[str, str]:
+    """JDBC options of the database that the session names in spark.larder.jdbc.url. A local master without one gets Derby in
+    the memory of its one process, which executors of a cluster couldn't reach."""
+    url = spark.conf.get(JDBC_KEY, None)
+    if url:
+        return {"url": url}
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{JDBC_KEY} must name a database that executors reach")
+    return {"url": f"jdbc:derby:memory:larder{uuid.uuid4().hex};create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
