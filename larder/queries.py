@@ -380,6 +380,7 @@ FINDINGS = {
     "db_only": MISSING.format(a=DB, b=SOURCE),
     "duplicate_paths": f"SELECT canonical_path FROM {DB} GROUP BY canonical_path HAVING count(*) > 1",
     "duplicate_slugs": SLUGS.format(t=SOURCE),
+    "duplicate_names": SLUGS.format(t=SOURCE).replace("slug", "name"),
     "orphans": ORPHANS,
     "parent_mismatches": MISMATCH,
     "level_mismatches": LEVELS,
@@ -387,8 +388,17 @@ FINDINGS = {
     "count_differences": DIFFERENCES,
     "unscrapable": UNSCRAPABLE,
 }
-SUMMARY = " UNION ALL ".join(f"SELECT '{n}' AS section, count(*) AS n FROM ({s}) x" for n, s in FINDINGS.items())
-REPORT = " UNION ALL ".join(f"SELECT '{n}' AS section, {'value' if n == 'duplicate_slugs' else 'canonical_path'} AS key FROM ({s}) x" for n, s in FINDINGS.items())
+AUDIT_SIZES = {"source_categories": f"SELECT * FROM {SOURCE}", "scraper_categories": f"SELECT * FROM {SOURCE} WHERE level < 3", "db_categories": f"SELECT * FROM {DB}"}
+SUMMARY = " UNION ALL ".join(f"SELECT '{n}' AS section, count(*) AS n FROM ({s}) x" for n, s in (FINDINGS | AUDIT_SIZES).items())
+
+
+def report_sql(found: dict[str, str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{n}' AS section, {'value' if n.startswith('duplicate_') and n != 'duplicate_paths' else 'canonical_path'} AS key FROM ({s}) x" for n, s in found.items())
+
+
+REPORT = report_sql(FINDINGS)
+LOST_PARENTS = ORPHANS[: ORPHANS.index(" UNION ALL ")]
+PATH_SLUGS = "SELECT string_split(trim(canonical_path, '/'), '/')[-1] AS value FROM fx_source_categories GROUP BY 1 HAVING count(*) > 1"
 
 simple(
     "source_db_compare",
@@ -404,18 +414,26 @@ simple("audit_level_mismatch", f"{SOURCE} {DB}", quality.level_mismatch, LEVELS)
 simple("duplicate_values", SOURCE, lambda s: quality.duplicate_values(s, "slug"), SLUGS.format(t=SOURCE))
 simple("duplicate_paths", DB, lambda d: quality.duplicate_paths(d.select("canonical_path").union(d.where("id % 50 = 0").select("canonical_path"))), f"SELECT canonical_path, CAST(2 AS bigint) AS n FROM {DB} WHERE id % 50 = 0")
 simple("children_product_sum", f"{DB} fx_progress", quality.below_sums, f"SELECT canonical_path, CAST(children_sum AS bigint) AS children_sum FROM {BELOW} b")
-simple("audit_empty_listing_parents", f"{SOURCE} {DB} fx_progress", quality.empty_listing_parents, EMPTY)
-simple("audit_count_differences", AUDIT, lambda s, d, p, l, c: quality.count_differences(s, d, p, direct(l, c)), DIFFERENCES)
+simple("audit_empty_listing_parents", f"{SOURCE} {DB} fx_progress", lambda s, d, p: quality.empty_listing_parents(quality.counts(s, d, p)), EMPTY)
+simple("audit_count_differences", AUDIT, lambda s, d, p, l, c: quality.count_differences(quality.counts(staged(s), staged(d), p), direct(l, c)), DIFFERENCES)
 simple("audit_unscrapable", "fx_progress", lambda p: ledger.unscrapable(p).select("canonical_path", "status"), UNSCRAPABLE)
 simple("audit_summary", AUDIT, lambda *t: quality.summary(findings(*t)), SUMMARY)
 simple("audit_report", AUDIT, lambda *t: quality.audit_long(findings(*t)).select("section", "key"), REPORT)
 simple(
     "audit_from_paths",
     f"{SOURCE} {DB}",
-    lambda s, d: quality.missing(s.select("canonical_path"), d),
-    MISSING.format(a=SOURCE, b=DB),
+    lambda s, d: quality.audit_long(quality.audit_from_paths(s.select("canonical_path"), d)).select("section", "key"),
+    report_sql({
+        "missing_from_db": FINDINGS["missing_from_db"], "db_only": FINDINGS["db_only"], "duplicate_slugs": PATH_SLUGS, "orphans": LOST_PARENTS,
+        "parent_mismatches": f"SELECT d.canonical_path FROM {DB} d JOIN {SOURCE} s ON s.canonical_path = d.canonical_path WHERE d.parent_id IS NOT NULL",
+    }),
+)
+simple(
+    "coverage_audit",
+    f"{DB} fx_progress fx_product_categories fx_categories",
+    lambda d, p, l, c: quality.audit_long(quality.audit(None, None, d, p, direct(l, c))).select("section", "key"),
+    report_sql({"db_only": f"SELECT canonical_path FROM {DB}", "duplicate_slugs": SLUGS.format(t=DB), "duplicate_names": SLUGS.format(t=DB).replace("slug", "name"), "orphans": LOST_PARENTS, "unscrapable": UNSCRAPABLE}),
 )
-simple("coverage_audit", DB, lambda d: quality.duplicate_values(d, "slug"), SLUGS.format(t=DB))
 simple(
     "count_discrepancies",
     f"{SOURCE} {DB}",
