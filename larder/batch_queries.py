@@ -9,10 +9,10 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .fixtures import batch, view
-from .operators import feed, merge
+from .fixtures import batch, raw_products, view
+from .operators import extract, feed, ledger, merge
 from .plans.ingest import ingest
-from .queries import BASE, CDN, DEDUPED_SPECS, IMAGES, ORACLE_SQL, STATUS, STOCK, URL, query
+from .queries import BASE, CDN, DEDUPED_SPECS, IMAGES, LEGACY_IDS, ORACLE_SQL, SKU, STATUS, STOCK, URL, query
 from .sources.snapshots import SnapshotStore
 from .sources.tables import shared_folder, staged
 from .streaming import catalogue as streams
@@ -29,10 +29,12 @@ def land(df: DataFrame, folder: str) -> str:
 
 # whole batches; the oracle reads the columns that listings and documents were made from
 
-B = f"(SELECT f.*, p.url, {STOCK.replace('id %', 'f.id %').replace('stock', 'p.stock')} AS s, x.st, x.u, f.id % 41 = 0 AS bad, f.id % 41 = 0 OR f.id % 43 = 0 AS fallback FROM fx_batch f JOIN fx_products p ON p.id = f.id JOIN (SELECT id AS i, {STATUS} AS st, {URL} AS u FROM fx_products) x ON x.i = f.id)"
+B = f"(SELECT f.*, p.url, {STOCK.replace('id %', 'f.id %').replace('stock', 'p.stock')} AS s, x.st, x.u, g.category_ids AS ids, f.id % 41 = 0 AS bad, f.id % 41 = 0 OR f.id % 43 = 0 AS fallback FROM fx_batch f JOIN fx_products p ON p.id = f.id JOIN (SELECT id AS i, {STATUS} AS st, {URL} AS u FROM fx_products) x ON x.i = f.id JOIN ({LEGACY_IDS}) g ON g.sku = f.k)"
+TEXT = "CASE WHEN fallback THEN NULL WHEN id % 3 = 2 THEN 'Intro paragraph of product ' || CAST(id AS varchar) WHEN id % 5 = 1 THEN 'Plain & text of ' || CAST(id AS varchar) END"
 INGESTED = f"""SELECT k AS sku, title, CASE WHEN NOT fallback AND nullif(brand, '') IS NOT NULL THEN brand WHEN id % 3 <> 0 THEN brand END AS brand, price,
     CASE WHEN fallback THEN CASE WHEN id % 3 <> 0 THEN stock END ELSE coalesce(s, CASE WHEN id % 3 <> 0 THEN stock END) END AS stock, price AS regular_price, CAST(id AS varchar) AS product_id, CAST(NULL AS varchar) AS ean,
-    CASE WHEN NOT fallback THEN st END AS stock_status, 'EUR' AS currency, CASE WHEN NOT fallback THEN u END AS url FROM {B} b"""
+    CASE WHEN NOT fallback THEN st END AS stock_status, 'EUR' AS currency, CASE WHEN NOT fallback THEN u END AS url,
+    {TEXT} AS description, {TEXT} AS short_description, CASE WHEN NOT fallback AND id % 3 = 2 THEN '<h3>Features</h3><p>Good</p>' END AS long_description, CASE WHEN NOT fallback THEN ids END AS category_ids FROM {B} b"""
 CID = "(SELECT f.k, f.id, f.p2, f.id % 41 = 0 AS bad, c.id AS cid FROM fx_batch f JOIN fx_categories c ON c.canonical_path = f.p2)"
 LISTING = f"""SELECT p2 AS canonical_path, count(*) + max(CASE WHEN cid % 17 = 0 THEN 1 ELSE 0 END) AS list_total, count(*) AS unique_listed, count(*) FILTER (WHERE bad) AS failed,
     CASE WHEN max(cid) % 13 = 0 OR max(cid) % 17 = 0 OR count(*) FILTER (WHERE bad) > 0 THEN 'incomplete' ELSE 'complete' END AS status,
@@ -69,6 +71,20 @@ ingest_query("ingest_images", "images", f"{IMAGES} WHERE {GOOD}")
 ingest_query("ingest_attributes", "attributes", DEDUPED_SPECS.replace("FROM fx_products", f"FROM (SELECT * FROM fx_products WHERE {GOOD}) fx_good"))
 ingest_query("ingest_rejects", "rejects", "SELECT k AS \"key\", 'price is no number' AS error FROM fx_batch WHERE id % 41 = 0", lambda r: r.select("key", "error"))
 ingest_query("ingest_run_row", "run", RUN)
+ingest_query("ingest_run_summary", "run", f"SELECT CAST(to_json({{{', '.join(f'{c!r}: {c}' for c in ledger.SUMMARY)}}}) AS varchar) AS summary FROM ({RUN}) r", ledger.run_summary)
+
+
+RECORDS = f"""SELECT CAST(p.id AS varchar) AS product_id, {SKU.replace('id %', 'p.id %').replace('(id', '(p.id')} AS sku, {TEXT.replace('fallback', 'false').replace('id %', 'p.id %').replace('(id', '(p.id')} AS short_description, g.category_ids,
+    (SELECT CAST(to_json(list({{'url': i.url, 'sort_order': i.sort_order, 'is_cover': i.is_cover}} ORDER BY i.sort_order)) AS varchar) FROM ({IMAGES}) i WHERE i.sku = g.sku) AS images,
+    (SELECT CAST(to_json(list({{'name': i.name, 'value': i.value, 'sort_order': i.sort_order}} ORDER BY i.sort_order)) AS varchar) FROM ({DEDUPED_SPECS}) i WHERE i.sku = g.sku) AS specifications
+    FROM fx_products p JOIN ({LEGACY_IDS}) g ON g.sku = {SKU.replace('id %', 'p.id %').replace('(id', '(p.id').replace('ELSE sku', 'ELSE p.sku')}""".replace("ELSE sku END AS sku, CASE WHEN false", "ELSE p.sku END AS sku, CASE WHEN false")
+
+
+@query("product_records", RECORDS)
+def product_records(spark, sf_dir):
+    """Whole records of the documents, nested children as JSON."""
+    found, _ = extract.records(staged(raw_products(spark, sf_dir)), BASE, CDN)
+    return found.select("product_id", "sku", "short_description", "category_ids", F.to_json("images").alias("images"), F.to_json("specifications").alias("specifications"))
 
 
 # streams

@@ -156,7 +156,8 @@ def raw_products(spark: SparkSession, sf_dir: str) -> DataFrame:
             member("stock", when(4, 0, F.concat(F.lit('{"level":'), F.coalesce(level, F.lit("null")), F.lit("}"))).when(F.col("id") % 4 == 1, q(F.translate(F.col("stock_status"), "_", " ")))),
             member("variants", when(4, 2, F.concat(F.lit('{"7":{"stock":{"level":'), F.coalesce(level, F.lit('"?"')), F.lit('}},"3":{"stock_level":"1"}}')))),
             member("url", when(2, 0, q(F.concat(F.lit("p/"), F.col("id").cast("string"), F.lit(".html")))).otherwise(q(F.col("url")))),
-            member("content", when(3, 1, q(F.concat(F.lit("<table><tr><td>Weight</td><td>late</td></tr><tr><td>Code</td><td>C"), F.col("id").cast("string"), F.lit("</td></tr></table><h3>Technical data</h3><ul><li>Power: "), F.col("id").cast("string"), F.lit(" W</li></ul>"))))),
+            member("description", when(5, 1, q(F.concat(F.lit("Plain &amp; text of "), F.col("id").cast("string"))))),
+            member("content", F.coalesce(when(3, 2, q(F.concat(F.lit("<p>Intro paragraph of product "), F.col("id").cast("string"), F.lit("</p><h3>Features</h3><p>Good</p>")))), when(3, 1, q(F.concat(F.lit("<table><tr><td>Weight</td><td>late</td></tr><tr><td>Code</td><td>C"), F.col("id").cast("string"), F.lit("</td></tr></table><h3>Technical data</h3><ul><li>Power: "), F.col("id").cast("string"), F.lit(" W</li></ul>")))))),
             F.lit('"image":"77","images":[{"url":"/a.jpg"},"/a.jpg",{"src":"https://img.example/b.jpg"},{}]'),
             member("attributes", when(2, 0, F.to_json(pairs)).otherwise(listed)),
             F.concat(F.lit('"specs":{"9":{"title":"Weight:","value":"'), F.col("id").cast("string"), F.lit(' g"},"1":{"title":"","value":"none"}}')),

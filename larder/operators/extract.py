@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import paths, text
 from ..functions.text import first_present
 from ..sources import html
+from ..sources.tables import staged
 from .catalog import image_url
 from .listing import field, values
 
@@ -142,14 +143,54 @@ def json_specs(raw: DataFrame) -> DataFrame:
     return rows.select("sku", "rank", "pos", "x.name", "x.value").where("name is not null and value is not null")
 
 
+def documents(raw: DataFrame) -> DataFrame:
+    """raw -> a row for each distinct document: doc_id, sku, html (its content), description, number, ean, and page (the
+    product's own page, where raw has it)."""
+    page = F.col("page") if "page" in raw.columns else F.lit(None).cast("string")
+    return parsed(raw).select(F.xxhash64("body", page).alias("doc_id"), sku().alias("sku"), f("content").alias("html"), f("description", "shortDescription").alias("description"), f("sku", "number", "articleNumber").alias("number"), f("ean", "gtin", "upc").alias("ean"), page.alias("page")).distinct()
+
+
+LATER = 100_000_000  # places of a page's pairs begin beyond those of the content, one such step for each kind
+
+
 def product_specs(raw: DataFrame) -> DataFrame:
-    """sku, rank, pos, name, value of every source in order of precedence: JSON (1, 2), the content's HTML (3 to 6), the
-    article number (7) and the EAN (8)."""
-    rows = parsed(raw).select(F.xxhash64("body").alias("doc_id"), sku().alias("sku"), f("content").alias("html"), f("sku", "number", "articleNumber").alias("number"), f("ean", "gtin", "upc").alias("ean")).distinct()
-    found = html.spec_pairs(rows.where("html is not null").select("doc_id", "html")).join(rows.select("doc_id", "sku"), "doc_id").select("sku", "rank", "pos", "name", "value")
+    """sku, rank, pos, name, value of every source in order of precedence: JSON (1, 2), the content's HTML (3 to 6), then the
+    page's, whose places come after all of the content's (6), the article number (7) and the EAN (8)."""
+    rows = staged(documents(raw))
+    own = rows.select("doc_id", "sku")
+    found = html.spec_pairs(rows.where("html is not null").select("doc_id", "html"))
+    if "page" in raw.columns:
+        of_page = html.spec_pairs(rows.where("page is not null").select("doc_id", F.col("page").alias("html")))
+        found = found.union(of_page.select("doc_id", F.lit(6), F.col("rank") * LATER + F.col("pos"), "name", "value"))
     pair = lambda rank, name, c: F.struct(F.lit(rank).alias("rank"), F.lit(0).alias("pos"), F.lit(name).alias("name"), F.col(c).alias("value"))
     identity = rows.select("sku", F.inline(F.array(pair(7, "Article number", "number"), pair(8, "EAN", "ean")))).where("value is not null")
-    return json_specs(raw).union(found).union(identity)
+    return json_specs(raw).union(found.join(own, "doc_id").select("sku", "rank", "pos", "name", "value")).union(identity)
+
+
+def descriptions(raw: DataFrame) -> DataFrame:
+    """sku, description, short_description, long_description; the first two are the same text. Of documents with one SKU the
+    one with the smaller hash counts."""
+    rows = staged(documents(raw).where("sku is not null").groupBy("sku").agg(F.min_by(F.struct("doc_id", "html", "description"), "doc_id").alias("d")).select("sku", "d.*"))
+    found = html.descriptions(rows.select("doc_id", "html", "description"))
+    return rows.select("doc_id", "sku").join(found, "doc_id").select("sku", F.col("short_description").alias("description"), "short_description", "long_description")
+
+
+def records(raw: DataFrame, base: str, cdn: str) -> tuple[DataFrame, DataFrame]:
+    """Whole product records, with texts and nested images, specifications and category nodes, and the rejects of `products`.
+    SKUs are unique in raw."""
+    good, rejects = products(raw, base)
+    own = raw.join(good.select("body").distinct(), "body", "left_semi")
+    listed = lambda df, by, fields: df.groupBy("sku").agg(F.transform(F.sort_array(F.collect_list(F.struct(by, *(c for c in fields if c != by)))), lambda s: F.struct(*(s[c].alias(c) for c in fields))).alias("x"))
+    nodes = category_nodes(own, base)
+    parts = {
+        "images": listed(images(own, base, cdn), "sort_order", ("url", "sort_order", "is_cover")),
+        "specifications": listed(dedupe_specs(product_specs(own)), "sort_order", ("name", "value", "sort_order")),
+        "product_categories": listed(nodes, "pos", ("canonical_path", "slug", "name", "pos")),
+    }
+    out = good.join(descriptions(own), "sku", "left").join(legacy_category_ids(nodes), "sku", "left")
+    for name, df in parts.items():
+        out = out.join(df.withColumnRenamed("x", name), "sku", "left")
+    return out.withColumnRenamed("body", "raw_json"), rejects
 
 
 def spec_filter(rows: DataFrame) -> DataFrame:

@@ -86,6 +86,18 @@ def batch_counters(products: DataFrame, rejects: DataFrame, status: DataFrame, p
     return out.withColumn("job_status", run_status(F.col("categories_failed"), F.col("categories_succeeded"), F.lit(0), F.col("products_failed"), F.col("category_discrepancies")))
 
 
+# What a run's summary tells.
+SUMMARY = (
+    "categories_succeeded", "categories_failed", "products_total", "products_new", "products_updated", "products_failed", "links_created", "links_existing", "links_removed",
+    "pages_fetched", "category_discrepancies", "job_status",
+)
+
+
+def run_summary(run: DataFrame) -> DataFrame:
+    """A run's counters and status packed as JSON, in one column: summary."""
+    return run.select(F.to_json(F.struct(*SUMMARY)).alias("summary"))
+
+
 def health_windows(samples: DataFrame, minutes: int = 60) -> DataFrame:
     """Samples (ts, user_id) counted by window and source; works on streams with a watermark too."""
     return samples.groupBy(F.window("ts", f"{minutes} minutes"), "user_id").agg(F.count("*").alias("samples")).select(F.col("window.start").alias("start"), "user_id", "samples")

@@ -23,16 +23,17 @@ class Tables(dict):
         return found
 
 
-def ingest(current: dict[str, DataFrame], snapshot: DataFrame, pages: DataFrame, raw: DataFrame, base: str, cdn: str, *, narrowed: bool = False, supplier: Supplier = SHOP, done: DataFrame | None = None) -> dict[str, DataFrame]:
+def ingest(current: dict[str, DataFrame], snapshot: DataFrame, pages: DataFrame, raw: DataFrame, base: str | None = None, cdn: str | None = None, *, narrowed: bool = False, supplier: Supplier = SHOP, done: DataFrame | None = None) -> dict[str, DataFrame]:
     """current: products (sku, …), categories, links (product key sku, canonical_path), and images and attributes (sku, …) if
     there are any. snapshot: source categories. pages: listing pages. raw: product documents. done (canonical_path): categories
     that the run's ledger holds as completed; their listings are left out, so a run that stopped goes on with the rest.
     Returns the tables and reports by name.
 
-    What several outputs read is staged first: listed items and their short records, products and rejects.
+    What several outputs read is staged first: listed items and their short records, products, rejects and sound documents.
     Membership comes from listings, never from a document's own categories. Links that a complete listing no longer
     shows go, unless the batch is narrowed to some categories. Children of products without a document in the batch stay.
     """
+    base, cdn = base or supplier.base, cdn or supplier.cdn
     if done is not None:
         pages = pages.join(done.select("canonical_path"), "canonical_path", "left_anti")
     categories = merge.upsert_categories(current["categories"], snapshot)
@@ -43,7 +44,10 @@ def ingest(current: dict[str, DataFrame], snapshot: DataFrame, pages: DataFrame,
     short = every.groupBy("sku").agg(F.min_by(F.struct(*fields), F.struct("canonical_path", "page", "pos")).alias("x")).select("sku", "x.*")
     good, rejects = (staged(t) for t in supplier.products(raw, base))
     fallback = listing.fallback_records(good.select("sku", "body"), short).select("sku", "product_id", "title", "price", "url", F.lit("EUR").alias("currency"))
-    incoming = good.drop("body").unionByName(fallback, allowMissingColumns=True).withColumn("seq", F.lit(0))
+    own = staged(raw.join(good.select("body"), "body", "left_semi"))
+    nodes = extract.legacy_category_ids(supplier.category_nodes(own, base))
+    whole = good.drop("body").join(supplier.descriptions(own), "sku", "left").join(nodes, "sku", "left")
+    incoming = whole.unionByName(fallback, allowMissingColumns=True).withColumn("seq", F.lit(0))
     products = merge.upsert_products(current["products"], merge.fold_incoming(incoming, "seq"))
     listed = every.select("sku", "canonical_path").distinct()
 
@@ -60,8 +64,6 @@ def ingest(current: dict[str, DataFrame], snapshot: DataFrame, pages: DataFrame,
         gone = links.join(complete, "canonical_path", "left_semi").join(listed, ["sku", "canonical_path"], "left_anti")
         return links.join(gone, ["sku", "canonical_path"], "left_anti"), gone
 
-    own = raw.join(good.select("body"), "body", "left_semi")
-
     def children(name: str, incoming: DataFrame) -> DataFrame:
         return merge.replace_children(current[name], incoming, "sku") if name in current else incoming
 

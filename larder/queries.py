@@ -149,7 +149,6 @@ def load_catalog_jdbc(spark, sf_dir):
     return sizes(tables.load_catalog(spark, jdbc=jdbc, names=CATALOGUE))
 
 
-simple("product_description", "fx_products", lambda p: p.select("id", "sku", "title", F.coalesce("regular_price", "price").alias("price")), "SELECT id, sku, title, coalesce(regular_price, price) AS price FROM fx_products")
 simple("product_specifications", "fx_attributes", catalog.specifications, f"SELECT product_id, name, value, sort_order FROM {SPECS} s")
 QUERIES["reindex_sort_order"], ORACLE_SQL["reindex_sort_order"] = QUERIES["product_specifications"], ORACLE_SQL["product_specifications"]
 simple(
@@ -158,7 +157,12 @@ simple(
     lambda i: i.select("product_id", "sort_order", F.when(F.col("sort_order") % 3 == 0, F.regexp_extract("src", r"(\d+)", 1)).when(F.col("sort_order") % 3 == 1, F.regexp_extract("src", r"example(.*)$", 1)).otherwise(F.col("src")).alias("ref")).select("product_id", "sort_order", catalog.image_url(F.col("ref"), BASE, CDN).alias("url")),
     "SELECT product_id, sort_order, CASE sort_order % 3 WHEN 0 THEN 'https://cdn.example/' || regexp_extract(src, '(\\d+)', 1) || '/500x500x2.jpg' WHEN 1 THEN 'https://shop.example' || regexp_extract(src, 'example(.*)$', 1) ELSE src END AS url FROM fx_images",
 )
-simple("category_node", "fx_categories", lambda c: c.select("id", "name", "slug", "canonical_path", "parent_id", "level", "is_active"), "SELECT id, name, slug, canonical_path, parent_id, level, is_active FROM fx_categories")
+simple(
+    "category_node",
+    "fx_db_categories fx_source_categories",
+    lambda d, s: d.join(s.select("canonical_path", F.col("source_count").alias("source_product_count")), "canonical_path", "left").select("id", "parent_id", "name", "slug", "canonical_path", "level", "product_count", F.coalesce("source_product_count", F.lit(0)).alias("source_product_count"), "is_active", F.lit("[]").alias("children")),
+    "SELECT d.id, d.parent_id, d.name, d.slug, d.canonical_path, d.level, d.product_count, coalesce(s.source_count, 0) AS source_product_count, d.is_active, '[]' AS children FROM fx_db_categories d LEFT JOIN fx_source_categories s ON s.canonical_path = d.canonical_path",
+)
 
 
 @query("export_products_json", f"{ITEM} FROM fx_products p LEFT JOIN {MAIN} m ON m.product_id = p.id WHERE p.stock_status = 'in_stock'")
@@ -593,7 +597,8 @@ raw(
     lambda r: extract.category_nodes(r, BASE),
     f"SELECT {SKU} AS sku, q.p2 AS canonical_path, split_part(q.p2, '/', 4) AS slug, 'Two' AS name, 0 AS pos FROM fx_products JOIN (SELECT id AS i, p1, p2 FROM fx_product_paths) q ON q.i = id UNION ALL SELECT {SKU}, q.p1, split_part(q.p1, '/', 3), 'One', 1 FROM fx_products JOIN (SELECT id AS i, p1, p2 FROM fx_product_paths) q ON q.i = id",
 )
-raw("legacy_category_ids", lambda r: extract.legacy_category_ids(extract.category_nodes(r, BASE)), f"SELECT {SKU} AS sku, CASE WHEN split_part(q.p2, '/', 4) = split_part(q.p1, '/', 3) THEN split_part(q.p1, '/', 3) ELSE split_part(q.p2, '/', 4) || ',' || split_part(q.p1, '/', 3) END AS category_ids FROM fx_products JOIN (SELECT id AS i, p1, p2 FROM fx_product_paths) q ON q.i = id")
+LEGACY_IDS = f"SELECT {SKU} AS sku, CASE WHEN split_part(q.p2, '/', 4) = split_part(q.p1, '/', 3) THEN split_part(q.p1, '/', 3) ELSE split_part(q.p2, '/', 4) || ',' || split_part(q.p1, '/', 3) END AS category_ids FROM fx_products JOIN (SELECT id AS i, p1, p2 FROM fx_product_paths) q ON q.i = id"
+raw("legacy_category_ids", lambda r: extract.legacy_category_ids(extract.category_nodes(r, BASE)), LEGACY_IDS)
 raw("failure_message", lambda r: r.select("id", text.failure_message(F.concat(F.lit("S"), F.col("id").cast("string")), F.lit("ValueError"), F.lit("bad price")).alias("message")), "SELECT id, 'S' || CAST(id AS varchar) || ': ValueError: bad price' AS message FROM fx_products")
 
 # listings
@@ -614,10 +619,17 @@ listed("listing_total_pages", lambda p: listing.listing_metadata(p).select("cano
 listed("listing_summary", lambda p: listing.summaries(listing.listing_items(p), BASE).select("canonical_path", "page", "product_id", "sku", "name", "price"), f"SELECT p.canonical_path, p.page, CAST(p.id AS varchar) AS product_id, CASE WHEN p.id % 5 = 0 THEN '' ELSE f.sku END AS sku, f.title AS name, f.price FROM {PAGED} p JOIN fx_products f ON f.id = p.id")
 listed("first_seen_listing_items", lambda p: listing.first_seen(listing.listing_items(p)).select("canonical_path", "key", "page"), f"SELECT canonical_path, 'id:' || CAST(id AS varchar) AS key, min(page) AS page FROM {PAGED} p GROUP BY canonical_path, id")
 listed("repeated_listing_pages", lambda p: listing.repeated_pages(listing.listing_items(p)), f"SELECT DISTINCT canonical_path, page FROM {PAGED} p WHERE cid % 13 = 0 AND page > (own - 1) // 10 + 1")
+def with_failures(p: DataFrame) -> DataFrame:
+    """Listing status where the document of every 41st product was rejected."""
+    items = staged(listing.listing_items(p))
+    rejects = listing.summaries(items, BASE).where(F.col("product_id").cast("bigint") % 41 == 0).select(text.first_present("sku", "product_id").alias("key"))
+    return listing.listing_status(p, listing.failed_details(items, BASE, rejects), items)
+
+
 listed(
     "listing_completeness",
-    lambda p: listing.listing_status(p, p.groupBy("canonical_path").agg(F.sum(F.lit(0)).alias("failed"))),
-    f"SELECT canonical_path, max(own + CASE WHEN cid % 17 = 0 THEN 1 ELSE 0 END) AS list_total, max(own) AS unique_listed, CAST(0 AS bigint) AS failed, CASE WHEN max(cid) % 13 = 0 OR max(cid) % 17 = 0 THEN 'incomplete' ELSE 'complete' END AS status, CASE WHEN max(cid) % 13 = 0 THEN 'repeated page' WHEN max(cid) % 17 = 0 THEN 'count differs' ELSE '' END AS reason FROM {PAGED} p GROUP BY canonical_path",
+    with_failures,
+    f"SELECT canonical_path, max(own + CASE WHEN cid % 17 = 0 THEN 1 ELSE 0 END) AS list_total, max(own) AS unique_listed, count(DISTINCT id) FILTER (WHERE id % 41 = 0) AS failed, CASE WHEN max(cid) % 13 = 0 OR max(cid) % 17 = 0 OR count(*) FILTER (WHERE id % 41 = 0) > 0 THEN 'incomplete' ELSE 'complete' END AS status, CASE WHEN max(cid) % 13 = 0 THEN 'repeated page' WHEN max(cid) % 17 = 0 THEN 'count differs' WHEN count(*) FILTER (WHERE id % 41 = 0) > 0 THEN 'failed details' ELSE '' END AS reason FROM {PAGED} p GROUP BY canonical_path",
 )
 simple(
     "listing_page_plan",
@@ -739,6 +751,13 @@ text_query("html_long_description", lambda d: html.long_description(d, staged(ht
 text_query("product_descriptions", html.descriptions, f"SELECT id AS doc_id, {INTRO_TEXT.format(none='None at all of these')} AS short_description, {SECTIONS} AS long_description FROM fx_products")
 
 
+@query("product_description", f"SELECT id, sku, title, coalesce(regular_price, price) AS regular_price, {INTRO_TEXT.format(none='None at all of these')} AS short_description, {SECTIONS} AS long_description FROM fx_products")
+def product_description(spark, sf_dir):
+    p = staged(view(spark, sf_dir, "fx_products"))
+    texts = html.descriptions(staged(text_docs(p))).withColumnRenamed("doc_id", "id")
+    return p.select("id", "sku", "title", F.coalesce("regular_price", "price").alias("regular_price")).join(texts, "id", "left")
+
+
 def category_lists(c: DataFrame) -> DataFrame:
     """A document for each first category: its tree as nested lists, every third in a labelled block, with links that are no
     categories and what hangs below them."""
