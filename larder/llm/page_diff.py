@@ -6,7 +6,7 @@
    element), or open (anything else).
 2. Pages are sorted by host and URL path over all tasks (a range partition, so hosts and equal paths are
    split at any size), and each is compared within its partition; the first and last page of a partition
-   meet their neighbours in the next ones afterwards. A page is paired with the neighbour in path order whose
+   meet their neighbours in the partitions beside it by joins on partition numbers. A page is paired with the neighbour in path order whose
    path shares the longer prefix with its own. Pages of a host with the same html count as one, at the first of their
    paths, so a page is never compared with itself. The number of partitions changes no result.
 3. The lines of a pair are aligned by longest common subsequence, on line hashes. Shared lines are
@@ -14,10 +14,10 @@
    copies and quotations share whole paragraphs with their neighbours; and pages that share more than
    `copy_share` of their text that could stay (no chrome, nothing beside an article) are copies, whose shared
    lines say nothing about a template; the neighbour on the other side is taken then, if it is no copy.
-4. What differencing can't see, because it changes from page to page, goes by its element or names: menus,
-   adverts, comments. An element that holds lines of its own (a paragraph, a heading, a cell) goes only by a whole
-   name, a container also by a word of a name; a name on a container around an article doesn't count against the
-   article. On pages with an article or main element only its lines stay; the rest is joined.
+4. What differencing can't see, because it changes from page to page, goes by its element or by names that mean such
+   parts as a whole: menus, adverts, comments (`marks_chrome`). An element that holds lines of its own (a paragraph, a
+   heading, a cell) goes only by a name of one such word; a name on a container around an article doesn't count against
+   the article. On pages with an article or main element only its lines stay; the rest is joined.
 
 Null or empty html gives an empty text. A null URL is its own host. Repeated rows and repeated or null
 page_ids each give their own row.
@@ -32,18 +32,24 @@ from itertools import islice
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
 CHROME, OPEN, BODY = 0, 1, 2
-# Elements and class or id words that mark text outside an article.
+# Elements and class or id words that mark text outside an article, and words that may stand beside them in a name.
 CHROME_TAGS = frozenset("nav footer aside form button select dialog menu noscript".split())
 CHROME_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner cookie cookies consent notice alert newsletter subscribe signup login sidebar menu nav navbar navigation "
-    "breadcrumb breadcrumbs footer masthead share sharing social related recommended comment comments respond replies disqus popup modal widget pagination pager toolbar skip".split()
+    "breadcrumb breadcrumbs footer header masthead share sharing social related recommended comment comments discussion review reviews respond replies disqus popup modal widget pagination pager toolbar skip".split()
 )
+PART_WORDS = frozenset(
+    "left right top bottom upper lower main primary secondary global site box bar block wrap wrapper container inner outer section area slot unit list panel zone row group form button buttons "
+    "icon icons link links posts articles stories thread user users reader readers media".split()
+)
+WHOLE_WORDS = frozenset("page post article entry story blog home body content".split())
 RAW = "script|style|textarea|title|iframe|template|xmp|svg"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img input".split())
@@ -52,8 +58,15 @@ PIECE = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:\"[^\"]*\"|'[^']*'|[
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 
 
-# First words of names that say what a container has or lacks, not what it is.
-ABOUT_WORDS = frozenset("with has no without contains".split())
+def marks_chrome(name: str) -> bool:
+    """A class or id names chrome as a whole: each of its words is a word of chrome or one that may stand beside such words; a
+    word for the page or its text may stand before a last word of chrome. So cookie-notice, sidebar-left and
+    page-footer do, while page-with-sidebar, notice-of-election and menu-item-page don't."""
+    words = [w for w in re.split(r"[^a-z]+", name) if w]
+    if not words or CHROME_WORDS.isdisjoint(words):
+        return False
+    allowed = CHROME_WORDS | PART_WORDS | (WHOLE_WORDS if words[-1] in CHROME_WORDS else frozenset())
+    return allowed.issuperset(words)
 
 
 def is_chrome(tag: str, attributes: str, in_article: bool) -> bool:
@@ -62,10 +75,8 @@ def is_chrome(tag: str, attributes: str, in_article: bool) -> bool:
     if tag in ("html", "body", "article", "main") and "comment" not in attributes.lower() or not attributes:
         return False
     names = [n for m in NAMES.finditer(attributes) for n in "".join(x or "" for x in m.groups()).lower().split()]
-    if tag in BODY_TAGS:
-        return any(n in CHROME_WORDS for n in names)
-    words = [re.split(r"[^a-z]+", n) for n in names]
-    return any(w[0] not in ABOUT_WORDS and not CHROME_WORDS.isdisjoint(w) for w in words)
+    known = CHROME_WORDS - {"header"} if in_article else CHROME_WORDS  # an article's own header is its title
+    return any(n in known if tag in BODY_TAGS else marks_chrome(n) and not (in_article and n.endswith("header")) for n in names)
 
 
 def holds_article(tag: str, attributes: str, stack: list) -> bool:
@@ -192,47 +203,57 @@ PAGE = "key long, host string, path string, hashes array<long>, sizes array<int>
 KIND = pa.struct([("key", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("hashes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32()))])
 
 
-def compare(copy_share: float, ends: bool):
-    """Pages in order -> key and the lines that go. With `ends`, the first and last page of the partition come with their
-    known neighbours instead, to be compared when all partitions' ends are in order."""
-
-    def judged(page: dict, before: dict | None, after: dict | None) -> dict:
-        path, own, sizes = page["path"], page["hashes"], page["sizes"]
-        near = [x for x in (before, after) if x is not None and x["host"] == page["host"]]
-        for other in sorted(near, key=lambda x: -common_prefix(path, x["path"])):
-            found = shared_lines(own, other["hashes"])
-            if sum(sizes[i] for i in found) <= copy_share * sum(sizes):
-                return {"key": page["key"], "gone": found}
-        return {"key": page["key"], "gone": []}
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        last = None
-        for batch in batches:
-            for x in batch.to_pylist():
-                page = x if ends else x["page"]
-                if page["key"] != last:
-                    yield {"page": page, "before": None, "after": None} if ends else x
-                last = page["key"]
+def judged(page: dict, before: dict | None, after: dict | None, copy_share: float) -> dict:
+    """The lines of a page that go, by its nearer neighbour of the same host, or the other if that is a copy."""
+    path, own, sizes = page["path"], page["hashes"], page["sizes"]
+    near = [x for x in (before, after) if x is not None and x["host"] == page["host"]]
+    for other in sorted(near, key=lambda x: -common_prefix(path, x["path"])):
+        found = shared_lines(own, other["hashes"])
+        if sum(sizes[i] for i in found) <= copy_share * sum(sizes):
+            return {"key": page["key"], "gone": found}
+    return {"key": page["key"], "gone": []}
+
+
+def in_slices(rows: Iterator[dict], kinds: dict) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, 500)):
+        yield pa.RecordBatch.from_arrays([pa.array([x.get(c) for x in some], k) for c, k in kinds.items()], names=list(kinds))
+
+
+RESULT = {"key": pa.int64(), "gone": pa.list_(pa.int32())}
+
+
+def compare(copy_share: float):
+    """Pages in order -> key and the lines that go. The first and the last page of a partition come with its number and their
+    neighbour inside it instead, since others lie in partitions beside it."""
 
     def results(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        held, first = None, True
-        for x in rows(batches):
+        part, before, held = TaskContext.get().partitionId(), None, None
+        for page in (x for batch in batches for x in batch.to_pylist()):
             if held is not None:
-                x["before"] = x["before"] or held["page"]
-                held["after"] = held["after"] or x["page"]
-                yield held if ends and first else judged(**held)
-                first = False
-            held = x
+                yield judged(held, before, page, copy_share) if before is not None else {"part": part, "page": held, "after": page, "first": True, "last": False}
+                before = held
+            held = page
         if held is not None:
-            yield held if ends else judged(**held)
+            yield {"part": part, "page": held, "before": before, "first": before is None, "last": True}
+
+    kinds = RESULT | {"part": pa.int32(), "first": pa.bool_(), "last": pa.bool_()} | {c: KIND for c in ("page", "before", "after")}
+    return lambda batches: in_slices(results(batches), kinds)
+
+
+def compare_ends(copy_share: float):
+    """Rows (page, before, after) -> key and the lines that go."""
+    return lambda batches: in_slices((judged(**x, copy_share=copy_share) for batch in batches for x in batch.to_pylist()), RESULT)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = {"key": pa.int64(), "gone": pa.list_(pa.int32())} | ({c: KIND for c in ("page", "before", "after")} if ends else {})
-        found = results(batches)
-        while some := list(islice(found, 500)):
-            yield pa.RecordBatch.from_arrays([pa.array([x.get(c) for x in some], k) for c, k in kinds.items()], names=list(kinds))
 
-    return run
+def beside(ends: DataFrame) -> DataFrame:
+    """First and last pages with their neighbours in the partitions before and after, empty ones aside. Only partition numbers
+    are put in one order; pages meet by joins on them."""
+    order = Window.orderBy("part")
+    parts = ends.select("part").distinct().select("part", F.lag("part").over(order).alias("previous"), F.lead("part").over(order).alias("next"))
+    lasts = ends.where("last").select(F.col("part").alias("previous"), F.col("page").alias("page_before"))
+    firsts = ends.where("first").select(F.col("part").alias("next"), F.col("page").alias("page_after"))
+    met = ends.join(parts, "part").join(lasts, "previous", "left").join(firsts, "next", "left")
+    return met.select("page", F.coalesce("before", F.when(F.col("first"), F.col("page_before"))).alias("before"), F.coalesce("after", F.when(F.col("last"), F.col("page_after"))).alias("after"))
 
 
 def main_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,7 +278,8 @@ def extract(pages: DataFrame, *, partitions: int | None = None, copy_share: floa
     hashed = hashed.groupBy("key").agg(F.min(F.struct("host", "path", "hashes", "sizes")).alias("x")).select("key", "x.*")
     order = ["host", "path", "key"]
     page = ", ".join(f"{c} struct<{PAGE.replace(' ', ':').replace(',:', ',')}>" for c in ("page", "before", "after"))
-    inner = cut(hashed.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order).mapInArrow(compare(copy_share, True), f"key long, gone array<int>, {page}"))
-    ends = inner.where("page is not null").select("page", "before", "after").repartition(1).sortWithinPartitions(*(f"page.{c}" for c in order))
-    gone = inner.where("page is null").select("key", "gone").union(ends.mapInArrow(compare(copy_share, False), "key long, gone array<int>"))
+    sorted_pages = hashed.repartitionByRange(*([partitions] if partitions else []), *order).sortWithinPartitions(*order)
+    inner = cut(sorted_pages.mapInArrow(compare(copy_share), f"key long, gone array<int>, part int, first boolean, last boolean, {page}"))
+    ends = beside(inner.where("page is not null").select("part", "first", "last", "page", "before", "after"))
+    gone = inner.where("page is null").select("key", "gone").union(ends.mapInArrow(compare_ends(copy_share), "key long, gone array<int>"))
     return own.join(gone, "key", "left").select("page_id", "url", "html", "gone").mapInArrow(main_text, "page_id long, url string, text string, n_chars long")

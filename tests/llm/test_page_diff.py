@@ -2,7 +2,9 @@ import os
 import random
 import re
 
-from larder.llm.page_diff import BODY, CHROME, extract, page_lines, shared_lines
+import pytest
+
+from larder.llm.page_diff import BODY, CHROME, extract, marks_chrome, page_lines, shared_lines
 
 SCHEMA = "page_id long, url string, html string, host string, key string"
 
@@ -122,3 +124,37 @@ def test_longest_common_subsequence():
 def test_long_and_empty(spark):
     assert len(page_lines("<p>" + "word " * 200_000)) == 1 and len(page_lines("<div>" * 20_000 + "x")) == 1
     assert texts(spark, []) == {}
+
+
+@pytest.mark.parametrize(
+    "markup, text",
+    [
+        ('<div class="menu-item-page"><p>Text of a page.</p></div>', "Text of a page."),
+        ('<div class="social-studies"><p>Text of a school.</p></div>', "Text of a school."),
+        ('<div id="page-with-sidebar"><p>Text beside.</p><div id="sidebar-left">Side</div></div>', "Text beside."),
+        ('<article><p>Vote.</p><div class="notice-of-election"><p>On Sunday.</p></div></article>', "Vote. On Sunday."),
+        ('<article><p>Text.</p><div id="discussion"><p>I disagree</p></div></article>', "Text."),
+        ('<article><p>Text.</p><section class="user-reviews"><p>Five stars</p></section></article>', "Text."),
+        ('<article><div class="entry-header"><h1>Title</h1></div><p>Text.</p><div class="post-footer">By x</div></article>', "Title Text."),
+        ('<div class="site-header">Shop</div><div class="cookie-notice">We use</div><div class="main"><p>Text.</p></div><div class="page-footer">Legal</div><div class="related-articles">More</div>', "Text."),
+    ],
+)
+def test_names_mean_chrome_as_a_whole_only(markup, text):
+    lines = page_lines(markup)
+    has_article = any(inside for _, _, inside in lines)
+    assert " ".join(t for t, place, inside in lines if place != CHROME and (inside or not has_article)) == text
+
+
+def test_names():
+    assert all(map(marks_chrome, ("ad", "ad-slot-3", "cookieBanner".lower().replace("banner", "-banner"), "comments_area", "page-footer", "nav", "social-share-buttons")))
+    assert not any(map(marks_chrome, ("", "3", "page", "admission", "share-price", "price-alert", "no-sidebar", "header-image-credit", "main", "content-list")))
+
+
+def test_every_partition_boundary(spark):
+    """As many partitions as pages and more, so that every page has its neighbours in other partitions, some of them empty."""
+    page = "<html><body><div>Welcome</div><p>Own text of {0}, long enough to be told from the rest, {0}</p></body></html>"
+    rows = [(i, f"http://h/{i:02}", page.format(i)) for i in range(12)]
+    want = texts(spark, rows, partitions=1)
+    assert all(x[1].startswith("Own text") for x in want.values())
+    for n in (5, 12, 40):
+        assert texts(spark, rows, partitions=n) == want
