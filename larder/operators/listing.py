@@ -83,10 +83,10 @@ def repeated_pages(items: DataFrame) -> DataFrame:
     return keys.withColumn("before", F.lag("keys").over(by)).where((F.size("keys") > 0) & (F.col("keys") == F.col("before"))).select("canonical_path", "page")
 
 
-def failed_details(items: DataFrame, base: str, rejects: DataFrame) -> DataFrame:
-    """Listed items by category that failed: canonical_path, failed. Items fail whose document was rejected, rejects (key)
+def failed_details(short: DataFrame, rejects: DataFrame) -> DataFrame:
+    """short records of listed items -> canonical_path, failed. Items fail whose document was rejected, rejects (key)
     being the SKU, or without one the product id, and items that have neither SKU nor product id."""
-    short = summaries(items, base).select("canonical_path", first_present(F.col("sku"), F.col("product_id")).alias("key"), F.concat_ws(":", "url", "name").alias("item")).distinct()
+    short = short.select("canonical_path", first_present(F.col("sku"), F.col("product_id")).alias("key"), F.concat_ws(":", "url", "name").alias("item")).distinct()
     nameless = short.where("key is null")
     known = short.select("canonical_path", "key").distinct().join(rejects.select("key").distinct(), "key", "left_semi")
     return known.select("canonical_path", "key").union(nameless.select("canonical_path", "item")).groupBy("canonical_path").agg(F.count("*").alias("failed"))
@@ -97,10 +97,10 @@ def first_seen(items: DataFrame) -> DataFrame:
     return items.where("key <> ''").groupBy("canonical_path", "key").agg(F.min(F.struct("page", "pos")).alias("at")).select("canonical_path", "key", "at.page", "at.pos")
 
 
-def listing_status(pages: DataFrame, failures: DataFrame, items: DataFrame | None = None) -> DataFrame:
-    """pages, failures (canonical_path, failed) -> list_total, unique_listed, failed, status, reason. items: those of the
-    pages, where they are known already."""
-    items, meta = listing_items(pages) if items is None else items, listing_metadata(pages)
+def listing_status(pages: DataFrame, failures: DataFrame, items: DataFrame | None = None, meta: DataFrame | None = None) -> DataFrame:
+    """pages, failures (canonical_path, failed) -> list_total, unique_listed, failed, status, reason. items and meta: items and
+    counters of the pages, where they are known already."""
+    items, meta = listing_items(pages) if items is None else items, listing_metadata(pages) if meta is None else meta
     totals = meta.groupBy("canonical_path").agg(F.max("total").alias("list_total"), F.greatest(F.max("total_pages"), F.max("asked")).alias("last_page"))
     unique = items.where("key <> ''").groupBy("canonical_path").agg(F.count_distinct("key").alias("unique_listed"))
     repeats = repeated_pages(items).groupBy("canonical_path").agg(F.min("page").alias("repeated"))

@@ -39,7 +39,8 @@ def ingest(current: dict[str, DataFrame], snapshot: DataFrame, pages: DataFrame,
     categories = merge.upsert_categories(current["categories"], snapshot)
     items = staged(supplier.items(pages))
     # an item without a code is known by its id, as a document without a SKU is
-    every = staged(supplier.summaries(items, base).withColumns({"sku": F.coalesce(F.nullif("sku", F.lit("")), "product_id"), "product_id": F.coalesce(F.nullif("product_id", F.lit("")), "sku")}).where("sku <> ''"))
+    records = supplier.summaries(items, base)
+    every = staged(records.withColumns({"sku": F.coalesce(F.nullif("sku", F.lit("")), "product_id"), "product_id": F.coalesce(F.nullif("product_id", F.lit("")), "sku")}).where("sku <> ''"))
     fields = ("product_id", "name", "price", "url")
     short = every.groupBy("sku").agg(F.min_by(F.struct(*fields), F.struct("canonical_path", "page", "pos")).alias("x")).select("sku", "x.*")
     good, rejects = (staged(t) for t in supplier.products(raw, base))
@@ -53,7 +54,7 @@ def ingest(current: dict[str, DataFrame], snapshot: DataFrame, pages: DataFrame,
 
     @cache
     def status() -> DataFrame:
-        return listing.listing_status(pages, listing.failed_details(items, base, rejects), items)
+        return listing.listing_status(pages, listing.failed_details(records, rejects), items, supplier.metadata(pages))
 
     @cache
     def kept_and_removed() -> tuple[DataFrame, DataFrame]:

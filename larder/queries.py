@@ -622,8 +622,9 @@ listed("repeated_listing_pages", lambda p: listing.repeated_pages(listing.listin
 def with_failures(p: DataFrame) -> DataFrame:
     """Listing status where the document of every 41st product was rejected."""
     items = staged(listing.listing_items(p))
-    rejects = listing.summaries(items, BASE).where(F.col("product_id").cast("bigint") % 41 == 0).select(text.first_present("sku", "product_id").alias("key"))
-    return listing.listing_status(p, listing.failed_details(items, BASE, rejects), items)
+    short = listing.summaries(items, BASE)
+    rejects = short.where(F.col("product_id").cast("bigint") % 41 == 0).select(text.first_present("sku", "product_id").alias("key"))
+    return listing.listing_status(p, listing.failed_details(short, rejects), items)
 
 
 listed(

@@ -21,6 +21,7 @@ class Supplier:
     cdn: str  # address of numbered images
     categories: Callable[[DataFrame, str], DataFrame]  # sitemap documents, base -> the snapshot of source categories
     items: Callable[[DataFrame], DataFrame]  # listing pages -> canonical_path, page, pos, item, key
+    metadata: Callable[[DataFrame], DataFrame]  # listing pages -> canonical_path, asked, total, total_pages
     summaries: Callable[[DataFrame, str], DataFrame]  # items, base -> the short record of each
     products: Callable[[DataFrame, str], tuple[DataFrame, DataFrame]]  # documents, base -> products and rejects
     descriptions: Callable[[DataFrame], DataFrame]  # documents -> sku and texts
@@ -37,5 +38,5 @@ def sitemap_snapshot(docs: DataFrame, base: str) -> DataFrame:
 
 
 SHOP = Supplier(
-    "shop", "https://shop.example", "https://cdn.example/", sitemap_snapshot, listing.listing_items, listing.summaries, extract.products, extract.descriptions, extract.images, extract.product_specs, extract.category_nodes,
+    "shop", "https://shop.example", "https://cdn.example/", sitemap_snapshot, listing.listing_items, listing.listing_metadata, listing.summaries, extract.products, extract.descriptions, extract.images, extract.product_specs, extract.category_nodes,
 )

@@ -145,3 +145,56 @@ def test_change_feed(spark):
     once = feed.apply_feed(before, found, "id")
     assert rows_of(once) == rows_of(after) == rows_of(feed.apply_feed(once, found, "id"))
     assert feed.change_feed(after, after, "id").count() == 0 == feed.change_feed(after.limit(0), after.limit(0), "id").count()
+
+
+def test_another_supplier(spark):
+    """A shop with forms of its own goes through the same ingest."""
+    from larder.operators import listing
+    from larder.sources.supplier import SHOP, Supplier
+
+    def items(pages):
+        rows = F.posexplode(F.from_json("body", "struct<rows:array<struct<no:string,label:string>>>")["rows"]).alias("pos", "r")
+        return pages.select("canonical_path", "page", rows).select("canonical_path", "page", "pos", F.to_json("r").alias("item"), F.concat(F.lit("no:"), "r.no").alias("key"))
+
+    def metadata(pages):
+        return pages.select("canonical_path", F.col("page").alias("asked"), F.get_json_object("body", "$.all").cast("bigint").alias("total"), F.lit(1).cast("bigint").alias("total_pages"))
+
+    def summaries(found, base):
+        j = lambda n: F.get_json_object("item", f"$.{n}")
+        return found.select("canonical_path", "page", "pos", F.lit("").alias("product_id"), j("no").alias("sku"), F.concat(F.lit(base), F.lit("/p/"), j("no")).alias("url"), j("label").alias("name"), F.lit(None).cast("double").alias("price"), F.lit(None).cast("string").alias("image_id"))
+
+    def products(raw, base):
+        j = lambda n: F.get_json_object("body", f"$.{n}")
+        rows = raw.select(j("no").alias("sku"), j("label").alias("title"), j("eur").try_cast("double").alias("price"), "body")
+        return rows.where("sku is not null"), rows.where("sku is null").select("body", F.lit("no number").alias("error"), F.lit(None).cast("string").alias("key"))
+
+    no = lambda raw, *schema: raw.sparkSession.createDataFrame([], ", ".join(schema))
+    texts = lambda raw: raw.select(F.get_json_object("body", "$.no").alias("sku"), F.get_json_object("body", "$.text").alias("description"))
+    other = Supplier(
+        "other", "https://other.example", "https://img.other.example/", SHOP.categories, items, metadata, summaries, products, texts, lambda raw, base, cdn: no(raw, "sku string", "url string", "sort_order int", "is_cover boolean"),
+        lambda raw: no(raw, "sku string", "rank int", "pos int", "name string", "value string"), lambda raw, base: no(raw, "sku string", "canonical_path string", "slug string", "name string", "pos int"),
+    )
+    sitemap = '<div class="gui-list" aria-labelledby="categories"><ul><li><a href="/en/a/">A (2)</a></li></ul></div>'
+    snapshot = other.categories(spark.createDataFrame([(1, sitemap), (2, sitemap)], "doc_id long, html string"), other.base)
+    assert [tuple(r) for r in snapshot.collect()] == [("/en/a/", "A", "a", 1, None, 2)]
+    stored = {"products": spark.createDataFrame([("x9", "old")], "sku string, title string"), "links": spark.createDataFrame([("x9", "/en/a/")], "sku string, canonical_path string")}
+    stored["categories"] = spark.createDataFrame([], "canonical_path string, name string, slug string, level int, parent_path string, is_active boolean, missing_streak int")
+    pages = spark.createDataFrame([("/en/a/", 1, '{"all":2,"rows":[{"no":"x1","label":"one"},{"no":"x2","label":"two"}]}')], "canonical_path string, page long, body string")
+    raw = spark.createDataFrame([('{"no":"x1","label":"One","eur":"5.5","text":"Good"}',), ('{"label":"lost"}',)], "body string")
+    found = ingest(stored, snapshot, pages, raw, supplier=other)
+    assert {(r.sku, r.title, r.price, r.url, r.description) for r in found["products"].collect()} == {("x1", "One", 5.5, None, "Good"), ("x2", "two", None, "https://other.example/p/x2", None), ("x9", "old", None, None, None)}
+    assert rows_of(found["links"]) == {("x1", "/en/a/"), ("x2", "/en/a/")} and rows_of(found["counts"]) == {("/en/a/", 2)}
+    assert listing.listing_items is SHOP.items
+
+
+def test_specifications_of_the_page_come_after_those_of_the_content(spark):
+    from larder.operators import extract
+
+    body = json.dumps({"sku": "s", "content": "<table><tr><td>Weight</td><td>1 kg</td></tr></table>", "ean": "99"})
+    page = '<h3>Technical data</h3><ul><li>Weight: 2 kg</li><li>Power: 5 W</li></ul><hr><p>In stock: 12 in stock</p><table><tr><td>Colour</td><td>red</td></tr></table>'
+    raw = spark.createDataFrame([(body, page)], "body string, page string")
+    found = extract.dedupe_specs(extract.product_specs(raw)).orderBy("sort_order").collect()
+    assert [(r.name, r.value) for r in found] == [("Weight", "1 kg"), ("Colour", "red"), ("Power", "5 W"), ("Article number", "s"), ("EAN", "99")]
+    good, _ = extract.records(raw, "https://s.example", "https://c.example/")
+    row = good.first()
+    assert row.stock == 12 and row.stock_status == "in_stock" and [s.name for s in row.specifications] == ["Weight", "Colour", "Power", "Article number", "EAN"] and row.images is None
