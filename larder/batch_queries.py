@@ -14,7 +14,7 @@ from .operators import extract, feed, ledger, merge
 from .plans.ingest import ingest
 from .queries import BASE, CDN, DEDUPED_SPECS, IMAGES, LEGACY_IDS, ORACLE_SQL, SKU, STATUS, STOCK, URL, query
 from .sources.snapshots import SnapshotStore
-from .sources.tables import shared_folder, staged
+from .sources.tables import shared_folder, spread, staged
 from .streaming import catalogue as streams
 
 
@@ -55,7 +55,7 @@ RUN = f"""SELECT *, CASE WHEN categories_failed + products_failed + category_dis
 def ingested(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     b = batch(spark, sf_dir)
     stored = {"products": b["stored_products"], "categories": b["stored_categories"], "links": b["stored_links"]}
-    return ingest(stored, b["snapshot"], staged(b["pages"]), staged(b["raw"].select("body")), BASE, CDN)
+    return ingest(stored, b["snapshot"], staged(spread(b["pages"])), staged(spread(b["raw"].select("body"))), BASE, CDN)
 
 
 def ingest_query(name: str, table: str, sql: str, f=lambda df: df) -> None:
@@ -83,7 +83,7 @@ RECORDS = f"""SELECT CAST(p.id AS varchar) AS product_id, {SKU.replace('id %', '
 @query("product_records", RECORDS)
 def product_records(spark, sf_dir):
     """Whole records of the documents, nested children as JSON."""
-    found, _ = extract.records(staged(raw_products(spark, sf_dir)), BASE, CDN)
+    found, _ = extract.records(staged(spread(raw_products(spark, sf_dir))), BASE, CDN)
     return found.select("product_id", "sku", "short_description", "category_ids", F.to_json("images").alias("images"), F.to_json("specifications").alias("specifications"))
 
 

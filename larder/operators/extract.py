@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import paths, text
 from ..functions.text import first_present
 from ..sources import html
-from ..sources.tables import staged
+from ..sources.tables import spread, staged
 from .catalog import image_url
 from .listing import field, values
 
@@ -147,7 +147,8 @@ def documents(raw: DataFrame) -> DataFrame:
     """raw -> a row for each distinct document: doc_id, sku, html (its content), description, number, ean, and page (the
     product's own page, where raw has it)."""
     page = F.col("page") if "page" in raw.columns else F.lit(None).cast("string")
-    return parsed(raw).select(F.xxhash64("body", page).alias("doc_id"), sku().alias("sku"), f("content").alias("html"), f("description", "shortDescription").alias("description"), f("sku", "number", "articleNumber").alias("number"), f("ean", "gtin", "upc").alias("ean"), page.alias("page")).distinct()
+    rows = parsed(raw).select(F.xxhash64("body", page).alias("doc_id"), sku().alias("sku"), f("content").alias("html"), f("description", "shortDescription").alias("description"), f("sku", "number", "articleNumber").alias("number"), f("ean", "gtin", "upc").alias("ean"), page.alias("page"))
+    return spread(rows, "doc_id").distinct()  # one shuffle for both
 
 
 LATER = 100_000_000  # places of a page's pairs begin beyond those of the content, one such step for each kind
@@ -170,7 +171,9 @@ def product_specs(raw: DataFrame) -> DataFrame:
 def descriptions(raw: DataFrame) -> DataFrame:
     """sku, description, short_description, long_description; the first two are the same text. Of documents with one SKU the
     one with the smaller hash counts."""
-    rows = staged(documents(raw).where("sku is not null").groupBy("sku").agg(F.min_by(F.struct("doc_id", "html", "description"), "doc_id").alias("d")).select("sku", "d.*"))
+    own = documents(raw).where("sku is not null")
+    first = own.groupBy("sku").agg(F.min("doc_id").alias("doc_id"))
+    rows = staged(spread(own.join(first, ["sku", "doc_id"]).select("sku", "doc_id", "html", "description"), "doc_id"))
     found = html.descriptions(rows.select("doc_id", "html", "description"))
     return rows.select("doc_id", "sku").join(found, "doc_id").select("sku", F.col("short_description").alias("description"), "short_description", "long_description")
 
@@ -179,7 +182,7 @@ def records(raw: DataFrame, base: str, cdn: str) -> tuple[DataFrame, DataFrame]:
     """Whole product records, with texts and nested images, specifications and category nodes, and the rejects of `products`.
     SKUs are unique in raw."""
     good, rejects = products(raw, base)
-    own = raw.join(good.select("body").distinct(), "body", "left_semi")
+    own = staged(spread(raw.join(good.select("body").distinct(), "body", "left_semi")))
     listed = lambda df, by, fields: df.groupBy("sku").agg(F.transform(F.sort_array(F.collect_list(F.struct(by, *(c for c in fields if c != by)))), lambda s: F.struct(*(s[c].alias(c) for c in fields))).alias("x"))
     nodes = category_nodes(own, base)
     parts = {

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import extract, ledger, listing, merge, taxonomy
 from ..sources.supplier import SHOP, Supplier
-from ..sources.tables import staged
+from ..sources.tables import spread, staged
 
 
 class Tables(dict):
@@ -45,7 +45,7 @@ def ingest(current: dict[str, DataFrame], snapshot: DataFrame, pages: DataFrame,
     short = every.groupBy("sku").agg(F.min_by(F.struct(*fields), F.struct("canonical_path", "page", "pos")).alias("x")).select("sku", "x.*")
     good, rejects = (staged(t) for t in supplier.products(raw, base))
     fallback = listing.fallback_records(good.select("sku", "body"), short).select("sku", "product_id", "title", "price", "url", F.lit("EUR").alias("currency"))
-    own = staged(raw.join(good.select("body"), "body", "left_semi"))
+    own = staged(spread(raw.join(good.select("body"), "body", "left_semi")))
     nodes = extract.legacy_category_ids(supplier.category_nodes(own, base))
     whole = good.drop("body").join(supplier.descriptions(own), "sku", "left").join(nodes, "sku", "left")
     incoming = whole.unionByName(fallback, allowMissingColumns=True).withColumn("seq", F.lit(0))

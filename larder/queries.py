@@ -16,7 +16,7 @@ from .operators import catalog, taxonomy
 from .plans import catalogue
 from .plans.catalogue import Catalogue
 from .sources import exports, html, tables
-from .sources.tables import key_of, shared_folder, staged, write_snapshot
+from .sources.tables import key_of, shared_folder, spread, staged, write_snapshot
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -557,7 +557,7 @@ from .operators import extract, listing  # noqa: E402
 
 def raw(name: str, f, sql: str) -> None:
     """A query over landed product documents."""
-    query(name, sql)(lambda spark, sf_dir: f(staged(raw_products(spark, sf_dir))))
+    query(name, sql)(lambda spark, sf_dir: f(staged(spread(raw_products(spark, sf_dir)))))
 
 
 SKU = "CASE WHEN id % 5 = 0 THEN CAST(id AS varchar) ELSE sku END"
@@ -609,7 +609,7 @@ META = f"(SELECT DISTINCT canonical_path, page, cid, own + CASE WHEN cid % 17 =
 
 
 def listed(name: str, f, sql: str) -> None:
-    query(name, sql)(lambda spark, sf_dir: f(staged(listing_pages(spark, sf_dir))))
+    query(name, sql)(lambda spark, sf_dir: f(staged(spread(listing_pages(spark, sf_dir)))))
 
 
 listed("listing_products", lambda p: listing.listing_items(p).select("canonical_path", "page", "pos", F.get_json_object("item", "$.id").cast("bigint").alias("id")), f"SELECT canonical_path, page, CAST(pos AS int) AS pos, id FROM {PAGED} p")
@@ -743,7 +743,7 @@ WITH_INTRO = SECTIONS.replace("<h3>Highlights</h3>", "<h3>Highlights</h3>' || CA
 
 
 def text_query(name: str, f, sql: str) -> None:
-    query(name, sql)(lambda spark, sf_dir: f(staged(text_docs(view(spark, sf_dir, "fx_products")))))
+    query(name, sql)(lambda spark, sf_dir: f(staged(spread(text_docs(view(spark, sf_dir, "fx_products"))))))
 
 
 # without an introduction of its own, a page's first fitting paragraph is the one under Colours
@@ -755,7 +755,7 @@ text_query("product_descriptions", html.descriptions, f"SELECT id AS doc_id, {IN
 @query("product_description", f"SELECT id, sku, title, coalesce(regular_price, price) AS regular_price, {INTRO_TEXT.format(none='None at all of these')} AS short_description, {SECTIONS} AS long_description FROM fx_products")
 def product_description(spark, sf_dir):
     p = staged(view(spark, sf_dir, "fx_products"))
-    texts = html.descriptions(staged(text_docs(p))).withColumnRenamed("doc_id", "id")
+    texts = html.descriptions(staged(spread(text_docs(p)))).withColumnRenamed("doc_id", "id")
     return p.select("id", "sku", "title", F.coalesce("regular_price", "price").alias("regular_price")).join(texts, "id", "left")
 
 
@@ -778,7 +778,7 @@ def category_lists(c: DataFrame) -> DataFrame:
 simple(
     "sitemap_html_categories",
     "fx_categories",
-    lambda c: html.sitemap_nodes(staged(category_lists(c)), BASE + "/en").drop("pos"),
+    lambda c: html.sitemap_nodes(staged(spread(category_lists(c))), BASE + "/en").drop("pos"),
     "WITH t AS (SELECT id AS doc_id, canonical_path AS root FROM fx_categories WHERE level = 1) SELECT t.doc_id, c.name, replace(c.canonical_path, ' ', '-') AS canonical_path, replace(c.parent_path, ' ', '-') AS parent_path, CAST(c.level AS int) AS level, 7 AS source_count FROM t JOIN fx_categories c ON starts_with(c.canonical_path, t.root) UNION ALL SELECT doc_id, x.name, x.path, NULL, 1, 0 FROM t CROSS JOIN (VALUES ('Extra A', '/en/extra-a/'), ('Extra B', '/en/extra-b/')) x(name, path)",
 )
 
@@ -802,7 +802,7 @@ def spec_query(name: str, k: int, rank: int) -> None:
     simple(
         name,
         "fx_products fx_attributes",
-        lambda p, a: html.spec_pairs(spec_docs(p, a, k)).where(F.col("rank") == rank).select("doc_id", "name", "value"),
+        lambda p, a: html.spec_pairs(staged(spread(spec_docs(p, a, k)))).where(F.col("rank") == rank).select("doc_id", "name", "value"),
         f"SELECT product_id AS doc_id, name, trim(value) AS value FROM fx_attributes WHERE trim(value) <> ''",
     )
 

@@ -127,11 +127,18 @@ class _Tree(HTMLParser):
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, rows = [f.split()[0] for f in ELEMENTS.split(", ")], []
+
+    def batch_of(found: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*found)) or [[]] * len(KINDS), KINDS)], names=names)
+
     for batch in batches:
         for doc, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            rows = _Tree(source).rows if source else []
-            cols = [[doc] * len(rows), *(zip(*rows) if rows else [[]] * 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, KINDS)], names=[f.split()[0] for f in ELEMENTS.split(", ")])
+            rows += [(doc, *r) for r in _Tree(source).rows] if source else []
+            if len(rows) > 20_000:
+                yield batch_of(rows)
+                rows = []
+    yield batch_of(rows)
 
 
 KINDS = [{"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "string": pa.string()}[f.split()[1]] for f in ELEMENTS.split(", ")]

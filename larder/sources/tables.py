@@ -29,6 +29,11 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt to spark.sql.shuffle.partitions tasks, however small it is: for rows that cost much more work than bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def key_of(table: str) -> str:
     """The number by which a table is read in ranges."""
     return "product_id" if table == "product_categories" else "id"
