@@ -1,16 +1,19 @@
 """Benchmark decontamination: training passages query a BM25 inverted index of test items with block-max WAND.
 
-Test items are indexed in shards of at most about `shard_chars` of text, so that what is broadcast is
-bounded however many items there are: postings and block maxima are lists, at most one entry a word; each shard costs one pass over the documents. Document frequencies
-and the mean length cover all items. Impacts are divided by the item's threshold (`share` of the score of
-its own full text), so an item is retrieved when its sum reaches 1.
+Test items are indexed in shards of about `shard_chars` of text. Tasks build the shards, each from its own items
+and the document frequencies of its words, and write them as a table; the driver passes on one built shard at a
+time, so that what is broadcast is bounded however many items there are. Each shard costs one pass over the
+documents. Document frequencies and the mean length cover all items. Impacts are divided by the item's threshold
+(`share` of the score of its own full text), so an item is retrieved when its sum reaches 1.
 
 Every whole text is cut into passages of twice the longest item, one item apart, so that each item that a
-text contains lies whole in some passage. A passage's terms give an upper bound for each block of items
-from the block maxima of their postings; only blocks that reach 1 are scored, and all items above the
-threshold are retrieved. A retrieved item counts as a leak if enough of the word n-grams of its question
-and of its answer occur in the passage. The answer is what follows the last question mark or, without one,
-the first line feed; otherwise the last quarter of the words.
+text contains lies whole in some passage. The block maxima of a stretch of `STRETCH` passages, summed, leave
+the blocks of items that any of them could reach. Over these a passage's terms run as cursors: in order of
+their blocks, their lists' maxima are added until the sum reaches 1; the cursor where it does is the pivot, and
+those behind it skip to its block. If the block's own maxima reach 1 as well, its items are scored. All items
+above the threshold are retrieved. A retrieved item counts as a leak if enough of the word n-grams of its
+question and of its answer occur in the passage. The answer is what follows the last question mark or, without
+one, the first line feed; otherwise the last quarter of the words.
 
 Words compare in lower case without punctuation at their ends. Null or empty texts and items match
 nothing. Repeated items each give rows of their own; a null doc_id is returned as null.
@@ -18,6 +21,7 @@ nothing. Repeated items each give rows of their own; a null doc_id is returned a
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,8 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 K1, B = 1.2, 0.75
 BLOCK = 4
+STRETCH = 2
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¿¡«»„“”‘’…–—"
 
 
@@ -60,6 +67,8 @@ class Index:
     block_starts: np.ndarray  # of each term's block maxima
     blocks: np.ndarray  # block maxima: block number
     tops: np.ndarray  # block maxima: greatest impact within the block
+    keys: np.ndarray  # block maxima: term number * number of blocks + block number, ascending
+    most: np.ndarray  # of each term: greatest impact in its whole list
     ids: list
     grams: list[tuple]  # of each item: n-grams of question and of answer, in term numbers
     longest: int
@@ -93,7 +102,9 @@ class Index:
         first = np.flatnonzero((np.diff(t, prepend=-1) != 0) | (np.diff(block, prepend=-1) != 0))
         tops = np.maximum.reduceat(impacts, first) if len(first) else impacts
         numbers = np.arange(len(terms) + 1)
-        return cls(terms, np.searchsorted(t, numbers), items.astype(np.int32), impacts.astype(float), np.searchsorted(t[first], numbers), block[first].astype(np.int32), tops.astype(float), ids, grams, longest)
+        starts, count = np.searchsorted(t[first], numbers), -(-len(ids) // BLOCK)
+        most = np.maximum.reduceat(tops, starts[:-1]) if len(terms) else tops
+        return cls(terms, np.searchsorted(t, numbers), items.astype(np.int32), impacts.astype(float), starts, block[first].astype(np.int32), tops.astype(float), t[first] * count + block[first], most.astype(float), ids, grams, longest)
 
     def hopeful(self, terms: np.ndarray) -> np.ndarray:
         """Which blocks could hold an item whose sum over the distinct terms reaches 1."""
@@ -129,16 +140,42 @@ class Matcher:
         self.index, self.least = index, least
         self.known = TermNumbers(index.terms)
 
-    def scores(self, terms: np.ndarray) -> dict[int, float]:
-        """Items whose sum over the distinct terms reaches 1."""
-        x = self.index
-        blocks = x.hopeful(terms)
-        if not blocks.any():
-            return {}
-        at = spans(x.starts, terms)
-        at = at[blocks[x.items[at] // BLOCK]]
-        sums = np.bincount(x.items[at], x.impacts[at])
-        return {int(i): float(sums[i]) for i in np.flatnonzero(sums >= 1 - 1e-9)}
+    def scores(self, terms: np.ndarray, live: np.ndarray) -> dict[int, float]:
+        """Items of the `live` blocks (ascending) whose sum over the distinct terms reaches 1."""
+        x, found = self.index, {}
+        most = x.most[terms]
+        if most.sum() < 0.999:
+            return found
+        count = -(-len(x.ids) // BLOCK)
+        place, end = x.block_starts[terms], x.block_starts[terms + 1]
+        now = x.blocks[place].astype(np.int64)  # of each cursor: its block; `count` at the end of its list
+        while True:
+            order = now.argsort()
+            reach = np.cumsum(most[order])
+            at = np.searchsorted(reach, 0.999)
+            pivot = now[order[at]] if at < len(order) else count
+            next_ = np.searchsorted(live, pivot)
+            if pivot == count or next_ == len(live):
+                return found
+            pivot = live[next_]
+            behind = np.flatnonzero(now < pivot)
+            place[behind] = np.searchsorted(x.keys, terms[behind] * count + pivot)
+            self.stand(place, end, now, behind, count)
+            here = np.flatnonzero(now == pivot)
+            if x.tops[place[here]].sum() >= 0.999:
+                at = spans(x.starts, terms[here])
+                at = at[x.items[at] // BLOCK == pivot]
+                sums = np.bincount(x.items[at] - pivot * BLOCK, x.impacts[at])
+                found.update((int(i + pivot * BLOCK), float(sums[i])) for i in np.flatnonzero(sums >= 1 - 1e-9))
+            place[here] += 1
+            self.stand(place, end, now, here, count)
+
+    def stand(self, place: np.ndarray, end: np.ndarray, now: np.ndarray, moved: np.ndarray, count: int) -> None:
+        """Read the blocks of the cursors that moved."""
+        inside = place[moved] < end[moved]
+        now[moved] = count
+        some = moved[inside]
+        now[some] = self.index.blocks[place[some]]
 
     def __call__(self, text: str | None) -> list[tuple]:
         """(item_id, score over threshold, share of question n-grams, share of answer n-grams) of the best passage."""
@@ -152,9 +189,17 @@ class Matcher:
         if not len(distinct) or not x.hopeful(distinct).any():
             return []
         best: dict[int, tuple] = {}
-        for start in range(0, max(1, len(seq) - x.longest), x.longest):
-            part = seq[start : start + 2 * x.longest]
-            found = self.scores(np.unique(part[part >= 0])) if (part >= 0).any() else {}
+        step, last, live = x.longest, max(1, len(seq) - x.longest), None
+        for number, start in enumerate(range(0, last, step)):
+            if number % STRETCH == 0:
+                near = seq[start : start + (STRETCH + 1) * step]
+                near = np.unique(near[near >= 0])
+                live = np.flatnonzero(x.hopeful(near)) if len(near) else near
+            if not len(live):
+                continue
+            part = seq[start : start + 2 * step]
+            terms = np.unique(part[part >= 0])
+            found = self.scores(terms, live) if len(terms) else {}
             if not found:
                 continue
             tokens, made = part.tolist(), {}
@@ -169,8 +214,8 @@ class Matcher:
         return [(x.ids[i], *v) for i, v in sorted(best.items())]
 
 
-def indexes(items: DataFrame, share: float, n: int, shard_chars: int) -> Iterator[Index]:
-    """The shards of the index; one shard's rows are on the driver at a time."""
+def indexes(items: DataFrame, share: float, n: int, shard_chars: int) -> Iterator[bytes]:
+    """The shards of the index, built by tasks and pickled; one of them is on the driver at a time."""
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = 1 + size // shard_chars
@@ -182,15 +227,25 @@ def indexes(items: DataFrame, share: float, n: int, shard_chars: int) -> Iterato
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.string())), pa.array([len(x) for x in found], pa.int64())], names=["item_id", "text", "words", "n"])
 
     split = rows.mapInArrow(lengths, "item_id long, text string, words array<string>, n long").where("n > 0")
+    split = cut(split.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))))
     total, mean = split.agg(F.count("*"), F.avg("n")).first()
     if not total:
         return
-    df = split.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    shard = F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))
+    uses = split.select(F.col("shard").alias("part"), F.explode("words").alias("word"))
+    df = uses.groupBy("word").agg(F.count("*").alias("df"))
+
+    def build(own: pa.Table, known: pa.Table) -> pa.Table:
+        found = sorted(zip(own.column("item_id").to_pylist(), own.column("text").to_pylist()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        freq = dict(zip(known.column("word").to_pylist(), known.column("df").to_pylist()))
+        made = Index.build(found, freq, total, mean, share, n)
+        return pa.table({"shard": pa.array([own.column("shard")[0].as_py()], pa.int64()), "index": pa.array([pickle.dumps(made, protocol=5)], pa.binary())})
+
+    own = split.select("shard", "item_id", "text").groupBy("shard")
+    known = uses.distinct().join(df, "word").groupBy("part")
+    built = cut(own.cogroup(known).applyInArrow(build, "shard long, index binary"))
     for s in range(shards):
-        own = split.where(shard == s)
-        known = own.select(F.explode("words").alias("word")).distinct().join(df, "word")
-        yield Index.build([(r.item_id, r.text) for r in own.select("item_id", "text").orderBy("item_id", "text").collect()], {r.word: r.df for r in known.collect()}, total, mean, share, n)
+        for row in built.where(F.col("shard") == s).collect():  # one row, or none if the shard has no item
+            yield bytes(row["index"])
 
 
 def leaks(docs: DataFrame, items: DataFrame, *, share: float = 0.6, least: float = 0.7, n: int = 5, shard_chars: int = 8_000_000) -> DataFrame:
@@ -203,7 +258,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, share: float = 0.6, least: float
         shared = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            match = Matcher(shared.value, least)
+            match = Matcher(pickle.loads(shared.value), least)
             for batch in batches:
                 rows = [(d, *hit) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for hit in match(t)]
                 cols = list(zip(*rows)) if rows else [[]] * 5
@@ -220,7 +275,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, *, share: float = 0.6, leas
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            match = Matcher(shared.value, least)
+            match = Matcher(pickle.loads(shared.value), least)
             for batch in batches:
                 yield batch.filter(pa.array([not match(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 

@@ -27,8 +27,11 @@ def test_wand_loses_nothing():
         df, mean, want = brute_scores(items, passage)
         index = Index.build(items, df, len(items), mean, 0.6, 5)
         terms = np.array(sorted(index.terms[w] for w in passage if w in index.terms), int)
-        got = Matcher(index, 0.7).scores(terms) if len(terms) else {}
+        got = Matcher(index, 0.7).scores(terms, np.arange(-(-len(items) // 4))) if len(terms) else {}
         assert sorted(got) == [i for i, s in enumerate(want) if s >= 1 - 1e-9]
+        assert all(abs(got[i] - want[i]) < 1e-9 for i in got)
+        live = np.flatnonzero(index.hopeful(terms)) if len(terms) else terms
+        assert not len(terms) or Matcher(index, 0.7).scores(terms, live) == got
 
 
 def test_planted_items_are_found_and_others_left(spark):
