@@ -9,7 +9,7 @@ from .common import cut, drop_cut
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """links (a long, b long) in any order, with repeats and self links -> (id, component_id): the smallest id reachable.
+    """links (a, b) of longs or of structs of longs, in any order, with repeats and self links -> (id, component_id): the smallest id reachable.
 
     Only ids that have a link are returned. Each round is two shuffles that pre-aggregate the
     neighbours' minimum, so a hub's links are split among tasks; rounds grow with the logarithm of

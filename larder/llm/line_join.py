@@ -5,7 +5,8 @@ never touched. Two lines are linked if they are equal or, from `min_chars` chara
 distance is at most `tau`. Of each class of linked lines the first occurrence (smallest doc_id, then
 position) stays; every other occurrence goes.
 
-1. Equal lines meet by 128-bit hash. A line is split into tau + 1 segments; by the pigeonhole principle a line
+1. Equal lines meet by 128-bit hash. Keys and pairs carry 63 bits of it; lines that share these are judged apart
+   when the texts are fetched, and links and classes hold all 128. A line is split into tau + 1 segments; by the pigeonhole principle a line
    within tau edits holds one of them unchanged, near its place. A line's own segments are index keys
    (length, segment number, content); substrings of longer lines at the places that multi-match-aware
    selection leaves are probe keys for each shorter length. Lines with more than a 100,000th of all
@@ -112,6 +113,10 @@ def segments(n: Column, parts: int) -> list[tuple[Column, Column]]:
 PROBE = -(1 << 63)
 
 
+def number(line: Column) -> Column:
+    return F.xxhash64(line).bitwiseAND(F.lit(~PROBE))
+
+
 def keys(tau: int) -> tuple[Column, int]:
     """Of columns (wide, n): an array of index keys of the line's own length, then probe keys of it and of shorter
     lengths; and how many index keys there are. Keys whose place doesn't fit are null. `wide` holds four bytes a
@@ -189,11 +194,11 @@ def pairs_of(members: DataFrame, tau: int, bucket: int) -> DataFrame:
 
 
 def near_links(lines: DataFrame, *, tau: int, bucket: int, broadcast_lines: int) -> DataFrame:
-    """lines (id, line, n) with repeats -> links (a, b) between ids of different lines within tau edits."""
+    """lines (id, id2, line, n) with repeats -> links (a, b) between different lines within tau edits, each known by (id, id2)."""
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         some = F.broadcast(wanted) if wanted.count() <= broadcast_lines else wanted
-        return cut(lines.join(some, "id").groupBy("id").agg(F.min("line").alias("line")).select("id", "line", F.length("line").alias("n"), parities(F.col("line")).alias("bits")))
+        return cut(lines.join(some, "id").groupBy("id", "id2").agg(F.min("line").alias("line")).select("id", "id2", "line", F.length("line").alias("n"), parities(F.col("line")).alias("bits")))
 
     members = cut(members_of(segment_keys(lines, tau)))
     texts = texts_of(cut(members.select("id").distinct()))
@@ -205,8 +210,8 @@ def near_links(lines: DataFrame, *, tau: int, bucket: int, broadcast_lines: int)
         again = cut(members_of(signatures(texts.join(crowded, "id", "left_semi"), tau, 3)))
         more = again.join(again.groupBy("key").agg(F.count("*").alias("n")), "key").join(bits, "id")
         pairs = cut(pairs.union(pairs_of(more, tau, bucket)).distinct())
-    first, second = (texts.select(F.col("id").alias(x), F.col("line").alias(f"l{x}")) for x in "ab")
-    return cut(pairs.join(first, "a").join(second, "b").where(within(F.col("la"), F.col("lb"), tau)).select("a", "b"))
+    first, second = (texts.select(F.col("id").alias(x), F.struct("id", "id2").alias(f"id{x}"), F.col("line").alias(f"l{x}")) for x in "ab")
+    return cut(pairs.join(first, "a").join(second, "b").where(within(F.col("la"), F.col("lb"), tau)).select(F.col("ida").alias("a"), F.col("idb").alias("b")))
 
 
 def without_repeated_lines(docs: DataFrame, *, tau: int = 2, min_chars: int = 20, bucket: int = 64, broadcast_lines: int = 2_000_000, counts: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
@@ -219,22 +224,22 @@ def without_repeated_lines(docs: DataFrame, *, tau: int = 2, min_chars: int = 20
     doc, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), F.col("text").cast("string")
     split = docs.select(doc.alias("doc"), F.posexplode(F.split(text, "\n")).alias("pos", "raw"))
     lines = split.select("doc", "pos", stripped(F.col("raw")).alias("line")).where("line <> ''")
-    lines = lines.select("doc", "pos", "line", F.xxhash64("line").bitwiseAND(F.lit(~PROBE)).alias("id"))
-    places = cut(lines.select("id", F.xxhash64(F.lit(1), "line").alias("id2"), F.struct("doc", "pos").alias("at")))
+    lines = lines.select("doc", "pos", "line", number(F.col("line")).alias("id"), F.xxhash64(F.lit(1), "line").alias("id2"))
+    places = cut(lines.select("id", "id2", F.struct("doc", "pos").alias("at")))
     found = cut(places.groupBy("id", "id2").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n")))
     total = found.agg(F.sum("n")).first()[0] or 0
-    common = found.where(F.col("n") > max(1000, total // 100_000)).select("id", "first")  # 100,000 rows at most
-    long = lines.where(F.length("line") >= min_chars).join(F.broadcast(common), "id", "left").where("first is null or (first.doc = doc and first.pos = pos)").select("id", "line", F.length("line").alias("n"))
-    classes = components(near_links(long, tau=tau, bucket=bucket, broadcast_lines=broadcast_lines))
-    firsts = found.join(classes, "id", "left").where("component_id is not null or first < last")
-    firsts = firsts.withColumns({"c1": F.coalesce("component_id", "id"), "c2": F.when(F.col("component_id").isNull(), F.col("id2")).otherwise(F.lit(0))})
-    kept = firsts.groupBy("c1", "c2").agg(F.min("first").alias("kept"))
-    repeated = firsts.select("id", "id2", "c1", "c2").join(kept, ["c1", "c2"]).select("id", "id2", "kept")
+    common = found.where(F.col("n") > max(1000, total // 100_000)).select("id", "id2", "first")  # 100,000 rows at most
+    long = lines.where(F.length("line") >= min_chars).join(F.broadcast(common), ["id", "id2"], "left").where("first is null or (first.doc = doc and first.pos = pos)").select("id", "id2", "line", F.length("line").alias("n"))
+    classes = components(near_links(long, tau=tau, bucket=bucket, broadcast_lines=broadcast_lines)).select("id.id", "id.id2", "component_id")
+    firsts = found.join(classes, ["id", "id2"], "left").where("component_id is not null or first < last")
+    firsts = firsts.withColumn("class", F.coalesce("component_id", F.struct("id", "id2")))
+    kept = firsts.groupBy("class").agg(F.min("first").alias("kept"))
+    repeated = firsts.select("id", "id2", "class").join(kept, "class").select("id", "id2", "kept")
     gone = places.join(repeated, ["id", "id2"]).where("at <> kept").groupBy("at.doc").agg(F.collect_set(F.struct("at.pos", "id")).alias("gone"))
     whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), doc.alias("doc")).join(gone, "doc", "left")
     text = F.col("row.text").cast("string")
     there = F.split(text, "\n")
-    ids = lambda x: F.xxhash64(stripped(x)).bitwiseAND(F.lit(~PROBE))
+    ids = lambda x: number(stripped(x))
     stays = lambda x, i: ~F.coalesce(F.array_contains(F.col("gone"), F.struct(i.alias("pos"), ids(x).alias("id"))), F.lit(False))
     whole = whole.withColumn("left", F.when(F.col("gone").isNotNull(), F.filter(there, stays)))
     solid = lambda a: F.coalesce(F.size(F.filter(a, lambda x: stripped(x) != "")), F.lit(0)).cast("long")

@@ -110,3 +110,12 @@ def test_null_and_repeated_ids_and_empty_table(spark):
     got = without_repeated_lines(spark.createDataFrame([(None, line, 0, ""), (4, line, 0, ""), (4, line, 0, ""), (4, f"x\n{line}", 0, "")], SCHEMA)).collect()
     assert sorted((str(r.doc_id), r.text) for r in got) == [("4", line), ("4", line), ("4", "x"), ("None", "")]
     assert without_repeated_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_lines_of_one_number_are_judged_apart(spark, monkeypatch):
+    monkeypatch.setattr("larder.llm.line_join.number", lambda line: F.pmod(F.xxhash64(line), F.lit(61)))
+    dice = random.Random(5)
+    base = ["".join(dice.choice("abcdefghij ") for _ in range(dice.randint(20, 40))) for _ in range(40)]
+    rows = [(d, "\n".join(x if dice.random() < 0.7 else x[:5] + dice.choice("xyz") + x[6:] for x in dice.sample(base, 4))) for d in range(25)]
+    got = without_repeated_lines(spark.createDataFrame([(d, t, 1, "k") for d, t in rows], SCHEMA))
+    assert sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()) == brute(rows, 2, 20)
