@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, in_slices
 
 K1, B = 1.2, 0.75
 BLOCK = 4
@@ -121,7 +121,7 @@ def spans(starts: np.ndarray, terms: np.ndarray) -> np.ndarray:
 class TermNumbers(dict):
     """word -> its term number, -1 for a word that no item has, -2 for marks without a word. Words seen before are kept, up to `most`."""
 
-    def __init__(self, terms: dict[str, int], most: int = 500_000):
+    def __init__(self, terms: dict[str, int], most: int = 100_000):
         super().__init__()
         self.terms, self.most = terms, most
 
@@ -260,7 +260,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, share: float = 0.6, least: float
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             match = Matcher(pickle.loads(shared.value), least)
             for batch in batches:
-                rows = [(d, *hit) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for hit in match(t)]
+                rows = [(d, *hit) for d, t in zip(batch.column(0).to_pylist(), in_slices(batch.column(1))) for hit in match(t)]
                 cols = list(zip(*rows)) if rows else [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()))], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
@@ -277,7 +277,7 @@ def without_leaks(docs: DataFrame, items: DataFrame, *, share: float = 0.6, leas
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             match = Matcher(pickle.loads(shared.value), least)
             for batch in batches:
-                yield batch.filter(pa.array([not match(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not match(t) for t in in_slices(batch.column(at))], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
