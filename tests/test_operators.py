@@ -1,5 +1,7 @@
 """Small cases with pinned results."""
 
+from html import unescape
+
 from larder.functions import paths, text
 from larder.operators import catalog, extract, listing, merge, taxonomy
 from larder.plans import catalogue
@@ -114,3 +116,12 @@ def test_sitemap_documents_are_bounded(spark):
     rows = [(None if i % 2 else 7, f"https://a.b/en/c{i}/?x&y") for i in range(5000)]
     sizes = [r.xml.count("<loc>") for r in sitemap_documents(spark.createDataFrame(rows, "page_id long, url string")).collect()]
     assert sum(sizes) == 5000 and max(sizes) <= 1024
+
+
+def test_references_without_python(spark):
+    cases = ["a &amp; b", "&notit;&notin;", "&#128;&#x1F600&#xfeff;&#0;&#xD800;&#11;|", "&#99999999999999999999;&#;&;&", "&ampx&amp;lt;&nosuch;", "no reference", "&NotEqualTilde;é", "", None]
+    df = spark.createDataFrame([(c,) for c in cases], "c string")
+    assert [r.u for r in df.select(text.unescape(F.col("c")).alias("u")).collect()] == [None if c is None else unescape(c) for c in cases]
+    plans = [df.select(text.normalize_text(F.col("c"))), extract.dedupe_specs(spark.createDataFrame([("s", 1, 0, "Weight &amp; size:", "5 &lt; 6 kg")], "sku string, rank int, pos int, name string, value string"))]
+    assert not any("ArrowEvalPython" in df._jdf.queryExecution().optimizedPlan().toString() for df in plans)
+    assert [tuple(r) for r in plans[1].collect()] == [("s", "weight & size", "Weight & size", "5 < 6 kg", 0)]
