@@ -125,3 +125,15 @@ def test_references_without_python(spark):
     plans = [df.select(text.normalize_text(F.col("c"))), extract.dedupe_specs(spark.createDataFrame([("s", 1, 0, "Weight &amp; size:", "5 &lt; 6 kg")], "sku string, rank int, pos int, name string, value string"))]
     assert not any("ArrowEvalPython" in df._jdf.queryExecution().optimizedPlan().toString() for df in plans)
     assert [tuple(r) for r in plans[1].collect()] == [("s", "weight & size", "Weight & size", "5 < 6 kg", 0)]
+
+
+def test_each_field_is_worked_out_once(spark):
+    """A plan names the long expressions once: no filter repeats them below."""
+    raw = spark.createDataFrame([('{"sku":"1","price":"2","categories":[{"url":"/a/Ü/","title":"A"}],"specs":{"1":{"title":"N:","value":"v"}}}',), ('{"sku":"2","price":"dear"}',)], "body string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = extract.category_nodes(raw, "https://s.example")
+    assert plan(nodes).count("[^?#]*)") == 2 and [r.canonical_path for r in nodes.collect()] == ["/a/u/"]
+    good, bad = extract.products(raw, "https://s.example")
+    assert "from_json" not in plan(good) + plan(bad) and [r.sku for r in good.collect()] == ["1"] and [r.key for r in bad.collect()] == ["2"]
+    specs = plan(extract.json_specs(raw))
+    assert "size(" not in specs and len(extract.json_specs(raw).collect()) == 1
