@@ -2,6 +2,7 @@
 
 from html import unescape
 
+from larder.fixtures import batch
 from larder.functions import paths, text
 from larder.operators import catalog, extract, listing, merge, taxonomy
 from larder.plans import catalogue
@@ -137,3 +138,8 @@ def test_each_field_is_worked_out_once(spark):
     assert "from_json" not in plan(good) + plan(bad) and [r.sku for r in good.collect()] == ["1"] and [r.key for r in bad.collect()] == ["2"]
     specs = plan(extract.json_specs(raw))
     assert "size(" not in specs and len(extract.json_specs(raw).collect()) == 1
+
+
+def test_batch_reads_sales_once(spark):
+    """No table of a batch joins lineitem anew for a column that it doesn't have."""
+    assert not any("l_shipdate" in df._jdf.queryExecution().analyzed().toString() for n, df in batch(spark, "/root/testdata/sf0.001").items() if n in ("stored_products", "stored_links", "pages", "raw"))
