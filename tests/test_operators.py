@@ -143,3 +143,23 @@ def test_each_field_is_worked_out_once(spark):
 def test_batch_reads_sales_once(spark):
     """No table of a batch joins lineitem anew for a column that it doesn't have."""
     assert not any("l_shipdate" in df._jdf.queryExecution().analyzed().toString() for n, df in batch(spark, "/root/testdata/sf0.001").items() if n in ("stored_products", "stored_links", "pages", "raw"))
+
+
+def test_a_table_of_a_batch_costs_what_it_needs(spark):
+    """Rejects and images of a batch read no listing and no description."""
+    from dataclasses import replace
+
+    from larder.plans.ingest import ingest
+    from larder.sources.supplier import SHOP
+
+    def never(*_):
+        raise AssertionError("worked out for a table that doesn't hold it")
+
+    stored = {"products": spark.createDataFrame([], "sku string"), "links": spark.createDataFrame([], "sku string, canonical_path string")}
+    stored["categories"] = spark.createDataFrame([], "canonical_path string, name string, slug string, level int, parent_path string, is_active boolean, missing_streak int")
+    snapshot = spark.createDataFrame([], "canonical_path string, name string, slug string, level int, parent_path string, source_count bigint")
+    pages = spark.createDataFrame([], "canonical_path string, page bigint, body string")
+    raw = spark.createDataFrame([('{"id":1,"image":"7"}',), ('{"id":2,"price":"dear"}',)], "body string")
+    found = ingest(stored, snapshot, pages, raw, supplier=replace(SHOP, items=never, summaries=never, descriptions=never))
+    assert [tuple(r) for r in found["rejects"].select("key", "error").collect()] == [("2", "price is no number")]
+    assert [tuple(r) for r in found["images"].select("sku", "sort_order").collect()] == [("1", 0)]
