@@ -163,3 +163,11 @@ def test_a_table_of_a_batch_costs_what_it_needs(spark):
     found = ingest(stored, snapshot, pages, raw, supplier=replace(SHOP, items=never, summaries=never, descriptions=never))
     assert [tuple(r) for r in found["rejects"].select("key", "error").collect()] == [("2", "price is no number")]
     assert [tuple(r) for r in found["images"].select("sku", "sort_order").collect()] == [("1", 0)]
+
+
+def test_pairs_of_a_document_come_from_one_parse(spark):
+    body = '{"id":1,"specs":{"1":{"title":"Weight","value":1.50},"2":{"title":"","name":"Box","text":{"a": 1}}},"attributes":[{"name":"Size","value":"5"},{"label":"Size"}]}'
+    found = extract.json_specs(spark.createDataFrame([(body,), ("{}",)], "body string"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and plan.count("Generate") == 1
+    assert sorted(tuple(r)[1:] for r in found.collect()) == [(1, 0, "Weight", "1.5"), (1, 1, "Box", '{"a":1}'), (2, 0, "Size", "5")]

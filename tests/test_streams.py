@@ -198,3 +198,20 @@ def test_specifications_of_the_page_come_after_those_of_the_content(spark):
     good, _ = extract.records(raw, "https://s.example", "https://c.example/")
     row = good.first()
     assert row.stock == 12 and row.stock_status == "in_stock" and [s.name for s in row.specifications] == ["Weight", "Colour", "Power", "Article number", "EAN"] and row.images is None
+
+
+def test_the_runs_row_reads_what_its_batch_staged(spark, tmp_path, monkeypatch):
+    store = SnapshotStore(spark, str(tmp_path / "store"))
+    empty = lambda schema: spark.createDataFrame([], schema)
+    streams.seed(store, {"products": empty("sku string, title string, price double"), "links": empty("sku string, canonical_path string"), "categories": empty("canonical_path string, name string, slug string, level int, parent_path string, is_active boolean, missing_streak int")})
+    landed(spark, [page("/en/a/", {"id": 8, "title": "eight"}), {"kind": "product", "body": json.dumps({"id": 8, "title": "eight"})}, {"kind": "category", "canonical_path": "/en/a/", "name": "A", "slug": "a", "level": 1, "source_count": 1}]).coalesce(1).write.parquet(str(tmp_path / "land"))
+    plans, commit = {}, SnapshotStore.commit
+
+    def watched(self, batch, tables):
+        plans.update({t: df._jdf.queryExecution().optimizedPlan().toString() for t, df in tables.items()})
+        return commit(self, batch, tables)
+
+    monkeypatch.setattr(SnapshotStore, "commit", watched)
+    streams.stream_ingest(spark.readStream.schema(empty(streams.LANDED).schema).parquet(str(tmp_path / "land")), store.root, str(tmp_path / "checkpoint"), "https://s.example", "https://cdn.example/").awaitTermination()
+    assert all("from_json" not in plans[t] for t in ("run", "links", "products", "counts"))
+    assert store.read("run").first().products_new == 1 and store.read("links").count() == 1
