@@ -7,19 +7,25 @@
 4. decontamination: documents that contain a benchmark item's question and answer go.
 5. byte_bpe: what is left is encoded and decoded.
 
+Every stage has the session hand its Python tasks small Arrow batches (`small_batches`), so that a task holds a few MB of
+texts at a time beside what it remembers, in Python and in the JVM.
+
 All stages but the last return the columns of documents. SQL can't express the trained and approximate
 stages, so ORACLE_SQL is None and tests compare with brute force.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm.bm25 import without_leaks
 from larder.llm.byte_bpe import encode_decode
-from larder.llm.common import cut, read_table
+from larder.llm.common import cut, read_table, small_batches
 from larder.llm.langid import held_out, keep_known, train
 from larder.llm.line_join import without_repeated_lines
 from larder.llm.setsketch import near_duplicates
@@ -69,7 +75,16 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("language_id", language_id), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontamination", decontamination), ("byte_bpe", byte_bpe)]
+def in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
+STAGES = [(f.__name__, in_small_batches(f)) for f in (language_id, line_dedup, near_dedup, decontamination, byte_bpe)]
 ORACLE_SQL = None
 
 

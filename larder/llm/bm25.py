@@ -121,7 +121,7 @@ def spans(starts: np.ndarray, terms: np.ndarray) -> np.ndarray:
 class TermNumbers(dict):
     """word -> its term number, -1 for a word that no item has, -2 for marks without a word. Words seen before are kept, up to `most`."""
 
-    def __init__(self, terms: dict[str, int], most: int = 500_000):
+    def __init__(self, terms: dict[str, int], most: int = 200_000):
         super().__init__()
         self.terms, self.most = terms, most
 

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_slices
+
 ROUTE = "block long, bucket int, kind int, part int, a binary, b binary"
 
 
@@ -139,7 +141,7 @@ def split_job(pattern: str, buckets: int, block_chars: int, part_chars: int):
 
         for batch in batches:
             # a null doc_id travels as a flag, so that it comes back as null
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for doc, text in zip(batch.column(0).to_pylist(), in_slices(batch.column(1))):
                 found = find(text) if text else []
                 put = numbers.setdefault
                 seqs.append(np.fromiter((put(w, len(numbers)) for w in found), np.int32, len(found)))

@@ -1,10 +1,11 @@
 import base64
 
 import public_tokenizers as P
+import pyarrow as pa
 import tiktoken
 
 from corpus_pipeline import STAGES, run
-from larder.llm.common import cut, read_table
+from larder.llm.common import BATCH_KEY, cut, read_table, small_batches
 from tests.llm.test_line_join import brute as brute_lines
 from tests.llm.test_setsketch import brute as brute_sets
 
@@ -77,3 +78,21 @@ def test_empty_table_in_every_stage(spark):
     for name, stage in STAGES:
         got = stage(spark, docs, SF)
         assert got.count() == 0 and (name == "byte_bpe" or got.columns == docs.columns)
+
+
+def test_stages_hand_tasks_few_texts_at_a_time(spark):
+    docs = spark.createDataFrame([(i, "kra " * 25_000) for i in range(100)], "doc_id long, text string").repartition(1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    for before, most in (("64m", 4 << 20), ("1m", 1 << 20)):  # a smaller limit of the session's own stays
+        spark.conf.set(BATCH_KEY, before)
+        dict(STAGES)["byte_bpe"](spark, docs, SF)
+        got = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+        assert sum(got) >= 10_000_000 and max(got) < most + 200_000
+    spark.conf.set(BATCH_KEY, "64m")
+    small_batches(spark, 1 << 30)
+    assert spark.conf.get(BATCH_KEY) == "64m"
+    spark.conf.unset(BATCH_KEY)
