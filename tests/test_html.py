@@ -179,6 +179,15 @@ def test_what_follows_specification_headings(spark, sources):
     assert got == want and len(want) > 50
 
 
+def test_descriptions_deal_elements_once(spark, capsys):
+    """Elements move once and meet the documents once."""
+    docs = spark.createDataFrame([(1, "<h2>Usage</h2><p>Words</p>")], "doc_id long, html string").repartition(2)
+    html.descriptions(docs).explain("simple")
+    plan = capsys.readouterr().out
+    assert plan.count("MapInArrow") == 1 and plan.count("Join") == 1 and plan.count("Window") == 0
+    assert sum("Exchange hashpartitioning" in line for line in plan.split("\n")) == 2
+
+
 def test_supplier_text_where_there_is_no_intro(spark):
     docs = spark.createDataFrame([(1, "<h2>Usage</h2><p>Highlights only</p>", "  Plain&nbsp;text "), (2, None, " "), (3, "<p>An introduction of words</p>", "unused")], "doc_id long, html string, description string")
     got = {r.doc_id: (r.short_description, r.long_description) for r in html.descriptions(docs).collect()}
