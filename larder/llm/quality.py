@@ -17,20 +17,28 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, islice
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .anchors import chunks
 from .common import cut, text_bytes
 
-LETTER = np.array([chr(c).isalpha() if c < 128 else True for c in range(256)])
-UPPER = np.isin(np.arange(256), np.arange(65, 91))
-SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-MARK = np.isin(np.arange(256), list(b"#$%&*|{}<>=~^@\\/_+[]"))
+SPACE = bytes([0x20, *range(0x09, 0x0E)])
+LETTER = bytes(c for c in range(256) if c >= 128 or chr(c).isalpha())
+UPPER = bytes(range(65, 91))
+MARK = b"#$%&*|{}<>=~^@\\/_+[]"
+SOLID = np.array([c not in SPACE for c in range(256)])
+MARKED_AT_START = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
+MARKED_AT_END = np.isin(np.arange(256), list(b"#$%&*|!"))
+SHAPE = bytes(ord("0") if 48 <= c < 58 else ord("a") if c >= 128 or 97 <= c < 123 else c for c in range(256))
 LABELLERS = ("letters", "marks", "upper", "variety", "stutter", "endings", "word_length", "lines", "marked_words", "top_word")
 
 
@@ -40,15 +48,15 @@ def votes(text: bytes) -> list[int]:
     n = len(words)
     if not n:
         return [-1] * len(LABELLERS)
-    data = np.frombuffer(text, np.uint8)
-    solid = len(data) - int(np.count_nonzero(SPACE[data]))
-    letters = int(np.count_nonzero(LETTER[data]))
-    marks = int(np.count_nonzero(MARK[data]))
-    upper = int(np.count_nonzero(UPPER[data]))
-    lines = [x.strip() for x in text.split(b"\n") if x.strip()]
+    solid = len(text.translate(None, SPACE))
+    letters, marks, upper = (len(text) - len(text.translate(None, kind)) for kind in (LETTER, MARK, UPPER))
+    lines = [y for x in text.split(b"\n") if (y := x.strip())]
     ended = sum(x[-1:] in b".!?:\"')" for x in lines)
-    marked = sum(1 for w in words if w[-1:] in b"#$%&*|!" or not w[:1].isalnum() and w[0] < 128)
-    same = sum(a == b for a, b in zip(words, words[1:]))
+    each = Counter(words)
+    same = sum(map(eq, words, islice(words, 1, None)))
+    data = np.frombuffer(text, np.uint8)
+    edges = np.flatnonzero(np.diff(SOLID[data], prepend=False, append=False))  # starts and ends of the words in turn
+    marked = int(np.count_nonzero(MARKED_AT_START[data[edges[::2]]] | MARKED_AT_END[data[edges[1::2] - 1]]))
 
     def of(x: float, bad: float, good: float) -> int:
         if bad > good:
@@ -62,13 +70,13 @@ def votes(text: bytes) -> list[int]:
         bad(1 - letters / solid, 0.2),
         bad(marks / solid, 0.08),
         bad(upper / max(1, letters), 0.4),
-        of(len(set(words)) / n**0.85, 0.55, 0.55) if n >= 20 else 0,
+        of(len(each) / n**0.85, 0.55, 0.55) if n >= 20 else 0,
         bad(same / n, 0.2) if n >= 5 else 0,
         of(ended / len(lines), 0.2, 0.6),
         of(abs(letters / n - 5), 5.0, 3.0),
         bad(1 - len(set(lines)) / len(lines), 0.4) if len(lines) > 2 else 0,
         bad(marked / n, 0.4),
-        bad(Counter(words).most_common(1)[0][1] / n, 0.25) if n >= 10 else 0,
+        bad(max(each.values()) / n, 0.25) if n >= 10 else 0,
     ]
 
 
@@ -91,32 +99,61 @@ def fit_labels(counts: dict[str, int], rounds: int = 60) -> tuple[dict[str, floa
     return dict(zip(keys, p.tolist())), (right + 0.5) / (n @ (v != 0) + 1), share
 
 
-class Features(dict):
-    """word -> its two features, by hashing; words seen before are kept, up to `most`."""
+class Shapes(dict):
+    """A word's shape, its digits and lower-case letters already made alike -> its feature, by hashing."""
 
-    def __init__(self, bits: int, most: int = 300_000):
+    def __init__(self, mask: int):
         super().__init__()
-        self.mask, self.most = (1 << bits) - 1, most
-
-    def __missing__(self, word: bytes) -> tuple[int, int]:
-        if len(self) > self.most:
-            self.clear()
-        lower = word.lower()
-        shape = re.sub(rb"[a-z\x80-\xff]+", b"a", re.sub(rb"[0-9]+", b"0", re.sub(rb"[A-Z]{2,}", b"AA", word)))[:12]
-        self[word] = got = (zlib.crc32(lower, 1) & self.mask, zlib.crc32(shape, 2) & self.mask)
+        self.mask = mask
+
+    def __missing__(self, alike: bytes) -> int:
+        shape = re.sub(rb"a+", b"a", re.sub(rb"0+", b"0", re.sub(rb"[A-Z]{2,}", b"AA", alike)))[:12]
+        self[alike] = got = zlib.crc32(shape, 2) & self.mask
         return got
 
-    def of(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """Feature numbers and values, of length below 1; shapes weigh more than words."""
-        words = text.split()
-        pairs = np.array([self[w] for w in words], np.int64).reshape(-1, 2)
-        repeats = sum(a == b for a, b in zip(words, words[1:]))
-        own, n_own = np.unique(pairs[:, 0], return_counts=True)
-        shape, n_shape = np.unique(pairs[:, 1], return_counts=True)
-        sure = len(words) / (len(words) + 10)  # short texts lean on the share of good texts
-        value = np.concatenate((0.3 * sure * np.sqrt(n_own / len(words)), sure * np.sqrt(n_shape / len(words)), [2 * sure * np.sqrt(repeats / len(words))]))
-        index = np.concatenate((own, shape, [zlib.crc32(b"repeat", 3) & self.mask]))
-        return index, value / np.sqrt((value * value).sum() + 0.25)
+
+class Features(dict):
+    """word -> its number, by which `pairs` holds its two features, by hashing; Python looks at a new word once, and up to `most`
+    words are kept from one slice of texts to the next."""
+
+    def __init__(self, bits: int, most: int = 300_000):
+        super().__init__()
+        self.bits, self.mask, self.most = bits, (1 << bits) - 1, most
+        self.pairs, self.shapes = array("q"), Shapes(self.mask)
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self.pairs)
+        self.pairs.append((zlib.crc32(word.lower(), 1) & self.mask) << self.bits | self.shapes[word.translate(SHAPE)])
+        return n
+
+    def slices(self, texts: list[bytes], most_bytes: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of texts of about `most_bytes` together (a longer one alone): how many words each has, and the numbers of all words."""
+        for _, part in chunks(texts, texts, most_bytes):
+            if len(self) > self.most:
+                self.clear()
+                self.shapes.clear()
+                self.pairs = array("q")
+            split = [t.split() for t in part]
+            lengths = np.array([len(x) for x in split])
+            yield lengths, np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, int(lengths.sum()))
+
+    def of(self, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each text the feature numbers and values, of length below 1; shapes weigh more than words. Without words all values are 0."""
+        bits, repeat = self.bits, 2 << self.bits | zlib.crc32(b"repeat", 3) & self.mask
+        for lengths, numbers in self.slices(texts):
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            pairs, above = np.array(self.pairs)[numbers], owner << bits + 2
+            again = np.bincount(owner[1:][(numbers[1:] == numbers[:-1]) & (owner[1:] == owner[:-1])], minlength=len(lengths))
+            # a key is text, kind (word, shape, repeats) and feature
+            keys = np.sort(np.concatenate((above | pairs >> bits, above | 1 << bits | pairs & self.mask, np.arange(len(lengths)) << bits + 2 | repeat)))
+            turns = np.flatnonzero(np.diff(keys, prepend=-1))
+            own, kind, index = keys[turns] >> bits + 2, keys[turns] >> bits & 3, keys[turns] & self.mask
+            count = np.where(kind == 2, again[own], np.diff(turns, append=len(keys)))
+            sure = lengths / (lengths + 10)  # short texts lean on the share of good texts
+            value = np.stack((0.3 * sure, sure, 2 * sure))[kind, own] * np.sqrt(count / np.maximum(lengths, 1)[own])
+            squares, ends = value * value, np.searchsorted(own, np.arange(len(lengths) + 1)).tolist()
+            for a, b in zip(ends, ends[1:]):
+                yield index[a:b], value[a:b] / np.sqrt(squares[a:b].sum() + 0.25)
 
 
 def text_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +176,8 @@ def train(docs: DataFrame, *, sample_docs: int = 6000, bits: int = 16, steps: in
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(bits)
         for batch in batches:
-            rows = [(*features.of(t), posterior["".join(chr(ord("1") + v) for v in votes(t))]) for t in text_bytes(batch.column(0))]
+            texts = text_bytes(batch.column(0))
+            rows = [(*f, posterior["".join(chr(ord("1") + v) for v in votes(t))]) for t, f in zip(texts, features.of(texts))]
             yield pa.RecordBatch.from_arrays([pa.array([r[0].tolist() for r in rows], pa.list_(pa.int32())), pa.array([r[1].tolist() for r in rows], pa.list_(pa.float64())), pa.array([r[2] for r in rows], pa.float64())], names=["i", "x", "y"])
 
     chosen = F.pmod(F.xxhash64("doc_id", "text", F.lit(29)), F.lit(1_000_003)) < part * 1_000_003
@@ -180,13 +218,8 @@ def score(docs: DataFrame, weights: np.ndarray, *, least: float = 0.5) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features, w = Features(bits), shared.value
         for batch in batches:
-            out = []
-            for t in text_bytes(batch.column(1)):
-                if not t.split():
-                    out.append(0.0)
-                    continue
-                i, x = features.of(t)
-                out.append(float(1 / (1 + np.exp(-np.clip(w[-1] + w[i] @ x, -40, 40)))))
+            texts = text_bytes(batch.column(1))
+            out = [float(1 / (1 + np.exp(-np.clip(w[-1] + w[i] @ x, -40, 40)))) if t.strip() else 0.0 for t, (i, x) in zip(texts, features.of(texts))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64()), pa.array([s >= least for s in out], pa.bool_())], names=["doc_id", "score", "kept"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, score double, kept boolean")
