@@ -5,7 +5,12 @@ import json
 import os
 import random
 
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
+
 from larder.operators import catalog
+from larder.queries import QUERIES
 from larder.sources import exports, tables
 
 
@@ -39,3 +44,39 @@ def test_a_document_for_each_sku(spark, tmp_path):
     back = spark.read.text(str(tmp_path / "each")).collect()
     assert sorted((r.file_key, json.loads(r.value)["id"]) for r in back) == [("a=b c%", 4), ("a_b", 1), ("a_b", 2), ("plain", 3)]
     assert [tuple(r) for r in exports.file_key_collisions(df).collect()] == [("a_b", 2)]
+
+
+def test_what_parquet_packs_well_is_not_broadcast(spark, tmp_path):
+    for name, n in {"few": 3, "many": 200_000}.items():
+        spark.range(n).selectExpr("id div 1000000 as k").coalesce(1).write.parquet(str(tmp_path / name))
+    few, many = (spark.read.parquet(str(tmp_path / n)) for n in ("few", "many"))  # some hundred bytes each
+    before = {k: spark.conf.get(k, None) for k in (tables.STATIC_KEY, tables.MEASURED_KEY, tables.UNION_KEY)}
+
+    def ran(right):
+        found = spark.range(5).withColumnRenamed("id", "k").join(right, "k", "left").agg(F.count("*").alias("n"))
+        assert found.first().n == 4 + right.count() and found.collect()
+        return found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+    assert "BroadcastHashJoin" in ran(many)
+    with tables.measured_broadcasts(spark):
+        spark.conf.set(tables.MEASURED_KEY, "1m")
+        assert "BroadcastHashJoin" in ran(few) and "BroadcastHashJoin" not in ran(many)
+    assert {k: spark.conf.get(k, None) for k in before} == before
+    with pytest.raises(ZeroDivisionError), tables.measured_broadcasts(spark):
+        1 / 0
+    assert {k: spark.conf.get(k, None) for k in before} == before
+
+
+@pytest.mark.parametrize("name", ["ingest_run"])
+def test_an_ingest_broadcasts_by_measured_sizes(spark, monkeypatch, name):
+    seen, write = [], DataFrameWriter.parquet
+
+    def watched(self, *args, **more):
+        seen.append(self._spark.conf.get(tables.STATIC_KEY))
+        return write(self, *args, **more)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", watched)
+    before = spark.conf.get(tables.STATIC_KEY)
+    found = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert set(seen) == {"-1"} and spark.conf.get(tables.STATIC_KEY) == before != "-1"
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()  # nothing is left to plan outside
