@@ -215,3 +215,10 @@ def test_unclosed_paragraphs_stay_small(spark):
     source = "<p>words " * 5000
     r = html.html_elements(spark.createDataFrame([(1, source)], "doc_id long, html string")).agg(F.count("*").alias("n"), F.max("chars").alias("chars"), F.sum(F.length("head")).alias("heads")).first()
     assert (r.n, r.chars) == (5000, 25_000) and r.heads <= 5000 * html.HEAD
+
+
+def test_pairs_are_planned_in_steps(spark):
+    docs = spark.createDataFrame([(1, "<h3>Specifications</h3><ul><li>Size: 5</li></ul>")], "doc_id long, html string")
+    found = html.spec_pairs(docs)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 2  # the slices of cells and of lines
+    assert [tuple(r) for r in found.collect()] == [(1, 5, 2, "Size", "5")]

@@ -67,7 +67,7 @@ def test_what_parquet_packs_well_is_not_broadcast(spark, tmp_path):
     assert {k: spark.conf.get(k, None) for k in before} == before
 
 
-@pytest.mark.parametrize("name", ["ingest_run"])
+@pytest.mark.parametrize("name", ["ingest_run", "stream_ingest_products"])
 def test_an_ingest_broadcasts_by_measured_sizes(spark, monkeypatch, name):
     seen, write = [], DataFrameWriter.parquet
 
